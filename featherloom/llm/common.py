@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,14 +57,17 @@ def number_rows(df: DataFrame, groups: list[str], order: list[str], out: str) ->
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, read from the shared checkpoint folder, so that neither a lost
-    executor nor a second use computes them again. The folder is the session's
-    spark.checkpoint.dir; a session without one is a local one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+def join_by_key(rows: DataFrame, stats: DataFrame, key: list[str], n: str, share: float = 0.001) -> DataFrame:
+    """Inner join of ``rows`` with one row per key that has the key's count ``n``.
+
+    A key with ``share`` of all counted rows or more is joined by broadcast:
+    there are at most 1 / share of them. The others go by a shuffle in which
+    none is large. Both inputs are read twice, so they should be cheap to read.
+    """
+    total = stats.agg(F.sum(n).alias("_total"))
+    heavy = F.broadcast(stats.join(F.broadcast(total)).where(F.col(n) >= share * F.col("_total")).drop("_total"))
+    rest = rows.join(heavy.select(*key), key, "left_anti").join(stats, key)
+    return rows.join(heavy, key).unionByName(rest)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, slots_of, table, word_count
+from ..plans.lineage import checkpointed
+from .common import mix64, slots_of, table, word_count
 
 WEIGHTS, SHARE, MOST, FAN = (3.0, 1.0, 2.0), 1.5, 2.0, 64
 SEED = 7
@@ -59,7 +60,7 @@ def pivot(p: np.ndarray, size: np.ndarray, key: np.ndarray, group: np.ndarray) -
         up_i, down_j = (1 - p[i]) * size[i], p[j] * size[j]
         down_i, up_j = p[i] * size[i], (1 - p[j]) * size[j]
         x, y = np.minimum(up_i, down_j), np.minimum(down_i, up_j)
-        u = (mix64(key[i] ^ mix64(key[j] + np.uint64(turn))) >> np.uint64(11)) * 2.0**-53
+        u = (mix64(key[i] ^ mix64(key[j] + np.full(1, turn, np.uint64))) >> np.uint64(11)) * 2.0**-53
         rise = u * (x + y) < y
         pi = np.where(rise, np.where(up_i <= down_j, 1.0, p[i] + x / size[i]), np.where(down_i <= up_j, 0.0, p[i] - y / size[i]))
         pj = np.where(rise, np.where(down_j <= up_i, 0.0, p[j] - x / size[j]), np.where(up_j <= down_i, 1.0, p[j] + y / size[j]))

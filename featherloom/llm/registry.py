@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, sharding, url_filter
+from . import chat, minhash, mixing, packing, sharding, url_filter
 
 
 def queries():
     return {
         "op1_url_reputation": url_filter.op1,
+        "op2_minhash_dedup": minhash.op2,
         "op3_length_buckets": packing.op3,
         "op4_chat_prefixes": chat.op4,
         "op6_rendezvous_shards": sharding.op6,
@@ -16,4 +17,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_reputation": url_filter.op1_sql(), "op4_chat_prefixes": chat.op4_sql()}
+    return {"op1_url_reputation": url_filter.op1_sql(), "op2_minhash_dedup": minhash.op2_sql(), "op4_chat_prefixes": chat.op4_sql()}
