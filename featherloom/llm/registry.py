@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, packing, sharding, url_filter
+from . import chat, minhash, mixing, packing, sharding, suffix_dedup, url_filter
 
 
 def queries():
@@ -11,10 +11,11 @@ def queries():
         "op2_minhash_dedup": minhash.op2,
         "op3_length_buckets": packing.op3,
         "op4_chat_prefixes": chat.op4,
+        "op5_suffix_dedup": suffix_dedup.op5,
         "op6_rendezvous_shards": sharding.op6,
         "op7_pivotal_mix": mixing.op7,
     }
 
 
 def oracle_sql():
-    return {"op1_url_reputation": url_filter.op1_sql(), "op2_minhash_dedup": minhash.op2_sql(), "op4_chat_prefixes": chat.op4_sql()}
+    return {"op1_url_reputation": url_filter.op1_sql(), "op2_minhash_dedup": minhash.op2_sql(), "op4_chat_prefixes": chat.op4_sql(), "op5_suffix_dedup": suffix_dedup.op5_sql()}
