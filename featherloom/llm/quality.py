@@ -2,8 +2,10 @@
 
 Texts are cut into runs of letters and runs of punctuation. Their unigrams and
 bigrams are hashed into ``BUCKETS`` buckets, over which two multinomials are
-counted: one of all documents, one of trusted ones. A document's score is its
-mean log-likelihood ratio per n-gram, and a fixed threshold decides. Ratios
+counted: one of all documents, one of trusted ones. Both get PRIOR more counts
+in each bucket, at the trusted one's scale, so that rare n-grams say little. A
+document's score is its mean log-likelihood ratio per n-gram, and a fixed
+threshold decides. Ratios
 are rounded to whole steps of 1 / SCALE, so sums are exact and a rerun decides
 alike.
 """
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table
 
-BUCKETS, ALPHA, SCALE = 65_536, 0.5, 1_000_000
+BUCKETS, PRIOR, SCALE = 65_536, 20.0, 1_000_000
 THRESHOLD = -0.1
 #: The trusted multinomial is counted on so many trusted documents at most, those whose ids hash lowest.
 TRUSTED = 20_000
@@ -66,16 +68,17 @@ def with_buckets(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return d.withColumn("_uni", F.expr(f"transform(_h, x -> cast(pmod(x, {buckets}) AS INT))")).withColumn("_bi", F.expr(f"transform(_h, (x, i) -> CASE WHEN i > 0 THEN cast(pmod(xxhash64(get(_h, i - 1), x), {buckets}) AS INT) END)"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
-    """(bucket, ratio) of every bucket: log P(bucket | trusted) - log P(bucket | all), times SCALE."""
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """(bucket, ratio) of every bucket, times SCALE: log((own + prior) / (all * share + prior)),
+    share being that of the trusted n-grams in all."""
     mark = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left")
     each = with_buckets(mark, buckets).select("_trusted", F.explode(F.concat("_uni", F.array_compact("_bi"))).alias("bucket"))
     n = each.groupBy("bucket").agg(F.count("*").alias("all"), F.count("_trusted").alias("own"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(n, "bucket", "left").select("bucket", F.coalesce("all", F.lit(0)).alias("all"), F.coalesce("own", F.lit(0)).alias("own"))
     whole = Window.partitionBy(F.lit(1))  # one row per bucket
     every = every.withColumn("n_all", F.sum("all").over(whole)).withColumn("n_own", F.sum("own").over(whole))
-    p = lambda c, n: F.ln((F.col(c) + alpha) / (F.col(n) + alpha * buckets))
-    return every.select("bucket", F.round((p("own", "n_own") - p("all", "n_all")) * SCALE).cast("int").alias("ratio"))
+    share = F.col("n_own") / F.greatest(F.lit(1), F.col("n_all"))
+    return every.select("bucket", F.round(F.ln((F.col("own") + prior) / (F.col("all") * share + prior)) * SCALE).cast("int").alias("ratio"))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -88,8 +91,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """``docs`` with the base rules' columns, score and kept.
 
     ``trusted`` has the doc_ids of the trusted multinomial, TRUSTED at most.
-    Without n-grams a score is 0. With no trusted documents, or no documents,
-    all ratios are near 0 and the base rules decide. Repeated rows get the same verdict.
+    Without n-grams a score is 0. With no trusted documents all ratios are 0 and
+    the base rules decide. Repeated rows get the same verdict.
     """
     ratios = log_ratios(docs, trusted)
     # One array of BUCKETS whole numbers, whatever the input.
