@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, packing, quality, sharding, suffix_dedup, url_filter
+from . import chat, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_suffix_dedup": suffix_dedup.op5,
         "op6_rendezvous_shards": sharding.op6,
         "op7_pivotal_mix": mixing.op7,
+        "op8_lexicon_automata": toxicity.op8,
         "op9_ngram_ratio": quality.op9,
     }
 
