@@ -72,6 +72,7 @@ def join_by_key(rows: DataFrame, stats: DataFrame, key: list[str], n: str, share
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
+    x = np.atleast_1d(x)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))

@@ -8,9 +8,12 @@ their Jaccard similarity, concentrated as for independent hashes. Bands of
 coordinates give candidates, and full sets confirm them.
 
 Copies are never compared pair by pair. Documents with equal sets are one
-class. In each bucket of a band, every class is compared with one hub, the
-smallest; linked ones then count as one component, and only classes of
-different components in a bucket are compared further: hub after hub, until
+class. Classes that share a bucket are a family, and what a class shares with
+none of its family bounds every similarity it can have: 2-word shingles of its
+own keep it out of buckets where no partner is small enough. In each bucket
+that is left, all classes are compared with one hub, the one with the fewest
+shingles of its own; linked ones then count as one component, and only classes
+of different components in a bucket are compared further: hub after hub, until
 the pairs left are few enough to compare all. No bucket is capped.
 """
 
@@ -116,6 +119,17 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _shingle_rows(width: int):
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(b.column("text"), width)
+            row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("family").take(row), pa.array(flat), b.column("node").take(row)], ["family", "shingle", "node"])
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -123,69 +137,101 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long")
 
 
+def _possible(n: str, s: str, m: str, t: str, percent: int):
+    """Whether sets of n and m shingles, s and t of them shared with any other, can be similar enough."""
+    n, s, m, t = (F.col(c) for c in (n, s, m, t))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(s, t) * (100 + percent) >= (n + m) * percent)
+
+
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links, "a", "b")
     return nodes.join(found, nodes["node"] == found["node"], "left").select(nodes["node"], F.coalesce("component", nodes["node"]).alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", width: int = 2, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
+def _buckets(own: DataFrame) -> DataFrame:
+    """(key, node, n) of each band of a class that another class shares."""
+    rows = own.select("node", "n", F.explode("bands").alias("key"))
+    shared = checkpointed(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    return checkpointed(join_by_key(rows, shared, ["key"], "rows").select("key", "node", "n"))
 
-    Rows without text or words have an empty set, are linked with nothing and
-    kept. Rows that share an id are one document, linked to all that any of
-    its texts is; a null id sorts after all others. Other columns are ignored.
-    """
-    d = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("node"), "text")
-    signed = checkpointed(d.mapInArrow(_sign(width), "node long, n long, h1 long, h2 long, bands array<long>"))
-    classes = checkpointed(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.count("*").alias("rows")))
-    reps = classes.select(F.col("rep").alias("node"))
-    own = signed.where("n > 0").join(classes.select(F.col("rep").alias("node"), "h1", "h2"), ["node", "h1", "h2"], "left_semi")
-    buckets = own.dropDuplicates(["node", "h1", "h2"]).select("node", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("rows")).where("rows > 1")
-    shared = checkpointed(shared)
-    inside = checkpointed(join_by_key(buckets, shared, ["key"], "rows").select("key", "node", "n", "hub", "rows"))
-    size = inside.select("node", "n").distinct()
-    sized = lambda p: p.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
-
-    def texts_of(pairs):
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return d.join(ends.hint("merge"), "node", "left_semi").dropDuplicates()
-
-    pairs = checkpointed(sized(inside.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
-    links = checkpointed(_links(pairs, texts_of(pairs), width, percent))
-    tried = pairs
-    left = inside.where("rows > 2 and node <> hub").select("key", "node")
-    n_reps = None
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(key, a, na, sa, rows): of each bucket the member with the least share of shingles of its own."""
+    own = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    return rows.groupBy("key").agg(F.min(own).alias("h"), F.count("*").alias("rows")).select("key", "h.a", "h.na", "h.sa", "rows")
+
+
+def _shared_shingles(inside: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, s): how many shingles of a class occur in another of its family."""
+    members = checkpointed(inside.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")))
+    edges = join_by_key(inside, members, ["key"], "rows").select("a", F.col("node").alias("b")).distinct()
+    family = connected_components(edges, "a", "b").select("node", F.col("component").alias("family"))
+    rows = texts.join(family.hint("merge"), "node").select("family", "node", "text").mapInArrow(_shingle_rows(width), "family long, shingle long, node long")
+    lone = rows.groupBy("family", "shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("u"))
+    sizes = inside.select("node", "n").distinct().groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets"))
+    # An id with several texts is bounded by nothing.
+    return sizes.join(lone, "node", "left").select("node", F.when(F.col("sets") > 1, F.col("most") * 1000).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
+def _all_links(own: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, comp): each class in its component."""
+    inside = _buckets(own)
+    texts = checkpointed(docs.join(inside.select("node").distinct().hint("merge"), "node", "left_semi"))
+    shared = _shared_shingles(inside, texts, width)
+    least = inside.groupBy("key").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    rows = inside.join(shared, "node").join(least, "key").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "node", "n", "s")
+    rows = checkpointed(rows)
+    hubs = checkpointed(_hubs(rows).where("rows > 1"))
+    rows = checkpointed(join_by_key(rows, hubs, ["key"], "rows").where("node <> a"))
+    spoken = rows.where(_possible("n", "s", "na", "sa", percent))
+    tried = checkpointed(spoken.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    links = checkpointed(_links(tried, texts, width, percent))
+    left, n_reps = rows.where("rows > 2").select("key", "node", "n", "s"), None
     while True:
         comp = checkpointed(_components(reps, links))
         named = left.join(comp, "node")
         counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("comps > 1")
-        mixed = checkpointed(mixed)
+        mixed = checkpointed(counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("comps > 1"))
         todo = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("cc")) / 2)).first()[0] or 0
         if not todo:
-            break
+            return comp
         n_reps = n_reps or reps.count()
         named = checkpointed(named.join(mixed.select("key"), "key", "left_semi"))
         if last := todo <= PAIRS_PER_CLASS * n_reps:
-            other = named.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            more = named.withColumnRenamed("node", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
+            other = named.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("comp_b"))
+            far = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _possible("n", "s", "nb", "sb", percent)
+            more = named.join(other, "key").where(far).select(F.col("node").alias("a"), "b").distinct()
         else:
-            hubs = named.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.comp").alias("comp_a"))
-            spoken = named.join(hubs, "key")
-            more = spoken.where("comp <> comp_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            left = checkpointed(spoken.where("node <> a").select("key", "node"))
-        more = checkpointed(sized(more).join(tried, ["a", "b"], "left_anti"))
-        links = checkpointed(links.unionByName(_links(more, texts_of(more), width, percent)))
+            spoken = named.join(_hubs(named).drop("rows"), "key")
+            hub = spoken.where("node = a").select("key", F.col("comp").alias("comp_a"))
+            spoken = checkpointed(spoken.join(hub, "key").where("node <> a"))
+            more = spoken.where((F.col("comp") != F.col("comp_a")) & _possible("n", "s", "na", "sa", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            left = spoken.select("key", "node", "n", "s")
+        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
+        links = checkpointed(links.unionByName(_links(more, texts, width, percent)))
         if last:
-            comp = checkpointed(_components(reps, links))
-            break
+            return checkpointed(_components(reps, links))
         tried = checkpointed(tried.unionByName(more))
-    by_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep").select("h1", "h2", "n", "comp", "rows")
-    rated = join_by_key(signed.where("n > 0").select("node", "n", "h1", "h2"), checkpointed(by_class), ["h1", "h2", "n"], "rows")
-    # A repeated id may carry several sets: its least component is the document's.
-    bare = signed.where("n = 0").select("node", "n", F.col("node").alias("comp"))
-    every = rated.select("node", "n", "comp").unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", width: int = 2, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
+
+    Rows without text or words have an empty set, are linked with nothing and
+    kept. Rows that share an id are one document, linked to all that any of
+    its texts is; a null id sorts after all others. Other columns are ignored.
+    """
+    d = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("node"), "text")
+    signed = checkpointed(d.mapInArrow(_sign(width), "node long, n long, h1 long, h2 long, bands array<long>"))
+    worded = signed.where("n > 0")
+    classes = checkpointed(worded.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.count("*").alias("rows")))
+    reps = classes.select(F.col("rep").alias("node")).distinct()
+    own = worded.join(classes.select(F.col("rep").alias("node"), "h1", "h2"), ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
+    comp = _all_links(own, reps, d, width, percent)
+    by_class = checkpointed(classes.join(comp.withColumnRenamed("node", "rep"), "rep").select("h1", "h2", "n", "comp", "rows"))
+    rated = join_by_key(worded.select("node", "n", "h1", "h2"), by_class, ["h1", "h2", "n"], "rows")
+    every = rated.select("node", "n", "comp").unionByName(signed.where("n = 0").select("node", "n", F.col("node").alias("comp")))
     name = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return every.select(name("node").alias(id), F.col("n").alias("n_shingles"), name("comp").alias("component_id"), (F.col("node") == F.col("comp")).alias("kept"))
 
