@@ -10,23 +10,26 @@ is cut at that depth:
    difference cover demands, and one position in forty is sampled.
 2. Sorted triples. Sampled positions are sorted by the name of their triple.
    A name that occurs once belongs to no repeat; its suffixes are done.
-3. Names of names. A sampled position stands for a run of consecutive windows.
-   Positions of one triple are named again by all bytes of their run. The first
-   of a name stands for its windows; for all others each window is a repeat.
-4. Remaining suffixes. Where a triple has several second names, their windows
-   overlap in part. These are written out, one suffix each, and merged in
-   sorted order of their LENGTH-byte prefix; the first of equal neighbours stays.
+3. Names of names. A sampled position stands for a run of consecutive windows,
+   all of which hold its triple. Runs of one triple are named again by all
+   bytes of their windows. The first of a name stands for its windows; for all
+   others each window is a repeat.
+4. Remaining suffixes. Where a triple has several second names, the runs may
+   share some windows. They are cut into blocks of BLOCK windows, which are
+   named and sorted in the same way by the bytes common to the block's windows,
+   then by all their bytes; what is still open is cut into single windows, and
+   these are merged in sorted order: of equal neighbours the first stays.
 
 Names are 64-bit fingerprints, two of which make the identity of a suffix.
-No step holds a group in memory: names are streamed in sorted order, the first
-of equal suffixes is a minimum with partial aggregation, and what is left over
-is looked up by document.
+No step holds a group in memory: names are streamed in sorted order, and one
+row waits for its successor.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,7 @@ LENGTH = 100
 WORD_BYTES = 8
 TRIPLE = 3 * WORD_BYTES
 SPREAD = LENGTH - TRIPLE + 1  # triples of a window
+BLOCK = 16
 AT_BITS = np.uint64(24)
 AT = np.uint64(2**24 - 1)
 #: A longer text is read in pieces of so many windows; their runs may differ at the seams, which step 4 settles.
@@ -69,7 +73,7 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def sampled_runs(b: np.ndarray, off: np.ndarray):
-    """Of texts b[off[i]:off[i + 1]]: (text, name, second name, first window, windows) of each sampled position."""
+    """Of texts b[off[i]:off[i + 1]]: (text, name, second name, first window, windows, offset of the sample) of each sampled position."""
     if len(b) < LENGTH:
         return None
     own = np.ones(len(b) - LENGTH + 1, bool)
@@ -86,7 +90,12 @@ def sampled_runs(b: np.ndarray, off: np.ndarray):
     a = a[start]
     second = mix64(Prefix(b).of(lo, hi + LENGTH) + (a - lo).astype(np.uint64) * C1 + (hi - lo).astype(np.uint64) * C2)
     text = np.searchsorted(off, lo, "right") - 1
-    return text, g[a], second, lo - off[text], hi - lo + 1
+    return text, g[a], second, lo - off[text], hi - lo + 1, a - lo
+
+
+def run_of(lo, n, at):
+    """A run in one number: its first window, its number of windows (under 128), the sample's offset from the first (under 128)."""
+    return (lo * 128 + n) * 128 + at
 
 
 def _sample(batches):
@@ -98,103 +107,125 @@ def _sample(batches):
                 for s in range(0, ends[j] - ends[i], PIECE):
                     b = data[ends[i] + s : min(ends[j], ends[i] + s + PIECE + LENGTH - 1)]
                     if r := sampled_runs(b, np.array([0, len(b)])):
-                        found.append((r[0] + i, r[1], r[2], r[3] + s, r[4]))
+                        found.append((r[0] + i, r[1], r[2], r[3] + s, *r[4:]))
             elif r := sampled_runs(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]):
                 found.append((r[0] + i, *r[1:]))
-        for text, name, second, lo, n in found:
+        for text, name, second, lo, n, at in found:
             row = pa.array(text)
-            cols = [pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(lo * 128 + n)]
+            cols = [pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run_of(lo, n, at))]
             yield pa.RecordBatch.from_arrays(cols, ["name", "second", "dk", "th", "run"])
 
 
 def _judge(batches):
-    """Of rows sorted by name, second name and place: runs that repeat (run * 2)
-    and runs that other runs of their name may overlap (run * 2 + 1). Of a run
-    that stands alone nothing is said. One row waits for its successor."""
+    """Of rows sorted by name, second name and place: runs that repeat, and (open)
+    runs that may share windows with others of their name. Of a run that stands
+    alone nothing is said. One row waits for its successor."""
     names = ("name", "second", "dk", "th", "run")
-    held = None  # (row, whether another second name came before)
+    held = None  # (row as a table, whether another second name came before, whether it is still to be judged)
     for batch in batches:
-        c = [batch.column(k).to_numpy() for k in names]
-        if not len(c[0]):
-            continue
+        t = pa.Table.from_batches([batch])
         if held is not None:
-            c = [np.r_[np.array([x], y.dtype), y] for x, y in zip(held[0], c, strict=True)]
-        n = len(c[0])
+            t = pa.concat_tables([held[0], t])
+        t = t.combine_chunks()
+        if not len(t):
+            continue
+        c = [t.column(k).to_numpy() for k in names]
+        n = len(t)
         as_name = np.r_[False, c[0][1:] == c[0][:-1]]
         as_second = as_name & np.r_[False, c[1][1:] == c[1][:-1]]
         copy = as_second & np.r_[False, (c[2][1:] == c[2][:-1]) & (c[3][1:] == c[3][:-1]) & (c[4][1:] == c[4][:-1])]
-        # By run of equal (name, second): its first row stands for it, unless it came in an earlier batch.
-        group = np.cumsum(~as_second) - 1
+        # Each stretch of equal (name, second) is stood for by its first row, unless that came in an earlier batch.
         first = np.flatnonzero(~as_second)
         other_before = as_name[first].copy()
         pending = np.ones(len(first), bool)
         if held is not None:
             other_before[0], pending[0] = held[1], held[2]
         other_after = np.r_[as_name[first[1:]], False]
-        repeat = as_second & ~copy
-        contested = pending & (other_before | other_after)
-        out = [np.r_[x[repeat], x[first[contested]]] for x in c[2:]]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(np.r_[out[2][: repeat.sum()] * 2, out[2][repeat.sum() :] * 2 + 1])], ["dk", "th", "run"])
-        # The last run goes on in the next batch, with its first row if that is still to be judged.
+        repeat = np.flatnonzero(as_second & ~copy)
+        contested = first[pending & (other_before | other_after)]
+        rows = t.take(pa.array(np.r_[repeat, contested]))
+        is_open = np.r_[np.zeros(len(repeat), bool), np.ones(len(contested), bool)]
+        cols = [rows.column(k).combine_chunks() for k in names[2:]]
+        if "body" in t.column_names:
+            body = rows.column("body").combine_chunks()
+            cols.append(pc.if_else(pa.array(is_open), body, pa.scalar(None, body.type)))
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(is_open)], [*names[2:], *(["body"] if "body" in t.column_names else []), "open"])
+        # The last stretch goes on in the next batch, with its first row if that is still to be judged.
         last = len(first) - 1
         waits = bool(pending[last] and not other_before[last])
-        row = first[last] if waits else n - 1
-        held = ([x[row] for x in c], bool(other_before[last]), waits)
+        held = (t.slice(first[last] if waits else n - 1, 1), bool(other_before[last]), waits)
 
 
-def _written_out(batches):
-    """(h1, h2, dk, th, p) of each window of the runs that may overlap."""
+def _blocks(batches):
+    """Blocks of the open runs of texts, with the bytes that their windows cover."""
     for batch in batches:
         data, ends = text_bytes(batch.column("text"))
         lists = batch.column("runs")
-        at = lists.offsets.to_numpy()
-        values = lists.values.to_numpy()
-        out = []
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        out, bodies = [], []
         for i in range(len(batch)):
             r = values[at[i] : at[i + 1]]
-            r = r[r & 1 == 1] >> 1
             if not len(r):
                 continue
-            b = data[ends[i] : ends[i + 1]]
-            lo, n = r >> 7, r & 127
-            p = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            # Only the stretches needed are hashed: long texts with few runs cost little.
-            p.sort()
-            base, stop = p[0], p[-1] + LENGTH
-            b = b[base:stop]
-            q = p - base
-            g = triples(b)
-            x = g[q].copy()
-            for k in range(TRIPLE, LENGTH, TRIPLE):
-                x = (x ^ (x >> np.uint64(31))) * C1 + g[np.minimum(q + k, q + LENGTH - TRIPLE)]
-            out.append((np.full(len(p), i), Prefix(b).of(q, q + LENGTH), mix64(x), p))
+            lo, n, off = r >> 14, (r >> 7) & 127, r & 127
+            a, hi = lo + off, lo + n - 1
+            # Only the stretch needed is hashed: a long text with few runs costs little.
+            base = lo.min()
+            b = data[ends[i] + base : ends[i] + min(ends[i + 1] - ends[i], hi.max() + LENGTH + BLOCK)]
+            p = Prefix(b)
+            for j in range(SPREAD // BLOCK + 1):
+                top = a - BLOCK * j  # the block's last window, at the most
+                s, e = np.maximum(lo, top - BLOCK + 1), np.minimum(hi, top)
+                k = np.flatnonzero(s <= e)
+                if not len(k):
+                    continue
+                s, e, top = s[k], e[k], top[k]
+                name = mix64(p.of(top - base, top - BLOCK + 1 + LENGTH - base) + np.full(1, j, np.uint64) * C1)
+                second = mix64(p.of(s - base, e + LENGTH - base) + (top - s).astype(np.uint64) * C1 + (e - s).astype(np.uint64) * C2)
+                out.append((np.full(len(k), i), name, second, run_of(s, e - s + 1, 0)))
+                bodies += [b[x:y].tobytes() for x, y in zip((s - base).tolist(), (e + LENGTH - base).tolist(), strict=True)]
         if out:
-            row, h1, h2, p = (np.concatenate(x) for x in zip(*out, strict=True))
+            row, name, second, run = (np.concatenate(x) for x in zip(*out, strict=True))
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(p)], ["h1", "h2", "dk", "th", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run), pa.array(bodies, pa.binary())], ["name", "second", "dk", "th", "run", "body"])
+
+
+def _windows(batches):
+    """Single windows of open blocks."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        data, ends = text_bytes(batch.column("body"))
+        run = batch.column("run").to_numpy()
+        lo, n = run >> 14, (run >> 7) & 127
+        row = np.repeat(np.arange(len(run)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        p = ends[row] + k - ends[0]
+        b = data[ends[0] : ends[-1]]
+        half = LENGTH // 2
+        x = Prefix(b)
+        name, second = x.of(p, p + LENGTH), mix64(x.of(p, p + half) * C1 + mix64(x.of(p + half, p + LENGTH)))
+        row = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run_of(lo.repeat(n) + k, 1, 0))], ["name", "second", "dk", "th", "run"])
 
 
 def _cut(batches):
     """Texts without their repeats: the kept bytes, and the removed runs as [start, end) pairs."""
     for batch in batches:
         data, ends = text_bytes(batch.column("text"))
-        lists, firsts = batch.column("runs"), batch.column("firsts")
+        lists = batch.column("runs")
         ra, rv = lists.offsets.to_numpy(), lists.values.to_numpy()
-        fa, fv = firsts.offsets.to_numpy(), firsts.values.to_numpy()
         kept, spans = [], []
         for i in range(len(batch)):
             b = data[ends[i] : ends[i + 1]]
             r = rv[ra[i] : ra[i + 1]]
             cut = np.empty(0, np.int64)
             if len(r):
-                r = np.unique(r) >> 1
-                lo, n = r >> 7, r & 127
+                lo, n = r >> 14, (r >> 7) & 127
                 step = np.zeros(len(b) + 1, np.int32)
                 step += np.bincount(lo, minlength=len(b) + 1)[: len(b) + 1].astype(np.int32)
                 step -= np.bincount(lo + n, minlength=len(b) + 1)[: len(b) + 1].astype(np.int32)
-                again = np.cumsum(step[:-1]) > 0
-                again[fv[fa[i] : fa[i + 1]]] = False
-                p = np.flatnonzero(again)
+                p = np.flatnonzero(np.cumsum(step[:-1]) > 0)
                 if len(p):
                     new = np.flatnonzero(np.r_[True, p[1:] > p[:-1] + LENGTH])
                     cut = np.stack([p[new], p[np.r_[new[1:], len(p)] - 1] + LENGTH], 1).ravel()
@@ -208,6 +239,10 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(ends)), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["id", "n_bytes", "kept", "removed"])
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("name").sortWithinPartitions("name", "second", "dk", "th", "run")
+
+
 def cut_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     """(id, n_bytes, kept, removed) of each row: the bytes that stay, and the
     removed runs as a flat array of starts and ends.
@@ -219,18 +254,19 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     """
     d = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("th", F.hash("text"))
-    sampled = d.select("dk", "th", "text").mapInArrow(_sample, "name long, second long, dk long, th int, run long")
-    in_order = sampled.repartition("name").sortWithinPartitions("name", "second", "dk", "th", "run")
-    judged = in_order.mapInArrow(_judge, "dk long, th int, run long")
-    # A document's list is as long as the document at most.
-    by_doc = checkpointed(judged.groupBy("dk", "th").agg(F.collect_list("run").alias("runs"), F.max(F.col("run") % 2).alias("some")))
-    key = ["dk", "th"]
-    text = d.join(by_doc.where("some = 1").hint("merge"), key, "inner").select("dk", "th", "text", "runs")
-    windows = text.mapInArrow(_written_out, "h1 long, h2 long, dk long, th int, p long")
-    least = windows.groupBy("h1", "h2").agg(F.min(F.struct("dk", "th", "p")).alias("x"))
-    firsts = checkpointed(least.groupBy(F.col("x.dk").alias("dk"), F.col("x.th").alias("th")).agg(F.collect_list("x.p").alias("firsts")))
-    plan = by_doc.join(firsts, key, "left").select("dk", "th", "runs", F.coalesce("firsts", F.array().cast("array<long>")).alias("firsts"))
-    whole = d.join(plan.hint("merge"), key, "left").select("id", "text", *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("runs", "firsts")])
+    place = "dk long, th int, run long"
+    sampled = d.select("dk", "th", "text").mapInArrow(_sample, f"name long, second long, {place}")
+    # Of a document as many runs as it has bytes at most.
+    runs_ = checkpointed(_sorted(sampled).mapInArrow(_judge, f"{place}, open boolean").groupBy("dk", "th").agg(F.collect_list(F.when(~F.col("open"), F.col("run"))).alias("cut"), F.collect_list(F.when(F.col("open"), F.col("run"))).alias("runs")))
+    open_ = d.join(runs_.where(F.size("runs") > 0).select("dk", "th", "runs").hint("merge"), ["dk", "th"]).select("dk", "th", "text", "runs")
+    blocks = open_.mapInArrow(_blocks, f"name long, second long, {place}, body binary")
+    blocks = checkpointed(_sorted(blocks).mapInArrow(_judge, f"{place}, body binary, open boolean"))
+    windows = blocks.where("open").mapInArrow(_windows, f"name long, second long, {place}")
+    windows = _sorted(windows).mapInArrow(_judge, f"{place}, open boolean")
+    late = blocks.where("not open").select("dk", "th", "run").unionByName(windows.where("not open").select("dk", "th", "run")).groupBy("dk", "th").agg(F.collect_list("run").alias("late"))
+    none = F.array().cast("array<long>")
+    plan = runs_.select("dk", "th", "cut").join(late, ["dk", "th"], "left").select("dk", "th", F.concat("cut", F.coalesce("late", none)).alias("runs"))
+    whole = d.join(plan.hint("merge"), ["dk", "th"], "left").select("id", "text", F.coalesce("runs", none).alias("runs"))
     return whole.mapInArrow(_cut, "id long, n_bytes long, kept binary, removed array<long>").withColumnRenamed("id", id)
 
 

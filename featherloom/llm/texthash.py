@@ -23,10 +23,10 @@ RUN = 1 << 19
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and n + 1 offsets; null is empty."""
-    column = column.cast(pa.large_string())
+    """UTF-8 bytes of a string or binary column and n + 1 offsets; null is empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), ends
