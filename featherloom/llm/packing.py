@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
 from .common import number_rows, table, word_count
 
 BUCKETS, BUDGET = 8, 16_384
@@ -64,7 +65,8 @@ def pack(rows: DataFrame, length: str, order: list[str], buckets: int = BUCKETS,
     bucket that costs nothing to pad, with at most ``budget`` rows a batch.
     Repeated rows are packed each. An empty table gives an empty result.
     """
-    rows = rows.withColumn(length, F.coalesce(F.col(length), F.lit(0)).cast("long"))
+    # Read three times: for the histogram, for the numbering's counts and for its rows.
+    rows = checkpointed(rows.withColumn(length, F.coalesce(F.col(length), F.lit(0)).cast("long")))
     step = F.when(F.col(length) < 2**BITS, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col(length).cast("double") + 0.5)) - (BITS - 1)).cast("long"))
     rounded = (F.ceil(F.col(length) / step) * step).cast("long")
     # At most 2 ** BITS + 2 ** (BITS - 1) * 48 rows reach the driver, by the rounding above.
