@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
 from .common import ascii_lower, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -71,23 +72,20 @@ def _strength(level: DataFrame, parent: str, name: str) -> DataFrame:
     return spread.join(F.broadcast(room)).select(fitted.alias(name))
 
 
-def reputation(outcomes: DataFrame, platforms=PLATFORMS, z: float = Z) -> DataFrame:
-    """Posterior of each host that has outcomes: host, n, k, mean, upper bound;
-    and of domains and suffixes for hosts without.
+def reputation(hosts: DataFrame, platforms=PLATFORMS, z: float = Z) -> DataFrame:
+    """(host, upper): the upper posterior bound of each host with outcomes.
 
-    ``outcomes`` has host and good (0 or 1); null outcomes are left out. Returns
-    (level, name, mean, strength of hosts under it, upper).
+    ``hosts`` has host, n (outcomes) and k (good ones), one row a host.
     """
     suffix, domain = domains(F.col("host"), platforms)
-    hosts = outcomes.where(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
-    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
-    by_domain = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
-    whole = by_suffix.agg(F.sum("k").alias("k0"), F.sum("n").alias("n0")).select((F.coalesce(F.col("k0"), F.lit(0)) + 1).alias("k0"), (F.coalesce(F.col("n0"), F.lit(0)) + 2).alias("n0"))
-    fits = whole.join(F.broadcast(_strength(by_suffix, "all", "s_suffix"))).join(F.broadcast(_strength(by_domain, "suffix", "s_domain"))).join(F.broadcast(_strength(hosts, "domain", "s_host")))
-    fits = fits.select((F.col("k0") / F.col("n0")).alias("m0"), "s_suffix", "s_domain", "s_host")
-    shrunk = lambda s, m: (F.col("k") + F.col(s) * F.col(m)) / (F.col("n") + F.col(s))
+    hosts = hosts.where("n > 0").select("host", "n", "k", suffix.alias("suffix"), domain.alias("domain"))
+    by_domain = checkpointed(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    by_suffix = checkpointed(by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1)))
+    whole = by_suffix.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
+    # One row each: the prior mean of all, and the strengths of the three levels.
+    fits = checkpointed(whole.join(F.broadcast(_strength(by_suffix, "all", "s_suffix"))).join(F.broadcast(_strength(by_domain, "suffix", "s_domain"))).join(F.broadcast(_strength(hosts, "domain", "s_host"))))
     fits = F.broadcast(fits)
+    shrunk = lambda s, m: (F.col("k") + F.col(s) * F.col(m)) / (F.col("n") + F.col(s))
     m_suffix = by_suffix.join(fits).select("suffix", shrunk("s_suffix", "m0").alias("m_suffix"))
     m_domain = by_domain.join(fits).join(m_suffix, "suffix").select("domain", shrunk("s_domain", "m_suffix").alias("m_domain"))
     posterior = hosts.join(fits).join(m_domain, "domain").select("host", shrunk("s_host", "m_domain").alias("m"), (F.col("n") + F.col("s_host")).alias("w"))
@@ -103,12 +101,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float =
     """
     host, path = split_url(F.col("url"))
     read = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
-    rated = reputation(read.join(outcomes, "page_id").select("host", "good"))
-    rows = read.groupBy("host").agg(F.count("*").alias("rows"))
-    total = rows.agg(F.sum("rows").alias("total"))
-    heavy = rows.join(F.broadcast(total)).where(F.col("rows") >= HEAVY * F.col("total")).select("host")
+    judged = read.join(outcomes, "page_id", "left")
+    hosts = checkpointed(judged.groupBy("host").agg(F.count("*").alias("rows"), F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("k")))
+    rated = checkpointed(hosts.select("host", "rows").join(reputation(hosts), "host", "left"))
+    total = rated.agg(F.sum("rows").alias("total"))
+    heavy = rated.join(F.broadcast(total)).where(F.col("rows") >= HEAVY * F.col("total"))
     # Heavy hosts: at most 1 / HEAVY of them. The others go by a shuffle in which no host is large.
-    top = heavy.join(rated, "host", "left").select(F.col("host").alias("h1"), F.col("upper").alias("u1"), F.lit(True).alias("is_heavy"))
+    top = heavy.select(F.col("host").alias("h1"), F.col("upper").alias("u1"), F.lit(True).alias("is_heavy"))
     rest = rated.select(F.col("host").alias("h2"), F.col("upper").alias("u2"))
     key = F.when(F.col("is_heavy"), F.concat(F.lit("/"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("host"))
     joined = read.join(F.broadcast(top), F.col("host") == F.col("h1"), "left").withColumn("key", key).join(rest, F.col("key") == F.col("h2"), "left")
