@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import chat, minhash, mixing, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -16,8 +16,9 @@ def queries():
         "op7_pivotal_mix": mixing.op7,
         "op8_lexicon_automata": toxicity.op8,
         "op9_ngram_ratio": quality.op9,
+        "op10_anisotropic_search": neighbours.op10,
     }
 
 
 def oracle_sql():
-    return {"op1_url_reputation": url_filter.op1_sql(), "op2_minhash_dedup": minhash.op2_sql(), "op4_chat_prefixes": chat.op4_sql(), "op5_suffix_dedup": suffix_dedup.op5_sql()}
+    return {"op1_url_reputation": url_filter.op1_sql(), "op2_minhash_dedup": minhash.op2_sql(), "op4_chat_prefixes": chat.op4_sql(), "op5_suffix_dedup": suffix_dedup.op5_sql(), "op10_anisotropic_search": neighbours.op10_sql()}
