@@ -149,10 +149,11 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _buckets(own: DataFrame) -> DataFrame:
-    """(key, node, n) of each band of a class that another class shares."""
+    """(key, node, n, first, least) of each band of a class that another class
+    shares: the bucket's smallest node, and its smallest set."""
     rows = own.select("node", "n", F.explode("bands").alias("key"))
-    shared = checkpointed(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
-    return checkpointed(join_by_key(rows, shared, ["key"], "rows").select("key", "node", "n"))
+    shared = checkpointed(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("first"), F.min("n").alias("least")).where("rows > 1"))
+    return checkpointed(join_by_key(rows, shared, ["key"], "rows").select("key", "node", "n", "first", "least"))
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
@@ -163,8 +164,7 @@ def _hubs(rows: DataFrame) -> DataFrame:
 
 def _shared_shingles(inside: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(node, n, s): how many shingles of a class occur in another of its family."""
-    members = checkpointed(inside.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("rows")))
-    edges = join_by_key(inside, members, ["key"], "rows").select("a", F.col("node").alias("b")).distinct()
+    edges = inside.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     family = connected_components(edges, "a", "b").select("node", F.col("component").alias("family"))
     rows = texts.join(family.hint("merge"), "node").select("family", "node", "text").mapInArrow(_shingle_rows(width), "family long, shingle long, node long")
     lone = rows.groupBy("family", "shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("u"))
@@ -178,9 +178,8 @@ def _all_links(own: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
     inside = _buckets(own)
     texts = checkpointed(docs.join(inside.select("node").distinct().hint("merge"), "node", "left_semi"))
     shared = _shared_shingles(inside, texts, width)
-    least = inside.groupBy("key").agg(F.min("n").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    rows = inside.join(shared, "node").join(least, "key").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "node", "n", "s")
+    rows = inside.join(shared, "node").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "node", "n", "s")
     rows = checkpointed(rows)
     hubs = checkpointed(_hubs(rows).where("rows > 1"))
     rows = checkpointed(join_by_key(rows, hubs, ["key"], "rows").where("node <> a"))
