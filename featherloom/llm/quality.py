@@ -22,7 +22,6 @@ THRESHOLD = -0.1
 #: The trusted multinomial is counted on so many trusted documents at most, those whose ids hash lowest.
 TRUSTED = 20_000
 PUNCT = "\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E"
-TOKEN = f"[^\\x00-\\x20{PUNCT}\\x7F]+|[{PUNCT}]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -63,7 +62,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def with_buckets(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Adds _uni and _bi: buckets of the unigrams and bigrams of ``text``."""
-    d = docs.withColumn("_tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)))
+    d = docs.withColumn("_tok", words(F.regexp_replace(F.coalesce("text", F.lit("")), f"([{PUNCT}]+)", " $1 ")))
     d = d.withColumn("_h", F.expr("transform(_tok, x -> xxhash64(x))"))
     return d.withColumn("_uni", F.expr(f"transform(_h, x -> cast(pmod(x, {buckets}) AS INT))")).withColumn("_bi", F.expr(f"transform(_h, (x, i) -> CASE WHEN i > 0 THEN cast(pmod(xxhash64(get(_h, i - 1), x), {buckets}) AS INT) END)"))
 
