@@ -20,7 +20,8 @@ is cut at that depth:
    then by all their bytes; what is still open is cut into single windows, and
    these are merged in sorted order: of equal neighbours the first stays.
 
-Names are 64-bit fingerprints, two of which make the identity of a suffix.
+Names are fingerprints of 64 bits, second names of 32 more; both together make
+the identity of a suffix.
 No step holds a group in memory: names are streamed in sorted order, and one
 row waits for its successor.
 """
@@ -98,6 +99,26 @@ def run_of(lo, n, at):
     return (lo * 128 + n) * 128 + at
 
 
+def _rows(name, second, dk, th, run, again=None) -> pa.RecordBatch:
+    """Rows for the sort by names. Of rows with equal names in a batch only the
+    first can stand for them: the others, and those given as ``again``, are
+    known repeats. They go along under a name of their document, with run < 0,
+    so that no name is heavier than the number of batches that hold it."""
+    sure = np.zeros(len(run), bool) if again is None else again.copy()
+    second = second >> np.uint64(32)
+    key = mix64(name + second * C1) if len(name) else name
+    order = np.argsort(key, kind="stable")
+    same = np.r_[False, key[order[1:]] == key[order[:-1]]] if len(key) else np.empty(0, bool)
+    i = order[same | np.r_[same[1:], False]] if len(key) else order
+    i = i[~sure[i]]
+    i = i[np.lexsort((run[i], th[i], dk[i], second[i], name[i]))]
+    sure[i[1:][(name[i[1:]] == name[i[:-1]]) & (second[i[1:]] == second[i[:-1]])]] = True
+    # A document's known repeats share a name, so they lie together and compress.
+    name = np.where(sure, mix64(dk.view(np.uint64)) if len(run) else name, name)
+    second = np.where(sure, np.uint64(0), second)
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), pa.array(dk), pa.array(th), pa.array(np.where(sure, -run - 1, run))], ["name", "second", "dk", "th", "run"])
+
+
 def _sample(batches):
     for batch in batches:
         data, ends = text_bytes(batch.column("text"))
@@ -110,10 +131,9 @@ def _sample(batches):
                         found.append((r[0] + i, r[1], r[2], r[3] + s, *r[4:]))
             elif r := sampled_runs(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]):
                 found.append((r[0] + i, *r[1:]))
-        for text, name, second, lo, n, at in found:
-            row = pa.array(text)
-            cols = [pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run_of(lo, n, at))]
-            yield pa.RecordBatch.from_arrays(cols, ["name", "second", "dk", "th", "run"])
+        if found:
+            text, name, second, lo, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield _rows(name, second, batch.column("dk").to_numpy()[text], batch.column("th").to_numpy()[text], run_of(lo, n, at))
 
 
 def _judge(batches):
@@ -141,11 +161,13 @@ def _judge(batches):
         if held is not None:
             other_before[0], pending[0] = held[1], held[2]
         other_after = np.r_[as_name[first[1:]], False]
-        repeat = np.flatnonzero(as_second & ~copy)
-        contested = first[pending & (other_before | other_after)]
+        sure = c[4] < 0
+        repeat = np.flatnonzero((as_second & ~copy) | sure)
+        contested = first[pending & (other_before | other_after) & ~sure[first]]
         rows = t.take(pa.array(np.r_[repeat, contested]))
         is_open = np.r_[np.zeros(len(repeat), bool), np.ones(len(contested), bool)]
-        cols = [rows.column(k).combine_chunks() for k in names[2:]]
+        run = rows.column("run").to_numpy()
+        cols = [*(rows.column(k).combine_chunks() for k in names[2:4]), pa.array(np.where(run < 0, -run - 1, run))]
         if "body" in t.column_names:
             body = rows.column("body").combine_chunks()
             cols.append(pc.if_else(pa.array(is_open), body, pa.scalar(None, body.type)))
@@ -187,14 +209,16 @@ def _blocks(batches):
         if out:
             row, name, second, run = (np.concatenate(x) for x in zip(*out, strict=True))
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run), pa.array(bodies, pa.binary())], ["name", "second", "dk", "th", "run", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((second >> np.uint64(32)).view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run), pa.array(bodies, pa.binary())], ["name", "second", "dk", "th", "run", "body"])
 
 
 def _windows(batches):
-    """Single windows of open blocks."""
+    """Single windows of open blocks; other rows go along as known repeats."""
     for batch in batches:
         if not len(batch):
             continue
+        is_open = batch.column("open").to_numpy(zero_copy_only=False)
+        done, batch = batch.filter(pa.array(~is_open)), batch.filter(pa.array(is_open))
         data, ends = text_bytes(batch.column("body"))
         run = batch.column("run").to_numpy()
         lo, n = run >> 14, (run >> 7) & 127
@@ -205,13 +229,15 @@ def _windows(batches):
         half = LENGTH // 2
         x = Prefix(b)
         name, second = x.of(p, p + LENGTH), mix64(x.of(p, p + half) * C1 + mix64(x.of(p + half, p + LENGTH)))
-        row = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run_of(lo.repeat(n) + k, 1, 0))], ["name", "second", "dk", "th", "run"])
+        cols = [np.r_[batch.column(c).to_numpy()[row], done.column(c).to_numpy()] for c in ("dk", "th")]
+        extra = np.zeros(len(done), np.uint64)
+        yield _rows(np.r_[name, extra], np.r_[second, extra], *cols, np.r_[run_of(lo.repeat(n) + k, 1, 0), done.column("run").to_numpy()], np.r_[np.zeros(len(row), bool), np.ones(len(done), bool)])
 
 
 def _cut(batches):
-    """Texts without their repeats: the kept bytes, and the removed runs as [start, end) pairs."""
+    """Texts without their repeats: the kept bytes, the removed runs as [start, end) pairs, and all other columns."""
     for batch in batches:
+        others = [k for k in batch.schema.names if k not in ("text", "runs")]
         data, ends = text_bytes(batch.column("text"))
         lists = batch.column("runs")
         ra, rv = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -236,38 +262,57 @@ def _cut(batches):
             kept.append(b.tobytes())
         sizes = np.r_[0, np.cumsum([len(x) for x in spans])].astype(np.int32)
         flat = pa.array(np.concatenate(spans) if spans else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(ends)), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["id", "n_bytes", "kept", "removed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), pa.array(np.diff(ends)), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), flat)], [*others, "n_bytes", "kept", "removed"])
+
+
+def _decoded(batches):
+    """Kept bytes as text, without what is left of characters that lost bytes."""
+    for batch in batches:
+        text = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if k == "kept" else batch.column(k) for k in batch.schema.names], ["text" if k == "kept" else k for k in batch.schema.names])
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("name").sortWithinPartitions("name", "second", "dk", "th", "run")
 
 
-def cut_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
+def cut_repeats(docs: DataFrame, id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, kept, removed) of each row: the bytes that stay, and the
-    removed runs as a flat array of starts and ends.
+    removed runs as a flat array of starts and ends. The columns named in
+    ``carry`` come along; they are not called text, runs, n_bytes, kept or removed.
 
     Null and empty texts keep nothing and lose nothing, nor do texts under
     LENGTH bytes. A null id comes before all others. Rows equal in id and text
     are one document, each returned; other texts of one id count as documents
-    of their own, in the order of a hash. Other columns are ignored.
+    of their own, in the order of a hash.
     """
-    d = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("dk"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    along = [f"carry_{i}" for i in range(len(carry))]
     d = d.withColumn("th", F.hash("text"))
     place = "dk long, th int, run long"
     sampled = d.select("dk", "th", "text").mapInArrow(_sample, f"name long, second long, {place}")
     # Of a document as many runs as it has bytes at most.
     runs_ = checkpointed(_sorted(sampled).mapInArrow(_judge, f"{place}, open boolean").groupBy("dk", "th").agg(F.collect_list(F.when(~F.col("open"), F.col("run"))).alias("cut"), F.collect_list(F.when(F.col("open"), F.col("run"))).alias("runs")))
-    open_ = d.join(runs_.where(F.size("runs") > 0).select("dk", "th", "runs").hint("merge"), ["dk", "th"]).select("dk", "th", "text", "runs")
-    blocks = open_.mapInArrow(_blocks, f"name long, second long, {place}, body binary")
-    blocks = checkpointed(_sorted(blocks).mapInArrow(_judge, f"{place}, body binary, open boolean"))
-    windows = blocks.where("open").mapInArrow(_windows, f"name long, second long, {place}")
-    windows = _sorted(windows).mapInArrow(_judge, f"{place}, open boolean")
-    late = blocks.where("not open").select("dk", "th", "run").unionByName(windows.where("not open").select("dk", "th", "run")).groupBy("dk", "th").agg(F.collect_list("run").alias("late"))
+    # Both joins deal the texts out alike, in one query, so that they share one shuffle.
     none = F.array().cast("array<long>")
+    open_ = d.join(runs_.where(F.size("runs") > 0).select("dk", "th", "runs").hint("merge"), ["dk", "th"]).select("dk", "th", "text", "runs", *along)
+    blocks = _sorted(open_.mapInArrow(_blocks, f"name long, second long, {place}, body binary")).mapInArrow(_judge, f"{place}, body binary, open boolean")
+    windows = _sorted(blocks.mapInArrow(_windows, f"name long, second long, {place}")).mapInArrow(_judge, f"{place}, open boolean")
+    late = windows.where("not open").groupBy("dk", "th").agg(F.collect_list("run").alias("late"))
     plan = runs_.select("dk", "th", "cut").join(late, ["dk", "th"], "left").select("dk", "th", F.concat("cut", F.coalesce("late", none)).alias("runs"))
-    whole = d.join(plan.hint("merge"), ["dk", "th"], "left").select("id", "text", F.coalesce("runs", none).alias("runs"))
-    return whole.mapInArrow(_cut, "id long, n_bytes long, kept binary, removed array<long>").withColumnRenamed("id", id)
+    whole = d.join(plan.hint("merge"), ["dk", "th"], "left").select(F.when(F.col("dk") != NO_ID, F.col("dk")).alias("id"), "text", F.coalesce("runs", none).alias("runs"), *along)
+    kinds = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(along, carry, strict=True))
+    out = whole.mapInArrow(_cut, f"id long{kinds}, n_bytes long, kept binary, removed array<long>")
+    return out.select(F.col("id").alias(id), *[F.col(a).alias(c) for a, c in zip(along, carry, strict=True)], "n_bytes", "kept", "removed")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, others) with what cut_repeats keeps as text.
+    Documents of which nothing is left stay, with an empty text."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = cut_repeats(docs, "doc_id", others).select("doc_id", *others, "kept")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return cut.mapInArrow(_decoded, f"doc_id long{kinds}, text string").select(*docs.columns)
 
 
 def op5(spark, sf_dir):
