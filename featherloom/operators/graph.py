@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..plans.lineage import checkpointed
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each larger node u has one edge, to a node v that has none itself."""
+    twice = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    return twice.unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")).isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component) of each node that has an edge: the component is named
     after its smallest node. Self-loops and repeated edges change nothing.
@@ -19,19 +25,58 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     loops = pairs.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     e = checkpointed(pairs.where("u > v").distinct())
-    seen = None
-    while True:
+    while not _is_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if now == seen:
-            break
-        seen = now
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     found = stars.unionByName(roots).distinct()
     return found.unionByName(loops.join(found, "node", "left_anti"))
+
+
+def threshold_edges(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst) of the pairs from the threshold on."""
+    return pairs.where(F.col("score") >= threshold).select(F.col("f1").alias("src"), F.col("f2").alias("dst"))
+
+
+def density(pairs: DataFrame, n: int, thresholds) -> DataFrame:
+    """(threshold, edges, density) of the graphs over n features, in one scan of the pairs."""
+    one = pairs.agg(*[F.count_if(F.col("score") >= t).alias(f"e{i}") for i, t in enumerate(thresholds)])
+    rows = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"e{i}").alias("edges"), F.try_divide(F.col(f"e{i}").cast("double"), F.lit(n * (n - 1) / 2)).alias("density")) for i, t in enumerate(thresholds)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def components_of(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, component) of all features, those without an edge on their own."""
+    found = connected_components(edges).withColumnRenamed("node", "feature")
+    return features.select("feature").join(found, "feature", "left").select("feature", F.coalesce("component", "feature").alias("component"))
+
+
+def component_report(components: DataFrame, small: int = 7) -> DataFrame:
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.count_if(F.col("size") <= small).alias("small_components"))
+
+
+def sparsified(matrix: DataFrame, threshold: float) -> DataFrame:
+    """Off-diagonal entries from the threshold on; all others are 0 and left out."""
+    return matrix.where((F.col("f1") != F.col("f2")) & (F.col("score") >= threshold))
+
+
+def neighbour_counts(features: DataFrame, profiles: DataFrame) -> DataFrame:
+    n = profiles.where("score > 0").groupBy(F.col("f1").alias("feature")).agg(F.count("*").alias("n"))
+    return features.select("feature").join(n, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n_neighbours"))
+
+
+def cosine_similarity(profiles: DataFrame) -> DataFrame:
+    """(f1, f2, score) of f1 < f2: cosine of the rows of (f1, f2, score), clipped
+    to [0, 1]; 0 for a row of zeros. Rows meet on shared columns only."""
+    a = profiles.select(F.col("f1"), F.col("f2").alias("c"), F.col("score").alias("x"))
+    b = profiles.select(F.col("f1").alias("f2"), F.col("f2").alias("c"), F.col("score").alias("y"))
+    dots = a.join(b, "c").where("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    norms = profiles.groupBy("f1").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+    both = dots.join(norms.withColumnRenamed("norm", "n1"), "f1").join(norms.select(F.col("f1").alias("f2"), F.col("norm").alias("n2")), "f2")
+    return both.select("f1", "f2", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("dot"), F.col("n1") * F.col("n2")), F.lit(0.0)))).alias("score"))
