@@ -187,8 +187,8 @@ def _all_links(own: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
     tried = checkpointed(spoken.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     links = checkpointed(_links(tried, texts, width, percent))
     left, n_reps = rows.where("rows > 2").select("key", "node", "n", "s"), None
+    comp = checkpointed(_components(reps, links))
     while True:
-        comp = checkpointed(_components(reps, links))
         named = left.join(comp, "node")
         counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = checkpointed(counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("comps > 1"))
@@ -208,9 +208,12 @@ def _all_links(own: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
             more = spoken.where((F.col("comp") != F.col("comp_a")) & _possible("n", "s", "na", "sa", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
             left = spoken.select("key", "node", "n", "s")
         more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        links = checkpointed(links.unionByName(_links(more, texts, width, percent)))
+        new = checkpointed(_links(more, texts, width, percent))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comp = checkpointed(_components(reps, links))
         if last:
-            return checkpointed(_components(reps, links))
+            return comp
         tried = checkpointed(tried.unionByName(more))
 
 

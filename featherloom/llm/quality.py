@@ -60,18 +60,19 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def with_buckets(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds _uni and _bi: buckets of the unigrams and bigrams of ``text``."""
+def with_ngrams(docs: DataFrame) -> DataFrame:
+    """Adds _uni and _bi: hashes of the unigrams and bigrams of ``text``; the first of _bi is null."""
     d = docs.withColumn("_tok", words(F.regexp_replace(F.coalesce("text", F.lit("")), f"([{PUNCT}]+)", " $1 ")))
-    d = d.withColumn("_h", F.expr("transform(_tok, x -> xxhash64(x))"))
-    return d.withColumn("_uni", F.expr(f"transform(_h, x -> cast(pmod(x, {buckets}) AS INT))")).withColumn("_bi", F.expr(f"transform(_h, (x, i) -> CASE WHEN i > 0 THEN cast(pmod(xxhash64(get(_h, i - 1), x), {buckets}) AS INT) END)"))
+    d = d.withColumn("_uni", F.transform("_tok", lambda x: F.xxhash64(x)))
+    return d.withColumn("_bi", F.expr("transform(_uni, (x, i) -> CASE WHEN i > 0 THEN xxhash64(get(_uni, i - 1), x) END)")).drop("_tok")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(bucket, ratio) of every bucket, times SCALE: log((own + prior) / (all * share + prior)),
     share being that of the trusted n-grams in all."""
     mark = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left")
-    each = with_buckets(mark, buckets).select("_trusted", F.explode(F.concat("_uni", F.array_compact("_bi"))).alias("bucket"))
+    each = with_ngrams(mark).select("_trusted", F.explode(F.concat("_uni", "_bi")).alias("gram")).where(F.col("gram").isNotNull())
+    each = each.select("_trusted", F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
     n = each.groupBy("bucket").agg(F.count("*").alias("all"), F.count("_trusted").alias("own"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(n, "bucket", "left").select("bucket", F.coalesce("all", F.lit(0)).alias("all"), F.coalesce("own", F.lit(0)).alias("own"))
     whole = Window.partitionBy(F.lit(1))  # one row per bucket
@@ -96,11 +97,12 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     ratios = log_ratios(docs, trusted)
     # One array of BUCKETS whole numbers, whatever the input.
     array = ratios.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("x")).select(F.transform("x", lambda x: x["ratio"])).scalar()
-    d = with_buckets(base_rules(docs)).withColumn("_llr", array)
-    d = d.withColumn("_sum", F.expr("aggregate(_uni, 0L, (a, b) -> a + get(_llr, b)) + aggregate(_bi, 0L, (a, b) -> a + coalesce(get(_llr, b), 0))"))
+    d = with_ngrams(base_rules(docs)).withColumn("_llr", array)
+    looked_up = lambda grams: F.expr(f"aggregate({grams}, 0L, (a, x) -> a + coalesce(get(_llr, cast(pmod(x, {BUCKETS}) AS INT)), 0))")
+    d = d.withColumn("_sum", looked_up("_uni") + looked_up("_bi"))
     grams = F.greatest(F.lit(1), 2 * F.size("_uni") - 1)
     score = F.col("_sum") / grams / SCALE
-    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_tok", "_h", "_uni", "_bi", "_llr", "_sum")
+    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_uni", "_bi", "_llr", "_sum")
 
 
 def op9(spark, sf_dir):
