@@ -47,6 +47,8 @@ AT_BITS = np.uint64(24)
 AT = np.uint64(2**24 - 1)
 #: A longer text is read in pieces of so many windows; their runs may differ at the seams, which step 4 settles.
 PIECE = 1 << 22
+#: Rows that a task gathers before it passes them on.
+EMIT = 200_000
 C1, C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 NO_ID = -(2**63)
 
@@ -122,18 +124,27 @@ def _rows(name, second, dk, th, run, again=None) -> pa.RecordBatch:
 def _sample(batches):
     for batch in batches:
         data, ends = text_bytes(batch.column("text"))
-        found = []
+        found, held = [], 0
         for i, j in runs(ends):
+            if held > EMIT:
+                yield _placed(batch, found)
+                found, held = [], 0
             if ends[j] - ends[i] > PIECE:
                 for s in range(0, ends[j] - ends[i], PIECE):
                     b = data[ends[i] + s : min(ends[j], ends[i] + s + PIECE + LENGTH - 1)]
                     if r := sampled_runs(b, np.array([0, len(b)])):
                         found.append((r[0] + i, r[1], r[2], r[3] + s, *r[4:]))
+                        held += len(r[0])
             elif r := sampled_runs(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]):
                 found.append((r[0] + i, *r[1:]))
+                held += len(r[0])
         if found:
-            text, name, second, lo, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield _rows(name, second, batch.column("dk").to_numpy()[text], batch.column("th").to_numpy()[text], run_of(lo, n, at))
+            yield _placed(batch, found)
+
+
+def _placed(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    text, name, second, lo, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _rows(name, second, batch.column("dk").to_numpy()[text], batch.column("th").to_numpy()[text], run_of(lo, n, at))
 
 
 def _judge(batches):
@@ -187,6 +198,9 @@ def _blocks(batches):
         out, bodies = [], []
         for i in range(len(batch)):
             r = values[at[i] : at[i + 1]]
+            if len(bodies) > EMIT // 8:
+                yield _block_rows(batch, out, bodies)
+                out, bodies = [], []
             if not len(r):
                 continue
             lo, n, off = r >> 14, (r >> 7) & 127, r & 127
@@ -207,9 +221,13 @@ def _blocks(batches):
                 out.append((np.full(len(k), i), name, second, run_of(s, e - s + 1, 0)))
                 bodies += [b[x:y].tobytes() for x, y in zip((s - base).tolist(), (e + LENGTH - base).tolist(), strict=True)]
         if out:
-            row, name, second, run = (np.concatenate(x) for x in zip(*out, strict=True))
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((second >> np.uint64(32)).view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run), pa.array(bodies, pa.binary())], ["name", "second", "dk", "th", "run", "body"])
+            yield _block_rows(batch, out, bodies)
+
+
+def _block_rows(batch: pa.RecordBatch, out: list, bodies: list) -> pa.RecordBatch:
+    row, name, second, run = (np.concatenate(x) for x in zip(*out, strict=True))
+    row = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((second >> np.uint64(32)).view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run), pa.array(bodies, pa.binary())], ["name", "second", "dk", "th", "run", "body"])
 
 
 def _windows(batches):
@@ -296,8 +314,9 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", carry: tuple[str, ...] = ()
     # Both joins deal the texts out alike, in one query, so that they share one shuffle.
     none = F.array().cast("array<long>")
     open_ = d.join(runs_.where(F.size("runs") > 0).select("dk", "th", "runs").hint("merge"), ["dk", "th"]).select("dk", "th", "text", "runs", *along)
-    blocks = _sorted(open_.mapInArrow(_blocks, f"name long, second long, {place}, body binary")).mapInArrow(_judge, f"{place}, body binary, open boolean")
-    windows = _sorted(blocks.mapInArrow(_windows, f"name long, second long, {place}")).mapInArrow(_judge, f"{place}, open boolean")
+    blocks = _sorted(open_.mapInArrow(_blocks, f"name long, second long, {place}, body binary"))
+    windows = blocks.mapInArrow(lambda batches: _windows(_judge(batches)), f"name long, second long, {place}")
+    windows = _sorted(windows).mapInArrow(_judge, f"{place}, open boolean")
     late = windows.where("not open").groupBy("dk", "th").agg(F.collect_list("run").alias("late"))
     plan = runs_.select("dk", "th", "cut").join(late, ["dk", "th"], "left").select("dk", "th", F.concat("cut", F.coalesce("late", none)).alias("runs"))
     whole = d.join(plan.hint("merge"), ["dk", "th"], "left").select(F.when(F.col("dk") != NO_ID, F.col("dk")).alias("id"), "text", F.coalesce("runs", none).alias("runs"), *along)
