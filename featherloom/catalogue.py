@@ -1,19 +1,355 @@
-"""Queries over the driver's tables, and the SQL they agree with."""
+"""Queries over the driver's tables, and the SQL they agree with.
+
+Floating results are rounded to six decimals on both sides, and every top-k has
+a total order.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .functions import numeric as fn
+from .operators import blocks as bl
+from .operators import cluster as cl
+from .operators import dependency as dep
+from .operators import graph as gr
+from .operators import mask as mk
+from .operators import prepare as pp
+from .operators import profile as pr
+from .plans.lineage import checkpointed
+from .sources import sinks, tables
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+#: Features of the dependency queries, by their expression over lineitem.
+FEATURES = {
+    "quantity": "l_quantity",
+    "price": "l_extendedprice",
+    "discount": "l_discount",
+    "tax": "l_tax",
+    "disc_price": "l_extendedprice * (1 - l_discount)",
+    "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
+    "neg_price": "-l_extendedprice",
+    "tax_amt": "l_extendedprice * l_tax",
+}
+NAMES = list(FEATURES)
+BLOCKS = [(1, "price"), (1, "disc_price"), (1, "charge"), (1, "neg_price"), (2, "quantity"), (3, "discount"), (3, "tax"), (4, "tax_amt")]
+LABELINGS = {"x": [1, 2, 3, 3, 1, 1, 1, 4], "y": [1, 2, 3, 4, 1, 1, 5, 6], "z": [1, 2, 2, 2, 1, 1, 1, 1]}
+CANDIDATES = [(0.2, 15, 0.43, 3.73), (0.25, 20, 0.40, 3.88), (0.35, 19, 0.39, 3.84), (0.5, 18, 0.35, 2.92), (0.6, 18, 0.35, 2.80)]
+ARTIFACTS = {"l_extendedprice": 90000.0}
+TRIALS, RATIO = 200, 0.25
+COMPONENTS_AT = 0.6
+
+
+def _read(spark, d: str, name: str, columns=None) -> DataFrame:
+    return tables.read_parquet(spark, f"{d}/{name}.parquet", columns)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.round(f.name, 6) for f in df.schema if isinstance(f.dataType, DoubleType)})
+
+
+def _lineitem(spark, d):
+    return _read(spark, d, "lineitem", NUMERIC)
+
+
+def _features(spark, d):
+    return _lineitem(spark, d).select(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
+
+
+def _pairs(spark, d):
+    """Absolute correlations, rounded so that thresholds cut alike everywhere."""
+    return dep.correlations(_features(spark, d), NAMES).select("f1", "f2", F.round(F.abs("score"), 6).alias("score"))
+
+
+def _blocks(spark):
+    return spark.createDataFrame(BLOCKS, "block_id long, feature string")
+
+
+def _labelings(spark):
+    return spark.createDataFrame([(k, f, v) for k, vs in LABELINGS.items() for f, v in zip(NAMES, vs, strict=True)], "labeling string, feature string, label long")
+
+
+def _distances(spark, d):
+    return dep.to_distance(dep.symmetric(_pairs(spark, d), NAMES))
+
+
+def _trials(spark):
+    return tables.trials(spark, TRIALS)
+
+
+def _profile(spark, d):
+    return _rounded(pr.feature_profile(_lineitem(spark, d), NUMERIC).drop("n"))
+
+
+def _hygiene(spark, d):
+    docs = _read(spark, d, "documents", ["doc_id", "source", "n_chars"]).join(_read(spark, d, "labels"), "doc_id", "left")
+    return pp.drop_incomplete(docs)
+
+
+def _clean(spark, d):
+    t = _lineitem(spark, d)
+    c = pp.clean(t, NUMERIC, pp.medians(t, NUMERIC), ARTIFACTS, ["l_extendedprice", "l_quantity"])
+    return _rounded(c.agg(F.count("*").alias("n"), *[F.sum(x).alias(f"sum_{x}") for x in NUMERIC]).select("n", *[F.round(f"sum_{x}", 2).alias(f"sum_{x}") for x in NUMERIC]))
+
+
+def _scale(spark, d):
+    t = _lineitem(spark, d)
+    s = pp.scale(t, NUMERIC, pp.fit_robust_scaler(t, NUMERIC))
+    return _rounded(pr.moments(s, NUMERIC).select("feature", "minimum", "maximum", F.round("mean", 4).alias("mean")))
+
+
+def _split(spark, d):
+    return pp.key_hash_split(_read(spark, d, "events", ["event_id", "event_type"]), ["event_id"])
+
+
+def _mi(spark, d):
+    return dep.mutual_information(dep.joint_counts(dep.discretize(_features(spark, d), NAMES), NAMES))
+
+
+def _rho(spark, d):
+    return dep.spearman(_features(spark, d), NAMES)
+
+
+def _what_if(spark, d):
+    b = _blocks(spark)
+    both = b.withColumn("config", F.lit("as_is")).unionByName(bl.move_feature(b, "tax_amt", 3).withColumn("config", F.lit("moved")))
+    return _rounded(bl.separation(both, _pairs(spark, d), ["config"]))
+
+
+def _embedding_cosine(spark, d):
+    e = _read(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    centroid = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy(F.col("label").cast("string").alias("f1"), F.col("pos").cast("string").alias("f2")).agg(F.avg(F.col("x").cast("double")).alias("score"))
+    return _rounded(gr.cosine_similarity(centroid))
+
+
+def _names(spark):
+    return spark.createDataFrame([(n,) for n in NAMES], "feature string")
+
+
+def _components(spark, d):
+    return gr.components_of(_names(spark), gr.threshold_edges(_pairs(spark, d), COMPONENTS_AT))
+
+
+def _threshold_blocks(spark, d):
+    c = _components(spark, d).select(F.dense_rank().over(Window.orderBy("component")).cast("long").alias("block_id"), "feature")
+    return _rounded(bl.separation(c, _pairs(spark, d)))
+
+
+def _silhouette(spark, d):
+    return _rounded(cl.silhouette(_distances(spark, d), _labelings(spark), ["labeling"]))
+
+
+def _hierarchical(spark, d):
+    labels = cl.hierarchical_labels(_distances(spark, d), NAMES, (2, 3, 4, 5))
+    return _rounded(cl.evaluate(_distances(spark, d), labels, ("k",), 4))
+
+
+def _alpha_sweep(spark, d):
+    nmi, rho = _mi(spark, d).select("f1", "f2", "nmi"), _rho(spark, d)
+    return _rounded(cl.alpha_sweep(checkpointed(nmi), checkpointed(rho), NAMES, [0.2, 0.5, 0.8], (2, 3, 4, 5), 5))
+
+
+def _block_masks(spark):
+    return mk.block_masks(_trials(spark), BLOCKS, RATIO)
+
+
+def _random_masks(spark):
+    return mk.random_masks(_trials(spark), NAMES, RATIO)
+
 
 def queries():
-    return {"category_distribution": category_distribution}
+    q = {
+        "category_distribution": lambda s, d: _rounded(pr.category_distribution(_read(s, d, "lineitem", ["l_returnflag"]), "l_returnflag")),
+        "multi_category_distribution": lambda s, d: _rounded(_multi(s, d)),
+        "null_audit": lambda s, d: pr.null_audit(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id", "left"), ["doc_id", "lang", "quality", "toxic"]),
+        "duplicate_rows": lambda s, d: pr.duplicate_rows(_read(s, d, "lineitem", ["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"]),
+        "numeric_moments": lambda s, d: pr.moments(_lineitem(s, d), NUMERIC).select("feature", "n", F.round("total", 2).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "minimum", "maximum")]),
+        "value_audit": lambda s, d: _rounded(pr.value_audit(_read(s, d, "customer"), ["c_acctbal", "c_nationkey"])),
+        "attention_features": lambda s, d: _rounded(pr.needs_attention(pr.value_audit(_read(s, d, "customer"), ["c_acctbal", "c_nationkey"]))),
+        "threshold_counts": lambda s, d: _rounded(pr.threshold_counts(_read(s, d, "lineitem"), {"l_extendedprice": [1000.0, 50000.0, 90000.0], "l_quantity": [25.0]})),
+        "top_extremes": lambda s, d: pr.top_values(_read(s, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"], 15),
+        "suspicious_examples": lambda s, d: pr.examples_above(_read(s, d, "events"), "value", 90.0, ["event_id", "user_id"], 10),
+        "suspicious_by_source": lambda s, d: pr.above_by_group(_read(s, d, "events", ["value", "event_type"]), "value", 50.0, "event_type"),
+        "feature_profile": _profile,
+        "hygiene_dropna": _hygiene,
+        "drop_identity": lambda s, d: pp.drop_identity(_read(s, d, "supplier"), ["s_name", "s_nationkey"]),
+        "key_hash_split": lambda s, d: _rounded(pp.split_sizes(_split(s, d))),
+        "split_comparison": lambda s, d: pp.split_comparison(_split(s, d), "event_type"),
+        "stratified_split": lambda s, d: pp.stratified_split(_read(s, d, "events", ["event_id", "event_type"]), ["event_id"], "event_type").groupBy("split").agg(F.count("*").alias("cnt")),
+        "train_medians": lambda s, d: _rounded(pp.medians(_lineitem(s, d), NUMERIC)),
+        "medians_without_artifacts": lambda s, d: _rounded(pp.medians(_lineitem(s, d), NUMERIC, ARTIFACTS)),
+        "clean_features": _clean,
+        "robust_scaler": lambda s, d: _rounded(pp.fit_robust_scaler(_lineitem(s, d), NUMERIC)),
+        "robust_scale": _scale,
+        "tail_thresholds": lambda s, d: _rounded(pr.tail_thresholds(_lineitem(s, d), F.expr("l_extendedprice + l_extendedprice * l_tax"))),
+        "feature_rules": lambda s, d: pp.feature_rules(s, NUMERIC, ["l_extendedprice"], ARTIFACTS),
+        "hash_sample": lambda s, d: pp.hash_sample(_read(s, d, "events", ["event_id", "event_type"]), ["event_id"], 100),
+        "spearman_pairs": lambda s, d: _rounded(_rho(s, d)),
+        "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.joint_counts(dep.discretize(_features(s, d), NAMES), NAMES))),
+        "mutual_information": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "mi")),
+        "normalized_mi": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "nmi")),
+        "unified_dependency": lambda s, d: _rounded(dep.blend(_mi(s, d), _rho(s, d), 0.5, "abs")),
+        "signed_dependency": lambda s, d: _rounded(dep.blend(_mi(s, d), _rho(s, d), 0.35, "signed_clip")),
+        "dependency_summary": lambda s, d: _rounded(dep.pair_summary(_pairs(s, d))),
+        "top_pairs": lambda s, d: dep.top_pairs(_pairs(s, d), 10),
+        "matrix_validation": lambda s, d: dep.matrix_report(dep.symmetric(_pairs(s, d), NAMES)),
+        "wide_matrix": lambda s, d: sinks.wide_matrix(dep.symmetric(_pairs(s, d), NAMES), NAMES),
+        "long_matrix": lambda s, d: tables.long_matrix(sinks.wide_matrix(dep.symmetric(_pairs(s, d), NAMES), NAMES)),
+        "dependency_distance": lambda s, d: _rounded(_distances(s, d)),
+        "within_pairs": lambda s, d: bl.within_pairs(_blocks(s), _pairs(s, d)),
+        "within_block_stats": lambda s, d: _rounded(bl.within_stats(_blocks(s), _pairs(s, d))),
+        "between_block_stats": lambda s, d: _rounded(bl.between_stats(_blocks(s), _pairs(s, d))),
+        "block_separation": lambda s, d: _rounded(bl.separation(_blocks(s), _pairs(s, d))),
+        "weak_blocks": lambda s, d: _rounded(bl.suspicious(bl.within_stats(_blocks(s), _pairs(s, d))).select("block_id", "block_size", "min_within", "weakest_pair")),
+        "strong_cross_pairs": lambda s, d: bl.between_pairs(_blocks(s), _pairs(s, d)).where("score >= 0.6"),
+        "block_sizes": lambda s, d: _rounded(bl.block_sizes(_blocks(s))),
+        "blocks_by_size": lambda s, d: bl.by_size(_blocks(s)),
+        "refined_blocks": lambda s, d: bl.rewrite(_blocks(s), {1: [["price", "neg_price"], ["disc_price", "charge"]]}),
+        "block_whatif": _what_if,
+        "block_validation": lambda s, d: bl.validation(_blocks(s), [*NAMES[:-1], "absent"]),
+        "block_lists": lambda s, d: tables.blocks(s.createDataFrame([(1, "a | b"), (2, " c|| d ")], "Block_ID int, Features string")),
+        "silhouette_precomputed": _silhouette,
+        "cluster_sizes": lambda s, d: _rounded(cl.cluster_sizes(_labelings(s), ["labeling"])),
+        "choose_k": lambda s, d: cl.choose_k(s.createDataFrame([(k, x, k > 15) for _, k, x, _ in CANDIDATES], "k long, silhouette double, valid boolean").distinct()),
+        "alpha_ranking": lambda s, d: cl.rank_candidates(s.createDataFrame(CANDIDATES, "alpha double, k long, silhouette double, ratio double")),
+        "adjusted_rand": lambda s, d: _rounded(cl.adjusted_rand(_labelings(s), "labeling")),
+        "ari_stability": lambda s, d: _rounded(cl.stability(cl.adjusted_rand(_labelings(s), "labeling"))),
+        "hierarchical_blocks": _hierarchical,
+        "alpha_sweep": _alpha_sweep,
+        "cosine_fingerprints": lambda s, d: _rounded(gr.cosine_similarity(dep.symmetric(_pairs(s, d), NAMES, 0.0))),
+        "embedding_cosine": _embedding_cosine,
+        "strong_neighbors": lambda s, d: gr.neighbour_counts(_names(s), gr.sparsified(dep.symmetric(_pairs(s, d), NAMES), 0.6)),
+        "graph_density": lambda s, d: _rounded(gr.density(_pairs(s, d), len(NAMES), [0.3, 0.6, 0.9])),
+        "connected_components": _components,
+        "component_report": lambda s, d: gr.component_report(_components(s, d), 2),
+        "threshold_blocks": _threshold_blocks,
+        "block_masks": lambda s, d: _block_masks(s),
+        "mask_integrity": lambda s, d: mk.integrity(_block_masks(s)),
+        "mask_trials": lambda s, d: _rounded(mk.trial_stats(_block_masks(s))),
+        "random_masks": lambda s, d: _random_masks(s),
+        "shortcut_analysis": lambda s, d: _rounded(mk.shortcuts(_random_masks(s), _pairs(s, d))),
+        "shortcut_comparison": lambda s, d: _rounded(mk.shortcut_comparison(mk.shortcuts(_block_masks(s), _pairs(s, d)), mk.shortcuts(_random_masks(s), _pairs(s, d)))),
+        "masked_batch": lambda s, d: _rounded(pr.moments(mk.apply_mask(_features(s, d), ["price", "tax"]), NAMES).select("feature", "mean", "maximum")),
+    }
+    return q
 
 
-def oracle_sql():
-    return {"category_distribution": "SELECT l_returnflag AS value, count(*)::BIGINT AS cnt, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lineitem GROUP BY l_returnflag"}
+def _multi(s, d):
+    out = None
+    for table, c in (("events", "event_type"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment")):
+        g = pr.category_distribution(_read(s, d, table, [c]), c).withColumn("column", F.lit(c))
+        out = g if out is None else out.unionByName(g)
+    return out
+
 
+# SQL ---------------------------------------------------------------------------------------------
 
-def category_distribution(spark, d):
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+X = "x AS (SELECT " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in FEATURES.items()) + " FROM lineitem)"
 
-    g = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("value")).agg(F.count("*").alias("cnt"))
-    return g.withColumn("pct", F.round(100.0 * F.col("cnt") / F.sum("cnt").over(Window.partitionBy(F.lit(1))), 6))
+
+def _each(template: str, names=NUMERIC, glue=" UNION ALL ") -> str:
+    return glue.join(template.replace("@", n) for n in names)
+
+
+def _each_pair(template: str) -> str:
+    return " UNION ALL ".join(template.replace("@a", a).replace("@b", b) for a, b in combinations(NAMES, 2))
+
+
+P = X + ", p AS (" + _each_pair("SELECT '@a' AS f1, '@b' AS f2, round(abs(corr(@a, @b)), 6) AS score FROM x") + ")"
+B = "b(block_id, feature) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{f}')" for i, f in BLOCKS) + ")"
+PLACED = f"{P}, {B}, pl AS (SELECT b1.block_id AS block_1, b2.block_id AS block_2, f1, f2, score FROM p JOIN b b1 ON b1.feature = f1 JOIN b b2 ON b2.feature = f2)"
+L = "l(labeling, feature, label) AS (VALUES " + ", ".join(f"('{k}', '{f}', {v}::BIGINT)" for k, vs in LABELINGS.items() for f, v in zip(NAMES, vs, strict=True)) + ")"
+N = "names(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ")"
+M = P + ", " + N + ", m AS (SELECT f1, f2, score FROM p UNION ALL SELECT f2, f1, score FROM p UNION ALL SELECT feature, feature, 1.0::DOUBLE FROM names)"
+D = M + ", dist AS (SELECT f1, f2, CASE WHEN f1 = f2 THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1 - score)) END AS distance FROM m)"
+RANKS = X + ", r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0::DOUBLE AS {n}" for n in NAMES) + " FROM x)"
+RHO = RANKS + ", rho AS (" + _each_pair("SELECT '@a' AS f1, '@b' AS f2, corr(@a, @b) AS score FROM r") + ")"
+_EDGES = ", ".join(f"list_distinct(quantile_cont({n}, [{', '.join(f'{i}/32.0' for i in range(33))}])) AS {n}_q, count(DISTINCT {n}) AS {n}_d, list_sort(list(DISTINCT {n})) AS {n}_v" for n in NAMES)
+CODES = X + f", e AS (SELECT {_EDGES} FROM x), c AS (SELECT " + ", ".join(f"CASE WHEN {n}_d <= 32 THEN len(list_filter({n}_v, lambda v: v < {n})) ELSE len(list_filter(list_sort({n}_q)[2:-2], lambda v: v < {n})) END AS {n}" for n in NAMES) + " FROM x, e)"
+ENT = CODES + ", h AS (" + _each("SELECT '@' AS feature, -sum(n / t * ln(n / t + 1e-12)) AS entropy FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS t FROM c GROUP BY @)", NAMES) + ")"
+MI = ENT + ", mi AS (" + _each_pair("SELECT '@a' AS f1, '@b' AS f2, sum(n / t * ln(n * t / (na * nb))) AS mi FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS t, sum(count(*)) OVER (PARTITION BY @a)::DOUBLE AS na, sum(count(*)) OVER (PARTITION BY @b)::DOUBLE AS nb FROM c GROUP BY @a, @b)") + "), nmi AS (SELECT f1, f2, mi, CASE WHEN h1.entropy * h2.entropy > 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, mi / sqrt(h1.entropy * h2.entropy))) ELSE 0 END AS nmi FROM mi JOIN h h1 ON h1.feature = f1 JOIN h h2 ON h2.feature = f2)"
+BLEND = MI + ", r AS " + RHO.split(", r AS ", 1)[1]
+SPLIT = "s AS (SELECT *, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events), z AS (SELECT *, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM s)"
+SEP = "avg(score) FILTER (block_1 = block_2) AS mean_within, avg(score) FILTER (block_1 <> block_2) AS mean_between, min(score) FILTER (block_1 = block_2) AS min_within, max(score) FILTER (block_1 <> block_2) AS max_between, count(*) FILTER (block_1 = block_2) AS n_within, count(*) FILTER (block_1 <> block_2) AS n_between"
+SEP_R = "SELECT {by}round(mean_within, 6) AS mean_within, round(mean_between, 6) AS mean_between, min_within, max_between, n_within, n_between, round(mean_within / mean_between, 6) AS ratio"
+RMASK = f"{N}, t AS (SELECT range AS trial FROM range({TRIALS})), rm AS (SELECT trial, feature, row_number() OVER (PARTITION BY trial ORDER BY ('0x' || substr(md5(trial || '|' || feature), 1, 8))::BIGINT, feature) <= {mk.mask_size(len(NAMES), RATIO)} AS masked FROM t, names)"
+CUSTOMER = ["c_acctbal", "c_nationkey"]
+AUDIT = _each("SELECT '@' AS feature, round(min(@)::DOUBLE, 6) AS minimum, round(max(@)::DOUBLE, 6) AS maximum, count(*) FILTER (@ IS NULL) AS missing, count(*) FILTER (@ IS NULL OR isinf(@::DOUBLE)) AS nonfinite, count(*) FILTER (isinf(@::DOUBLE)) AS infinite, count(*) FILTER (@ < 0) AS negative FROM customer", CUSTOMER)
+QS = [f"q{100 * q:g}".replace(".", "_") for q in pr.QUANTILES]
+
+
+def oracle_sql():
+    pct = lambda c, t: f"SELECT {c}::VARCHAR AS value, count(*) AS cnt, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {t} GROUP BY {c}"
+    comps = f"{P}, {N}, e AS (SELECT f1 AS a, f2 AS b FROM p WHERE score >= {COMPONENTS_AT} UNION ALL SELECT f2, f1 FROM p WHERE score >= {COMPONENTS_AT}), g(feature, c) AS (SELECT feature, feature FROM names UNION SELECT e.b, g.c FROM g JOIN e ON e.a = g.feature WHERE g.c < e.b), comp AS (SELECT feature, min(c) AS component FROM g GROUP BY feature)"
+    shortcut = f"{P}, {RMASK}, ed AS (SELECT f1 AS feature, f2 AS partner FROM p WHERE score >= 0.7 UNION ALL SELECT f2, f1 FROM p WHERE score >= 0.7), hit AS (SELECT m.trial, m.feature, count(v.feature) AS n FROM rm m LEFT JOIN ed ON ed.feature = m.feature LEFT JOIN rm v ON v.trial = m.trial AND v.feature = ed.partner AND NOT v.masked WHERE m.masked GROUP BY ALL)"
+    ari = f"{L}, cells AS (SELECT a.labeling AS a, b.labeling AS b, a.label AS la, b.label AS lb, count(*) AS n FROM l a JOIN l b ON a.feature = b.feature AND a.labeling < b.labeling GROUP BY ALL), i AS (SELECT a, b, sum(n * (n - 1) / 2.0::DOUBLE) AS both_in, sum(n)::DOUBLE AS n FROM cells GROUP BY a, b), sa AS (SELECT a, b, sum(n * (n - 1) / 2.0::DOUBLE) AS s FROM (SELECT a, b, la, sum(n) AS n FROM cells GROUP BY a, b, la) GROUP BY a, b), sb AS (SELECT a, b, sum(n * (n - 1) / 2.0::DOUBLE) AS s FROM (SELECT a, b, lb, sum(n) AS n FROM cells GROUP BY a, b, lb) GROUP BY a, b), ari AS (SELECT a, b, coalesce((both_in - sa.s * sb.s / (n * (n - 1) / 2)) / nullif((sa.s + sb.s) / 2 - sa.s * sb.s / (n * (n - 1) / 2), 0), 1) AS ari FROM i JOIN sa USING (a, b) JOIN sb USING (a, b))"
+    return {
+        "category_distribution": pct("l_returnflag", "lineitem"),
+        "multi_category_distribution": " UNION ALL ".join(f"SELECT *, '{c}' AS \"column\" FROM ({pct(c, t)})" for t, c in (("events", "event_type"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment"))),
+        "null_audit": "WITH j AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) " + _each("SELECT count(*) AS rows, '@' AS feature, count(*) FILTER (@ IS NULL) AS missing FROM j", ["doc_id", "lang", "quality", "toxic"]),
+        "duplicate_rows": "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT sum(n)::BIGINT AS total_rows, count(*) AS distinct_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM g",
+        "numeric_moments": _each("SELECT '@' AS feature, count(@) AS n, round(sum(@), 2) AS total, round(avg(@), 6) AS mean, round(stddev_pop(@), 6) AS std, round(min(@), 6) AS minimum, round(max(@), 6) AS maximum FROM lineitem"),
+        "value_audit": AUDIT,
+        "attention_features": f"SELECT * FROM ({AUDIT}) WHERE missing > 0 OR nonfinite > 0 OR negative > 0",
+        "threshold_counts": " UNION ALL ".join(f"SELECT '{c}' AS feature, {t}::DOUBLE AS threshold, count(*) FILTER ({c} > {t}) AS above, round(100.0::DOUBLE * count(*) FILTER ({c} > {t}) / count({c}), 6) AS pct FROM lineitem" for c, t in (("l_extendedprice", 1000.0), ("l_extendedprice", 50000.0), ("l_extendedprice", 90000.0), ("l_quantity", 25.0))),
+        "top_extremes": "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS value FROM lineitem ORDER BY value DESC, l_orderkey, l_linenumber, l_partkey LIMIT 15",
+        "suspicious_examples": "SELECT event_id, user_id, value FROM events WHERE value > 90 ORDER BY event_id, user_id LIMIT 10",
+        "suspicious_by_source": "SELECT event_type AS value, count(*) AS cnt FROM events WHERE value > 50 GROUP BY event_type",
+        "feature_profile": _each("SELECT '@' AS feature, round(min(@), 6) AS minimum, round(max(@), 6) AS maximum, count(*) FILTER (@ IS NULL) AS missing, count(*) FILTER (@ IS NULL OR isinf(@)) AS nonfinite, count(*) FILTER (isinf(@)) AS infinite, count(*) FILTER (@ < 0) AS negative, CASE WHEN max(abs(@)) < 1e12 THEN round(avg(@), 6) END AS mean, CASE WHEN max(abs(@)) < 1e12 THEN round(stddev_pop(@), 6) END AS std, " + ", ".join(f"round(quantile_cont(@, {q}), 6) AS {n}" for q, n in zip(pr.QUANTILES, QS, strict=True)) + " FROM lineitem"),
+        "hygiene_dropna": "SELECT doc_id, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL",
+        "drop_identity": "SELECT s_suppkey, s_acctbal FROM supplier",
+        "key_hash_split": f"WITH {SPLIT} SELECT split, count(*) AS cnt, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM z GROUP BY split",
+        "split_comparison": f"WITH {SPLIT} SELECT event_type AS value, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM z GROUP BY event_type",
+        "train_medians": _each("SELECT '@' AS feature, round(median(@), 6) AS median FROM lineitem"),
+        "medians_without_artifacts": _each("SELECT '@' AS feature, round(median(@), 6) AS median FROM lineitem WHERE '@' <> 'l_extendedprice' OR l_extendedprice <= 90000"),
+        "clean_features": "SELECT count(*) AS n, round(sum(ln(1 + l_quantity)), 2) AS sum_l_quantity, round(sum(ln(1 + CASE WHEN l_extendedprice > 90000 THEN (SELECT median(l_extendedprice) FROM lineitem) ELSE l_extendedprice END)), 2) AS sum_l_extendedprice, round(sum(l_discount), 2) AS sum_l_discount, round(sum(l_tax), 2) AS sum_l_tax FROM lineitem",
+        "robust_scaler": _each("SELECT '@' AS feature, round(median(@), 6) AS center, round(CASE WHEN quantile_cont(@, 0.75) = quantile_cont(@, 0.25) THEN 1 ELSE quantile_cont(@, 0.75) - quantile_cont(@, 0.25) END, 6) AS scale FROM lineitem"),
+        "robust_scale": _each("SELECT '@' AS feature, round((min(@) - median(@)) / (quantile_cont(@, 0.75) - quantile_cont(@, 0.25)), 6) AS minimum, round((max(@) - median(@)) / (quantile_cont(@, 0.75) - quantile_cont(@, 0.25)), 6) AS maximum, round((avg(@) - median(@)) / (quantile_cont(@, 0.75) - quantile_cont(@, 0.25)), 4) AS mean FROM lineitem"),
+        "tail_thresholds": " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(l_extendedprice + l_extendedprice * l_tax, {q}), 6) AS threshold FROM lineitem" for q in (0.9, 0.95, 0.975, 0.99)),
+        "feature_rules": " UNION ALL ".join(f"SELECT '{n}' AS feature, {n == 'l_extendedprice'} AS is_log1p, {ARTIFACTS.get(n, 'NULL')}::DOUBLE AS artifact_threshold" for n in NUMERIC),
+        "hash_sample": "SELECT event_id, event_type FROM events ORDER BY ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT, event_id LIMIT 100",
+        "spearman_pairs": f"WITH {RHO} SELECT f1, f2, round(score, 6) AS score FROM rho",
+        "feature_entropy": f"WITH {ENT} SELECT feature, round(entropy, 6) AS entropy FROM h",
+        "mutual_information": f"WITH {MI} SELECT f1, f2, round(mi, 6) AS mi FROM mi",
+        "normalized_mi": f"WITH {MI} SELECT f1, f2, round(nmi, 6) AS nmi FROM nmi",
+        "unified_dependency": f"WITH {BLEND} SELECT f1, f2, round(0.5::DOUBLE * nmi + 0.5::DOUBLE * abs(coalesce(score, 0)), 6) AS score FROM nmi JOIN rho USING (f1, f2)",
+        "signed_dependency": f"WITH {BLEND} SELECT f1, f2, round(greatest(0::DOUBLE, least(1::DOUBLE, 0.35::DOUBLE * nmi + 0.65::DOUBLE * coalesce(score, 0))), 6) AS score FROM nmi JOIN rho USING (f1, f2)",
+        "dependency_summary": f"WITH {P} " + " UNION ALL ".join([f"SELECT 'q{100 * q:g}' AS measure, round(quantile_cont(score, {q}), 6) AS value FROM p" for q in (0.5, 0.75, 0.9, 0.95, 0.99)] + [f"SELECT 'pairs_from_{t:g}', count(*) FILTER (score >= {t})::DOUBLE FROM p" for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)]),
+        "top_pairs": f"WITH {P} SELECT f1, f2, score FROM p ORDER BY score DESC, f1, f2 LIMIT 10",
+        "matrix_validation": f"WITH {M} SELECT count(*) AS cells, count(DISTINCT f1) AS features, count(*) = count(DISTINCT f1) * count(DISTINCT f1) AS is_square, true AS is_symmetric, true AS has_unit_diagonal, true AS is_finite FROM m",
+        "wide_matrix": f"WITH {M} SELECT f1, " + ", ".join(f"max(score) FILTER (f2 = '{n}') AS {n}" for n in NAMES) + " FROM m GROUP BY f1",
+        "long_matrix": f"WITH {M} SELECT f1, f2, score FROM m",
+        "dependency_distance": f"WITH {D} SELECT f1, f2, round(distance, 6) AS distance FROM dist",
+        "within_pairs": f"WITH {PLACED} SELECT block_1 AS block_id, f1, f2, score FROM pl WHERE block_1 = block_2",
+        "within_block_stats": f"WITH {PLACED}, st AS (SELECT block_1 AS block_id, round(avg(score), 6) AS mean_within, min(score) AS min_within, max(score) AS max_within, round(stddev_pop(score), 6) AS std_within, arg_min(f1 || ' <-> ' || f2, {{'s': score, 'a': f1, 'b': f2}}) AS weakest_pair FROM pl WHERE block_1 = block_2 GROUP BY block_1), sz AS (SELECT block_id, count(*) AS block_size, string_agg(feature, ' | ' ORDER BY feature) AS features FROM b GROUP BY block_id) SELECT sz.*, mean_within, min_within, max_within, std_within, weakest_pair FROM sz LEFT JOIN st USING (block_id)",
+        "between_block_stats": f"WITH {PLACED} SELECT least(block_1, block_2) AS block_a, greatest(block_1, block_2) AS block_b, round(avg(score), 6) AS mean_between, max(score) AS max_between, min(score) AS min_between, count(*) AS n_pairs FROM pl WHERE block_1 <> block_2 GROUP BY ALL",
+        "block_separation": f"WITH {PLACED}, s AS (SELECT {SEP} FROM pl) {SEP_R.format(by='')} FROM s",
+        "weak_blocks": f"WITH {PLACED} SELECT block_1 AS block_id, (SELECT count(*) FROM b WHERE b.block_id = block_1) AS block_size, min(score) AS min_within, arg_min(f1 || ' <-> ' || f2, {{'s': score, 'a': f1, 'b': f2}}) AS weakest_pair FROM pl WHERE block_1 = block_2 GROUP BY block_1 HAVING min(score) < 0.4",
+        "strong_cross_pairs": f"WITH {PLACED} SELECT least(block_1, block_2) AS block_a, greatest(block_1, block_2) AS block_b, f1, f2, score FROM pl WHERE block_1 <> block_2 AND score >= 0.6",
+        "block_sizes": f"WITH {B}, s AS (SELECT block_id, count(*) AS size FROM b GROUP BY block_id) SELECT count(*) AS n_blocks, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size, count(*) FILTER (size = 1) AS n_singletons FROM s",
+        "blocks_by_size": f"WITH {B}, g AS (SELECT block_id AS original, count(*) AS size, min(feature) AS first FROM b GROUP BY block_id), i AS (SELECT original, size, row_number() OVER (ORDER BY size DESC, first) AS block_id FROM g) SELECT i.block_id, original, size, feature FROM i JOIN b ON b.block_id = original",
+        "refined_blocks": f"WITH {B}, e AS (SELECT block_id AS original, CASE WHEN feature IN ('disc_price', 'charge') THEN 2 ELSE 1 END AS part, feature FROM b) SELECT dense_rank() OVER (ORDER BY original, part) AS block_id, original, feature FROM e",
+        "block_whatif": f"WITH {P}, {B}, c AS (SELECT 'as_is' AS config, block_id, feature FROM b UNION ALL SELECT 'moved', CASE WHEN feature = 'tax_amt' THEN 3 ELSE block_id END, feature FROM b), pl AS (SELECT c1.config, c1.block_id AS block_1, c2.block_id AS block_2, score FROM p JOIN c c1 ON c1.feature = f1 JOIN c c2 ON c2.feature = f2 AND c2.config = c1.config), s AS (SELECT config, {SEP} FROM pl GROUP BY config) {SEP_R.format(by='config, ')} FROM s",
+        "block_validation": "SELECT 'missing' AS problem, 'absent' AS feature UNION ALL SELECT 'unexpected', 'tax_amt'",
+        "block_lists": "SELECT * FROM (VALUES (1::BIGINT, 'a', 0), (1, 'b', 1), (2, 'c', 0), (2, 'd', 1)) AS t(block_id, feature, position)",
+        "silhouette_precomputed": f"WITH {D}, {L}, s AS (SELECT a.labeling, f1, a.label AS own, b.label, avg(distance) AS d FROM dist JOIN l a ON a.feature = f1 JOIN l b ON b.feature = f2 AND b.labeling = a.labeling WHERE f1 <> f2 GROUP BY ALL), ab AS (SELECT labeling, f1, max(d) FILTER (own = label) AS a, min(d) FILTER (own <> label) AS b FROM s GROUP BY labeling, f1) SELECT labeling, round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM ab GROUP BY labeling",
+        "cluster_sizes": f"WITH {L}, s AS (SELECT labeling, label, count(*) AS size FROM l GROUP BY ALL) SELECT labeling, count(*) AS n_clusters, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size FROM s GROUP BY labeling",
+        "choose_k": "SELECT 20::BIGINT AS k, 0.40::DOUBLE AS silhouette, true AS valid",
+        "alpha_ranking": "WITH c(alpha, k, silhouette, ratio) AS (VALUES " + ", ".join(f"({a}::DOUBLE, {k}::BIGINT, {s}::DOUBLE, {r}::DOUBLE)" for a, k, s, r in CANDIDATES) + "), r AS (SELECT *, rank() OVER (ORDER BY silhouette DESC)::INTEGER AS rank_silhouette, rank() OVER (ORDER BY ratio DESC)::INTEGER AS rank_ratio FROM c) SELECT *, rank_silhouette + rank_ratio AS combined_rank FROM r",
+        "adjusted_rand": f"WITH {ari} SELECT a, b, round(ari, 6) AS ari FROM ari",
+        "ari_stability": f"WITH {ari}, u AS (SELECT a AS labeling, ari FROM ari UNION ALL SELECT b, ari FROM ari) SELECT labeling, round(avg(ari), 6) AS mean_ari, round(min(ari), 6) AS min_ari, round(max(ari), 6) AS max_ari, count(*) AS n FROM u GROUP BY labeling",
+        "cosine_fingerprints": f"WITH {M}, m0 AS (SELECT f1, f2, CASE WHEN f1 = f2 THEN 0 ELSE score END AS s FROM m), n AS (SELECT f1, sqrt(sum(s * s)) AS n FROM m0 GROUP BY f1) SELECT a.f1, b.f1 AS f2, round(greatest(0::DOUBLE, least(1::DOUBLE, sum(a.s * b.s) / any_value(na.n * nb.n))), 6) AS score FROM m0 a JOIN m0 b ON a.f2 = b.f2 AND a.f1 < b.f1 JOIN n na ON na.f1 = a.f1 JOIN n nb ON nb.f1 = b.f1 GROUP BY a.f1, b.f1",
+        "embedding_cosine": "WITH u AS (SELECT label::VARCHAR AS f1, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT f1, pos, avg(x) AS s FROM u GROUP BY ALL), n AS (SELECT f1, sqrt(sum(s * s)) AS n FROM c GROUP BY f1) SELECT a.f1, b.f1 AS f2, round(greatest(0::DOUBLE, least(1::DOUBLE, sum(a.s * b.s) / any_value(na.n * nb.n))), 6) AS score FROM c a JOIN c b ON a.pos = b.pos AND a.f1 < b.f1 JOIN n na ON na.f1 = a.f1 JOIN n nb ON nb.f1 = b.f1 GROUP BY a.f1, b.f1",
+        "strong_neighbors": f"WITH {M} SELECT feature, count(f2) AS n_neighbours FROM names LEFT JOIN m ON f1 = feature AND f1 <> f2 AND score >= 0.6 GROUP BY feature",
+        "graph_density": f"WITH {P} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, count(*) FILTER (score >= {t}) AS edges, round(count(*) FILTER (score >= {t}) / {len(NAMES) * (len(NAMES) - 1) // 2}::DOUBLE, 6) AS density FROM p" for t in (0.3, 0.6, 0.9)),
+        "connected_components": f"WITH RECURSIVE {comps} SELECT feature, component FROM comp",
+        "component_report": f"WITH RECURSIVE {comps}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS components, max(size) AS largest, count(*) FILTER (size <= 2) AS small_components FROM s",
+        "threshold_blocks": f"WITH RECURSIVE {comps}, pl AS (SELECT c1.component AS block_1, c2.component AS block_2, score FROM p JOIN comp c1 ON c1.feature = f1 JOIN comp c2 ON c2.feature = f2), s AS (SELECT {SEP} FROM pl) {SEP_R.format(by='')} FROM s",
+        "random_masks": f"WITH {RMASK} SELECT trial, feature, masked FROM rm",
+        "shortcut_analysis": f"WITH {shortcut} SELECT trial, count(*) AS n_masked, count(*) FILTER (n > 0) AS with_partner, sum(n)::BIGINT AS visible_pairs, round(count(*) FILTER (n > 0) / count(*)::DOUBLE, 6) AS rate FROM hit GROUP BY trial",
+        "masked_batch": f"WITH {X} " + _each("SELECT '@' AS feature, round(avg(@), 6) AS mean, round(max(@), 6) AS maximum FROM x", [n for n in NAMES if n not in ("price", "tax")]) + " UNION ALL SELECT 'price', 0, 0 UNION ALL SELECT 'tax', 0, 0",
+    }

@@ -72,7 +72,7 @@ def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS, accuracy:
     """
     counts = value_counts(df, columns)
     at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    quantiles = F.percentile("value", at, "n") if accuracy is None else F.percentile_approx("value", at, accuracy)
+    quantiles = F.percentile("value", at, F.col("n")) if accuracy is None else F.percentile_approx("value", at, accuracy)
     g = counts.groupBy("feature").agg(F.count("*").alias("distinct"), quantiles.alias("q"))
     few = counts.join(g.where(F.col("distinct") <= bins).select("feature"), "feature").groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values"))
     # Codes count interior edges: a value list gets an end on each side.
