@@ -120,8 +120,9 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     A document of size 0 is taken as often as its source's whole part says and
     adds no words. A source without words has target 0 and its documents no
     copies. Repeated rows are rounded each on its own. Null sources are one
-    source, the last.
+    source, the last. Columns of ``rows`` with the name of a result give way.
     """
+    rows = rows.drop("source_no", "source_size", "target", "copies", "taken")
     t = targets(rows, weights, share, most)
     # As many rows as sources: joined by the session's own choice, never forced to broadcast.
     r = rows.join(t.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")

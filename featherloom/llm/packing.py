@@ -63,8 +63,10 @@ def pack(rows: DataFrame, length: str, order: list[str], buckets: int = BUCKETS,
     A batch of bucket b holds max(1, budget // bucket_len) rows, so a row over
     the budget is alone. A null length counts as 0; rows of length 0 share a
     bucket that costs nothing to pad, with at most ``budget`` rows a batch.
-    Repeated rows are packed each. An empty table gives an empty result.
+    Repeated rows are packed each. An empty table gives an empty result. Columns
+    of ``rows`` with the name of a result give way.
     """
+    rows = rows.drop("bucket", "bucket_len", "batch", "place")
     # Read three times: for the histogram, for the numbering's counts and for its rows.
     rows = checkpointed(rows.withColumn(length, F.coalesce(F.col(length), F.lit(0)).cast("long")))
     step = F.when(F.col(length) < 2**BITS, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col(length).cast("double") + 0.5)) - (BITS - 1)).cast("long"))

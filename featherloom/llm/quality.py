@@ -87,6 +87,10 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+#: Columns that judge adds; those of the same name in its input give way.
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base rules' columns, score and kept.
 
@@ -94,6 +98,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     Without n-grams a score is 0. With no trusted documents all ratios are 0 and
     the base rules decide. Repeated rows get the same verdict.
     """
+    docs = docs.drop(*OWN)
     ratios = log_ratios(docs, trusted)
     # One array of BUCKETS whole numbers, whatever the input.
     array = ratios.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("x")).select(F.transform("x", lambda x: x["ratio"])).scalar()
@@ -101,8 +106,12 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     looked_up = lambda grams: F.expr(f"aggregate({grams}, 0L, (a, x) -> a + coalesce(get(_llr, cast(pmod(x, {BUCKETS}) AS INT)), 0))")
     d = d.withColumn("_sum", looked_up("_uni") + looked_up("_bi"))
     grams = F.greatest(F.lit(1), 2 * F.size("_uni") - 1)
-    score = F.col("_sum") / grams / SCALE
-    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_uni", "_bi", "_llr", "_sum")
+    found = [c for c in d.columns if c not in docs.columns and c[0] != "_"]
+    d = d.withColumn("score", F.col("_sum") / grams / SCALE).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # A filter on the verdict must not move below what it is made of: pushed into the
+    # expressions over word arrays, it would be worked out again for each word. No
+    # filter passes a generator, so the verdict comes out of one, as its only row.
+    return d.select(*docs.columns, F.inline(F.array(F.struct(*found, "score", "kept"))))
 
 
 def op9(spark, sf_dir):

@@ -34,7 +34,8 @@ def shard_of(key: Column, weights: Sequence[float], first: int = 0) -> Column:
 def assign(records: DataFrame, key: str, weights: Sequence[float], grown_weights: Sequence[float]) -> DataFrame:
     """Adds shard, grown_shard (under ``grown_weights``) and slot, the record's
     gapless place in its shard. Repeated keys share a shard, each with a slot;
-    other columns ride along."""
+    other columns ride along, but for those with the name of a result."""
+    records = records.drop("shard", "grown_shard", "slot")
     placed = records.withColumn("shard", shard_of(F.col(key), weights)).withColumn("grown_shard", shard_of(F.col(key), grown_weights))
     rest = [c for c in records.columns if c != key]
     return number_rows(placed, ["shard"], [key, *rest], "slot")

@@ -328,10 +328,12 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", carry: tuple[str, ...] = ()
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, others) with what cut_repeats keeps as text.
     Documents of which nothing is left stay, with an empty text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = cut_repeats(docs, "doc_id", others).select("doc_id", *others, "kept")
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in others)
-    return cut.mapInArrow(_decoded, f"doc_id long{kinds}, text string").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = [f"other_{i}" for i in range(len(others))]  # no name of theirs can clash
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(p) for c, p in zip(others, plain, strict=True)])
+    cut = cut_repeats(renamed, "doc_id", tuple(plain)).select("doc_id", *plain, "kept")
+    kinds = "".join(f", {p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(others, plain, strict=True))
+    return cut.mapInArrow(_decoded, f"doc_id long{kinds}, text string").select(*[F.col(dict(zip(others, plain, strict=True)).get(c, c)).alias(c) for c in docs.columns])
 
 
 def op5(spark, sf_dir):
