@@ -12,9 +12,10 @@ class. Classes that share a bucket are a family, and what a class shares with
 none of its family bounds every similarity it can have: 2-word shingles of its
 own keep it out of buckets where no partner is small enough. In each bucket
 that is left, all classes are compared with one hub, the one with the fewest
-shingles of its own; linked ones then count as one component, and only classes
-of different components in a bucket are compared further: hub after hub, until
-the pairs left are few enough to compare all. No bucket is capped.
+shingles of its own; linked ones then count as one component. Where a bucket
+still holds several components, the classes outside a family's largest one are
+compared with all of the family that share a band with them, in blocks of
+CHUNK by CHUNK sets, so that no table of pairs is made. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.lineage import checkpointed
-from .common import join_by_key, mix64, table
+from .common import join_by_key, mix64, number_rows, table
 from .texthash import shingle_sets
 
 BINS = 256  # a bin is the top 8 bits of a hash
@@ -35,8 +36,8 @@ BANDS = BINS // ROWS
 SEEDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LOW = np.uint64(2**48 - 1)
 EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
-#: All pairs left in the buckets are compared once they are at most so many per class.
-PAIRS_PER_CLASS = 4
+#: Sets of a block.
+CHUNK = 16
 NO_ID = 2**63 - 1
 
 
@@ -95,6 +96,16 @@ def _sign(width: int):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets overlap in ``percent`` of their union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def _verify(width: int, percent: int):
     def run(batches):
         for b in batches:
@@ -104,16 +115,7 @@ def _verify(width: int, percent: int):
                 new = [k for k, i in enumerate(ids) if i not in cache and not cache.update({i: None})]
                 if new:
                     cache.update(zip(ids[new].tolist(), shingle_sets(texts.take(pa.array(new)), width), strict=True))
-            keep = np.zeros(len(a_ids), bool)
-            for k, (i, j) in enumerate(zip(a_ids.tolist(), b_ids.tolist(), strict=True)):
-                x, y = cache[i], cache[j]
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x) or 100 * len(x) < percent * len(y):
-                    continue
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[k] = 100 * same >= percent * (len(x) + len(y) - same)
+            keep = np.array([_similar(cache[i], cache[j], percent) for i, j in zip(a_ids.tolist(), b_ids.tolist(), strict=True)], bool)
             yield pa.RecordBatch.from_arrays([pa.array(a_ids[keep]), pa.array(b_ids[keep])], ["a", "b"])
 
     return run
@@ -162,10 +164,14 @@ def _hubs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min(own).alias("h"), F.count("*").alias("rows")).select("key", "h.a", "h.na", "h.sa", "rows")
 
 
-def _shared_shingles(inside: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, s): how many shingles of a class occur in another of its family."""
+def _families(inside: DataFrame) -> DataFrame:
+    """(node, family) of classes that buckets connect."""
     edges = inside.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    family = connected_components(edges, "a", "b").select("node", F.col("component").alias("family"))
+    return checkpointed(connected_components(edges, "a", "b").select("node", F.col("component").alias("family")))
+
+
+def _shared_shingles(inside: DataFrame, family: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, s): how many shingles of a class occur in another of its family."""
     rows = texts.join(family.hint("merge"), "node").select("family", "node", "text").mapInArrow(_shingle_rows(width), "family long, shingle long, node long")
     lone = rows.groupBy("family", "shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("u"))
     sizes = inside.select("node", "n").distinct().groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets"))
@@ -173,48 +179,70 @@ def _shared_shingles(inside: DataFrame, texts: DataFrame, width: int) -> DataFra
     return sizes.join(lone, "node", "left").select("node", F.when(F.col("sets") > 1, F.col("most") * 1000).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
 
 
+def _compare(width: int, percent: int):
+    """Links between the sets of two blocks: of pairs from different components
+    that share a band and that sizes and bounds leave possible."""
+
+    def run(batches):
+        for b in batches:
+            a_ids, b_ids = [], []
+            for row in b.select(["left", "right"]).to_pylist():
+                x, y = row["left"], row["right"]
+                if not x or not y:
+                    continue
+                sx, sy = (shingle_sets(pa.array([m["text"] for m in side], pa.string()), width) for side in (x, y))
+                bx, by = (np.array([m["bands"] for m in side], np.int64) for side in (x, y))
+                cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
+                nx, ny = (np.array([m["n"] for m in side], np.int64) for side in (x, y))
+                ux, uy = (np.array([m["s"] for m in side], np.int64) for side in (x, y))
+                least, most = np.minimum(nx[:, None], ny), np.maximum(nx[:, None], ny)
+                go = (cx[:, None] != cy) & (100 * least >= percent * most) & ((100 + percent) * np.minimum(ux[:, None], uy) >= percent * (nx[:, None] + ny))
+                go &= (bx[:, None, :] == by[None, :, :]).any(2)
+                for i, j in zip(*np.nonzero(go), strict=True):
+                    if _similar(sx[i], sy[j], percent):
+                        a_ids.append(x[i]["node"])
+                        b_ids.append(y[j]["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _late_links(nodes: DataFrame, own: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components inside families. ``nodes`` has family, node, comp, n, s."""
+    sizes = nodes.groupBy("family", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("c", "comp")).alias("m")).select("family", F.col("m.comp").alias("main"))
+    placed = nodes.join(largest, "family").withColumn("minor", F.col("comp") != F.col("main"))
+    placed = number_rows(checkpointed(placed), ["family", "minor"], ["node", "n", "s"], "at").withColumn("chunk", F.floor(F.col("at") / CHUNK))
+    full = placed.join(own.select("node", "n", "bands").hint("merge"), ["node", "n"]).join(texts.hint("merge"), "node")
+    chunks = checkpointed(full.groupBy("family", "minor", "chunk").agg(F.collect_list(F.struct("node", "comp", "n", "s", "bands", "text")).alias("members")))
+    names = chunks.select("family", "minor", "chunk")
+    left = names.where("minor").select("family", F.col("chunk").alias("lc"))
+    met = left.join(names.select("family", F.col("minor").alias("rm"), F.col("chunk").alias("rc")), "family").where("not rm or lc <= rc")
+    lefts = chunks.where("minor").select("family", F.col("chunk").alias("lc"), F.col("members").alias("left"))
+    rights = chunks.select("family", F.col("minor").alias("rm"), F.col("chunk").alias("rc"), F.col("members").alias("right"))
+    met = met.join(lefts.hint("merge"), ["family", "lc"]).join(rights.hint("merge"), ["family", "rm", "rc"])
+    return met.select("left", "right").mapInArrow(_compare(width, percent), "a long, b long")
+
+
 def _all_links(own: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, comp): each class in its component."""
     inside = _buckets(own)
     texts = checkpointed(docs.join(inside.select("node").distinct().hint("merge"), "node", "left_semi"))
-    shared = _shared_shingles(inside, texts, width)
+    family = _families(inside)
+    shared = _shared_shingles(inside, family, texts, width)
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     rows = inside.join(shared, "node").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "node", "n", "s")
     rows = checkpointed(rows)
     hubs = checkpointed(_hubs(rows).where("rows > 1"))
     rows = checkpointed(join_by_key(rows, hubs, ["key"], "rows").where("node <> a"))
-    spoken = rows.where(_possible("n", "s", "na", "sa", percent))
-    tried = checkpointed(spoken.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    links = checkpointed(_links(tried, texts, width, percent))
-    left, n_reps = rows.where("rows > 2").select("key", "node", "n", "s"), None
+    pairs = rows.where(_possible("n", "s", "na", "sa", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    links = checkpointed(_links(pairs, texts, width, percent))
     comp = checkpointed(_components(reps, links))
-    while True:
-        named = left.join(comp, "node")
-        counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = checkpointed(counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("comps > 1"))
-        todo = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("cc")) / 2)).first()[0] or 0
-        if not todo:
-            return comp
-        n_reps = n_reps or reps.count()
-        named = checkpointed(named.join(mixed.select("key"), "key", "left_semi"))
-        if last := todo <= PAIRS_PER_CLASS * n_reps:
-            other = named.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("comp_b"))
-            far = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _possible("n", "s", "nb", "sb", percent)
-            more = named.join(other, "key").where(far).select(F.col("node").alias("a"), "b").distinct()
-        else:
-            spoken = named.join(_hubs(named).drop("rows"), "key")
-            hub = spoken.where("node = a").select("key", F.col("comp").alias("comp_a"))
-            spoken = checkpointed(spoken.join(hub, "key").where("node <> a"))
-            more = spoken.where((F.col("comp") != F.col("comp_a")) & _possible("n", "s", "na", "sa", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            left = spoken.select("key", "node", "n", "s")
-        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        new = checkpointed(_links(more, texts, width, percent))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = checkpointed(_components(reps, links))
-        if last:
-            return comp
-        tried = checkpointed(tried.unionByName(more))
+    named = rows.where("rows > 2").select("key", "node", "n", "s").join(comp, "node")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key")
+    nodes = checkpointed(named.join(mixed, "key", "left_semi").select("node", "n", "s", "comp").distinct().join(family, "node"))
+    late = checkpointed(_late_links(nodes, own, texts, width, percent))
+    return comp if late.isEmpty() else checkpointed(_components(reps, links.unionByName(late)))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", width: int = 2, percent: int = 80) -> DataFrame:
