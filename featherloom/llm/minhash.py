@@ -70,7 +70,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
         filled[hit] = True
         r += k
     for b in np.flatnonzero(~filled):
-        out[b] = mix64((mix64(h ^ SEEDS[BINS + b]) & LOW).min() ^ SEEDS[BINS + b])
+        out[b] = mix64((mix64(h ^ SEEDS[BINS + b]) & LOW).min() ^ SEEDS[BINS + b])[0]
     return out
 
 
