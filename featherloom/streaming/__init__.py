@@ -1 +1 @@
-
+"""Profiles that are kept up to date over a stream."""
