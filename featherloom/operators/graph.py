@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
@@ -10,8 +10,9 @@ from ..plans.lineage import checkpointed
 
 def _is_stars(e: DataFrame) -> bool:
     """Whether each larger node u has one edge, to a node v that has none itself."""
-    twice = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-    return twice.unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")).isEmpty()
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+    g = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    return g.where("ups > 1 or (ups = 1 and n > 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -23,19 +24,19 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
     neighbours, then its smaller ones, to the smallest node it sees.
     """
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    loops = pairs.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    e = checkpointed(pairs.where("u > v").distinct())
+    pairs = checkpointed(pairs.distinct())
+    e = pairs.where("u > v")
+    seen_by = Window.partitionBy("u")
     while not _is_stars(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    found = stars.unionByName(roots).distinct()
-    return found.unionByName(loops.join(found, "node", "left_anti"))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
+        larger = both.withColumn("m", F.least("u", F.min("v").over(seen_by))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smaller = larger.withColumn("m", F.min("v").over(seen_by))
+        linked = smaller.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = checkpointed(linked.where("u > v").distinct())
+    every = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x")).select("x.*")
+    alone = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # A self-loop of a linked node names no component of its own: the smaller name wins.
+    return every.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def threshold_edges(pairs: DataFrame, threshold: float) -> DataFrame:
