@@ -37,7 +37,7 @@ SEEDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 LOW = np.uint64(2**48 - 1)
 EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
 #: Sets of a block.
-CHUNK = 16
+CHUNK = 48
 NO_ID = 2**63 - 1
 
 
