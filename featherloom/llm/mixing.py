@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
-from .common import mix64, slots_of, table, word_count
+from .common import mix64, table, word_count
 
 WEIGHTS, SHARE, MOST, FAN = (3.0, 1.0, 2.0), 1.5, 2.0, 64
+#: Rows of all sources together for each slot: slots follow the rows alone, so any session draws the same mix.
+SLOT_ROWS = 2_048
 SEED = 7
 
 
@@ -69,8 +71,8 @@ def pivot(p: np.ndarray, size: np.ndarray, key: np.ndarray, group: np.ndarray) -
 
 
 def _round_slots(batches):
-    """Rows sorted by source and slot. All of a slot's rows meet here, and there
-    are as many slots as the cluster's shuffles call for."""
+    """Rows sorted by source and slot. All of a slot's rows meet here: SLOT_ROWS
+    at most on average, whatever share of the rows a source has."""
     kept = None
     for b in batches:
         b = b if kept is None else pd.concat([kept, b], ignore_index=True)
@@ -92,9 +94,8 @@ def _rounded(b: pd.DataFrame) -> pd.DataFrame:
     return b.assign(p=p)
 
 
-def copies(rows: DataFrame, slots: int | None = None) -> DataFrame:
+def copies(rows: DataFrame, slots: int) -> DataFrame:
     """``rows`` (source_no, p, size, key and others) with p rounded to 0 or 1."""
-    slots = slots or slots_of(rows.sparkSession)
     level = rows.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(slots)).cast("int"))
     done = []
     while True:
@@ -122,13 +123,15 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     copies. Repeated rows are rounded each on its own. Null sources are one
     source, the last. Columns of ``rows`` with the name of a result give way.
     """
-    rows = rows.drop("source_no", "source_size", "target", "copies", "taken")
+    # Read for the targets, for their join and for the count, but counted out of the texts once.
+    rows = checkpointed(rows.drop("source_no", "source_size", "target", "copies", "taken"))
+    slots = max(1, -(-rows.count() // SLOT_ROWS))
     t = targets(rows, weights, share, most)
     # As many rows as sources: joined by the session's own choice, never forced to broadcast.
     r = rows.join(t.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     r = r.withColumn("whole", F.floor(per).cast("long")).withColumn("p", F.when(F.col("size") > 0, per - F.floor(per)).otherwise(0.0)).withColumn("key", F.xxhash64("doc_id", "size", F.lit(SEED)))
-    r = copies(r).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
+    r = copies(r, slots).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
     return r.withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "p", "key", "source_no")
 
 

@@ -242,7 +242,9 @@ def test_mix_reaches_targets_and_reruns_agree(spark):
     rng = random.Random(4)
     rows = spark.createDataFrame([(i, f"s{i % 5}" if i % 7 else None, rng.randint(0, 300)) for i in range(3000)], "doc_id long, source string, size long").withColumn("target", F.lit(1))
     one = mixing.mix(rows).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
     two = mixing.mix(rows.repartition(9)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert Counter(map(tuple, one)) == Counter(map(tuple, two)) and len(one) == 3000
     taken, target = defaultdict(int), {}
     for r in one:
