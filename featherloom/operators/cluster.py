@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
+from .blocks import separation
+from .dependency import blend, symmetric, to_distance
+
 MAX_SIZE, KS = 7, tuple(range(6, 21))
 
 
@@ -131,24 +135,16 @@ def stability(ari: DataFrame) -> DataFrame:
 
 def alpha_sweep(nmi: DataFrame, rho: DataFrame, features: Sequence[str], alphas: Sequence[float], ks: Sequence[int] = KS, max_size: int = MAX_SIZE) -> DataFrame:
     """The best valid clustering of the signed blend for each alpha, ranked. Raises if no alpha has one."""
-    from ..plans.lineage import checkpointed
-    from .blocks import separation
-    from .dependency import blend, symmetric, to_distance
-
-    spark = nmi.sparkSession
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
     out = None
-    labels_of = {}
     for a in alphas:
         pairs = checkpointed(blend(nmi, rho, a, "signed_clip"))
         dist = checkpointed(to_distance(symmetric(pairs, features)))
         labels = checkpointed(hierarchical_labels(dist, features, ks))
         best = choose_k(evaluate(dist, labels, ("k",), max_size).where("valid"))
-        labels_of[a] = labels
         sep = separation(labels.withColumnRenamed("label", "block_id"), pairs, ("k",)).select("k", "mean_within", "mean_between", "ratio")
         row = best.join(sep, "k").withColumn("alpha", F.lit(float(a)))
         out = row if out is None else out.unionByName(row)
-    found = rank_candidates(checkpointed(out.join(grid, "alpha", "left_semi")))
+    found = rank_candidates(checkpointed(out))
     if found.isEmpty():
         raise ValueError(f"no clustering keeps its blocks to {max_size} features")
     return found

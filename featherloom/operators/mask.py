@@ -43,16 +43,16 @@ def block_masks(trials: DataFrame, blocks: Sequence[tuple[int, str]], ratio: flo
     for b, _ in blocks:
         sizes[b] = sizes.get(b, 0) + 1
     target = mask_size(len(blocks), ratio)
-    spark = trials.sparkSession
-    ids = spark.createDataFrame([(b,) for b in sizes], "block_id long")
-    shuffled = trials.join(F.broadcast(ids)).groupBy("trial").agg(F.transform(F.sort_array(F.collect_list(F.struct(hash_unit(F.col("trial"), F.col("block_id")).alias("u"), "block_id"))), lambda x: x["block_id"]).alias("order"))
+    each = trials.select("trial", F.explode(F.array(*[F.lit(b).cast("long") for b in sizes])).alias("block_id"))
+    shuffled = each.groupBy("trial").agg(F.transform(F.sort_array(F.collect_list(F.struct(hash_unit(F.col("trial"), F.col("block_id")).alias("u"), "block_id"))), lambda x: x["block_id"]).alias("order"))
 
     @F.pandas_udf("array<long>")
     def chosen(order: pd.Series) -> pd.Series:
         return order.map(lambda o: choose_blocks([int(b) for b in o], sizes, target))
 
-    table = spark.createDataFrame(list(blocks), "block_id long, feature string")  # the bounded list of features
-    return shuffled.withColumn("chosen", chosen("order")).join(F.broadcast(table)).select("trial", "block_id", "feature", F.array_contains("chosen", F.col("block_id")).alias("masked"))
+    placed = F.array(*[F.struct(F.lit(b).cast("long").alias("block_id"), F.lit(f).alias("feature")) for b, f in blocks])
+    rows = shuffled.select("trial", chosen("order").alias("chosen")).select("trial", "chosen", F.inline(placed))
+    return rows.select("trial", "block_id", "feature", F.array_contains("chosen", F.col("block_id")).alias("masked"))
 
 
 def random_masks(trials: DataFrame, features: Sequence[str], ratio: float = 0.25) -> DataFrame:
