@@ -49,7 +49,8 @@ def separation(blocks: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> D
     """Mean score within and between blocks over all pairs, and their ratio; per
     value of ``by`` if the block table holds several configurations."""
     b = blocks.select(*by, "block_id", "feature")
-    p = pairs.join(b.withColumnsRenamed({"block_id": "block_1", "feature": "f1"}), "f1").join(b.withColumnsRenamed({"block_id": "block_2", "feature": "f2"}), ["f2", *by])
+    shared = [c for c in by if c in pairs.columns]
+    p = pairs.join(b.withColumnsRenamed({"block_id": "block_1", "feature": "f1"}), ["f1", *shared]).join(b.withColumnsRenamed({"block_id": "block_2", "feature": "f2"}), ["f2", *by])
     same = F.col("block_1") == F.col("block_2")
     g = p.groupBy(*by).agg(F.avg(F.when(same, F.col("score"))).alias("mean_within"), F.avg(F.when(~same, F.col("score"))).alias("mean_between"), F.min(F.when(same, F.col("score"))).alias("min_within"), F.max(F.when(~same, F.col("score"))).alias("max_between"), F.count_if(same).alias("n_within"), F.count_if(~same).alias("n_between"))
     return g.withColumn("ratio", ratio(F.col("mean_within"), F.col("mean_between")))

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import clamp
 from ..plans.lineage import checkpointed
 from .blocks import separation
-from .dependency import blend, symmetric, to_distance
 
 MAX_SIZE, KS = 7, tuple(range(6, 21))
 
@@ -74,11 +74,12 @@ def hierarchical_labels(distances: DataFrame, features: Sequence[str], ks: Seque
 
 
 def silhouette(distances: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean silhouette per value of ``by``; a point alone in its cluster counts 0;
+    """Mean silhouette per value of ``by``, of which the distances may have some too; a point alone in its cluster counts 0;
     null unless there are 2 to n - 1 clusters."""
     own = labels.select(*by, F.col("feature").alias("f1"), F.col("label").alias("own"))
     other = labels.select(*by, F.col("feature").alias("f2"), "label")
-    sums = distances.where(F.col("f1") != F.col("f2")).join(own, "f1").join(other, ["f2", *by]).groupBy(*by, "f1", "own", "label").agg(F.avg("distance").alias("d"))
+    shared = [c for c in by if c in distances.columns]  # a distance may be one of several
+    sums = distances.where(F.col("f1") != F.col("f2")).join(own, ["f1", *shared]).join(other, ["f2", *by]).groupBy(*by, "f1", "own", "label").agg(F.avg("distance").alias("d"))
     ab = sums.groupBy(*by, "f1").agg(F.max(F.when(F.col("own") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("label"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     sizes = labels.groupBy(*by).agg(F.count_distinct("label").alias("clusters"), F.count("*").alias("n"))
@@ -135,16 +136,15 @@ def stability(ari: DataFrame) -> DataFrame:
 
 def alpha_sweep(nmi: DataFrame, rho: DataFrame, features: Sequence[str], alphas: Sequence[float], ks: Sequence[int] = KS, max_size: int = MAX_SIZE) -> DataFrame:
     """The best valid clustering of the signed blend for each alpha, ranked. Raises if no alpha has one."""
-    out = None
-    for a in alphas:
-        pairs = checkpointed(blend(nmi, rho, a, "signed_clip"))
-        dist = checkpointed(to_distance(symmetric(pairs, features)))
-        labels = checkpointed(hierarchical_labels(dist, features, ks))
-        best = choose_k(evaluate(dist, labels, ("k",), max_size).where("valid"))
-        sep = separation(labels.withColumnRenamed("label", "block_id"), pairs, ("k",)).select("k", "mean_within", "mean_between", "ratio")
-        row = best.join(sep, "k").withColumn("alpha", F.lit(float(a)))
-        out = row if out is None else out.unionByName(row)
-    found = rank_candidates(checkpointed(out))
+    grid = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
+    both = nmi.join(rho, ["f1", "f2"]).select("f1", "f2", "nmi", F.coalesce("score", F.lit(0.0)).alias("rho"), grid)
+    pairs = checkpointed(both.select("alpha", "f1", "f2", clamp(F.col("alpha") * F.col("nmi") + (1 - F.col("alpha")) * F.col("rho")).alias("score")))
+    half = pairs.select("alpha", "f1", "f2", clamp(1 - F.col("score")).alias("distance"))
+    dist = half.unionByName(half.select("alpha", F.col("f2").alias("f1"), F.col("f1").alias("f2"), "distance"))
+    labels = checkpointed(hierarchical_labels(dist, features, ks, "alpha"))
+    best = choose_k(evaluate(dist, labels, ("alpha", "k"), max_size).where("valid"), ["alpha"])
+    parts = separation(labels.withColumnRenamed("label", "block_id"), pairs, ("alpha", "k")).select("alpha", "k", "mean_within", "mean_between", "ratio")
+    found = rank_candidates(checkpointed(best.join(parts, ["alpha", "k"])))
     if found.isEmpty():
         raise ValueError(f"no clustering keeps its blocks to {max_size} features")
     return found
