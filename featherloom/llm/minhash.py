@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.lineage import checkpointed
 from .common import join_by_key, mix64, number_rows, table
-from .texthash import shingle_sets
+from .texthash import pieces, shingle_sets
 
 BINS = 256  # a bin is the top 8 bits of a hash
 ROWS = 5
@@ -83,7 +83,7 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             sets = shingle_sets(b.column("text"), width)
             n = np.array([len(s) for s in sets], np.int64)
             h1 = np.array([mix64(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
@@ -108,7 +108,7 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _verify(width: int, percent: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             a_ids, b_ids = b.column("a").to_numpy(), b.column("b").to_numpy()
             cache: dict[int, np.ndarray] = {}
             for ids, texts in ((a_ids, b.column("text_a")), (b_ids, b.column("text_b"))):
@@ -123,7 +123,7 @@ def _verify(width: int, percent: int):
 
 def _shingle_rows(width: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             sets = shingle_sets(b.column("text"), width)
             row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -186,8 +186,8 @@ def _compare(width: int, percent: int):
     def run(batches):
         for b in batches:
             a_ids, b_ids = [], []
-            for row in b.select(["left", "right"]).to_pylist():
-                x, y = row["left"], row["right"]
+            for k in range(len(b)):  # one pair of blocks at a time becomes Python objects
+                x, y = b.column("left")[k].as_py(), b.column("right")[k].as_py()
                 if not x or not y:
                     continue
                 sx, sy = (shingle_sets(pa.array([m["text"] for m in side], pa.string()), width) for side in (x, y))

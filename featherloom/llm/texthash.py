@@ -38,6 +38,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (_P, _PINV))
 
 
+def pieces(batches, rows: int = 1000):
+    """Batches of ``rows`` rows at most, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 class Prefix:
     """Hashes of any spans of a byte array, from prefix sums modulo 2**64."""
 
