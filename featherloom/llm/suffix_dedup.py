@@ -105,7 +105,9 @@ def _rows(name, second, dk, th, run, again=None) -> pa.RecordBatch:
     """Rows for the sort by names. Of rows with equal names in a batch only the
     first can stand for them: the others, and those given as ``again``, are
     known repeats. They go along under a name of their document, with run < 0,
-    so that no name is heavier than the number of batches that hold it."""
+    so that no name is heavier than the number of batches that hold it. A row
+    equal to another in place too is a copy of its document's row, which speaks
+    for both: it repeats nothing and does not go along."""
     sure = np.zeros(len(run), bool) if again is None else again.copy()
     second = second >> np.uint64(32)
     key = mix64(name + second * C1) if len(name) else name
@@ -114,7 +116,14 @@ def _rows(name, second, dk, th, run, again=None) -> pa.RecordBatch:
     i = order[same | np.r_[same[1:], False]] if len(key) else order
     i = i[~sure[i]]
     i = i[np.lexsort((run[i], th[i], dk[i], second[i], name[i]))]
-    sure[i[1:][(name[i[1:]] == name[i[:-1]]) & (second[i[1:]] == second[i[:-1]])]] = True
+    as_before = (name[i[1:]] == name[i[:-1]]) & (second[i[1:]] == second[i[:-1]])
+    copy = as_before & (dk[i[1:]] == dk[i[:-1]]) & (th[i[1:]] == th[i[:-1]]) & (run[i[1:]] == run[i[:-1]])
+    i, copies, as_before = np.r_[i[:1], i[1:][~copy]], i[1:][copy], as_before[~copy]
+    sure[i[1:][as_before]] = True
+    if len(copies):
+        stays = np.ones(len(run), bool)
+        stays[copies] = False
+        name, second, dk, th, run, sure = (c[stays] for c in (name, second, dk, th, run, sure))
     # A document's known repeats share a name, so they lie together and compress.
     name = np.where(sure, mix64(dk.view(np.uint64)) if len(run) else name, name)
     second = np.where(sure, np.uint64(0), second)

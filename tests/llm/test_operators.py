@@ -159,6 +159,19 @@ def test_repeats_of_odd_rows(spark):
     assert suffix_dedup.cut_repeats(odd_docs(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_equal_rows_are_one_document_in_one_batch_too(spark, corpus, parts):
+    words = sorted({w for t in corpus for w in (t or "").split()})
+    passage = " ".join(words[:60])
+    texts = [passage + " one", " ".join(words[60:120]), "two " + passage]
+    want = cut_by_hand(texts)
+    rows = [(i, texts[i], "en", "s", 0) for i in (0, 1, 2, 0, 1, 2, 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(parts) if parts > 1 else spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = [(r["doc_id"], (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed"]) // 2, hashlib.sha256(bytes(r["kept"])).hexdigest())) for r in suffix_dedup.cut_repeats(df).collect()]
+    assert sorted(got) == sorted((r[0], want[r[0]]) for r in rows)
+    assert want[0][1] == want[1][1] == 0 < want[2][1]
+
+
 # op4 ---------------------------------------------------------------------------------------------
 
 
