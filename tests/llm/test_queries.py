@@ -73,6 +73,30 @@ def test_pipeline_stages(spark, duck):
     assert all(n == 1 or n * budget[b] <= 16_384 for b, n in batches.items())
 
 
+def test_near_dedup_takes_texts_of_one_id_or_none_apart(spark):
+    words = [[f"{c}{i}" for i in range(40)] for c in "abcdefgh"]
+    text = [" ".join(w) for w in words]
+    near = lambda k: " ".join([*words[k][:-1], "x"])
+    rows = [
+        (1, text[0]), (None, near(0)), (None, text[1]), (None, text[2]), (None, near(2)), (None, None), (2, text[3]), (2, text[4]),
+        (3, near(4)), (4, text[5]), (4, near(5)), (4, text[6]), (0, near(6)), (5, text[7]), (5, text[7]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    groups = [{(1, text[0]), (None, near(0))}, {(2, text[4]), (3, near(4))}, {(0, near(6)), (4, text[6])}]
+    smallest = {(1, text[0]), (2, text[4]), (0, near(6)), (None, text[1]), (None, None), (2, text[3]), (5, text[7])}
+    seen = set()
+    for parts in (1, 3, 7):
+        got = corpus_pipeline.near_dedup(spark, docs.repartition(parts), SF).collect()
+        seen.add(frozenset(tuple(r) for r in got))
+        kept = {(r["doc_id"], r["text"]) for r in got}
+        assert len(got) == len(kept) == len(smallest) + 2 and smallest <= kept
+        assert all(len(kept & g) == 1 for g in groups)
+        # Of equal ids the hash decides, always alike.
+        assert len(kept & {(None, text[2]), (None, near(2))}) == len(kept & {(4, text[5]), (4, near(5))}) == 1
+        assert [r["source"] for r in got if r["doc_id"] == 5] == ["s13"]
+    assert len(seen) == 1
+
+
 def test_pipeline_runs_whole(spark, duck):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "bucket", "bucket_len", "batch", "place"] and out.count() > 0
