@@ -22,9 +22,8 @@ from .common import table
 
 #: The lexicon and the model are fitted on so many labelled documents at most, those whose ids hash lowest.
 SAMPLE = 20_000
-#: Most terms of a lexicon; fewest toxic documents of a term; least lower bound of its log-odds;
-#: least share of toxic ones among the documents that hold the term, or a misspelling of it.
-TERMS, SUPPORT, BOUND, PURITY = 3_000, 5, 1.5, 0.98
+#: Most terms of a lexicon; fewest toxic documents of a term; least lower bound of its log-odds, and least log-odds of its misspellings.
+TERMS, SUPPORT, BOUND = 3_000, 5, 1.5
 #: Terms from this length on are found with one edit.
 FUZZY_FROM = 5
 WINDOW = 6
@@ -168,6 +167,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50
     return w
 
 
+def fit_not_negative(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """fit_logistic where more of a hit never makes a text cleaner: a feature whose
+    weight comes out negative gets 0, and the others are fitted again without it."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        v = fit_logistic(x[:, use], y)
+        if (v[1:] >= 0).all():
+            w = np.zeros(x.shape[1] + 1)
+            w[0], w[1:][use] = v[0], v[1:]
+            return w
+        use[np.flatnonzero(use)[np.argmin(v[1:])]] = False
+
+
 def in_fold(id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id).cast("string")) % 3 == 1, F.lit(False))
 
@@ -190,7 +202,7 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], lis
     seen = sample.select("toxic", word).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("a"))
     t, c = F.col("t") + 0.5, F.col("a") - F.col("t") + 0.5
     bound = F.log(t / (pos + 1)) - F.log(c / (neg + 1)) - 1.96 * F.sqrt(1 / t + 1 / c)
-    best = seen.where((F.col("t") >= SUPPORT) & (F.col("t") >= PURITY * F.col("a"))).withColumn("w", bound).where(F.col("w") >= BOUND).orderBy(F.desc("w"), "term").limit(terms).collect()
+    best = seen.where(F.col("t") >= SUPPORT).withColumn("w", bound).where(F.col("w") >= BOUND).orderBy(F.desc("w"), "term").limit(terms).collect()
     return [r["term"] for r in best], [float(r["w"]) for r in best]
 
 
@@ -207,11 +219,14 @@ def _spelled(terms, weights, fuzzy):
 
 def misspellable(sample: DataFrame, terms: list[str], weights: list[float]) -> list[bool]:
     """Which terms to find with an edit: long ones, unless their neighbours are
-    ordinary words, which shows in the sample's clean documents."""
+    ordinary words, which shows in the log-odds of what the sample holds of them."""
     fuzzy = [len(t) >= FUZZY_FROM for t in terms]
     seen = sample.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(_spelled(terms, weights, fuzzy), "term long, toxic long")
     # One row a term at most.
-    for r in seen.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("a")).where(F.col("t") < PURITY * F.col("a")).collect():
+    n = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
+    t, c = F.col("t") + 0.5, F.col("a") - F.col("t") + 0.5
+    odds = F.log(t / (float(n["p"]) + 1)) - F.log(c / (float(n["n"] - n["p"]) + 1))
+    for r in seen.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("a")).where(odds < BOUND).collect():
         fuzzy[r["term"]] = False
     return fuzzy
 
@@ -251,9 +266,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fuzzy = misspellable(sample, terms, weights)
     # At most SAMPLE rows of FEATURES numbers.
     rows = sample.select("doc_id", F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(_features(terms, weights, fuzzy), "doc_id long, toxic long, x array<double>").toPandas().sort_values(["doc_id", "toxic"])
-    w = fit_logistic(np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(float))
-    # More of a hit never makes a text cleaner.
-    w[1:] = np.maximum(w[1:], 0)
+    w = fit_not_negative(np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(float))
     return docs.select("doc_id", "text").mapInArrow(_score(terms, weights, fuzzy, w), "doc_id long, score double")
 
 

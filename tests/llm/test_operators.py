@@ -367,6 +367,27 @@ def test_toxic_documents_are_found_in_the_held_out_fold(spark):
     assert toxicity.score(docs.limit(0), lab).count() == 0
 
 
+def test_terms_that_clean_documents_quote_are_scored_by_their_use(spark):
+    rng = random.Random(7)
+    plain, bad = [f"word{i}" for i in range(200)], ["grobian", "scoundrel", "blackguard"]
+    rows, labels, kinds = [], [], []
+    for i in range(2000):
+        kind = {0: "used", 10: "used", 5: "quoted"}.get(i % 20, "plain")
+        w = [rng.choice(plain) for _ in range(30)]
+        t = rng.choice(bad)
+        t = t if rng.random() < 0.7 else t[:3] + "z" + t[3:]
+        if kind != "plain":
+            w[rng.randrange(2, 28)] = t if kind == "used" else f'wrote "{t}"'
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(kind == "used")))
+        kinds.append(kind)
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert set(bad) <= set(toxicity.learn_lexicon(toxicity.labelled_sample(docs, lab))[0])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lab).collect()}
+    share = lambda kind: np.mean([got[i] >= toxicity.THRESHOLD for i, k in enumerate(kinds) if k == kind and zlib.crc32(str(i).encode()) % 3 == 1])
+    assert share("used") > 0.85 and share("quoted") < 0.1 and share("plain") < 0.03
+
+
 def base_by_hand(text):
     w, lines = WORDS.findall(text or ""), [x for x in (text or "").split("\n") if WORDS.search(x)]
     tri = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
