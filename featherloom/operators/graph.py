@@ -2,41 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
 
-
-def _is_stars(e: DataFrame) -> bool:
-    """Whether each larger node u has one edge, to a node v that has none itself."""
-    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("x")).select("x.*")
-    g = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
-    return g.where("ups > 1 or (ups = 1 and n > 1)").isEmpty()
+#: Edges that a task gathers before it reduces them to stars.
+GATHER = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node that is not the least of its component of the edges (u, v)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low != high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _reduced(batches):
+    """(u, v) of a partition as stars, and the distinct u that it was dealt."""
+    u, v, dealt, held = [], [], [], 0
+    for b in batches:
+        u.append(b.column("u").to_numpy(zero_copy_only=False))
+        v.append(b.column("v").to_numpy(zero_copy_only=False))
+        dealt.append(u[-1])
+        held += len(b)
+        if held > GATHER:
+            x, y = stars(np.concatenate(u), np.concatenate(v))
+            u, v, dealt, held = [x], [y], [np.unique(np.concatenate(dealt))], 0
+    if not u:
+        return None
+    return *stars(np.concatenate(u), np.concatenate(v)), np.unique(np.concatenate(dealt))
+
+
+def _stars_of_task(batches):
+    if (found := _reduced(batches)) is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[:2]], ["u", "v"])
+
+
+def _stars_of_dealt(kind):
+    """As above for edges dealt by u; ``own`` marks nodes that are dealt to this task, the only one to own them."""
+
+    def run(batches):
+        if (found := _reduced(batches)) is not None:
+            x, y, dealt = found
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind), pa.array(np.isin(x, dealt))], ["u", "v", "own"])
+
+    return run
+
+
+def parents(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, component) of each node but the least one of its component.
+
+    Each task reduces its edges to stars. They are dealt by their outer node and
+    reduced again, so that a node is met by one row of each task at most,
+    whatever its degree. Then each outer node follows its centre's own centre, in
+    a join whose large keys Spark can split. Rounds end when nothing moves, after
+    about log(n) of them.
+    """
+    kind, arrow = ("string", pa.string()) if dict(edges.dtypes)[a] == "string" else ("bigint", pa.int64())
+    pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v"))
+    while True:
+        reduced = pairs.mapInArrow(_stars_of_task, f"u {kind}, v {kind}").repartition("u").mapInArrow(_stars_of_dealt(arrow), f"u {kind}, v {kind}, own boolean")
+        up = reduced.where("own").select(F.col("u").alias("centre"), F.col("v").alias("next"))
+        moved = reduced.join(up.hint("merge"), F.col("v") == F.col("centre"), "left").select("u", F.coalesce("next", "v").alias("v"), (F.col("next").isNotNull() | ~F.col("own")).alias("moved"))
+        moved = checkpointed(moved)
+        pairs = moved.select("u", "v")
+        if moved.where("moved").isEmpty():
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component) of each node that has an edge: the component is named
-    after its smallest node. Self-loops and repeated edges change nothing.
-
-    Alternates two steps until every component is a star around its smallest
-    node, which takes about log(n) rounds: each node links its larger
-    neighbours, then its smaller ones, to the smallest node it sees.
-    """
-    pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    pairs = checkpointed(pairs.distinct())
-    e = pairs.where("u > v")
-    seen_by = Window.partitionBy("u")
-    while not _is_stars(e):
-        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
-        larger = both.withColumn("m", F.least("u", F.min("v").over(seen_by))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        smaller = larger.withColumn("m", F.min("v").over(seen_by))
-        linked = smaller.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = checkpointed(linked.where("u > v").distinct())
-    every = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x")).select("x.*")
-    alone = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    # A self-loop of a linked node names no component of its own: the smaller name wins.
-    return every.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+    after its smallest node. Self-loops and repeated edges change nothing; an
+    edge with a null end is none. Nodes are integers (long) or strings."""
+    every = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    nodes = every.select(F.explode(F.array(a, b)).alias("node")).distinct()
+    found = parents(edges, a, b)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def threshold_edges(pairs: DataFrame, threshold: float) -> DataFrame:
