@@ -8,14 +8,16 @@ their Jaccard similarity, concentrated as for independent hashes. Bands of
 coordinates give candidates, and full sets confirm them.
 
 Copies are never compared pair by pair. Documents with equal sets are one
-class. Classes that share a bucket are a family, and what a class shares with
-none of its family bounds every similarity it can have: 2-word shingles of its
-own keep it out of buckets where no partner is small enough. In each bucket
+class, numbered once. Classes that share a bucket are a family, and what a class
+shares with none of its family bounds every similarity it can have: shingles of
+its own keep it out of buckets where no partner is small enough. In each bucket
 that is left, all classes are compared with one hub, the one with the fewest
 shingles of its own; linked ones then count as one component. Where a bucket
 still holds several components, the classes outside a family's largest one are
 compared with all of the family that share a band with them, in blocks of
-CHUNK by CHUNK sets, so that no table of pairs is made. No bucket is capped.
+about CHUNK by CHUNK sets, so that no table of pairs is made. No bucket is
+capped. Joins on a bucket, class or hub are sort-merge joins on plain shuffles,
+whose large keys Spark splits at run time.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import parents
 from ..plans.lineage import checkpointed
-from .common import join_by_key, mix64, number_rows, table
+from .common import mix64, table
 from .texthash import pieces, shingle_sets
 
 BINS = 256  # a bin is the top 8 bits of a hash
@@ -36,9 +38,8 @@ BANDS = BINS // ROWS
 SEEDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LOW = np.uint64(2**48 - 1)
 EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
-#: Sets of a block.
+#: Sets of a block, about.
 CHUNK = 48
-NO_ID = 2**63 - 1
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -91,7 +92,7 @@ def _sign(width: int):
             keys = [band_keys(sketch(s)) for s in sets if len(s)]
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n), pa.array(h1), pa.array(h2), bands], ["node", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEY), pa.array(n), pa.array(h1), pa.array(h2), bands], [*KEY, "n", "h1", "h2", "bands"])
 
     return run
 
@@ -127,16 +128,18 @@ def _shingle_rows(width: int):
             sets = shingle_sets(b.column("text"), width)
             row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("family").take(row), pa.array(flat), b.column("node").take(row)], ["family", "shingle", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("family").take(row), pa.array(flat), b.column("c").take(row)], ["family", "shingle", "c"])
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long")
+    """Those of the pairs (hub, c) whose full sets are similar enough. The hub's
+    text, which many pairs need, is joined last: it is copied in memory only."""
+    one = texts.select("c", F.col("text").alias("text_b")).hint("merge")
+    hub = texts.select(F.col("c").alias("hub"), F.col("text").alias("text_a")).hint("merge")
+    both = pairs.join(one, "c").join(hub, "hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "text_a", "text_b")
+    return both.mapInArrow(_verify(width, percent), "a long, b long")
 
 
 def _possible(n: str, s: str, m: str, t: str, percent: int):
@@ -145,38 +148,32 @@ def _possible(n: str, s: str, m: str, t: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(s, t) * (100 + percent) >= (n + m) * percent)
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links, "a", "b")
-    return nodes.join(found, nodes["node"] == found["node"], "left").select(nodes["node"], F.coalesce("component", nodes["node"]).alias("comp"))
-
-
-def _buckets(own: DataFrame) -> DataFrame:
-    """(key, node, n, first, least) of each band of a class that another class
-    shares: the bucket's smallest node, and its smallest set."""
-    rows = own.select("node", "n", F.explode("bands").alias("key"))
-    shared = checkpointed(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("first"), F.min("n").alias("least")).where("rows > 1"))
-    return checkpointed(join_by_key(rows, shared, ["key"], "rows").select("key", "node", "n", "first", "least"))
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, c, n, first, least) of each band of a class that another class
+    shares: the bucket's smallest class, and its smallest set."""
+    rows = classes.select("c", "n", F.explode("bands").alias("key"))
+    shared = checkpointed(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("first"), F.min("n").alias("least")).where("rows > 1").drop("rows"))
+    return checkpointed(rows.join(shared.hint("merge"), "key"))
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
-    """(key, a, na, sa, rows): of each bucket the member with the least share of shingles of its own."""
-    own = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    return rows.groupBy("key").agg(F.min(own).alias("h"), F.count("*").alias("rows")).select("key", "h.a", "h.na", "h.sa", "rows")
+    """(key, hub, nh, sh, rows): of each bucket the member with the least share of shingles of its own."""
+    own = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("c").alias("hub"), F.col("n").alias("nh"), F.col("s").alias("sh"))
+    return rows.groupBy("key").agg(F.min(own).alias("h"), F.count("*").alias("rows")).where("rows > 1").select("key", "h.hub", "h.nh", "h.sh", "rows")
 
 
 def _families(inside: DataFrame) -> DataFrame:
-    """(node, family) of classes that buckets connect."""
-    edges = inside.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    return checkpointed(connected_components(edges, "a", "b").select("node", F.col("component").alias("family")))
+    """(c, family) of classes that buckets connect."""
+    found = parents(inside.select(F.col("first").alias("src"), F.col("c").alias("dst")))
+    return inside.select("c").distinct().join(found.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("family"))
 
 
 def _shared_shingles(inside: DataFrame, family: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, s): how many shingles of a class occur in another of its family."""
-    rows = texts.join(family.hint("merge"), "node").select("family", "node", "text").mapInArrow(_shingle_rows(width), "family long, shingle long, node long")
-    lone = rows.groupBy("family", "shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("u"))
-    sizes = inside.select("node", "n").distinct().groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets"))
-    # An id with several texts is bounded by nothing.
-    return sizes.join(lone, "node", "left").select("node", F.when(F.col("sets") > 1, F.col("most") * 1000).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    """(c, family, s): how many shingles of a class occur in another of its family."""
+    rows = texts.join(family.hint("merge"), "c").select("family", "c", "text").mapInArrow(_shingle_rows(width), "family long, shingle long, c long")
+    lone = rows.groupBy("family", "shingle").agg(F.min("c").alias("c"), F.max("c").alias("other")).where("c = other").groupBy("c").agg(F.count("*").alias("u"))
+    sizes = inside.groupBy("c").agg(F.min("n").alias("n"))
+    return sizes.join(family, "c").join(lone, "c", "left").select("c", "family", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
 
 
 def _compare(width: int, percent: int):
@@ -200,74 +197,127 @@ def _compare(width: int, percent: int):
                 go &= (bx[:, None, :] == by[None, :, :]).any(2)
                 for i, j in zip(*np.nonzero(go), strict=True):
                     if _similar(sx[i], sy[j], percent):
-                        a_ids.append(x[i]["node"])
-                        b_ids.append(y[j]["node"])
+                        a_ids.append(x[i]["c"])
+                        b_ids.append(y[j]["c"])
             yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _late_links(nodes: DataFrame, own: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components inside families. ``nodes`` has family, node, comp, n, s."""
-    sizes = nodes.groupBy("family", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("c", "comp")).alias("m")).select("family", F.col("m.comp").alias("main"))
-    placed = nodes.join(largest, "family").withColumn("minor", F.col("comp") != F.col("main"))
-    placed = number_rows(checkpointed(placed), ["family", "minor"], ["node", "n", "s"], "at").withColumn("chunk", F.floor(F.col("at") / CHUNK))
-    full = placed.join(own.select("node", "n", "bands").hint("merge"), ["node", "n"]).join(texts.hint("merge"), "node")
-    chunks = checkpointed(full.groupBy("family", "minor", "chunk").agg(F.collect_list(F.struct("node", "comp", "n", "s", "bands", "text")).alias("members")))
-    names = chunks.select("family", "minor", "chunk")
-    left = names.where("minor").select("family", F.col("chunk").alias("lc"))
-    met = left.join(names.select("family", F.col("minor").alias("rm"), F.col("chunk").alias("rc")), "family").where("not rm or lc <= rc")
-    lefts = chunks.where("minor").select("family", F.col("chunk").alias("lc"), F.col("members").alias("left"))
-    rights = chunks.select("family", F.col("minor").alias("rm"), F.col("chunk").alias("rc"), F.col("members").alias("right"))
-    met = met.join(lefts.hint("merge"), ["family", "lc"]).join(rights.hint("merge"), ["family", "rm", "rc"])
-    return met.select("left", "right").mapInArrow(_compare(width, percent), "a long, b long")
-
-
-def _all_links(own: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, comp): each class in its component."""
-    inside = _buckets(own)
-    texts = checkpointed(docs.join(inside.select("node").distinct().hint("merge"), "node", "left_semi"))
-    family = _families(inside)
+def _late_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components inside families. ``open_`` has family, c, comp, n, s."""
+    sizes = open_.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
+    blocks = lambda k: F.greatest(F.ceil(k / CHUNK), F.lit(1)).cast("int")
+    sizes = sizes.select("family", F.col("m.comp").alias("main"), blocks(F.col("m.k")).alias("mains"), blocks(F.col("all") - F.col("m.k")).alias("minors"))
+    minor = F.col("comp") != F.col("main")
+    placed = open_.join(sizes, "family").withColumn("minor", minor).withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))).cast("int"))
+    full = placed.join(classes.select("c", "bands").hint("merge"), "c").join(texts.hint("merge"), "c")
+    blocks_ = checkpointed(full.groupBy("family", "minor", "block").agg(F.first("mains").alias("mains"), F.first("minors").alias("minors"), F.collect_list(F.struct("c", "comp", "n", "s", "bands", "text")).alias("members")))
+    # Of two minor blocks the smaller number goes left; every main block meets every minor one.
+    named = lambda minor, first, n: F.transform(F.sequence(first, F.col(n) - 1), lambda i: F.struct(F.lit(minor).alias("minor"), i.alias("block")))
+    met = F.concat(named(False, F.lit(0), "mains"), named(True, F.col("block"), "minors"))
+    left = blocks_.where("minor").select("family", F.col("members").alias("left"), F.explode(met).alias("x")).select("family", "x.minor", "x.block", "left")
+    right = blocks_.select("family", "minor", "block", F.col("members").alias("right"))
+    return left.join(right.hint("merge"), ["family", "minor", "block"]).select("left", "right").mapInArrow(_compare(width, percent), "a long, b long")
+
+
+def _components(classes: DataFrame, texts_of, width: int, percent: int) -> DataFrame:
+    """(c, comp) of the classes that are linked with others, but the least of each component."""
+    inside = _buckets(classes)
+    texts = checkpointed(texts_of(inside.select("c").distinct()))
+    family = checkpointed(_families(inside))
     shared = _shared_shingles(inside, family, texts, width)
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    rows = inside.join(shared, "node").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "node", "n", "s")
+    rows = inside.join(shared.hint("merge"), "c").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "c", "family", "n", "s")
     rows = checkpointed(rows)
-    hubs = checkpointed(_hubs(rows).where("rows > 1"))
-    rows = checkpointed(join_by_key(rows, hubs, ["key"], "rows").where("node <> a"))
-    pairs = rows.where(_possible("n", "s", "na", "sa", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    rows = checkpointed(rows.join(checkpointed(_hubs(rows)).hint("merge"), "key"))
+    ends = F.least("hub", "c").alias("x"), F.greatest("hub", "c").alias("y")
+    pairs = rows.where((F.col("c") != F.col("hub")) & _possible("n", "s", "nh", "sh", percent)).groupBy(*ends).agg(F.min("hub").alias("hub"))
+    pairs = pairs.select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("c"))
     links = checkpointed(_links(pairs, texts, width, percent))
-    comp = checkpointed(_components(reps, links))
-    named = rows.where("rows > 2").select("key", "node", "n", "s").join(comp, "node")
+    comp = parents(links, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("comp"))
+    named = rows.where("rows > 2").select("key", "c", "family", "n", "s").join(comp.hint("merge"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key")
-    nodes = checkpointed(named.join(mixed, "key", "left_semi").select("node", "n", "s", "comp").distinct().join(family, "node"))
-    late = checkpointed(_late_links(nodes, own, texts, width, percent))
-    return comp if late.isEmpty() else checkpointed(_components(reps, links.unionByName(late)))
+    open_ = checkpointed(named.join(mixed.hint("merge"), "key", "left_semi").groupBy("c", "family", "n", "s", "comp").agg(F.lit(1).alias("_")).drop("_"))
+    if open_.isEmpty():
+        return comp
+    late = checkpointed(_late_links(open_, classes, texts, width, percent))
+    if late.isEmpty():
+        return comp
+    # Components so far are stars: with the links between them they are the whole graph.
+    return parents(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(late), "a", "b").select(F.col("node").alias("c"), F.col("component").alias("comp"))
+
+
+#: A row is told apart by its id and its text: two hashes of it, 96 bits.
+KEY = ("id", "t1", "t2")
+
+
+def _keyed(docs: DataFrame, id: str, *more) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), *more)
+
+
+def _first(*key: str):
+    """Orders rows: by id, null after all others, then by the hashes of the text."""
+    return F.struct(F.col(key[0]).isNull().alias("none"), *[F.col(k).alias(n) for k, n in zip(key, KEY, strict=True)])
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", width: int = 2, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
+def _same(a: DataFrame, b: DataFrame):
+    return [a[k].eqNullSafe(b[k]) for k in KEY]
 
-    Rows without text or words have an empty set, are linked with nothing and
-    kept. Rows that share an id are one document, linked to all that any of
-    its texts is; a null id sorts after all others. Other columns are ignored.
+
+def _classified(docs: DataFrame, id: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (KEY, n, h1, h2), and (h1, h2, n, own, first) of each class with words: its first row and its component's."""
+    texts = _keyed(docs, id, "text")
+    kinds = "id long, t1 long, t2 int, n long, h1 long, h2 long, bands array<long>"
+    signed = checkpointed(texts.mapInArrow(_sign(width), kinds))
+    made = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(_first(*KEY)).alias("own"), F.first("bands").alias("bands"))
+    classes = checkpointed(made.withColumn("c", F.monotonically_increasing_id()))  # fixed as soon as it is written
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(c, text) of some classes: of the class's first row, however often it is repeated."""
+        first = classes.join(wanted.hint("merge"), "c", "left_semi").select("c", "own.id", "own.t1", "own.t2")
+        each = texts.groupBy(*KEY).agg(F.first("text").alias("text"))
+        return each.join(first.hint("merge"), _same(each, first)).select("c", "text")
+
+    comp = _components(classes, texts_of, width, percent)
+    own = classes.select("c", "own")
+    # Of a component's classes the least in number need not have its first row.
+    linked = checkpointed(comp.unionByName(comp.select(F.col("comp").alias("c"), "comp").distinct()).join(own.hint("merge"), "c"))
+    first = checkpointed(linked.groupBy("comp").agg(F.min("own").alias("first")))
+    named = linked.select("c", "comp").join(first.hint("merge"), "comp").select("c", "first")
+    rated = classes.select("c", "h1", "h2", "n", "own").join(named.hint("merge"), "c", "left")
+    return signed.select(*KEY, "n", "h1", "h2"), checkpointed(rated.select("h1", "h2", "n", "own", F.coalesce("first", "own").alias("first")))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row of ``docs``.
+
+    Rows whose sets overlap in ``percent`` of their union are linked; a
+    component is named after its smallest id, a null id after all others. Rows
+    without text or words have an empty set, are linked with nothing and kept.
+    Each row is a document of its own, whatever its id: rows that share an id,
+    or have none, are linked by their texts alone. Other columns are ignored.
+    The id must be an integer or read as one.
     """
-    d = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("node"), "text")
-    signed = checkpointed(d.mapInArrow(_sign(width), "node long, n long, h1 long, h2 long, bands array<long>"))
-    worded = signed.where("n > 0")
-    classes = checkpointed(worded.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.count("*").alias("rows")))
-    reps = classes.select(F.col("rep").alias("node")).distinct()
-    own = worded.join(classes.select(F.col("rep").alias("node"), "h1", "h2"), ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
-    comp = _all_links(own, reps, d, width, percent)
-    by_class = checkpointed(classes.join(comp.withColumnRenamed("node", "rep"), "rep").select("h1", "h2", "n", "comp", "rows"))
-    rated = join_by_key(worded.select("node", "n", "h1", "h2"), by_class, ["h1", "h2", "n"], "rows")
-    every = rated.select("node", "n", "comp").unionByName(signed.where("n = 0").select("node", "n", F.col("node").alias("comp")))
-    name = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return every.select(name("node").alias(id), F.col("n").alias("n_shingles"), name("comp").alias("component_id"), (F.col("node") == F.col("comp")).alias("kept"))
+    rows, classes = _classified(docs, id, width, percent)
+    worded = rows.where("n > 0").join(classes.select("h1", "h2", "n", F.col("first.id").alias("comp")).hint("merge"), ["h1", "h2", "n"]).select("id", "n", "comp")
+    every = worded.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("comp")))
+    return every.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each component of near-duplicates, and each row without
+    words, once: of rows equal in id and text the least in its other columns.
+    The first is the one of the least id, null last, then of the least hash of text."""
+    rows, classes = _classified(docs, id, width, percent)
+    kept = classes.where("own = first").select("own.id", "own.t1", "own.t2").unionByName(rows.where("n = 0").select(*KEY).distinct())
+    # Repeated rows are combined before they are dealt out. The kept documents grow with all: merged, never broadcast.
+    once = _keyed(docs, id, F.struct(*docs.columns).alias("row")).groupBy(*KEY).agg(F.min("row").alias("row"))
+    return once.join(kept.hint("merge"), _same(once, kept), "left_semi").select("row.*")
 
 
 def op2(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op2_sql() -> str:

@@ -20,6 +20,8 @@ _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 #: Texts are hashed in runs of about so many bytes, which fit a core's cache.
 RUN = 1 << 19
+#: A longer text is read in pieces, so that what is made of its bytes stays small beside it.
+PIECE = 1 << 22
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +68,29 @@ def runs(ends: np.ndarray):
         i = min(j, n)
 
 
+def _long_words(b: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the words of one long text, read in pieces; a word may span several."""
+    out, raw, length = [], np.uint64(0), 0
+    for i in range(0, len(b), PIECE):
+        x = _ASCII_LOWER[b[i : i + PIECE]] if lower else b[i : i + PIECE]
+        word = ~_SPACE[x]
+        start, stop = np.flatnonzero(word & np.r_[True, ~word[:-1]]), np.flatnonzero(word & np.r_[~word[1:], True]) + 1
+        p, n = Prefix(x), stop - start
+        r = (p.sums[stop] - p.sums[start]) * p.down[start]
+        if length and len(start) and start[0] == 0:  # the word goes on
+            r[:1] = raw + r[:1] * np.uint64(pow(_P, length, 2**64))
+            n[0] += length
+        elif length:
+            out.append(mix64(np.full(1, raw) + np.uint64(length) * np.full(1, _K)))
+        length = 0
+        if len(stop) and stop[-1] == len(x):
+            raw, length, r, n = r[-1], int(n[-1]), r[:-1], n[:-1]
+        out.append(mix64(r + n.astype(np.uint64) * _K) if len(r) else r)
+    if length:
+        out.append(mix64(np.full(1, raw) + np.uint64(length) * np.full(1, _K)))
+    return np.concatenate(out)
+
+
 def shingle_sets(column: pa.Array, width: int, lower: bool = True) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's ``width``-word shingles; a
     text with fewer words is one shingle, one without words has none."""
@@ -73,21 +98,25 @@ def shingle_sets(column: pa.Array, width: int, lower: bool = True) -> list[np.nd
     out: list[np.ndarray] = []
     for i, j in runs(ends):
         b = data[ends[i] : ends[j]]
-        if lower:
-            b = _ASCII_LOWER[b]
-        off = ends[i : j + 1] - ends[i]
-        word = ~_SPACE[b]
-        edge = np.zeros(len(b) + 1, bool)
-        edge[off] = True
-        start = np.flatnonzero(word & np.r_[True, ~word[:-1]][: len(b)] | word & edge[:-1])
-        stop = np.flatnonzero(word & (np.r_[~word[1:], True][: len(b)] | edge[1:])) + 1
-        h = Prefix(b).of(start, stop)
-        first = np.searchsorted(start, off[:-1])
-        n = np.searchsorted(start, off[1:]) - first
+        if j == i + 1 and len(b) > PIECE:
+            h, first = _long_words(b, lower), np.zeros(1, np.int64)
+            n = np.array([len(h)])
+        else:
+            if lower:
+                b = _ASCII_LOWER[b]
+            off = ends[i : j + 1] - ends[i]
+            word = ~_SPACE[b]
+            edge = np.zeros(len(b) + 1, bool)
+            edge[off] = True
+            start = np.flatnonzero(word & np.r_[True, ~word[:-1]][: len(b)] | word & edge[:-1])
+            stop = np.flatnonzero(word & (np.r_[~word[1:], True][: len(b)] | edge[1:])) + 1
+            h = Prefix(b).of(start, stop)
+            first = np.searchsorted(start, off[:-1])
+            n = np.searchsorted(start, off[1:]) - first
         s = h.copy()
         for k in range(1, width):
-            s = s * _K
-            s[: len(s) - k] += h[k:]
+            s *= _K
+            s[: max(0, len(s) - k)] += h[k:]
         s = mix64(s)
         for t in range(j - i):
             if n[t] >= width:

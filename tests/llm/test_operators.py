@@ -53,13 +53,13 @@ def odd_docs(spark):
 # op2 ---------------------------------------------------------------------------------------------
 
 
-def shingles(text):
+def shingles(text, width):
     w = [x for x in WORDS.findall("".join(c.lower() if c.isascii() else c for c in text or ""))]
-    return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def near_groups(texts):
-    sets = [shingles(t) for t in texts]
+def near_groups(texts, width):
+    sets = [shingles(t, width) for t in texts]
     root = list(range(len(sets)))
 
     def find(i):
@@ -75,24 +75,48 @@ def near_groups(texts):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def test_near_duplicates_against_all_pairs(spark, corpus):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs_of(spark, corpus)).collect()}
-    want = near_groups(corpus)
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_against_all_pairs(spark, corpus, width):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs_of(spark, corpus), width=width).collect()}
+    want = near_groups(corpus, width)
     assert got == {i: (n, c, i == c) for i, (n, c) in enumerate(want)}
 
 
 def test_a_chain_of_near_copies_is_one_component(spark):
     words = [f"w{i}" for i in range(100)]
     chain = [" ".join([f"x{k}_{i}" if i < 4 * k else w for i, w in enumerate(words)] if k % 2 else [f"y{i}" if i < 4 * k else w for i, w in enumerate(words)]) for k in range(8)]
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, chain)).collect()}
-    assert got == {i: c for i, (_, c) in enumerate(near_groups(chain))}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, chain), width=2).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(near_groups(chain, 2))}
+
+
+def test_a_family_just_under_the_threshold_keeps_every_link(spark, monkeypatch):
+    """Texts that share buckets but are seldom linked go through the blocks of sets."""
+    monkeypatch.setattr(minhash, "CHUNK", 4)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(150)]
+    texts = [" ".join([*common, *(f"own{k // 3}_{i}" for i in range(36)), *(f"x{k}_{i}" for i in range(rng.randint(1, 20)))]) for k in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), width=2).collect()}
+    want = {i: c for i, (_, c) in enumerate(near_groups(texts, 2))}
+    assert got == want and 5 < len(set(want.values())) < 60
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    rows = minhash.near_duplicates(odd_docs(spark)).collect()
+    rows = minhash.near_duplicates(odd_docs(spark), width=2).collect()
     assert len(rows) == 7
     assert {r["component_id"] for r in rows if r["n_shingles"] == 3} == {1}
     assert minhash.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+    kept = minhash.without_near_duplicates(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns
+    # The repeated text once, the other text of its id, and a row each for null and empty text.
+    assert sorted((str(r["doc_id"]), r["text"] and r["text"][:5]) for r in kept.collect()) == [("1", "a b c"), ("1", "other"), ("2", ""), ("None", None)]
+    assert minhash.without_near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_texts_without_an_id_link_no_strangers(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, words[0], "en", "s", 0), (2, words[1], "en", "s", 0), (None, words[0] + " x", "en", "s", 0), (None, words[1] + " x", "en", "s", 0), (None, words[2], "en", "s", 0)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == {(1, 1, True): 1, (2, 2, True): 1, (None, 1, False): 1, (None, 2, False): 1, (None, None, True): 1}
 
 
 def test_sketches_fill_and_estimate_similarity():
@@ -115,6 +139,16 @@ def test_shingle_sets_follow_the_words():
     assert set(got[4]) < set(got[0]) and set(got[6]) < set(got[0])
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_long_texts_are_hashed_in_pieces_alike(monkeypatch, corpus, piece):
+    from featherloom.llm import texthash
+
+    texts = [t for t in corpus if t and len(t) > 70] + ["a" * 500 + " b " + "c" * 100, " " * 90, "x" * 200]
+    whole = [shingle_sets(pa.array([t]), 3)[0].tolist() for t in texts]
+    monkeypatch.setattr(texthash, "PIECE", piece)
+    assert [shingle_sets(pa.array([t]), 3)[0].tolist() for t in texts] == whole
+
+
 # op5 ---------------------------------------------------------------------------------------------
 
 

@@ -43,7 +43,7 @@ def test_pipeline_stages(spark, duck):
     assert {i for i, x in labels.items() if x["quality"] == 1} - failed <= ids
 
     rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
-    groups = near_groups([r["text"] for r in rows])
+    groups = near_groups([r["text"] for r in rows], 5)  # the stage takes five words, op2 two
     near = spark.createDataFrame(stages["minhash_dedup"](spark, kept, SF).collect(), docs.schema)
     assert {r["doc_id"] for r in near.collect()} == {r["doc_id"] for i, (r, (_, c)) in enumerate(zip(rows, groups, strict=True)) if c == i}
 
