@@ -23,19 +23,8 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near-duplicates, once.
-
-    Rows equal in id and text are one document; other texts of one id, or of
-    none, are documents of their own. The smallest is that of the least id, null
-    after all others, then of the least hash of id and text.
-    """
-    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("own")
-    groups = minhash.near_duplicates(docs.select(own, "text"), "own").select("own", "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first")
-    kept = docs.select("doc_id", own).distinct().join(groups.hint("merge"), "own").groupBy("component_id").agg(first).select("first.own")
-    # Merged, never broadcast: the kept documents grow with all documents. Of rows equal in id and text the least stays.
-    rows = docs.select(own, F.struct(*docs.columns).alias("row")).join(kept.hint("merge"), "own", "left_semi")
-    return rows.groupBy("own").agg(F.min("row").alias("row")).select("row.*")
+    """The first document of each group of near-duplicates, once: five-word shingles, similarity 0.8."""
+    return minhash.without_near_duplicates(docs, width=5, percent=80)
 
 
 def suffix_array_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
