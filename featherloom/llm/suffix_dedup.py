@@ -20,8 +20,11 @@ is cut at that depth:
    then by all their bytes; what is still open is cut into single windows, and
    these are merged in sorted order: of equal neighbours the first stays.
 
-Names are fingerprints of 64 bits, second names of 32 more; both together make
-the identity of a suffix.
+Names only bring together what may be equal; second names, 64-bit fingerprints
+of all bytes of a run or block, decide. A single window is named by 96 bits of
+its bytes. A name with many second names would be one task's: the most frequent
+ones of a sample of the documents are dealt by both names instead, and their
+runs go on as open whatever else there is, so the sample steers the work alone.
 No step holds a group in memory: names are streamed in sorted order, and one
 row waits for its successor.
 """
@@ -30,7 +33,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,10 @@ AT = np.uint64(2**24 - 1)
 PIECE = 1 << 22
 #: Rows that a task gathers before it passes them on.
 EMIT = 200_000
+#: Names with so many second names in one of SAMPLED documents are dealt by both; at most so many of each kind.
+SAMPLED, CONTEXTS, SPREAD_NAMES = 64, 64, 1_000
+#: Marks the runs of such names. A run's number is below it, a known repeat's is negative.
+SPREAD_MARK = 1 << 62
 C1, C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 NO_ID = -(2**63)
 
@@ -101,15 +107,15 @@ def run_of(lo, n, at):
     return (lo * 128 + n) * 128 + at
 
 
-def _rows(name, second, dk, th, run, again=None) -> pa.RecordBatch:
+def _rows(name, second, dk, th, run, again=None, spread=None) -> pa.RecordBatch:
     """Rows for the sort by names. Of rows with equal names in a batch only the
     first can stand for them: the others, and those given as ``again``, are
     known repeats. They go along under a name of their document, with run < 0,
-    so that no name is heavier than the number of batches that hold it. A row
+    so that equal rows of one name are no more than the batches that hold it. A row
     equal to another in place too is a copy of its document's row, which speaks
-    for both: it repeats nothing and does not go along."""
+    for both: it repeats nothing and does not go along. Names in ``spread`` are
+    mixed with their second names, and the runs marked."""
     sure = np.zeros(len(run), bool) if again is None else again.copy()
-    second = second >> np.uint64(32)
     key = mix64(name + second * C1) if len(name) else name
     order = np.argsort(key, kind="stable")
     same = np.r_[False, key[order[1:]] == key[order[:-1]]] if len(key) else np.empty(0, bool)
@@ -124,36 +130,78 @@ def _rows(name, second, dk, th, run, again=None) -> pa.RecordBatch:
         stays = np.ones(len(run), bool)
         stays[copies] = False
         name, second, dk, th, run, sure = (c[stays] for c in (name, second, dk, th, run, sure))
+    if spread is not None and len(spread):
+        hot = np.isin(name, spread) & ~sure
+        name, run = np.where(hot, mix64(name ^ second * C2), name), np.where(hot, run | SPREAD_MARK, run)
     # A document's known repeats share a name, so they lie together and compress.
-    name = np.where(sure, mix64(dk.view(np.uint64)) if len(run) else name, name)
+    name = np.where(sure, mix64(dk.view(np.uint64) ^ th.view(np.uint64) * C2) if len(run) else name, name)
     second = np.where(sure, np.uint64(0), second)
     return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), pa.array(dk), pa.array(th), pa.array(np.where(sure, -run - 1, run))], ["name", "second", "dk", "th", "run"])
 
 
-def _sample(batches):
-    for batch in batches:
-        data, ends = text_bytes(batch.column("text"))
-        found, held = [], 0
-        for i, j in runs(ends):
-            if held > EMIT:
-                yield _placed(batch, found)
-                found, held = [], 0
-            if ends[j] - ends[i] > PIECE:
-                for s in range(0, ends[j] - ends[i], PIECE):
-                    b = data[ends[i] + s : min(ends[j], ends[i] + s + PIECE + LENGTH - 1)]
-                    if r := sampled_runs(b, np.array([0, len(b)])):
-                        found.append((r[0] + i, r[1], r[2], r[3] + s, *r[4:]))
-                        held += len(r[0])
-            elif r := sampled_runs(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]):
-                found.append((r[0] + i, *r[1:]))
+def _found(batch: pa.RecordBatch):
+    """sampled_runs of the texts of a batch, (row of the batch, ...), some texts or a piece of one at a time."""
+    data, ends = text_bytes(batch.column("text"))
+    for i, j in runs(ends):
+        if ends[j] - ends[i] > PIECE:
+            for s in range(0, ends[j] - ends[i], PIECE):
+                b = data[ends[i] + s : min(ends[j], ends[i] + s + PIECE + LENGTH - 1)]
+                if r := sampled_runs(b, np.array([0, len(b)])):
+                    yield (r[0] + i, r[1], r[2], r[3] + s, *r[4:])
+        elif r := sampled_runs(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]):
+            yield (r[0] + i, *r[1:])
+
+
+def _sample(spread: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            found, held = [], 0
+            for r in _found(batch):
+                if held > EMIT:
+                    yield _placed(batch, found, spread)
+                    found, held = [], 0
+                found.append(r)
                 held += len(r[0])
-        if found:
-            yield _placed(batch, found)
+            if found:
+                yield _placed(batch, found, spread)
+
+    return run
 
 
-def _placed(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+def _placed(batch: pa.RecordBatch, found: list, spread: np.ndarray) -> pa.RecordBatch:
     text, name, second, lo, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
-    return _rows(name, second, batch.column("dk").to_numpy()[text], batch.column("th").to_numpy()[text], run_of(lo, n, at))
+    return _rows(name, second, batch.column("dk").to_numpy()[text], batch.column("th").to_numpy()[text], run_of(lo, n, at), spread=spread)
+
+
+def _names(batches):
+    """(kind, name, second) of all runs (0) and of all their blocks (1)."""
+    for batch in batches:
+        data, ends = text_bytes(batch.column("text"))
+        for text, name, second, lo, n, at in _found(batch):
+            p, shift = _spanned(data, ends[text] + lo, n)
+            blocks = [x[1:3] for x in _cut_blocks(p, ends[text] + lo - shift, n, at)]
+            kinds = [np.zeros(len(name), np.int64), *(np.ones(len(x[0]), np.int64) for x in blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), *(pa.array(np.concatenate([own, *(x[k] for x in blocks)]).view(np.int64)) for k, own in enumerate((name, second)))], ["kind", "name", "second"])
+
+
+def _spanned(data: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[Prefix, int]:
+    """Hashes over the bytes that runs and their blocks need, and where those begin."""
+    base, end = int(lo.min()), int((lo + n).max()) + LENGTH + BLOCK
+    return Prefix(data[base:end]), base
+
+
+def _cut_blocks(p: Prefix, lo: np.ndarray, n: np.ndarray, at: np.ndarray):
+    """Of runs at places of p: (run, name, second name, first window, windows) of their blocks, counted back from the sample."""
+    a, hi = lo + at, lo + n - 1
+    for j in range(SPREAD // BLOCK + 1):
+        top = a - BLOCK * j  # the block's last window, at the most
+        s, e = np.maximum(lo, top - BLOCK + 1), np.minimum(hi, top)
+        k = np.flatnonzero(s <= e)
+        if len(k):
+            s, e, t = s[k], e[k], top[k]
+            # Named by the bytes that all windows of a whole block would share.
+            name = mix64(p.of(t, t - BLOCK + 1 + LENGTH) + np.full(1, j, np.uint64) * C1)
+            yield k, name, mix64(p.of(s, e + LENGTH) + (t - s).astype(np.uint64) * C1 + (e - s).astype(np.uint64) * C2), s, e - s + 1
 
 
 def _judge(batches):
@@ -181,84 +229,87 @@ def _judge(batches):
         if held is not None:
             other_before[0], pending[0] = held[1], held[2]
         other_after = np.r_[as_name[first[1:]], False]
-        sure = c[4] < 0
+        sure, marked = c[4] < 0, c[4] >= SPREAD_MARK
         repeat = np.flatnonzero((as_second & ~copy) | sure)
-        contested = first[pending & (other_before | other_after) & ~sure[first]]
-        rows = t.take(pa.array(np.r_[repeat, contested]))
+        contested = first[pending & (other_before | other_after | marked[first]) & ~sure[first]]
+        rows = np.r_[repeat, contested]
         is_open = np.r_[np.zeros(len(repeat), bool), np.ones(len(contested), bool)]
-        run = rows.column("run").to_numpy()
-        cols = [*(rows.column(k).combine_chunks() for k in names[2:4]), pa.array(np.where(run < 0, -run - 1, run))]
-        if "body" in t.column_names:
-            body = rows.column("body").combine_chunks()
-            cols.append(pc.if_else(pa.array(is_open), body, pa.scalar(None, body.type)))
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(is_open)], [*names[2:], *(["body"] if "body" in t.column_names else []), "open"])
+        run = c[4][rows]
+        yield pa.RecordBatch.from_arrays([pa.array(c[2][rows]), pa.array(c[3][rows]), pa.array(np.where(run < 0, -run - 1, run & (SPREAD_MARK - 1))), pa.array(is_open)], [*names[2:], "open"])
         # The last stretch goes on in the next batch, with its first row if that is still to be judged.
         last = len(first) - 1
-        waits = bool(pending[last] and not other_before[last])
+        waits = bool(pending[last] and not other_before[last] and not marked[first[last]])
         held = (t.slice(first[last] if waits else n - 1, 1), bool(other_before[last]), waits)
 
 
-def _blocks(batches):
-    """Blocks of the open runs of texts, with the bytes that their windows cover."""
-    for batch in batches:
-        data, ends = text_bytes(batch.column("text"))
-        lists = batch.column("runs")
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        out, bodies = [], []
-        for i in range(len(batch)):
-            r = values[at[i] : at[i + 1]]
-            if len(bodies) > EMIT // 8:
-                yield _block_rows(batch, out, bodies)
-                out, bodies = [], []
-            if not len(r):
-                continue
-            lo, n, off = r >> 14, (r >> 7) & 127, r & 127
-            a, hi = lo + off, lo + n - 1
-            # Only the stretch needed is hashed: a long text with few runs costs little.
-            base = lo.min()
-            b = data[ends[i] + base : ends[i] + min(ends[i + 1] - ends[i], hi.max() + LENGTH + BLOCK)]
-            p = Prefix(b)
-            for j in range(SPREAD // BLOCK + 1):
-                top = a - BLOCK * j  # the block's last window, at the most
-                s, e = np.maximum(lo, top - BLOCK + 1), np.minimum(hi, top)
-                k = np.flatnonzero(s <= e)
-                if not len(k):
-                    continue
-                s, e, top = s[k], e[k], top[k]
-                name = mix64(p.of(top - base, top - BLOCK + 1 + LENGTH - base) + np.full(1, j, np.uint64) * C1)
-                second = mix64(p.of(s - base, e + LENGTH - base) + (top - s).astype(np.uint64) * C1 + (e - s).astype(np.uint64) * C2)
-                out.append((np.full(len(k), i), name, second, run_of(s, e - s + 1, 0)))
-                bodies += [b[x:y].tobytes() for x, y in zip((s - base).tolist(), (e + LENGTH - base).tolist(), strict=True)]
-        if out:
-            yield _block_rows(batch, out, bodies)
-
-
-def _block_rows(batch: pa.RecordBatch, out: list, bodies: list) -> pa.RecordBatch:
-    row, name, second, run = (np.concatenate(x) for x in zip(*out, strict=True))
-    row = pa.array(row)
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((second >> np.uint64(32)).view(np.int64)), batch.column("dk").take(row), batch.column("th").take(row), pa.array(run), pa.array(bodies, pa.binary())], ["name", "second", "dk", "th", "run", "body"])
+def _stretches(batch: pa.RecordBatch):
+    """(row of the batch, run, first window's place in the batch's bytes) of the
+    runs listed with texts, for some texts or a piece of one at a time."""
+    data, ends = text_bytes(batch.column("text"))
+    lists = batch.column("runs")
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    for i, j in runs(ends):
+        r = values[at[i] : at[j]]
+        if not len(r):
+            continue
+        row = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
+        place = ends[row] + (np.where(r < 0, -r - 1, r) >> 14)
+        piece = (place - ends[i]) // (PIECE if ends[j] - ends[i] > PIECE else 2 * PIECE)
+        for k in np.unique(piece):
+            own = piece == k
+            yield data, row[own], r[own], place[own]
+
+
+def _blocks(spread: np.ndarray):
+    """Blocks of the open runs of texts."""
+
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+            dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
+            rows = lambda out: _rows(*(np.concatenate(x) for x in zip(*out, strict=True)), spread=spread)
+            for data, row, r, place in _stretches(batch):
+                n, at = (r >> 7) & 127, r & 127
+                p, shift = _spanned(data, place, n)
+                for k, name, second, s, m in _cut_blocks(p, place - shift, n, at):
+                    out.append((name, second, dk[row[k]], th[row[k]], run_of((r[k] >> 14) + s + shift - place[k], m, 0)))
+                    held += len(k)
+                if held > EMIT:
+                    yield rows(out)
+                    out, held = [], 0
+            if out:
+                yield rows(out)
+
+    return run
 
 
 def _windows(batches):
-    """Single windows of open blocks; other rows go along as known repeats."""
+    """Single windows of open blocks; known repeats (listed as -run - 1) go along as such."""
     for batch in batches:
-        if not len(batch):
-            continue
-        is_open = batch.column("open").to_numpy(zero_copy_only=False)
-        done, batch = batch.filter(pa.array(~is_open)), batch.filter(pa.array(is_open))
-        data, ends = text_bytes(batch.column("body"))
-        run = batch.column("run").to_numpy()
-        lo, n = run >> 14, (run >> 7) & 127
-        row = np.repeat(np.arange(len(run)), n)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        p = ends[row] + k - ends[0]
-        b = data[ends[0] : ends[-1]]
-        half = LENGTH // 2
-        x = Prefix(b)
-        name, second = x.of(p, p + LENGTH), mix64(x.of(p, p + half) * C1 + mix64(x.of(p + half, p + LENGTH)))
-        cols = [np.r_[batch.column(c).to_numpy()[row], done.column(c).to_numpy()] for c in ("dk", "th")]
-        extra = np.zeros(len(done), np.uint64)
-        yield _rows(np.r_[name, extra], np.r_[second, extra], *cols, np.r_[run_of(lo.repeat(n) + k, 1, 0), done.column("run").to_numpy()], np.r_[np.zeros(len(row), bool), np.ones(len(done), bool)])
+        out, held = [], 0
+        dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
+        rows = lambda out: _rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        for data, row, r, place in _stretches(batch):
+            again = r < 0
+            if again.any():
+                none = np.zeros(int(again.sum()), np.uint64)
+                out.append((none, none, dk[row[again]], th[row[again]], -r[again] - 1, np.ones(len(none), bool)))
+                held += len(none)
+            row, r, place = row[~again], r[~again], place[~again]
+            if len(r):
+                n = (r >> 7) & 127
+                x, shift = _spanned(data, place, n)
+                run = np.repeat(np.arange(len(r)), n)
+                k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                p, half = place[run] + k - shift, LENGTH // 2
+                second = mix64(x.of(p, p + half) * C1 + mix64(x.of(p + half, p + LENGTH)))
+                out.append((x.of(p, p + LENGTH), second >> np.uint64(32), dk[row[run]], th[row[run]], run_of((r[run] >> 14) + k, 1, 0), np.zeros(len(run), bool)))
+                held += len(run)
+            if held > EMIT:
+                yield rows(out)
+                out, held = [], 0
+        if out:
+            yield rows(out)
 
 
 def _cut(batches):
@@ -271,17 +322,12 @@ def _cut(batches):
         kept, spans = [], []
         for i in range(len(batch)):
             b = data[ends[i] : ends[i + 1]]
-            r = rv[ra[i] : ra[i + 1]]
+            r = np.sort(rv[ra[i] : ra[i + 1]])
             cut = np.empty(0, np.int64)
             if len(r):
-                lo, n = r >> 14, (r >> 7) & 127
-                step = np.zeros(len(b) + 1, np.int32)
-                step += np.bincount(lo, minlength=len(b) + 1)[: len(b) + 1].astype(np.int32)
-                step -= np.bincount(lo + n, minlength=len(b) + 1)[: len(b) + 1].astype(np.int32)
-                p = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-                if len(p):
-                    new = np.flatnonzero(np.r_[True, p[1:] > p[:-1] + LENGTH])
-                    cut = np.stack([p[new], p[np.r_[new[1:], len(p)] - 1] + LENGTH], 1).ravel()
+                lo, end = r >> 14, np.maximum.accumulate((r >> 14) + ((r >> 7) & 127) - 1 + LENGTH)
+                new = np.flatnonzero(np.r_[True, lo[1:] > end[:-1]])
+                cut = np.stack([lo[new], end[np.r_[new[1:], len(r)] - 1]], 1).ravel()
             spans.append(cut)
             if len(cut):
                 edges = np.r_[0, cut, len(b)]
@@ -303,29 +349,40 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("name").sortWithinPartitions("name", "second", "dk", "th", "run")
 
 
+def spread_names(docs: DataFrame) -> list[np.ndarray]:
+    """Names of runs, and of blocks, with the most second names in a sample of the
+    documents, SPREAD_NAMES of each at most."""
+    few = docs.where(F.pmod(F.xxhash64("dk", "th"), F.lit(SAMPLED)) == 0).select("text")
+    seen = few.mapInArrow(_names, "kind long, name long, second long").groupBy("kind", "name", "second").agg(F.lit(1).alias("_"))
+    often = seen.groupBy("kind", "name").agg(F.count("*").alias("n")).where(F.col("n") >= CONTEXTS).orderBy(F.desc("n"), "kind", "name").limit(SPREAD_NAMES).collect()
+    return [np.array(sorted(r["name"] for r in often if r["kind"] == k), np.int64).view(np.uint64) for k in (0, 1)]
+
+
 def cut_repeats(docs: DataFrame, id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, kept, removed) of each row: the bytes that stay, and the
     removed runs as a flat array of starts and ends. The columns named in
     ``carry`` come along; they are not called text, runs, n_bytes, kept or removed.
 
     Null and empty texts keep nothing and lose nothing, nor do texts under
-    LENGTH bytes. A null id comes before all others. Rows equal in id and text
-    are one document, each returned; other texts of one id count as documents
-    of their own, in the order of a hash.
+    LENGTH bytes. A null id comes before all others; the id is an integer or
+    reads as one. Rows equal in id and text are one document, each returned;
+    other texts of one id count as documents of their own, in the order of a
+    hash, of 64 bits where the id is null and of 32 elsewhere.
     """
     d = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("dk"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     along = [f"carry_{i}" for i in range(len(carry))]
-    d = d.withColumn("th", F.hash("text"))
-    place = "dk long, th int, run long"
-    sampled = d.select("dk", "th", "text").mapInArrow(_sample, f"name long, second long, {place}")
+    d = d.withColumn("th", F.when(F.col("dk") == NO_ID, F.xxhash64("text")).otherwise(F.hash("text").cast("long")))
+    place = "dk long, th long, run long"
+    hot_names, hot_blocks = spread_names(d)
+    sampled = d.select("dk", "th", "text").mapInArrow(_sample(hot_names), f"name long, second long, {place}")
     # Of a document as many runs as it has bytes at most.
     runs_ = checkpointed(_sorted(sampled).mapInArrow(_judge, f"{place}, open boolean").groupBy("dk", "th").agg(F.collect_list(F.when(~F.col("open"), F.col("run"))).alias("cut"), F.collect_list(F.when(F.col("open"), F.col("run"))).alias("runs")))
-    # Both joins deal the texts out alike, in one query, so that they share one shuffle.
+    # All three joins deal the texts out alike, in one query, so that they share one shuffle.
     none = F.array().cast("array<long>")
-    open_ = d.join(runs_.where(F.size("runs") > 0).select("dk", "th", "runs").hint("merge"), ["dk", "th"]).select("dk", "th", "text", "runs", *along)
-    blocks = _sorted(open_.mapInArrow(_blocks, f"name long, second long, {place}, body binary"))
-    windows = blocks.mapInArrow(lambda batches: _windows(_judge(batches)), f"name long, second long, {place}")
-    windows = _sorted(windows).mapInArrow(_judge, f"{place}, open boolean")
+    with_text = lambda listed: d.join(listed.hint("merge"), ["dk", "th"]).select("dk", "th", "text", "runs", *along)
+    blocks = with_text(runs_.where(F.size("runs") > 0).select("dk", "th", "runs")).mapInArrow(_blocks(hot_blocks), f"name long, second long, {place}")
+    blocks = _sorted(blocks).mapInArrow(_judge, f"{place}, open boolean").groupBy("dk", "th").agg(F.collect_list(F.when(F.col("open"), F.col("run")).otherwise(-F.col("run") - 1)).alias("runs"))
+    windows = _sorted(with_text(blocks).mapInArrow(_windows, f"name long, second long, {place}")).mapInArrow(_judge, f"{place}, open boolean")
     late = windows.where("not open").groupBy("dk", "th").agg(F.collect_list("run").alias("late"))
     plan = runs_.select("dk", "th", "cut").join(late, ["dk", "th"], "left").select("dk", "th", F.concat("cut", F.coalesce("late", none)).alias("runs"))
     whole = d.join(plan.hint("merge"), ["dk", "th"], "left").select(F.when(F.col("dk") != NO_ID, F.col("dk")).alias("id"), "text", F.coalesce("runs", none).alias("runs"), *along)

@@ -185,6 +185,45 @@ def test_repeats_across_pieces_of_a_long_text(spark, monkeypatch, corpus):
     assert digest5(suffix_dedup.cut_repeats(docs_of(spark, [passage, long, passage + long]))) == dict(enumerate(cut_by_hand([passage, long, passage + long])))
 
 
+def test_a_common_triple_in_many_contexts_is_no_repeat(spark):
+    """Two texts that share 24 bytes, whose names once met in 32 bits."""
+    one = "ijzvomcklsxcfpasgmzjluemgfpjzjgmtukiagoeqmvzwzymfeppqidxceipwvwcwhiixqfbmeskaxgcizyiyzbasifgaggrnwtemqkihlszyrwkogmdinxzejipbmzcyibjztjcgyefogsopvfnewrqbgbeqbknovxshijbgqgilxazjdmzdasktprcntqrguizkuzc"
+    two = "zghnfhvbythkdadjstgbcltsfazeliavzyzypuqgerxpvojirlxevgpcgvldcbwaitpdaawiyprcrqfsrlchcgkosifgaggrnwtemqkihlszyrwkzircwziffdelsjlimstehgjipnhtfltktgodemancvpwdxbwnontwlrcsjcuhocennhzhrcdxerctdidczerajpy"
+    assert [(r["doc_id"], len(r["kept"])) for r in suffix_dedup.cut_repeats(docs_of(spark, [one, two])).orderBy("doc_id").collect()] == [(0, 200), (1, 200)]
+
+
+@pytest.mark.parametrize("often", [2, 64])
+def test_names_dealt_by_both_lose_no_repeat(spark, monkeypatch, often):
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", often)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    line = " ".join(word() for _ in range(14))
+    halves = [" ".join(word() for _ in range(12)) for _ in range(12)]
+    texts = [f"{rng.choice(halves)} {line} {rng.choice(halves)}" for _ in range(300)]
+    found = suffix_dedup.spread_names(docs_of(spark, texts).select(F.col("doc_id").alias("dk"), "text", F.lit(0).alias("th")))
+    assert all(len(x) > 0 for x in found)
+    assert digest5(suffix_dedup.cut_repeats(docs_of(spark, texts).repartition(6))) == dict(enumerate(cut_by_hand(texts)))
+
+
+def test_a_very_long_text_is_read_in_pieces_alike(monkeypatch, corpus):
+    from featherloom.llm import texthash
+
+    texts = [" ".join(t for t in corpus if t)[:4000], *[t or "" for t in corpus[:20]], " ".join(t for t in corpus if t)[1000:5000]]
+    ids, th = pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64())
+    found = lambda: np.concatenate([np.stack([r[0], r[3], r[4], r[5]]) for r in suffix_dedup._found(pa.RecordBatch.from_arrays([ids, th, pa.array(texts)], ["dk", "th", "text"]))], 1)
+    whole = found()
+    listed = [suffix_dedup.run_of(*whole[1:, whole[0] == i]).tolist() for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([ids, th, pa.array(texts), pa.array(listed, pa.list_(pa.int64()))], ["dk", "th", "text", "runs"])
+    rows = lambda f: sorted(tuple(r.values()) for b in f([batch]) for r in b.to_pylist())
+    blocks, windows = rows(suffix_dedup._blocks(np.empty(0, np.uint64))), rows(suffix_dedup._windows)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 200)
+    monkeypatch.setattr(texthash, "RUN", 150)
+    seen = found()
+    assert all(seen[2][seen[0] == i].sum() == max(0, len(t.encode()) - 99) for i, t in enumerate(texts))
+    assert rows(suffix_dedup._blocks(np.empty(0, np.uint64))) == blocks and rows(suffix_dedup._windows) == windows and len(windows) > 7000
+
+
 def test_repeats_of_odd_rows(spark):
     rows = suffix_dedup.cut_repeats(odd_docs(spark)).collect()
     assert len(rows) == 7 and sum(len(r["kept"]) for r in rows) > 0
