@@ -20,7 +20,7 @@ from .operators import graph as gr
 from .operators import mask as mk
 from .operators import prepare as pp
 from .operators import profile as pr
-from .plans.lineage import checkpointed
+from .plans.lineage import checkpointed, shared_folder
 from .sources import sinks, tables
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -38,9 +38,11 @@ FEATURES = {
 NAMES = list(FEATURES)
 BLOCKS = [(1, "price"), (1, "disc_price"), (1, "charge"), (1, "neg_price"), (2, "quantity"), (3, "discount"), (3, "tax"), (4, "tax_amt")]
 LABELINGS = {"x": [1, 2, 3, 3, 1, 1, 1, 4], "y": [1, 2, 3, 4, 1, 1, 5, 6], "z": [1, 2, 2, 2, 1, 1, 1, 1]}
-CANDIDATES = [(0.2, 15, 0.43, 3.73), (0.25, 20, 0.40, 3.88), (0.35, 19, 0.39, 3.84), (0.5, 18, 0.35, 2.92), (0.6, 18, 0.35, 2.80)]
+#: Made-up candidates with ties in every measure.
+CANDIDATES = [(0.1, 9, 0.5, 2.0), (0.3, 12, 0.25, 4.0), (0.45, 16, 0.75, 1.5), (0.7, 17, 0.75, 3.0), (0.9, 18, 0.5, 3.0)]
 ARTIFACTS = {"l_extendedprice": 90000.0}
-TRIALS, RATIO = 200, 0.25
+#: Trials of the mask statistics and of the shortcut experiment.
+TRIALS, SHORTCUT_TRIALS, RATIO = 1_000, 10_000, 0.25
 COMPONENTS_AT = 0.6
 
 
@@ -61,8 +63,8 @@ def _features(spark, d):
 
 
 def _pairs(spark, d):
-    """Absolute correlations, rounded so that thresholds cut alike everywhere."""
-    return dep.correlations(_features(spark, d), NAMES).select("f1", "f2", F.round(F.abs("score"), 6).alias("score"))
+    """Absolute correlations, rounded so that thresholds cut alike everywhere: a row per pair, worked out once."""
+    return checkpointed(dep.correlations(_features(spark, d), NAMES).select("f1", "f2", F.round(F.abs("score"), 6).alias("score")))
 
 
 def _blocks(spark):
@@ -77,8 +79,24 @@ def _distances(spark, d):
     return dep.to_distance(dep.symmetric(_pairs(spark, d), NAMES))
 
 
-def _trials(spark):
-    return tables.trials(spark, TRIALS)
+def _trials(spark, n=TRIALS):
+    return tables.trials(spark, n)
+
+
+def _exact_means(df, names):
+    """Means from exact decimal sums, so that no order of summation shows."""
+    return pr.per_column(df, names, {"mean": lambda c: F.round(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c), 9)})
+
+
+def _moments(spark, d):
+    t = _lineitem(spark, d)
+    m = pr.moments(t, NUMERIC).select("feature", "n", F.round("total", 2).alias("total"), *[F.round(c, 6).alias(c) for c in ("std", "minimum", "maximum")])
+    return m.join(_exact_means(t, NUMERIC), "feature")
+
+
+def _masked_batch(spark, d):
+    m = mk.apply_mask(_features(spark, d), ["price", "tax"])
+    return pr.moments(m, NAMES).select("feature", F.round("maximum", 6).alias("maximum")).join(_exact_means(m, NAMES), "feature")
 
 
 def _profile(spark, d):
@@ -144,21 +162,70 @@ def _silhouette(spark, d):
 
 
 def _hierarchical(spark, d):
-    labels = cl.hierarchical_labels(_distances(spark, d), NAMES, (2, 3, 4, 5))
-    return _rounded(cl.evaluate(_distances(spark, d), labels, ("k",), 4))
+    distances = checkpointed(_distances(spark, d))
+    return _rounded(cl.evaluate(distances, cl.hierarchical_labels(distances, NAMES, (2, 3, 4, 5)), ("k",), 4))
 
 
 def _alpha_sweep(spark, d):
     nmi, rho = _mi(spark, d).select("f1", "f2", "nmi"), _rho(spark, d)
-    return _rounded(cl.alpha_sweep(checkpointed(nmi), checkpointed(rho), NAMES, [0.2, 0.5, 0.8], (2, 3, 4, 5), 5))
+    return _rounded(cl.alpha_sweep(checkpointed(nmi), checkpointed(rho), NAMES, cl.alpha_grid(), (2, 3, 4, 5), 5))
+
+
+def _block_masks(spark, n=TRIALS):
+    return mk.block_masks(_trials(spark, n), BLOCKS, RATIO)
+
+
+def _random_masks(spark, n=TRIALS):
+    return mk.random_masks(_trials(spark, n), NAMES, RATIO)
+
+
+def _shortcuts(spark, d, masks):
+    return mk.shortcuts(masks(spark, SHORTCUT_TRIALS), _pairs(spark, d))
+
+
+def _folder(spark):
+    """A new folder beside the checkpoints, which all executors see."""
+    return shared_folder(spark, "round-trip")
 
 
-def _block_masks(spark):
-    return mk.block_masks(_trials(spark), BLOCKS, RATIO)
+def _csv_round_trip(spark, d):
+    path = _folder(spark)
+    sinks.write_table(_read(spark, d, "supplier"), path, "csv")
+    return tables.read_csv(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", ["s_suppkey", "s_nationkey", "s_acctbal"])
 
 
-def _random_masks(spark):
-    return mk.random_masks(_trials(spark), NAMES, RATIO)
+def _split_round_trip(spark, d):
+    path = _folder(spark)
+    sinks.write_split(_split(spark, d), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("cnt"), F.sum("event_id").alias("ids"))
+
+
+def _matrix_round_trip(spark, d):
+    path = _folder(spark)
+    sinks.write_matrix(dep.symmetric(_pairs(spark, d), NAMES), NAMES, path)
+    return tables.read_matrix(spark, path)
+
+
+def _scaler_round_trip(spark, d):
+    path = _folder(spark)
+    sinks.write_table(pp.fit_robust_scaler(_lineitem(spark, d), NUMERIC), path)
+    return _rounded(pr.moments(pp.scale(_lineitem(spark, d), NUMERIC, spark.read.parquet(path)), NUMERIC).select("feature", "minimum", "maximum"))
+
+
+def _clipped_log(spark, d):
+    t = _read(spark, d, "customer", ["c_acctbal"]).select(fn.log1p(F.col("c_acctbal"), True).alias("x"))
+    return t.agg(F.count("x").alias("n"), F.min("x").alias("minimum"), F.round(F.max("x"), 6).alias("maximum"), F.round(F.sum("x"), 3).alias("total"))
+
+
+def _equal_width(spark, d):
+    codes = dep.discretize(_features(spark, d), ["quantity", "price"], equal=True)
+    return dep.joint_counts(codes, ["quantity", "price"], only_own=True).select(F.col("f1").alias("feature"), F.col("c1").alias("code"), "n")
+
+
+def _label_layouts(spark):
+    lists = tables.labels(spark.createDataFrame([(1, "price | tax"), (2, "quantity")], "Block_ID int, Features string"))
+    rows = tables.labels(spark.createDataFrame([(" tax ", 4), ("price", 3)], "feature string, label int"))
+    return lists.withColumn("layout", F.lit("lists")).unionByName(rows.withColumn("layout", F.lit("rows")))
 
 
 def queries():
@@ -167,7 +234,16 @@ def queries():
         "multi_category_distribution": lambda s, d: _rounded(_multi(s, d)),
         "null_audit": lambda s, d: pr.null_audit(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id", "left"), ["doc_id", "lang", "quality", "toxic"]),
         "duplicate_rows": lambda s, d: pr.duplicate_rows(_read(s, d, "lineitem", ["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"]),
-        "numeric_moments": lambda s, d: pr.moments(_lineitem(s, d), NUMERIC).select("feature", "n", F.round("total", 2).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "minimum", "maximum")]),
+        "numeric_moments": _moments,
+        "csv_round_trip": _csv_round_trip,
+        "split_round_trip": _split_round_trip,
+        "matrix_round_trip": _matrix_round_trip,
+        "scaler_round_trip": _scaler_round_trip,
+        "clipped_log": _clipped_log,
+        "equal_width_bins": _equal_width,
+        "label_layouts": lambda s, d: _label_layouts(s),
+        "feature_columns": lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(pp.feature_columns(_read(s, d, "documents"), ["doc_id", "lang", "source"]))], "position long, feature string"),
+        "table_header": lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(_read(s, d, "supplier").columns)], "position long, feature string"),
         "value_audit": lambda s, d: _rounded(pr.value_audit(_read(s, d, "customer"), ["c_acctbal", "c_nationkey"])),
         "attention_features": lambda s, d: _rounded(pr.needs_attention(pr.value_audit(_read(s, d, "customer"), ["c_acctbal", "c_nationkey"]))),
         "threshold_counts": lambda s, d: _rounded(pr.threshold_counts(_read(s, d, "lineitem"), {"l_extendedprice": [1000.0, 50000.0, 90000.0], "l_quantity": [25.0]})),
@@ -189,12 +265,13 @@ def queries():
         "feature_rules": lambda s, d: pp.feature_rules(s, NUMERIC, ["l_extendedprice"], ARTIFACTS),
         "hash_sample": lambda s, d: pp.hash_sample(_read(s, d, "events", ["event_id", "event_type"]), ["event_id"], 100),
         "spearman_pairs": lambda s, d: _rounded(_rho(s, d)),
-        "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.joint_counts(dep.discretize(_features(s, d), NAMES), NAMES))),
+        "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.joint_counts(dep.discretize(_features(s, d), NAMES), NAMES, only_own=True))),
         "mutual_information": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "mi")),
         "normalized_mi": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "nmi")),
         "unified_dependency": lambda s, d: _rounded(dep.blend(_mi(s, d), _rho(s, d), 0.5, "abs")),
         "signed_dependency": lambda s, d: _rounded(dep.blend(_mi(s, d), _rho(s, d), 0.35, "signed_clip")),
         "dependency_summary": lambda s, d: _rounded(dep.pair_summary(_pairs(s, d))),
+        "matrix_summary": lambda s, d: _rounded(dep.matrix_summary(dep.symmetric(_pairs(s, d), NAMES))),
         "top_pairs": lambda s, d: dep.top_pairs(_pairs(s, d), 10),
         "matrix_validation": lambda s, d: dep.matrix_report(dep.symmetric(_pairs(s, d), NAMES)),
         "wide_matrix": lambda s, d: sinks.wide_matrix(dep.symmetric(_pairs(s, d), NAMES), NAMES),
@@ -205,6 +282,8 @@ def queries():
         "between_block_stats": lambda s, d: _rounded(bl.between_stats(_blocks(s), _pairs(s, d))),
         "block_separation": lambda s, d: _rounded(bl.separation(_blocks(s), _pairs(s, d))),
         "weak_blocks": lambda s, d: _rounded(bl.suspicious(bl.within_stats(_blocks(s), _pairs(s, d))).select("block_id", "block_size", "min_within", "weakest_pair")),
+        "weak_pairs": lambda s, d: bl.weak_pairs(s.createDataFrame([(1, n) for n in NAMES[:3]] + [(2, n) for n in NAMES[3:]], "block_id long, feature string"), _pairs(s, d)),
+        "labels_to_blocks": lambda s, d: cl.labels_to_blocks(_labelings(s), NAMES, ["labeling"]).withColumn("features", F.array_join("features", " | ")),
         "strong_cross_pairs": lambda s, d: bl.between_pairs(_blocks(s), _pairs(s, d)).where("score >= 0.6"),
         "block_sizes": lambda s, d: _rounded(bl.block_sizes(_blocks(s))),
         "blocks_by_size": lambda s, d: bl.by_size(_blocks(s)),
@@ -223,6 +302,7 @@ def queries():
         "cosine_fingerprints": lambda s, d: _rounded(gr.cosine_similarity(dep.symmetric(_pairs(s, d), NAMES, 0.0))),
         "embedding_cosine": _embedding_cosine,
         "strong_neighbors": lambda s, d: gr.neighbour_counts(_names(s), gr.sparsified(dep.symmetric(_pairs(s, d), NAMES), 0.6)),
+        "neighbor_summary": lambda s, d: _rounded(gr.neighbour_summary(gr.neighbour_counts(_names(s), gr.sparsified(dep.symmetric(_pairs(s, d), NAMES), 0.6)))),
         "graph_density": lambda s, d: _rounded(gr.density(_pairs(s, d), len(NAMES), [0.3, 0.6, 0.9])),
         "connected_components": _components,
         "component_report": lambda s, d: gr.component_report(_components(s, d), 2),
@@ -231,9 +311,10 @@ def queries():
         "mask_integrity": lambda s, d: mk.integrity(_block_masks(s)),
         "mask_trials": lambda s, d: _rounded(mk.trial_stats(_block_masks(s))),
         "random_masks": lambda s, d: _random_masks(s),
-        "shortcut_analysis": lambda s, d: _rounded(mk.shortcuts(_random_masks(s), _pairs(s, d))),
-        "shortcut_comparison": lambda s, d: _rounded(mk.shortcut_comparison(mk.shortcuts(_block_masks(s), _pairs(s, d)), mk.shortcuts(_random_masks(s), _pairs(s, d)))),
-        "masked_batch": lambda s, d: _rounded(pr.moments(mk.apply_mask(_features(s, d), ["price", "tax"]), NAMES).select("feature", "mean", "maximum")),
+        "mask_lists": lambda s, d: mk.mask_lists(_block_masks(s)).withColumn("masked", F.array_join("masked", " | ")),
+        "shortcut_analysis": lambda s, d: _rounded(_shortcuts(s, d, _random_masks)),
+        "shortcut_comparison": lambda s, d: _rounded(mk.shortcut_comparison(_shortcuts(s, d, _block_masks), _shortcuts(s, d, _random_masks))),
+        "masked_batch": _masked_batch,
     }
     return q
 
@@ -276,7 +357,24 @@ BLEND = MI + ", r AS " + RHO.split(", r AS ", 1)[1]
 SPLIT = "s AS (SELECT *, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events), z AS (SELECT *, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM s)"
 SEP = "avg(score) FILTER (block_1 = block_2) AS mean_within, avg(score) FILTER (block_1 <> block_2) AS mean_between, min(score) FILTER (block_1 = block_2) AS min_within, max(score) FILTER (block_1 <> block_2) AS max_between, count(*) FILTER (block_1 = block_2) AS n_within, count(*) FILTER (block_1 <> block_2) AS n_between"
 SEP_R = "SELECT {by}round(mean_within, 6) AS mean_within, round(mean_between, 6) AS mean_between, min_within, max_between, n_within, n_between, round(mean_within / mean_between, 6) AS ratio"
-RMASK = f"{N}, t AS (SELECT range AS trial FROM range({TRIALS})), rm AS (SELECT trial, feature, row_number() OVER (PARTITION BY trial ORDER BY ('0x' || substr(md5(trial || '|' || feature), 1, 8))::BIGINT, feature) <= {mk.mask_size(len(NAMES), RATIO)} AS masked FROM t, names)"
+def _random(n: int) -> str:
+    return f"{N}, t AS (SELECT range AS trial FROM range({n})), rm AS (SELECT trial, feature, row_number() OVER (PARTITION BY trial ORDER BY ('0x' || substr(md5(trial || '|' || feature), 1, 8))::BIGINT, feature) <= {mk.mask_size(len(NAMES), RATIO)} AS masked FROM t, names)"
+
+
+def _blocked(n: int) -> str:
+    """Whole-block masks (bm): the sums reached block by block, in a recursive query. Wants names b and t to be free."""
+    total, target = len(BLOCKS), mk.mask_size(len(BLOCKS), RATIO)
+    return f"""{B}, t AS (SELECT range AS trial FROM range({n})), sz AS (SELECT block_id, count(*)::INTEGER AS size FROM b GROUP BY block_id),
+o AS (SELECT trial, block_id, size, row_number() OVER (PARTITION BY trial ORDER BY ('0x' || substr(md5(trial || '|' || block_id), 1, 8))::BIGINT, block_id) AS pos FROM t, sz),
+dp(trial, step, s, path) AS (SELECT trial, 0::BIGINT, 0, []::BIGINT[] FROM t UNION ALL SELECT trial, step + 1, s, arg_min(path, taken) FROM (
+  SELECT dp.trial, dp.step, dp.s + k.taken * o.size AS s, CASE WHEN k.taken = 1 THEN list_append(dp.path, o.block_id) ELSE dp.path END AS path, k.taken AS taken
+  FROM dp JOIN o ON o.trial = dp.trial AND o.pos = dp.step + 1, (VALUES (0), (1)) AS k(taken)) WHERE s < {total} GROUP BY trial, step, s),
+ch AS (SELECT trial, arg_min(path, abs(s - {target}) * 1000 + s) AS chosen FROM dp WHERE step = (SELECT count(*) FROM sz) GROUP BY trial),
+bm AS (SELECT trial, block_id, feature, list_contains(chosen, block_id) AS masked FROM ch, b)"""
+
+
+EDGES = "ed AS (SELECT f1 AS feature, f2 AS partner FROM p WHERE score >= 0.7 UNION ALL SELECT f2, f1 FROM p WHERE score >= 0.7)"
+HIT = "SELECT m.trial, m.feature, count(v.feature) AS n FROM {m} m LEFT JOIN ed ON ed.feature = m.feature LEFT JOIN {m} v ON v.trial = m.trial AND v.feature = ed.partner AND NOT v.masked WHERE m.masked GROUP BY ALL"
 CUSTOMER = ["c_acctbal", "c_nationkey"]
 AUDIT = _each("SELECT '@' AS feature, round(min(@)::DOUBLE, 6) AS minimum, round(max(@)::DOUBLE, 6) AS maximum, count(*) FILTER (@ IS NULL) AS missing, count(*) FILTER (@ IS NULL OR isinf(@::DOUBLE)) AS nonfinite, count(*) FILTER (isinf(@::DOUBLE)) AS infinite, count(*) FILTER (@ < 0) AS negative FROM customer", CUSTOMER)
 QS = [f"q{100 * q:g}".replace(".", "_") for q in pr.QUANTILES]
@@ -285,14 +383,15 @@ QS = [f"q{100 * q:g}".replace(".", "_") for q in pr.QUANTILES]
 def oracle_sql():
     pct = lambda c, t: f"SELECT {c}::VARCHAR AS value, count(*) AS cnt, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {t} GROUP BY {c}"
     comps = f"{P}, {N}, e AS (SELECT f1 AS a, f2 AS b FROM p WHERE score >= {COMPONENTS_AT} UNION ALL SELECT f2, f1 FROM p WHERE score >= {COMPONENTS_AT}), g(feature, c) AS (SELECT feature, feature FROM names UNION SELECT e.b, g.c FROM g JOIN e ON e.a = g.feature WHERE g.c < e.b), comp AS (SELECT feature, min(c) AS component FROM g GROUP BY feature)"
-    shortcut = f"{P}, {RMASK}, ed AS (SELECT f1 AS feature, f2 AS partner FROM p WHERE score >= 0.7 UNION ALL SELECT f2, f1 FROM p WHERE score >= 0.7), hit AS (SELECT m.trial, m.feature, count(v.feature) AS n FROM rm m LEFT JOIN ed ON ed.feature = m.feature LEFT JOIN rm v ON v.trial = m.trial AND v.feature = ed.partner AND NOT v.masked WHERE m.masked GROUP BY ALL)"
+    shortcut = f"{P}, {_random(SHORTCUT_TRIALS)}, {EDGES}, hit AS ({HIT.format(m='rm')})"
+    both = f"{P}, {_random(SHORTCUT_TRIALS)}, {_blocked(SHORTCUT_TRIALS).replace('t AS (', 't2 AS (', 1).replace('FROM t,', 'FROM t2,').replace('FROM t ', 'FROM t2 ')}, {EDGES}, hr AS ({HIT.format(m='rm')}), hb AS ({HIT.format(m='bm')}), r AS (SELECT 'random' AS kind, trial, count(*) FILTER (n > 0) / count(*)::DOUBLE AS rate FROM hr GROUP BY trial UNION ALL SELECT 'block', trial, count(*) FILTER (n > 0) / count(*)::DOUBLE FROM hb GROUP BY trial), st AS (SELECT avg(rate) FILTER (kind = 'block') AS block_rate, stddev_pop(rate) FILTER (kind = 'block') AS block_std, avg(rate) FILTER (kind = 'random') AS random_rate, stddev_pop(rate) FILTER (kind = 'random') AS random_std FROM r)"
     ari = f"{L}, cells AS (SELECT a.labeling AS a, b.labeling AS b, a.label AS la, b.label AS lb, count(*) AS n FROM l a JOIN l b ON a.feature = b.feature AND a.labeling < b.labeling GROUP BY ALL), i AS (SELECT a, b, sum(n * (n - 1) / 2.0::DOUBLE) AS both_in, sum(n)::DOUBLE AS n FROM cells GROUP BY a, b), sa AS (SELECT a, b, sum(n * (n - 1) / 2.0::DOUBLE) AS s FROM (SELECT a, b, la, sum(n) AS n FROM cells GROUP BY a, b, la) GROUP BY a, b), sb AS (SELECT a, b, sum(n * (n - 1) / 2.0::DOUBLE) AS s FROM (SELECT a, b, lb, sum(n) AS n FROM cells GROUP BY a, b, lb) GROUP BY a, b), ari AS (SELECT a, b, coalesce((both_in - sa.s * sb.s / (n * (n - 1) / 2)) / nullif((sa.s + sb.s) / 2 - sa.s * sb.s / (n * (n - 1) / 2), 0), 1) AS ari FROM i JOIN sa USING (a, b) JOIN sb USING (a, b))"
     return {
         "category_distribution": pct("l_returnflag", "lineitem"),
         "multi_category_distribution": " UNION ALL ".join(f"SELECT *, '{c}' AS \"column\" FROM ({pct(c, t)})" for t, c in (("events", "event_type"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment"))),
         "null_audit": "WITH j AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) " + _each("SELECT count(*) AS rows, '@' AS feature, count(*) FILTER (@ IS NULL) AS missing FROM j", ["doc_id", "lang", "quality", "toxic"]),
         "duplicate_rows": "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT sum(n)::BIGINT AS total_rows, count(*) AS distinct_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM g",
-        "numeric_moments": _each("SELECT '@' AS feature, count(@) AS n, round(sum(@), 2) AS total, round(avg(@), 6) AS mean, round(stddev_pop(@), 6) AS std, round(min(@), 6) AS minimum, round(max(@), 6) AS maximum FROM lineitem"),
+        "numeric_moments": _each("SELECT '@' AS feature, count(@) AS n, round(sum(@), 2) AS total, round(sum(@::DECIMAL(18,6))::DOUBLE / count(@), 9) AS mean, round(stddev_pop(@), 6) AS std, round(min(@), 6) AS minimum, round(max(@), 6) AS maximum FROM lineitem"),
         "value_audit": AUDIT,
         "attention_features": f"SELECT * FROM ({AUDIT}) WHERE missing > 0 OR nonfinite > 0 OR negative > 0",
         "threshold_counts": " UNION ALL ".join(f"SELECT '{c}' AS feature, {t}::DOUBLE AS threshold, count(*) FILTER ({c} > {t}) AS above, round(100.0::DOUBLE * count(*) FILTER ({c} > {t}) / count({c}), 6) AS pct FROM lineitem" for c, t in (("l_extendedprice", 1000.0), ("l_extendedprice", 50000.0), ("l_extendedprice", 90000.0), ("l_quantity", 25.0))),
@@ -320,7 +419,7 @@ def oracle_sql():
         "signed_dependency": f"WITH {BLEND} SELECT f1, f2, round(greatest(0::DOUBLE, least(1::DOUBLE, 0.35::DOUBLE * nmi + 0.65::DOUBLE * coalesce(score, 0))), 6) AS score FROM nmi JOIN rho USING (f1, f2)",
         "dependency_summary": f"WITH {P} " + " UNION ALL ".join([f"SELECT 'q{100 * q:g}' AS measure, round(quantile_cont(score, {q}), 6) AS value FROM p" for q in (0.5, 0.75, 0.9, 0.95, 0.99)] + [f"SELECT 'pairs_from_{t:g}', count(*) FILTER (score >= {t})::DOUBLE FROM p" for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)]),
         "top_pairs": f"WITH {P} SELECT f1, f2, score FROM p ORDER BY score DESC, f1, f2 LIMIT 10",
-        "matrix_validation": f"WITH {M} SELECT count(*) AS cells, count(DISTINCT f1) AS features, count(*) = count(DISTINCT f1) * count(DISTINCT f1) AS is_square, true AS is_symmetric, true AS has_unit_diagonal, true AS is_finite FROM m",
+        "matrix_validation": f"WITH {M} SELECT count(*) AS cells, count(DISTINCT f1) AS features, count(*) = count(DISTINCT f1) * count(DISTINCT f1) AS is_square, (SELECT max(abs(a.score - b.score)) <= 1e-8 FROM m a JOIN m b ON a.f1 = b.f2 AND a.f2 = b.f1) AS is_symmetric, max(CASE WHEN f1 = f2 THEN abs(score - 1) ELSE 0 END) <= 1e-8 AS has_unit_diagonal, bool_and(score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score)) AS is_finite FROM m",
         "wide_matrix": f"WITH {M} SELECT f1, " + ", ".join(f"max(score) FILTER (f2 = '{n}') AS {n}" for n in NAMES) + " FROM m GROUP BY f1",
         "long_matrix": f"WITH {M} SELECT f1, f2, score FROM m",
         "dependency_distance": f"WITH {D} SELECT f1, f2, round(distance, 6) AS distance FROM dist",
@@ -334,11 +433,11 @@ def oracle_sql():
         "blocks_by_size": f"WITH {B}, g AS (SELECT block_id AS original, count(*) AS size, min(feature) AS first FROM b GROUP BY block_id), i AS (SELECT original, size, row_number() OVER (ORDER BY size DESC, first) AS block_id FROM g) SELECT i.block_id, original, size, feature FROM i JOIN b ON b.block_id = original",
         "refined_blocks": f"WITH {B}, e AS (SELECT block_id AS original, CASE WHEN feature IN ('disc_price', 'charge') THEN 2 ELSE 1 END AS part, feature FROM b) SELECT dense_rank() OVER (ORDER BY original, part) AS block_id, original, feature FROM e",
         "block_whatif": f"WITH {P}, {B}, c AS (SELECT 'as_is' AS config, block_id, feature FROM b UNION ALL SELECT 'moved', CASE WHEN feature = 'tax_amt' THEN 3 ELSE block_id END, feature FROM b), pl AS (SELECT c1.config, c1.block_id AS block_1, c2.block_id AS block_2, score FROM p JOIN c c1 ON c1.feature = f1 JOIN c c2 ON c2.feature = f2 AND c2.config = c1.config), s AS (SELECT config, {SEP} FROM pl GROUP BY config) {SEP_R.format(by='config, ')} FROM s",
-        "block_validation": "SELECT 'missing' AS problem, 'absent' AS feature UNION ALL SELECT 'unexpected', 'tax_amt'",
+        "block_validation": f"WITH {B}, w(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in [*NAMES[:-1], "absent"]) + ") SELECT 'missing' AS problem, feature FROM w WHERE feature NOT IN (SELECT feature FROM b) UNION ALL SELECT 'unexpected', feature FROM b WHERE feature NOT IN (SELECT feature FROM w) GROUP BY feature UNION ALL SELECT 'repeated', feature FROM b GROUP BY feature HAVING count(*) > 1",
         "block_lists": "SELECT * FROM (VALUES (1::BIGINT, 'a', 0), (1, 'b', 1), (2, 'c', 0), (2, 'd', 1)) AS t(block_id, feature, position)",
         "silhouette_precomputed": f"WITH {D}, {L}, s AS (SELECT a.labeling, f1, a.label AS own, b.label, avg(distance) AS d FROM dist JOIN l a ON a.feature = f1 JOIN l b ON b.feature = f2 AND b.labeling = a.labeling WHERE f1 <> f2 GROUP BY ALL), ab AS (SELECT labeling, f1, max(d) FILTER (own = label) AS a, min(d) FILTER (own <> label) AS b FROM s GROUP BY labeling, f1) SELECT labeling, round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM ab GROUP BY labeling",
         "cluster_sizes": f"WITH {L}, s AS (SELECT labeling, label, count(*) AS size FROM l GROUP BY ALL) SELECT labeling, count(*) AS n_clusters, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size FROM s GROUP BY labeling",
-        "choose_k": "SELECT 20::BIGINT AS k, 0.40::DOUBLE AS silhouette, true AS valid",
+        "choose_k": "WITH c(k, silhouette) AS (VALUES " + ", ".join(f"({k}::BIGINT, {x}::DOUBLE)" for _, k, x, _ in CANDIDATES) + ") SELECT DISTINCT k, silhouette, k > 15 AS valid FROM c WHERE k > 15 ORDER BY silhouette DESC, k LIMIT 1",
         "alpha_ranking": "WITH c(alpha, k, silhouette, ratio) AS (VALUES " + ", ".join(f"({a}::DOUBLE, {k}::BIGINT, {s}::DOUBLE, {r}::DOUBLE)" for a, k, s, r in CANDIDATES) + "), r AS (SELECT *, rank() OVER (ORDER BY silhouette DESC)::INTEGER AS rank_silhouette, rank() OVER (ORDER BY ratio DESC)::INTEGER AS rank_ratio FROM c) SELECT *, rank_silhouette + rank_ratio AS combined_rank FROM r",
         "adjusted_rand": f"WITH {ari} SELECT a, b, round(ari, 6) AS ari FROM ari",
         "ari_stability": f"WITH {ari}, u AS (SELECT a AS labeling, ari FROM ari UNION ALL SELECT b, ari FROM ari) SELECT labeling, round(avg(ari), 6) AS mean_ari, round(min(ari), 6) AS min_ari, round(max(ari), 6) AS max_ari, count(*) AS n FROM u GROUP BY labeling",
@@ -349,7 +448,26 @@ def oracle_sql():
         "connected_components": f"WITH RECURSIVE {comps} SELECT feature, component FROM comp",
         "component_report": f"WITH RECURSIVE {comps}, s AS (SELECT count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS components, max(size) AS largest, count(*) FILTER (size <= 2) AS small_components FROM s",
         "threshold_blocks": f"WITH RECURSIVE {comps}, pl AS (SELECT c1.component AS block_1, c2.component AS block_2, score FROM p JOIN comp c1 ON c1.feature = f1 JOIN comp c2 ON c2.feature = f2), s AS (SELECT {SEP} FROM pl) {SEP_R.format(by='')} FROM s",
-        "random_masks": f"WITH {RMASK} SELECT trial, feature, masked FROM rm",
+        "block_masks": f"WITH RECURSIVE {_blocked(TRIALS)} SELECT * FROM bm",
+        "mask_lists": f"WITH RECURSIVE {_blocked(TRIALS)} SELECT trial, coalesce(string_agg(feature, ' | ' ORDER BY feature) FILTER (masked), '') AS masked FROM bm GROUP BY trial",
+        "mask_integrity": f"WITH RECURSIVE {_blocked(TRIALS)}, g AS (SELECT trial, block_id, bool_and(masked) AS every_, bool_or(masked) AS some_ FROM bm GROUP BY ALL) SELECT trial, count(*) FILTER (every_) AS masked_blocks, count(*) FILTER (some_ AND NOT every_) AS violations FROM g GROUP BY trial",
+        "mask_trials": f"WITH RECURSIVE {_blocked(TRIALS)}, g AS (SELECT trial, count(DISTINCT block_id) FILTER (masked) AS b, count(*) FILTER (masked) / count(*)::DOUBLE AS r FROM bm GROUP BY trial) SELECT count(*) AS trials, " + ", ".join(f"round({f}({x}), 6) AS {n}_{c}" if f in ("avg", "stddev_pop") or x == "r" else f"{f}({x}) AS {n}_{c}" for x, c in (("r", "masked_ratio"), ("b", "masked_blocks")) for f, n in (("avg", "avg"), ("min", "min"), ("max", "max"), ("stddev_pop", "std"))) + ", 0::BIGINT AS violations FROM g",
+        "shortcut_comparison": f"WITH RECURSIVE {both} SELECT round(block_rate, 6) AS block_rate, round(block_std, 6) AS block_std, round(random_rate, 6) AS random_rate, round(random_std, 6) AS random_std, round((random_rate - block_rate) * 100 / nullif(random_rate, 0), 6) AS reduction_pct FROM st",
+        "stratified_split": "WITH s AS (SELECT event_type, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT AS u, ('0x' || substr(md5(event_id::VARCHAR), 9, 8))::BIGINT % greatest(1, (SELECT (count(*) + 65535) // 65536 FROM events)) AS slot, event_id FROM events), r AS (SELECT percent_rank() OVER (PARTITION BY event_type, slot ORDER BY u, event_id) AS rate FROM s) SELECT CASE WHEN rate < 0.7 THEN 'train' WHEN rate < 0.85 THEN 'validation' ELSE 'test' END AS split, count(*) AS cnt FROM r GROUP BY ALL",
+        "csv_round_trip": "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier",
+        "split_round_trip": f"WITH {SPLIT} SELECT split, count(*) AS cnt, sum(event_id)::BIGINT AS ids FROM z GROUP BY split",
+        "matrix_round_trip": f"WITH {M} SELECT f1, f2, score FROM m",
+        "scaler_round_trip": _each("SELECT '@' AS feature, round((min(@) - median(@)) / (quantile_cont(@, 0.75) - quantile_cont(@, 0.25)), 6) AS minimum, round((max(@) - median(@)) / (quantile_cont(@, 0.75) - quantile_cont(@, 0.25)), 6) AS maximum FROM lineitem"),
+        "clipped_log": "SELECT count(c_acctbal) AS n, min(ln(1 + greatest(c_acctbal, 0))) AS minimum, round(max(ln(1 + greatest(c_acctbal, 0))), 6) AS maximum, round(sum(ln(1 + greatest(c_acctbal, 0))), 3) AS total FROM customer",
+        "equal_width_bins": f"WITH {X}, e AS (" + _each("SELECT '@' AS feature, list_transform(range(1, 32), lambda i: min(@) + (max(@) - min(@)) * i / 32.0::DOUBLE) AS inner_ FROM x", ["quantity", "price"]) + "), v AS (" + _each("SELECT '@' AS feature, @ AS v FROM x", ["quantity", "price"]) + ") SELECT feature, len(list_filter(inner_, lambda y: y < v))::INTEGER AS code, count(*) AS n FROM v JOIN e USING (feature) GROUP BY ALL",
+        "label_layouts": "SELECT * FROM (VALUES ('price', 1::BIGINT, 'lists'), ('tax', 1, 'lists'), ('quantity', 2, 'lists'), ('tax', 4, 'rows'), ('price', 3, 'rows')) AS t(feature, label, layout)",
+        "feature_columns": "SELECT row_number() OVER (ORDER BY column_index) - 1 AS position, column_name AS feature FROM (SELECT * FROM duckdb_columns() WHERE table_name = 'documents') WHERE column_name NOT IN ('doc_id', 'lang', 'source')",
+        "table_header": "SELECT row_number() OVER (ORDER BY column_index) - 1 AS position, column_name AS feature FROM duckdb_columns() WHERE table_name = 'supplier'",
+        "matrix_summary": f"WITH {M} SELECT min(score) AS minimum, max(score) AS maximum, round(avg(score), 6) AS mean FROM m",
+        "weak_pairs": f"WITH {P} SELECT CASE WHEN f1 IN ({', '.join(repr(n) for n in NAMES[:3])}) THEN 1 ELSE 2 END::BIGINT AS block_id, f1, f2, score FROM p WHERE (f1 IN ({', '.join(repr(n) for n in NAMES[:3])})) = (f2 IN ({', '.join(repr(n) for n in NAMES[:3])})) AND score < 0.5",
+        "labels_to_blocks": f"WITH {L}, o(feature, pos) AS (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(NAMES)) + ") SELECT labeling, dense_rank() OVER (PARTITION BY labeling ORDER BY label) AS block_id, string_agg(feature, ' | ' ORDER BY pos) AS features FROM l JOIN o USING (feature) GROUP BY labeling, label",
+        "neighbor_summary": f"WITH {M}, c AS (SELECT feature, count(f2) AS n FROM names LEFT JOIN m ON f1 = feature AND f1 <> f2 AND score >= 0.6 GROUP BY feature) SELECT min(n) AS minimum, round(median(n), 6) AS median, round(avg(n), 6) AS mean, max(n) AS maximum FROM c",
+        "random_masks": f"WITH {_random(TRIALS)} SELECT trial, feature, masked FROM rm",
         "shortcut_analysis": f"WITH {shortcut} SELECT trial, count(*) AS n_masked, count(*) FILTER (n > 0) AS with_partner, sum(n)::BIGINT AS visible_pairs, round(count(*) FILTER (n > 0) / count(*)::DOUBLE, 6) AS rate FROM hit GROUP BY trial",
-        "masked_batch": f"WITH {X} " + _each("SELECT '@' AS feature, round(avg(@), 6) AS mean, round(max(@), 6) AS maximum FROM x", [n for n in NAMES if n not in ("price", "tax")]) + " UNION ALL SELECT 'price', 0, 0 UNION ALL SELECT 'tax', 0, 0",
+        "masked_batch": f"WITH {X} " + _each("SELECT '@' AS feature, round(sum(@::DECIMAL(18,6))::DOUBLE / count(@), 9) AS mean, round(max(@), 6) AS maximum FROM x", [n for n in NAMES if n not in ("price", "tax")]) + " UNION ALL SELECT 'price', 0, 0 UNION ALL SELECT 'tax', 0, 0",
     }

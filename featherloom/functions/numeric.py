@@ -62,10 +62,18 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def coded(c: Column, edges: Column) -> Column:
-    """Right-closed bin of a value: how many interior edges lie strictly below it."""
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.when(c.isNotNull(), F.size(F.filter(inner, lambda e: e < c)))
+def coded(c: Column, edges: Sequence[float]) -> Column:
+    """Right-closed bin of a value: how many interior edges lie strictly below
+    it, found by halving them."""
+    inner = sorted(edges)[1:-1]
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.lit(float(inner[mid])) < c, within(mid + 1, high)).otherwise(within(low, mid))
+
+    return F.when(c.isNotNull(), within(0, len(inner)))
 
 
 def any_of(names: Sequence[str], columns: Sequence[str]) -> str | None:
@@ -81,6 +89,12 @@ def rule_threshold(feature: Column, rules: Mapping[str, float]) -> Column:
     return F.try_element_at(F.create_map(*pairs), feature)
 
 
+def hash_bits(*keys: Column) -> Column:
+    """The second 32 bits of a key's MD5, apart from those of hash_unit."""
+    text = F.concat_ws("|", *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 9, 8), 16, 10).cast("long")
+
+
 def hash_unit(*keys: Column) -> Column:
     """A number in [0, 1) from a key: the first 32 bits of its MD5. Unlike rand(),
     it depends on neither partitioning nor plan."""

@@ -56,6 +56,11 @@ def separation(blocks: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> D
     return g.withColumn("ratio", ratio(F.col("mean_within"), F.col("mean_between")))
 
 
+def weak_pairs(blocks: DataFrame, pairs: DataFrame, below: float = 0.5) -> DataFrame:
+    """Pairs inside a block whose score is too low."""
+    return within_pairs(blocks, pairs).where(F.col("score") < below)
+
+
 def suspicious(stats: DataFrame, below: float = 0.4) -> DataFrame:
     """Blocks whose weakest pair is too weak; singletons are exempt."""
     return stats.where((F.col("block_size") > 1) & (F.col("min_within") < below))

@@ -73,6 +73,13 @@ def hierarchical_labels(distances: DataFrame, features: Sequence[str], ks: Seque
     return out if by else out.drop("_one")
 
 
+def labels_to_blocks(labels: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, block_id, features): a block per label, numbered from 1, its features in the order given."""
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    g = labels.groupBy(*by, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), "feature"))), lambda x: x["feature"]).alias("features"))
+    return g.select(*by, F.dense_rank().over(Window.partitionBy(*by).orderBy("label")).cast("long").alias("block_id"), "features")
+
+
 def silhouette(distances: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean silhouette per value of ``by``, of which the distances may have some too; a point alone in its cluster counts 0;
     null unless there are 2 to n - 1 clusters."""
@@ -99,8 +106,10 @@ def evaluate(distances: DataFrame, labels: DataFrame, by: Sequence[str] = ("k",)
 
 
 def choose_k(evaluation: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The row of the best silhouette among the valid ones, else among all; ties to the smaller k."""
-    order = Window.partitionBy(*by).orderBy(F.desc("valid"), F.desc_nulls_last("silhouette"), "k")
+    """The row of the best silhouette among the valid ones, else among all; ties
+    to the larger ratio, where there is one, then to the smaller k."""
+    ratio = [F.desc_nulls_last("ratio")] if "ratio" in evaluation.columns else []
+    order = Window.partitionBy(*by).orderBy(F.desc("valid"), F.desc_nulls_last("silhouette"), *ratio, "k")
     return evaluation.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
@@ -142,9 +151,9 @@ def alpha_sweep(nmi: DataFrame, rho: DataFrame, features: Sequence[str], alphas:
     half = pairs.select("alpha", "f1", "f2", clamp(1 - F.col("score")).alias("distance"))
     dist = half.unionByName(half.select("alpha", F.col("f2").alias("f1"), F.col("f1").alias("f2"), "distance"))
     labels = checkpointed(hierarchical_labels(dist, features, ks, "alpha"))
-    best = choose_k(evaluate(dist, labels, ("alpha", "k"), max_size).where("valid"), ["alpha"])
     parts = separation(labels.withColumnRenamed("label", "block_id"), pairs, ("alpha", "k")).select("alpha", "k", "mean_within", "mean_between", "ratio")
-    found = rank_candidates(checkpointed(best.join(parts, ["alpha", "k"])))
+    best = choose_k(evaluate(dist, labels, ("alpha", "k"), max_size).where("valid").join(parts, ["alpha", "k"]), ["alpha"])
+    found = rank_candidates(checkpointed(best))
     if found.isEmpty():
         raise ValueError(f"no clustering keeps its blocks to {max_size} features")
     return found

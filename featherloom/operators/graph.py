@@ -125,6 +125,11 @@ def neighbour_counts(features: DataFrame, profiles: DataFrame) -> DataFrame:
     return features.select("feature").join(n, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n_neighbours"))
 
 
+def neighbour_summary(counts: DataFrame) -> DataFrame:
+    """One row over all features: fewest, median, mean and most neighbours."""
+    return counts.agg(F.min("n_neighbours").alias("minimum"), F.median("n_neighbours").alias("median"), F.avg("n_neighbours").alias("mean"), F.max("n_neighbours").alias("maximum"))
+
+
 def cosine_similarity(profiles: DataFrame) -> DataFrame:
     """(f1, f2, score) of f1 < f2: cosine of the rows of (f1, f2, score), clipped
     to [0, 1]; 0 for a row of zeros. Rows meet on shared columns only."""

@@ -30,6 +30,10 @@ def choose_blocks(order: Sequence[int], sizes: dict[int, int], target: int) -> l
     Sums are reached block by block in the given order, the first way to a sum
     is kept, and of two equally close sums the smaller is taken.
     """
+    if unknown := [b for b in order if b not in sizes]:
+        raise ValueError(f"unknown blocks: {unknown}")
+    if len(sizes) < 2:
+        raise ValueError("no choice of blocks leaves a feature visible and masks another")
     total = sum(sizes.values())
     ways: dict[int, tuple[int, ...]] = {0: ()}
     for b in order:
@@ -103,24 +107,48 @@ def mask_vector(masks: DataFrame, features: Sequence[str]) -> DataFrame:
     return masks.groupBy("trial").agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "masked"))), lambda x: x["masked"]).alias("mask"))
 
 
+def mask_lists(masks: DataFrame) -> DataFrame:
+    """(trial, masked): the masked features of each trial, sorted."""
+    return masks.groupBy("trial").agg(F.array_sort(F.collect_list(F.when(F.col("masked"), F.col("feature")))).alias("masked"))
+
+
+def mask_of(features: Sequence[str], blocks: Sequence[tuple[int, str]], selected: Sequence[int]) -> list[bool]:
+    """Which of the features the selected blocks mask, in their order. Raises for
+    a block that does not exist and for a feature of a block that is not listed."""
+    if unknown := sorted(set(selected) - {b for b, _ in blocks}):
+        raise ValueError(f"unknown blocks: {unknown}")
+    if absent := sorted({f for _, f in blocks} - set(features)):
+        raise ValueError(f"features of blocks that are not listed: {absent}")
+    masked = {f for b, f in blocks if b in set(selected)}
+    return [f in masked for f in features]
+
+
 def apply_mask(df: DataFrame, masked: Sequence[str], value: float = 0.0) -> DataFrame:
-    """Every row with the masked columns set to ``value``."""
+    """Every row with the masked columns set to ``value``; a column that is not there raises."""
+    if absent := [c for c in masked if c not in df.columns]:
+        raise ValueError(f"no such columns: {', '.join(absent)}")
     return df.withColumns({c: F.lit(value) for c in masked})
 
 
 class BlockMasker:
-    """Draws one whole-block mask after another and applies it to batches."""
+    """Draws one whole-block mask after another and applies it to batches. Masks
+    are drawn AHEAD at a time, in one job."""
+
+    AHEAD = 256
 
     def __init__(self, spark, blocks: Sequence[tuple[int, str]], ratio: float = 0.25, value: float = 0.0, seed: int = 42):
         self.spark, self.blocks, self.ratio, self.value, self.next = spark, list(blocks), ratio, value, seed
+        self.drawn: dict[int, list[str]] = {}
         if len({f for _, f in self.blocks}) != len(self.blocks):
             raise ValueError("a feature is in two blocks")
 
     def generate_mask(self) -> list[str]:
         """Names of the masked features of the next draw."""
-        trial = self.spark.range(self.next, self.next + 1).withColumnRenamed("id", "trial")
+        if self.next not in self.drawn:
+            trials = self.spark.range(self.next, self.next + self.AHEAD).withColumnRenamed("id", "trial")
+            self.drawn = {r["trial"]: r["masked"] for r in mask_lists(block_masks(trials, self.blocks, self.ratio)).collect()}
         self.next += 1
-        return [r["feature"] for r in block_masks(trial, self.blocks, self.ratio).where("masked").collect()]
+        return self.drawn.get(self.next - 1, [])
 
     def mask_batch(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         masked = self.generate_mask()

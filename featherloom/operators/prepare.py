@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_number, finite, hash_unit, log1p, percent, robust_scaled, rule_threshold, without_artifacts
+from ..functions.numeric import as_number, finite, hash_bits, hash_unit, log1p, percent, robust_scaled, rule_threshold, without_artifacts
 from ..sources.tables import require_columns
-from .profile import per_column
+from .order import quantiles
 
+#: The upper ends of the splits.
 SPLITS = (("train", 0.7), ("validation", 0.85), ("test", 1.0))
 
 
@@ -33,12 +34,14 @@ def key_hash_split(df: DataFrame, key: Sequence[str], splits=SPLITS) -> DataFram
     return df.withColumn("split", out)
 
 
-def stratified_split(df: DataFrame, key: Sequence[str], group: str, splits=SPLITS, slots: int = 64) -> DataFrame:
+def stratified_split(df: DataFrame, key: Sequence[str], group: str, splits=SPLITS, slot_rows: int = 65_536) -> DataFrame:
     """Adds ``split`` with the shares held within each group, but for a row per slot.
 
-    Rows of a group are dealt over slots and ranked there, so no group is one task's."""
+    Rows of a group are dealt over slots and ranked there, so no group is one
+    task's. There is a slot for ``slot_rows`` rows of the table, in any session."""
+    slots = max(1, -(-df.count() // slot_rows))
     u = hash_unit(*[F.col(k) for k in key])
-    d = df.withColumn("_u", u).withColumn("_slot", F.pmod(F.xxhash64(*key), F.lit(slots)))
+    d = df.withColumn("_u", u).withColumn("_slot", F.pmod(hash_bits(*[F.col(k) for k in key]), F.lit(slots)))
     at = F.percent_rank().over(Window.partitionBy(group, "_slot").orderBy("_u", *key))
     out = F.lit(splits[-1][0])
     for name, below in reversed(splits[:-1]):
@@ -60,8 +63,8 @@ def split_sizes(df: DataFrame) -> DataFrame:
 def medians(df: DataFrame, columns: Sequence[str], artifacts: Mapping[str, float] | None = None) -> DataFrame:
     """(feature, median) of the finite values; with ``artifacts``, of those that are none."""
     cut = artifacts or {}
-    one = df.agg(*[F.median(without_artifacts(finite(F.col(c)), cut.get(c))).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "feature", "median").select("feature", "median")
+    q = quantiles(df, {c: without_artifacts(finite(F.col(c)), cut.get(c)) for c in columns}, [0.5])
+    return q.select("feature", F.get("q", 0).alias("median"))
 
 
 def clean(df: DataFrame, columns: Sequence[str], fill: DataFrame, artifacts: Mapping[str, float], logged: Sequence[str], clip_at_zero: bool = False) -> DataFrame:
@@ -80,7 +83,7 @@ def clean(df: DataFrame, columns: Sequence[str], fill: DataFrame, artifacts: Map
 
 def fit_robust_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, center, scale): exact median and interquartile range; 0 counts as 1."""
-    q = per_column(df, columns, {"q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
+    q = quantiles(df, columns, [0.25, 0.5, 0.75])
     iqr = F.get("q", 2) - F.get("q", 0)
     return q.select("feature", F.get("q", 1).alias("center"), F.when(iqr == 0, 1.0).otherwise(iqr).alias("scale"))
 
@@ -102,5 +105,11 @@ def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(hash_unit(*[F.col(k) for k in key]), *key).limit(n)
 
 
+def feature_columns(df: DataFrame, metadata: Sequence[str]) -> list[str]:
+    """The columns that are no metadata, in their order; metadata that is absent raises."""
+    require_columns(df, metadata)
+    return [c for c in df.columns if c not in metadata]
+
+
 def cast_all(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: as_number(F.col(c)) for c in columns})

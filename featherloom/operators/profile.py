@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, as_number, finite, is_nonfinite, percent
+from .order import quantiles as exact_quantiles
 
+#: Quantiles of a profile.
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.975, 0.99, 0.999)
-#: Means and deviations are not reported for features with values from here on.
+#: Fixed value: means and deviations are not reported for features with values from here on.
 HUGE = 1e12
 
 
@@ -76,13 +78,12 @@ def needs_attention(audit: DataFrame) -> DataFrame:
 def feature_profile(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Counts, extremes, exact quantiles of the finite values, and mean and
     deviation where no value is huge."""
-    q = F.array(*[F.lit(float(x)) for x in quantiles])
     measures = {"n": lambda c: F.count("*")} | VALUES | {
-        "q": lambda c: F.percentile(finite(c), q),
         "mean": lambda c: F.when(F.max(F.abs(finite(c))) < HUGE, F.avg(finite(c))),
         "std": lambda c: F.when(F.max(F.abs(finite(c))) < HUGE, F.stddev_pop(finite(c))),
     }
-    out = per_column(df, columns, measures)
+    q = exact_quantiles(df, {c: finite(F.col(c)) for c in columns}, quantiles)
+    out = per_column(df, columns, measures).join(q, "feature")  # a row per feature on either side
     named = [F.get("q", i).alias(f"q{100 * x:g}".replace(".", "_")) for i, x in enumerate(quantiles)]
     return out.select(*[c for c in out.columns if c != "q"], *named)
 
@@ -111,5 +112,5 @@ def above_by_group(df: DataFrame, column: str, threshold: float, group: str) ->
 
 
 def tail_thresholds(df: DataFrame, size: Column, quantiles: Sequence[float] = (0.9, 0.95, 0.975, 0.99)) -> DataFrame:
-    q = df.agg(F.percentile(finite(size), F.array(*[F.lit(x) for x in quantiles])).alias("q"))
+    q = exact_quantiles(df, {"size": finite(size)}, quantiles)
     return q.select(F.inline(F.array(*[F.struct(F.lit(float(x)).alias("quantile"), F.get("q", i).alias("threshold")) for i, x in enumerate(quantiles)])))

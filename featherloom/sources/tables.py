@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numeric import any_of, as_number_strict, parse_list
 
-#: Column names under which a block's id and features come.
+#: Column names under which a block's id and features come.
 BLOCK_IDS = ("Block_ID", "block_id", "Block", "component")
 BLOCK_FEATURES = ("Features", "features", "Feature_List")
 

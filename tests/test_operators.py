@@ -11,6 +11,7 @@ from featherloom.operators import cluster as cl
 from featherloom.operators import dependency as dep
 from featherloom.operators import graph as gr
 from featherloom.operators import mask as mk
+from featherloom.operators import order
 from featherloom.operators import prepare as pp
 from featherloom.operators import profile as pr
 from featherloom.sources import sinks, tables
@@ -159,3 +160,105 @@ def test_no_valid_clustering_raises(spark):
     rho = nmi.withColumnRenamed("nmi", "score")
     with pytest.raises(ValueError):
         cl.alpha_sweep(nmi, rho, names, [0.5], (2,), 1)
+
+
+def test_quantiles_ranks_and_correlations_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    n = 3000
+    x = {"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n)), "d": np.full(n, 0.1)}
+    df = spark.createDataFrame([tuple(float(v[i]) for v in x.values()) for i in range(n)], "a double, b double, c double, d double").repartition(5)
+    at = [0.0, 0.01, 0.25, 0.5, 0.975, 1.0]
+    got = {r["feature"]: r["q"] for r in order.quantiles(df, list(x), at).collect()}
+    for c, v in x.items():
+        assert got[c] == pytest.approx(np.quantile(v, at).tolist(), abs=1e-12)
+    score = {(r["f1"], r["f2"]): r["score"] for r in dep.correlations(df, list(x)).collect()}
+    assert score[("a", "c")] == pytest.approx(np.corrcoef(x["a"], x["c"])[0, 1]) and score[("a", "d")] is None
+    ranks = lambda v: np.array([np.flatnonzero(np.sort(v) == t).mean() for t in v])
+    rho = {(r["f1"], r["f2"]): r["score"] for r in dep.spearman(df, list(x)).collect()}
+    assert rho[("a", "c")] == pytest.approx(np.corrcoef(ranks(x["a"]), ranks(x["c"]))[0, 1]) and rho[("c", "d")] is None
+    holes = df.withColumn("a", F.when(F.col("b") > 0, F.col("a")))
+    keep = x["b"] > 0
+    assert {(r["f1"], r["f2"]): r["score"] for r in dep.correlations(holes, ["a", "c"]).collect()}[("a", "c")] == pytest.approx(np.corrcoef(x["a"][keep], x["c"][keep])[0, 1])
+    empty = order.quantiles(df.limit(0), ["a"], [0.5]).collect()
+    assert [(r["feature"], r["q"]) for r in empty] == [("a", None)]
+
+
+def test_many_values_meet_their_ranks_by_a_join(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 50), float(-i), 1.0) for i in range(200)], "a double, b double, c double")
+    want = {(r["f1"], r["f2"]): r["score"] for r in dep.spearman(df, ["a", "b", "c"]).collect()}
+    monkeypatch.setattr(dep, "FEW", 10)
+    got = {(r["f1"], r["f2"]): r["score"] for r in dep.spearman(df, ["a", "b", "c"]).collect()}
+    assert got[("a", "b")] == pytest.approx(want[("a", "b")]) and got[("a", "c")] is want[("a", "c")] is None
+
+
+def test_a_star_of_many_leaves(spark):
+    edges = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).repartition(6)
+    got = gr.connected_components(edges)
+    assert got.count() == 100_001 and got.agg(F.max("component")).first()[0] == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 800, (700, 2))]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = gr.connected_components(spark.createDataFrame([*edges, (None, 3)], "src long, dst long").repartition(5))
+    assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in root}
+
+
+def test_linkage_against_mean_distances(spark):
+    rng = np.random.default_rng(1)
+    for n in (4, 7, 9):
+        d = rng.random((n, n))
+        d = (d + d.T) / 2
+        groups, heights = {i: [i] for i in range(n)}, []
+        while len(groups) > 1:
+            h, a, b = min((np.mean([d[i, j] for i in groups[a] for j in groups[b]]), a, b) for a, b in combinations(groups, 2))
+            heights.append(h)
+            groups[n + len(heights)] = groups.pop(a) + groups.pop(b)
+        assert [m[2] for m in cl.average_linkage(d)] == pytest.approx(heights)
+    features = ["a", "b", "c", "d"]
+    rows = [(features[i], features[j], abs(i - j) / 4 if i // 2 == j // 2 else 0.9) for i in range(4) for j in range(4)]
+    labels = cl.hierarchical_labels(spark.createDataFrame(rows, "f1 string, f2 string, distance double"), features, (2,))
+    blocks = cl.labels_to_blocks(labels, features)
+    assert sorted(tuple(r["features"]) for r in blocks.collect()) == [("a", "b"), ("c", "d")]
+
+
+def test_mask_errors(spark):
+    blocks = [(1, "a"), (1, "b"), (2, "c")]
+    assert mk.mask_of(["c", "b", "a"], blocks, [1]) == [False, True, True]
+    for call in (lambda: mk.mask_of(["a", "b", "c"], blocks, [3]), lambda: mk.mask_of(["a", "b"], blocks, [1]), lambda: mk.choose_blocks([1, 9], {1: 2, 2: 1}, 1), lambda: mk.choose_blocks([1], {1: 3}, 1), lambda: mk.apply_mask(spark.range(1), ["x"])):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_equal_width_bins(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(65)], "x double")
+    codes = [r["x"] for r in dep.discretize(df, ["x"], equal=True).collect()]
+    assert codes[:3] == [0, 0, 0] and codes[3:5] == [1, 1] and codes[-1] == 31
+
+
+def test_sources_without_ids_or_rows(spark, tmp_path):
+    lists = spark.createDataFrame([("b | c",), ("a",)], "features string")
+    assert {(r["block_id"], r["feature"]) for r in tables.blocks(lists).collect()} == {(1, "a"), (2, "b"), (2, "c")}
+    assert tables.blocks(lists.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        tables.blocks(lists.withColumnRenamed("features", "x"))
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    assert 0 < tables.size_gb(spark, f"{tmp_path}/t/*.parquet").first()["gb"] < 1e-3
+    with pytest.raises(ValueError):
+        pp.feature_columns(spark.range(1), ["absent"])
+    assert pp.cast_all(spark.createDataFrame([("7", "x")], "a string, b string"), ["a", "b"]).first() == (7.0, None)
+
+
+def test_rounds_of_the_alpha_sweep_prefer_the_larger_ratio(spark):
+    rows = spark.createDataFrame([(4, 0.5, True, 2.0), (5, 0.5, True, 3.0), (6, 0.9, False, 9.0)], "k long, silhouette double, valid boolean, ratio double")
+    assert cl.choose_k(rows).first()["k"] == 5 and cl.choose_k(rows.drop("ratio")).first()["k"] == 4
