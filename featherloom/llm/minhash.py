@@ -237,7 +237,7 @@ def _components(classes: DataFrame, texts_of, width: int, percent: int) -> DataF
     links = checkpointed(_links(pairs, texts, width, percent))
     comp = parents(links, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("comp"))
     named = rows.where("rows > 2").select("key", "c", "family", "n", "s").join(comp.hint("merge"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key")
+    mixed = checkpointed(named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key"))
     open_ = checkpointed(named.join(mixed.hint("merge"), "key", "left_semi").groupBy("c", "family", "n", "s", "comp").agg(F.lit(1).alias("_")).drop("_"))
     if open_.isEmpty():
         return comp
