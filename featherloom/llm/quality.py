@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table
 
+#: BUCKETS is a power of two.
 BUCKETS, PRIOR, SCALE = 65_536, 20.0, 1_000_000
 THRESHOLD = -0.1
 #: The trusted multinomial is counted on so many trusted documents at most, those whose ids hash lowest.
@@ -30,48 +31,47 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _bits(n: Column) -> Column:
-    """Bits that hold the numbers below n."""
-    return F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
-
-
 def base_rules(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
     base_failed to ``docs`` (text). Null text counts as empty.
 
-    Repeats of 3-word windows are found in a sorted array of hash and place: the
-    hash fills the bits that the place leaves free.
+    Repeats of 3-word windows show in their 64-bit hashes: where these are not
+    all different, they are sorted with their places, and equal neighbours are
+    repeats.
     """
     d = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     d = d.withColumn("_w", words(F.col("_t"))).withColumn("_n", F.size("_w"))
-    d = d.withColumn("_k", _bits(F.col("_n")))
-    d = d.withColumn("_s", F.expr("CASE WHEN _n >= 4 THEN sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _k) | cast(i AS BIGINT))) END"))
-    d = d.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> shiftright(x, _k) = shiftright(get(_s, i - 1), _k) OR shiftright(x, _k) = shiftright(get(_s, i + 1), _k)), x -> cast(x & (shiftleft(1L, _k) - 1) AS INT)))"))
+    d = d.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    d = d.withColumn("_h", F.expr("CASE WHEN _n >= 4 THEN slice(transform(_h, (x, i) -> xxhash64(x, get(_h, i + 1), get(_h, i + 2))), 1, _n - 2) END"))
+    d = d.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_h)) < _n - 2 THEN sort_array(transform(_h, (x, i) -> named_struct('h', x, 'i', i))) END"))
+    d = d.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> x.h = get(_s, i - 1).h OR x.h = get(_s, i + 1).h), x -> x.i))"))
     covered = F.expr("coalesce(aggregate(_p, named_struct('n', 0L, 'end', -1), (a, p) -> named_struct('n', a.n + (p + 3) - greatest(p, a.end), 'end', p + 3), a -> a.n), 0L)")
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
     d = d.withColumn("_lines", lines)
     d = d.select(
-        *docs.columns, "_w", F.col("_n").cast("long").alias("n_words"),
-        F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
+        *docs.columns, F.col("_n").cast("long").alias("n_words"),
+        F.char_length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-    ).drop("_w")
+    )
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def with_ngrams(docs: DataFrame) -> DataFrame:
-    """Adds _uni and _bi: hashes of the unigrams and bigrams of ``text``; the first of _bi is null."""
+    """Adds _uni and _bi: hashes of the unigrams and bigrams of ``text``."""
     d = docs.withColumn("_tok", words(F.regexp_replace(F.coalesce("text", F.lit("")), f"([{PUNCT}]+)", " $1 ")))
     d = d.withColumn("_uni", F.transform("_tok", lambda x: F.xxhash64(x)))
-    return d.withColumn("_bi", F.expr("transform(_uni, (x, i) -> CASE WHEN i > 0 THEN xxhash64(get(_uni, i - 1), x) END)")).drop("_tok")
+    rest = F.greatest(F.size("_uni") - 1, F.lit(0))
+    return d.withColumn("_bi", F.zip_with(F.slice("_uni", F.lit(1), rest), F.slice("_uni", F.lit(2), rest), lambda x, y: F.xxhash64(x, y))).drop("_tok")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(bucket, ratio) of every bucket, times SCALE: log((own + prior) / (all * share + prior)),
     share being that of the trusted n-grams in all."""
-    mark = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left")
-    each = with_ngrams(mark).select("_trusted", F.explode(F.concat("_uni", "_bi")).alias("gram")).where(F.col("gram").isNotNull())
+    few = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)  # the bound of this broadcast
+    mark = docs.select("doc_id", "text").join(F.broadcast(few.withColumn("_trusted", F.lit(1))), "doc_id", "left")
+    each = with_ngrams(mark).select("_trusted", F.explode(F.concat("_uni", "_bi")).alias("gram"))
     each = each.select("_trusted", F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
     n = each.groupBy("bucket").agg(F.count("*").alias("all"), F.count("_trusted").alias("own"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(n, "bucket", "left").select("bucket", F.coalesce("all", F.lit(0)).alias("all"), F.coalesce("own", F.lit(0)).alias("own"))
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     # One array of BUCKETS whole numbers, whatever the input.
     array = ratios.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("x")).select(F.transform("x", lambda x: x["ratio"])).scalar()
     d = with_ngrams(base_rules(docs)).withColumn("_llr", array)
-    looked_up = lambda grams: F.expr(f"aggregate({grams}, 0L, (a, x) -> a + coalesce(get(_llr, cast(pmod(x, {BUCKETS}) AS INT)), 0))")
+    looked_up = lambda grams: F.expr(f"aggregate({grams}, 0L, (a, x) -> a + get(_llr, cast(x & {BUCKETS - 1} AS INT)))")
     d = d.withColumn("_sum", looked_up("_uni") + looked_up("_bi"))
     grams = F.greatest(F.lit(1), 2 * F.size("_uni") - 1)
     found = [c for c in d.columns if c not in docs.columns and c[0] != "_"]
