@@ -24,10 +24,8 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slots_of(spark: SparkSession) -> int:
-    """Slots to deal the rows of one group over, so that a hot group is as
-    parallel as the cluster's shuffles are."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of a table for each slot over which number_rows deals a group, on average at most.
+SLOT_ROWS = 16_384
 
 
 def number_rows(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
@@ -35,9 +33,11 @@ def number_rows(df: DataFrame, groups: list[str], order: list[str], out: str) ->
 
     A group may hold any share of the rows: its rows are dealt over slots by a
     hash of ``order``, numbered in each slot, and shifted by the rows of the
-    slots before it. Rows equal in ``order`` go by their order in the slot.
+    slots before it. There are as many slots as the table's rows ask for, so any
+    session numbers alike. Rows equal in ``order`` share a slot, in any order.
+    The rows are counted first, so ``df`` should be cheap to read.
     """
-    n = slots_of(df.sparkSession)
+    n = max(1, -(-df.count() // SLOT_ROWS))
     df = df.withColumn("_slot", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     by = [*groups, "_slot"]
     before = Window.partitionBy(*groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
