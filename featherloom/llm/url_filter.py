@@ -18,8 +18,12 @@ from ..plans.lineage import checkpointed
 from .common import ascii_lower, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Suffixes under which anyone registers, besides the last label of any host.
-PLATFORMS = ("example.com", "example.net", "example.org")
+#: Suffixes under which names are registered, besides the last label of any host: a
+#: host's longest fitting rule is its suffix. ``*.x`` stands for any one label before
+#: x, ``!y.x`` excepts y.x from it, whose suffix is then x. A caller passes the rules
+#: of its own list; these are the usual second levels and the hosts of the test tables.
+SECOND_LEVELS = tuple(f"{second}.{top}" for top in ("uk", "jp", "au", "nz", "za", "br", "in", "kr", "tr", "cn", "tw", "il", "th", "mx", "ar") for second in ("ac", "co", "com", "edu", "gov", "net", "or", "org"))
+PLATFORMS = ("example.com", "example.net", "example.org", *SECOND_LEVELS)
 THRESHOLD, Z, STRENGTH = 0.6, 1.6448536269514722, 10.0
 #: A host with this share of the rows or more is joined by broadcast: there are at most 1 / HEAVY of them.
 HEAVY = 0.001
@@ -45,12 +49,20 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 def domains(host: Column, platforms=PLATFORMS) -> tuple[Column, Column]:
     """Suffix and registered domain of a host without its port."""
     bare = F.regexp_replace(host, ":[0-9]*$", "")
-    suffix = F.substring_index(bare, ".", -1)
-    for p in platforms:
-        suffix = F.when((bare == p) | bare.endswith("." + p), F.lit(p)).otherwise(suffix)
-    dots = F.length(suffix) - F.length(F.translate(suffix, ".", ""))
-    domain = F.when(dots == 1, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
-    return suffix, domain
+    labels = 1 + F.length(bare) - F.length(F.translate(bare, ".", ""))
+    plain = [p for p in platforms if p[0] not in "*!"]
+    wild, excepted = [p[2:] for p in platforms if p[0] == "*"], [p[1:] for p in platforms if p[0] == "!"]
+    n = F.lit(1)  # labels of the suffix
+    for k in range(2, 2 + max([p.count(".") for p in [*plain, *(f"*.{w}" for w in wild)]], default=0)):
+        tail = F.substring_index(bare, ".", -k)
+        here = [p for p in plain if p.count(".") == k - 1]
+        under = [w for w in wild if w.count(".") == k - 2]
+        fits = (labels >= k) & tail.isin(*here)
+        if under:
+            fits = fits | ((labels >= k) & F.substring_index(bare, ".", 1 - k).isin(*under) & ~tail.isin(*excepted))
+        n = F.when(fits, F.lit(k)).otherwise(n)
+    cut = lambda k: F.array_join(F.slice(F.split(bare, "\\."), F.greatest(F.lit(1), labels - k + 1), k), ".")
+    return cut(n), cut(n + 1)
 
 
 def _strength(level: DataFrame, parent: str, name: str) -> DataFrame:
@@ -143,7 +155,7 @@ def op1_sql() -> str:
     longest = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest)
     said = " ".join(f"WHEN {fits(r)} THEN '{k}'" for k, r in longest)
-    on = " ".join(f"WHEN bare = '{p}' OR ends_with(bare, '.{p}') THEN '{p}'" for p in PLATFORMS)
+    two = ", ".join(f"'{p}'" for p in PLATFORMS)  # all of two labels
     return f"""
 WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
 r AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
@@ -151,7 +163,7 @@ r AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABC
 l AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) good FROM labels GROUP BY doc_id),
 o AS (SELECT page_id, min(good) good FROM r JOIN l ON l.doc_id = try_cast(nullif(regexp_extract(url, '/([0-9]{{1,18}})', 1), '') AS BIGINT) GROUP BY page_id),
 h0 AS (SELECT host, count(*) n, sum(good)::BIGINT k, regexp_replace(host, ':[0-9]*$', '') bare FROM r JOIN o USING (page_id) WHERE good IS NOT NULL GROUP BY host),
-h1 AS (SELECT *, CASE {on} ELSE split_part(bare, '.', -1) END suffix FROM h0),
+h1 AS (SELECT *, CASE WHEN array_to_string(string_split(bare, '.')[-2:], '.') IN ({two}) THEN array_to_string(string_split(bare, '.')[-2:], '.') ELSE split_part(bare, '.', -1) END suffix FROM h0),
 hosts AS (SELECT host, n, k, suffix, array_to_string(CASE WHEN strpos(suffix, '.') > 0 THEN string_split(bare, '.')[-3:] ELSE string_split(bare, '.')[-2:] END, '.') AS domain FROM h1),
 by_domain AS (SELECT suffix, domain, sum(n)::BIGINT n, sum(k)::BIGINT k FROM hosts GROUP BY ALL),
 by_suffix AS (SELECT suffix, sum(n)::BIGINT n, sum(k)::BIGINT k, 1 AS whole FROM by_domain GROUP BY suffix),
