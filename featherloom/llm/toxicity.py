@@ -22,13 +22,15 @@ from .common import table
 
 #: The lexicon and the model are fitted on so many labelled documents at most, those whose ids hash lowest.
 SAMPLE = 20_000
-#: Most terms of a lexicon; fewest toxic documents of a term; least lower bound of its log-odds, and least log-odds of its misspellings.
-TERMS, SUPPORT, BOUND = 3_000, 5, 1.5
+#: Fewest toxic documents of a term; least lower bound of its log-odds, and least log-odds of its misspellings. SAMPLE
+#: bounds the lexicon too: a term needs SUPPORT of its documents.
+SUPPORT, BOUND = 5, 1.5
 #: Terms from this length on are found with one edit.
 FUZZY_FROM = 5
 WINDOW = 6
 TOKEN = r"[^\W_]+"
-QUOTES = "\"“”„«»‹›‘’"
+#: An apostrophe counts as a mark only beside a word, not inside one.
+QUOTES = re.compile(r"[\"“”„«»‹›‘’](?!\w)|(?<!\w)[\"“”„«»‹›‘’']|'(?!\w)")
 #: Words that report another's speech (fixed values, four languages).
 REPORTING = frozenset(
     """said says wrote writes quoted quote called calls reported reports slur term word
@@ -144,12 +146,14 @@ class Reader:
         return np.log1p(out)
 
     def _quoted(self, text: str, spans: list[tuple[int, int]], i: int) -> bool:
-        """Whether token ``i`` stands between quotation marks near by, or a word of reporting leads to it with one."""
+        """Whether token ``i`` stands between quotation marks near by, or a word of
+        reporting leads to it with one on either side. Marks inside words and words of
+        reporting alone quote nothing."""
         a, b = max(0, i - WINDOW), min(len(spans), i + WINDOW + 1)
-        left, right = text[spans[a][0] : spans[i][0]], text[spans[i][1] : spans[b - 1][1] + 1]
-        marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
-        reported = any(text[s:e] in REPORTING for s, e in spans[a:i])
-        return marks or (reported and any(c in QUOTES for c in left + right))
+        start, end = max(0, spans[a][0] - 1), spans[b - 1][1] + 1
+        left = any(m.end() <= spans[i][0] for m in QUOTES.finditer(text, start, end))
+        right = any(m.start() >= spans[i][1] for m in QUOTES.finditer(text, spans[i][1], end))
+        return (left and right) or ((left or right) and any(text[s:e] in REPORTING for s, e in spans[a:i]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -189,10 +193,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the bound of this broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return rows.dropDuplicates(["text"])
+    # Of rows with one text: the least id, and toxic if any label says so.
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
-def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], list[float]]:
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[float]]:
     """Terms and weights: the lower bounds of their log-odds of being in a toxic document."""
     n = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     if not n["n"] or not n["p"] or n["p"] == n["n"]:
@@ -202,7 +207,7 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], lis
     seen = sample.select("toxic", word).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("a"))
     t, c = F.col("t") + 0.5, F.col("a") - F.col("t") + 0.5
     bound = F.log(t / (pos + 1)) - F.log(c / (neg + 1)) - 1.96 * F.sqrt(1 / t + 1 / c)
-    best = seen.where(F.col("t") >= SUPPORT).withColumn("w", bound).where(F.col("w") >= BOUND).orderBy(F.desc("w"), "term").limit(terms).collect()
+    best = seen.where(F.col("t") >= SUPPORT).withColumn("w", bound).where(F.col("w") >= BOUND).orderBy(F.desc("w"), "term").collect()
     return [r["term"] for r in best], [float(r["w"]) for r in best]
 
 
