@@ -22,10 +22,10 @@ PIECE, CENTRES = 2, 16
 FIT, SWEEPS = 8_192, 6
 #: Inner products from this on are those that count: it sets the weight of the parallel residual.
 SCORE_AT = 0.2
-CHUNK, BLOCK = 16_384, 512
+CHUNK, BLOCK = 4_096, 512
 #: Vectors of a chunk that are ranked again for each query, at first: four times as many as
 #: long as the last of them is within MARGIN standard errors of the nearest.
-RERANK, MARGIN = 200, 3.0
+RERANK, MARGIN = 100, 3.0
 QUERY_STEP, NEAREST = 50, 5
 
 
@@ -97,6 +97,12 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(-1, dim)
 
 
+def _nibbles(codes: np.ndarray) -> np.ndarray:
+    """Four-bit codes, two in a byte."""
+    even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return even[:, ::2] << 4 | even[:, 1::2]
+
+
 def _packed(dim: int, centres: np.ndarray | None, weight: float):
     """One row of a group's ids, vectors and codes. Rows of one id count once, by their least vector."""
 
@@ -106,7 +112,7 @@ def _packed(dim: int, centres: np.ndarray | None, weight: float):
         ids, x = ids[order], x[order]
         first = np.r_[True, ids[1:] != ids[:-1]]
         ids, x = ids[first], x[first]
-        codes = b"" if centres is None else encode(_unit(x), centres, weight).tobytes()
+        codes = b"" if centres is None else _nibbles(encode(_unit(x), centres, weight)).tobytes()
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()), "codes": pa.array([codes], pa.binary())})
 
     return run
@@ -134,13 +140,13 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _scan(dim: int, centres: np.ndarray, nearest: int, rerank: int):
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(k, 1).to_pylist()[0] for k in range(len(b))):  # one pair of blocks at a time
                 qi, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dim)
                 vi, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(vi), -1)
+                pairs = np.frombuffer(row["codes"], np.uint8).reshape(len(vi), -1)
                 tables = np.einsum("qsp,skp->qsk", _pieces(_unit(q)), centres).astype(np.float32)
                 out_q, out_v, out_s = [], [], []
-                columns = [np.ascontiguousarray(codes[:, s]) for s in range(codes.shape[1])]
+                columns = [np.ascontiguousarray(pairs[:, s // 2] & 15 if s % 2 else pairs[:, s // 2] >> 4) for s in range(tables.shape[1])]
                 for i in range(len(qi)):
                     near = np.zeros(len(vi), np.float32)
                     for s, c in enumerate(columns):
