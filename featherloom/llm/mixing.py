@@ -21,7 +21,7 @@ from .common import mix64, table, word_count
 
 WEIGHTS, SHARE, MOST, FAN = (3.0, 1.0, 2.0), 1.5, 2.0, 64
 #: Rows of all sources together for each slot: slots follow the rows alone, so any session draws the same mix.
-SLOT_ROWS = 2_048
+SLOT_ROWS = 512
 SEED = 7
 
 
@@ -120,8 +120,9 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     A document of size 0 is taken as often as its source's whole part says and
     adds no words. A source without words has target 0 and its documents no
-    copies. Repeated rows are rounded each on its own. Null sources are one
-    source, the last. Columns of ``rows`` with the name of a result give way.
+    copies. Rows are rounded each on its own; their draws follow from all their
+    columns, so a hash of the text tells rows without an id apart. Null sources
+    are one source, the last. Columns of ``rows`` with the name of a result give way.
     """
     # Read for the targets, for their join and for the count, but counted out of the texts once.
     rows = checkpointed(rows.drop("source_no", "source_size", "target", "copies", "taken"))
@@ -130,12 +131,12 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     # As many rows as sources: joined by the session's own choice, never forced to broadcast.
     r = rows.join(t.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    r = r.withColumn("whole", F.floor(per).cast("long")).withColumn("p", F.when(F.col("size") > 0, per - F.floor(per)).otherwise(0.0)).withColumn("key", F.xxhash64("doc_id", "size", F.lit(SEED)))
+    r = r.withColumn("whole", F.floor(per).cast("long")).withColumn("p", F.when(F.col("size") > 0, per - F.floor(per)).otherwise(0.0)).withColumn("key", F.xxhash64(*rows.columns, F.lit(SEED)))
     r = copies(r, slots).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
     return r.withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "p", "key", "source_no")
 
 
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
