@@ -298,9 +298,54 @@ def test_bad_hosts_are_blocked_and_unknown_ones_are_not(spark):
     assert url_filter.judge(empty, url_filter.page_outcomes(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
 
 
+def test_registered_domains_follow_the_suffix_rules(spark):
+    hosts = ["a.co.uk", "x.b.co.uk", "co.uk", "uk", "h.example.com", "example.com", "www.site.org", "a.b.city.jp", "c.city.jp", "main.city.jp", "", "a.co.uk:80"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *url_filter.domains(F.col("host"), (*url_filter.PLATFORMS, "*.city.jp", "!main.city.jp"))).collect()
+    want = [("co.uk", "a.co.uk"), ("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("example.com", "h.example.com"), ("example.com", "example.com"), ("org", "site.org"), ("b.city.jp", "a.b.city.jp"), ("c.city.jp", "c.city.jp"), ("jp", "city.jp"), ("", ""), ("co.uk", "a.co.uk")]
+    assert [tuple(r)[1:] for r in got] == want
+    pages = [(i, f"http://w{i % 4}.{'a' if i < 80 else 'b'}.co.uk/{i}") for i in range(160)]
+    df, good = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(i, int(i >= 80)) for i in range(160)], "page_id long, good int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df.withColumn("verdict", F.lit(1)).unionByName(df.withColumn("verdict", F.lit(1)).limit(1)), good).collect()}
+    assert all(got[i] == ("block" if i < 80 else "allow") for i in range(160))
+
+
 # op6, op7, op3 -----------------------------------------------------------------------------------
 
 
+def rendezvous_by_hand(keys, shards):
+    """Spark's 64-bit hash of (key, shard), then the least bid, in Python."""
+    import math
+
+    import xxhash
+
+    def bid(k, s):
+        h = xxhash.xxh64_intdigest(int(k).to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(int(s).to_bytes(4, "little"), h)
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53)
+
+    return [min(range(shards), key=lambda s: (bid(k, s), s)) for k in keys]
+
+
+def test_rendezvous_against_python(spark):
+    keys = [*range(-50, 400), 2**62]
+    got = sharding.assign(spark.createDataFrame([(k,) for k in keys], "k long"), "k", [1.0] * 24, [1.0] * 25).collect()
+    by = {r["k"]: r for r in got}
+    assert [by[k]["shard"] for k in keys] == rendezvous_by_hand(keys, 24) and [by[k]["grown_shard"] for k in keys] == rendezvous_by_hand(keys, 25)
+
+
+def test_places_are_the_same_in_any_session(spark, monkeypatch):
+    from featherloom.llm import common
+
+    monkeypatch.setattr(common, "SLOT_ROWS", 100)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") * 7919 % 301).alias("n"))
+    seen = []
+    for parts in ("4", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        seen.append((sorted(map(tuple, packing.pack(docs, "n", ["doc_id"]).collect())), sorted(map(tuple, sharding.assign(docs, "doc_id", [1.0] * 5, [1.0] * 6).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1]
+
+
 def test_rendezvous(spark):
     df = spark.range(20_000).select(F.col("id").alias("k"))
     rows = sharding.assign(df, "k", [1.0] * 8, [1.0] * 9).collect()
@@ -413,8 +458,10 @@ def test_automaton_accepts_what_the_distance_says():
 def test_quoted_terms_count_apart():
     r = toxicity.Reader(["idiot"], [1.0], [True])
     assert r.features("you idiot")[0] > 0 and r.features("you idiott")[1] > 0
-    quoted = r.features('he wrote "idiot" in a letter')
-    assert quoted[0] == 0 and quoted[2] > 0
+    for text in ('he wrote "idiot" in a letter', "they said 'idiot' to him", '"you are an idiot," she said'):
+        assert r.features(text)[0] == 0 and r.features(text)[2] > 0, text
+    for text in ("don’t be an idiot, he’s here", "he said you idiot", "that's an idiot isn't it"):
+        assert r.features(text)[0] > 0 and r.features(text)[2] == 0, text
     assert not r.features(None).any() and not r.features("").any()
 
 
@@ -480,6 +527,37 @@ def test_base_rules_against_python(spark, corpus):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
 
 
+def ratio_by_hand(texts, trusted):
+    """Scores of the n-gram ratio, over the same buckets."""
+    import math
+    import string
+
+    import xxhash
+
+    def grams(t):
+        tokens = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("([" + re.escape(string.punctuation) + "]+)", r" \1 ", t or "")) if x]
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in tokens]
+        two = [xxhash.xxh64_intdigest(y.to_bytes(8, "little"), xxhash.xxh64_intdigest(x.to_bytes(8, "little"), 42)) for x, y in zip(one, one[1:])]
+        return [x % quality.BUCKETS for x in one + two]
+
+    each = [grams(t) for t in texts]
+    every, own = Counter(g for x in each for g in x), Counter(g for i, x in enumerate(each) if i in trusted for g in x)
+    share = sum(own.values()) / max(1, sum(every.values()))
+    ratio = lambda g: round(1e6 * math.log((own[g] + quality.PRIOR) / (every[g] * share + quality.PRIOR)))
+    return [sum(map(ratio, x)) / max(1, len(x)) / 1e6 for x in each]
+
+
+def test_ratio_against_python(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ".", "!?", "$"]) for _ in range(rng.randint(1, 200))) for _ in range(150)] + ["", None, "one", "...", "x" * 300_000 + " y"]
+    trusted = set(range(0, 150, 3))
+    got = {r["doc_id"]: r for r in quality.judge(docs_of(spark, texts), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    want = ratio_by_hand(texts, trusted)
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want, abs=2e-6)
+    assert all(got[i]["kept"] == (not got[i]["base_failed"] and got[i]["score"] >= quality.THRESHOLD) for i in range(len(texts)))
+
+
 def test_ratio_tells_junk_from_prose(spark):
     rng = random.Random(7)
     words = [f"word{i}" for i in range(400)]

@@ -97,6 +97,32 @@ def test_near_dedup_takes_texts_of_one_id_or_none_apart(spark):
     assert len(seen) == 1
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, repeated rows, equal ids, a very long text; and an empty table."""
+    import random
+
+    rng = random.Random(3)
+    text = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(2, 6) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(30)]
+    rows = [(i if i % 3 else None, t, "en" if i % 2 else None, "s" if i % 5 else None, len(t)) for i, t in enumerate(text)]
+    rows += [rows[4], rows[4], rows[6], (None, None, None, None, None), (7, "", "en", "s", 0), (50, "x" * 2_000_000 + " " + text[0], "en", "s", None), (4, text[9] + " more", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, SF)
+    assert kept.where("text is null or text = ''").count() == 0 and kept.columns == docs.columns
+    once = stages["minhash_dedup"](spark, docs, SF)
+    want = {(r[0], r[1]) for r in rows}
+    assert Counter((r["doc_id"], r["text"]) for r in once.collect()) <= Counter(want) and once.count() == len(want) - 2  # two near copies
+    cut = stages["suffix_array_dedup"](spark, docs, SF)
+    assert cut.count() == docs.count() and cut.where("doc_id = 50").first()["text"].startswith("x" * 100)
+    mixed = stages["source_mixing"](spark, docs, SF)
+    size = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("n")).collect()}
+    whole, taken = size(docs), size(mixed)
+    assert all(taken[s] <= 2 * whole[s] for s in taken) and abs(sum(taken.values()) - 1.5 * sum(whole.values())) < 400
+    assert stages["length_packing"](spark, mixed, SF).count() == mixed.count()
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_pipeline_runs_whole(spark, duck):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "bucket", "bucket_len", "batch", "place"] and out.count() > 0
