@@ -1,19 +1,20 @@
 """From raw documents to packed training batches, in five stages.
 
 Each stage takes the documents its predecessor kept and is written before the
-next one reads it. All but the last return the columns of ``documents``.
+next one reads it. All but the last return the columns of ``documents``. Rows
+are documents of their own, with or without an id or a text: a null text has no
+words and falls to the first stage, of equal rows the second keeps one, and an
+empty table passes through all stages.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featherloom.llm import minhash, mixing, packing, quality, suffix_dedup
 from featherloom.llm.common import table, word_count
+from featherloom.plans.lineage import shared_folder
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +35,17 @@ def suffix_array_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents without words add nothing and go."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).where("size > 0")
-    copies = mixing.mix(sizes).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.where(word_count(F.col("text")) > 0).join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    none = -(2**63)  # stands for a null id
+    keys = {"_id": F.coalesce("doc_id", F.lit(none)), "_t1": F.xxhash64("text"), "_t2": F.hash("text")}
+    size = word_count(F.col("text"))
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], "source", size.alias("size")).where("size > 0")
+    copies = mixing.mix(rows).groupBy("_id", "_t1", "_t2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    keyed = docs.where(size > 0).withColumns({k: keys[k] for k in ("_id", "_t1", "_t2")})
+    taken = keyed.join(copies.hint("merge"), ["_id", "_t1", "_t2"])
+    # Rows equal in id and text share their copies out in order.
+    at = F.row_number().over(Window.partitionBy("_id", "_t1", "_t2").orderBy("source", "lang"))
+    n = F.floor(F.col("_copies") / F.col("_rows")) + (at <= F.col("_copies") % F.col("_rows")).cast("long")
+    return taken.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def length_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +67,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet into the shared folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
