@@ -83,6 +83,11 @@ def _trials(spark, n=TRIALS):
     return tables.trials(spark, n)
 
 
+def _masker_batch(spark, d):
+    masked, _ = mk.BlockMasker(spark, BLOCKS, RATIO).mask_batch(_features(spark, d))
+    return pr.moments(masked, NAMES).select("feature", F.round("minimum", 6).alias("minimum"), F.round("maximum", 6).alias("maximum"))
+
+
 def _exact_means(df, names):
     """Means from exact decimal sums, so that no order of summation shows."""
     return pr.per_column(df, names, {"mean": lambda c: F.round(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c), 9)})
@@ -315,6 +320,7 @@ def queries():
         "shortcut_analysis": lambda s, d: _rounded(_shortcuts(s, d, _random_masks)),
         "shortcut_comparison": lambda s, d: _rounded(mk.shortcut_comparison(_shortcuts(s, d, _block_masks), _shortcuts(s, d, _random_masks))),
         "masked_batch": _masked_batch,
+        "masker_batch": _masker_batch,
     }
     return q
 
@@ -467,6 +473,7 @@ def oracle_sql():
         "weak_pairs": f"WITH {P} SELECT CASE WHEN f1 IN ({', '.join(repr(n) for n in NAMES[:3])}) THEN 1 ELSE 2 END::BIGINT AS block_id, f1, f2, score FROM p WHERE (f1 IN ({', '.join(repr(n) for n in NAMES[:3])})) = (f2 IN ({', '.join(repr(n) for n in NAMES[:3])})) AND score < 0.5",
         "labels_to_blocks": f"WITH {L}, o(feature, pos) AS (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(NAMES)) + ") SELECT labeling, dense_rank() OVER (PARTITION BY labeling ORDER BY label) AS block_id, string_agg(feature, ' | ' ORDER BY pos) AS features FROM l JOIN o USING (feature) GROUP BY labeling, label",
         "neighbor_summary": f"WITH {M}, c AS (SELECT feature, count(f2) AS n FROM names LEFT JOIN m ON f1 = feature AND f1 <> f2 AND score >= 0.6 GROUP BY feature) SELECT min(n) AS minimum, round(median(n), 6) AS median, round(avg(n), 6) AS mean, max(n) AS maximum FROM c",
+        "masker_batch": f"WITH RECURSIVE {_blocked(43)}, {X}, v AS (" + _each("SELECT '@' AS feature, min(@) AS lo, max(@) AS hi FROM x", NAMES) + ") SELECT feature, round(CASE WHEN masked THEN 0 ELSE lo END, 6) AS minimum, round(CASE WHEN masked THEN 0 ELSE hi END, 6) AS maximum FROM v JOIN bm USING (feature) WHERE trial = 42",
         "random_masks": f"WITH {_random(TRIALS)} SELECT trial, feature, masked FROM rm",
         "shortcut_analysis": f"WITH {shortcut} SELECT trial, count(*) AS n_masked, count(*) FILTER (n > 0) AS with_partner, sum(n)::BIGINT AS visible_pairs, round(count(*) FILTER (n > 0) / count(*)::DOUBLE, 6) AS rate FROM hit GROUP BY trial",
         "masked_batch": f"WITH {X} " + _each("SELECT '@' AS feature, round(sum(@::DECIMAL(18,6))::DOUBLE / count(@), 9) AS mean, round(max(@), 6) AS maximum FROM x", [n for n in NAMES if n not in ("price", "tax")]) + " UNION ALL SELECT 'price', 0, 0 UNION ALL SELECT 'tax', 0, 0",

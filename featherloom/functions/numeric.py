@@ -105,7 +105,3 @@ def hash_unit(*keys: Column) -> Column:
 def parse_list(c: Column, separator: str = "|") -> Column:
     """Parts of a delimited list, trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(c, f"\\{separator}"), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def join_list(c: Column, separator: str = " | ") -> Column:
-    return F.array_join(c, separator)

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_number, finite, hash_bits, hash_unit, log1p, percent, robust_scaled, rule_threshold, without_artifacts
+from ..functions.numeric import as_number, finite, hash_bits, hash_unit, log1p, robust_scaled, rule_threshold, without_artifacts
 from ..sources.tables import require_columns
 from .order import quantiles
+from .profile import with_share
 
 #: The upper ends of the splits.
 SPLITS = (("train", 0.7), ("validation", 0.85), ("test", 1.0))
@@ -57,7 +58,7 @@ def split_comparison(df: DataFrame, group: str, splits: Sequence[str] = tuple(s
 
 def split_sizes(df: DataFrame) -> DataFrame:
     g = df.groupBy("split").agg(F.count("*").alias("cnt"))
-    return g.withColumn("pct", percent(F.col("cnt"), F.sum("cnt").over(Window.partitionBy(F.lit(1)))))
+    return with_share(g)
 
 
 def medians(df: DataFrame, columns: Sequence[str], artifacts: Mapping[str, float] | None = None) -> DataFrame:

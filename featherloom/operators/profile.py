@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, as_number, finite, is_nonfinite, percent
@@ -24,11 +24,17 @@ def per_column(df: DataFrame, columns: Sequence[str], measures: Mapping[str, cal
     return one.select(F.inline(rows))
 
 
+def with_share(counts: DataFrame) -> DataFrame:
+    """Adds ``pct``, the share of ``cnt`` in its sum: one row, broadcast, however many categories there are."""
+    total = counts.agg(F.sum("cnt").alias("_total"))
+    return counts.join(F.broadcast(total)).withColumn("pct", percent(F.col("cnt"), F.col("_total"))).drop("_total")
+
+
 def category_distribution(df: DataFrame, column: str, keep_null: bool = True) -> DataFrame:
     """(value, cnt, pct), null as a category of its own unless dropped."""
     rows = df if keep_null else df.where(F.col(column).isNotNull())
     g = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("cnt"))
-    return g.withColumn("pct", percent(F.col("cnt"), F.sum("cnt").over(Window.partitionBy(F.lit(1)))))
+    return with_share(g)
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,6 +37,14 @@ def windowed_counts(stream: DataFrame, time: str, group: str, length: str = "1 h
     return stream.withWatermark(time, late).groupBy(F.window(time, length).alias("window"), F.col(group).alias("value")).agg(F.count("*").alias("cnt"))
 
 
+def start_into(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Runs over what has arrived and stops; each result replaces the Parquet
+    table at ``path``, written by the executors, however many rows it has."""
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def start(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs over what has arrived, into a table in memory, and stops."""
+    """Runs over what has arrived, into a table in the driver's memory, and
+    stops: for results of a few rows, such as a row per feature."""
     return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,3 +15,5 @@ def test_running_profile_equals_the_batch(spark, tmp_path):
     assert {r["value"]: r["cnt"] for r in spark.table("k").collect()} == {"0": 334, "1": 333, "2": 333}
     running.start(running.windowed_counts(stream, "ts", "c", late="30 days"), "w", f"{tmp_path}/c3").awaitTermination()
     assert spark.table("w").agg(F.sum("cnt")).first()[0] == 1000
+    running.start_into(running.running_categories(stream, "c"), f"{tmp_path}/table", f"{tmp_path}/c4").awaitTermination()
+    assert {r["value"]: r["cnt"] for r in spark.read.parquet(f"{tmp_path}/table").collect()} == {"0": 334, "1": 333, "2": 333}
