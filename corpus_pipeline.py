@@ -65,11 +65,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet into the shared folder and read again."""
+    """All stages, each written as Parquet into the shared folder and read again.
+    A stage's table goes when the next one stands; the last one stays for the caller."""
     folder = shared_folder(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _drop(spark, f"{folder}/{before}")
+        before = name
     return docs
