@@ -38,8 +38,8 @@ BANDS = BINS // ROWS
 SEEDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LOW = np.uint64(2**48 - 1)
 EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
-#: Sets of a block, about.
-CHUNK = 48
+#: Sets of a block, about, and their shingles together.
+CHUNK, CHUNK_SHINGLES = 48, 1 << 20
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -206,9 +206,9 @@ def _compare(width: int, percent: int):
 
 def _late_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components inside families. ``open_`` has family, c, comp, n, s."""
-    sizes = open_.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
-    blocks = lambda k: F.greatest(F.ceil(k / CHUNK), F.lit(1)).cast("int")
-    sizes = sizes.select("family", F.col("m.comp").alias("main"), blocks(F.col("m.k")).alias("mains"), blocks(F.col("all") - F.col("m.k")).alias("minors"))
+    sizes = open_.groupBy("family", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w")).groupBy("family").agg(F.max(F.struct("k", "comp", "w")).alias("m"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+    blocks = lambda k, w: F.greatest(F.ceil(k / CHUNK), F.ceil(w / CHUNK_SHINGLES), F.lit(1)).cast("int")
+    sizes = sizes.select("family", F.col("m.comp").alias("main"), blocks(F.col("m.k"), F.col("m.w")).alias("mains"), blocks(F.col("k") - F.col("m.k"), F.col("w") - F.col("m.w")).alias("minors"))
     minor = F.col("comp") != F.col("main")
     placed = open_.join(sizes, "family").withColumn("minor", minor).withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))).cast("int"))
     full = placed.join(classes.select("c", "bands").hint("merge"), "c").join(texts.hint("merge"), "c")
