@@ -267,7 +267,11 @@ def test_chat_round_trip(spark):
     replies = sum(r == "assistant" for t in want.values() for r, _ in t)
     assert examples.where("loss_end > loss_start or formatted like '%</s>'").count() >= replies > 0
     odd = spark.createDataFrame([(None, None, None, None), (1, 2, "user", "b"), (1, 2, "user", "b")], "conv_id long, turn long, role string, text string")
-    assert {r["conv_id"]: r["n_turns"] for r in chat.digest(chat.expand(odd)).collect()} == {None: 1, 1: 2}
+    clashing = odd.withColumns({c: F.lit(9) for c in ("example", "part", "at", "end", "whole", "formatted")})
+    assert {r["conv_id"]: r["n_turns"] for r in chat.digest(chat.expand(clashing)).collect()} == {None: 1, 1: 2}
+    long = spark.createDataFrame([(1, 0, "user", "<s> x" * 400_000), (1, 1, "assistant", "[INST]" * 200_000)], "conv_id long, turn long, role string, text string")
+    one = chat.digest(chat.expand(long)).first()
+    assert (one["loss_chars"], one["loss_sha256"]) == (1_200_000, hashlib.sha256(b"[INST]" * 200_000).hexdigest())
     assert chat.digest(chat.expand(odd.limit(0))).count() == 0
 
 
@@ -396,6 +400,51 @@ def test_pivot_keeps_words_and_leaves_one():
     assert np.abs(mean - [0.3, 0.6, 0.5]).max() < 0.03
 
 
+def pivot_by_hand(p, size, key):
+    """One group, pair after pair: the same draws, one float at a time."""
+    p, turn = list(p), 0
+    while True:
+        open_ = [i for i, x in enumerate(p) if 0 < x < 1]
+        if len(open_) < 2:
+            return p
+        for i, j in zip(open_[::2], open_[1::2]):
+            x = min((1 - p[i]) * size[i], p[j] * size[j])  # words that may move from j to i
+            y = min(p[i] * size[i], (1 - p[j]) * size[j])
+            u = int(mixing.mix64(np.array([key[i]], np.uint64) ^ mixing.mix64(np.array([key[j]], np.uint64) + np.uint64(turn)))[0] >> np.uint64(11)) * 2.0**-53
+            if u * (x + y) < y:
+                p[i], p[j] = (1.0, p[j] - x / size[j]) if (1 - p[i]) * size[i] < p[j] * size[j] else (p[i] + x / size[i], 0.0)
+            else:
+                p[i], p[j] = (0.0, p[j] + y / size[j]) if p[i] * size[i] < (1 - p[j]) * size[j] else (p[i] - y / size[i], 1.0)
+        turn += 1
+
+
+def test_pivot_against_pairs_one_by_one():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 10, 77):
+        group = np.repeat([0, 1], [n, n + 1])
+        p, size, key = rng.random(len(group)), rng.integers(1, 500, len(group)).astype(float), rng.integers(0, 2**63, len(group)).astype(np.uint64)
+        want = np.concatenate([pivot_by_hand(p[group == g], size[group == g], key[group == g]) for g in (0, 1)])
+        assert np.abs(mixing.pivot(p, size, key, group) - want).max() < 1e-9
+
+
+def test_buckets_of_a_table_pad_least(spark, corpus):
+    n = [len(WORDS.findall(t or "")) for t in corpus]
+    rows = packing.packed_documents(docs_of(spark, corpus)).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter(enumerate(n))
+    x = sorted(n)
+    best = [[0.0] * (len(x) + 1)] + [[float("inf")] * (len(x) + 1) for _ in range(packing.BUCKETS)]
+    best[0] = [0.0] + [float("inf")] * len(x)
+    for k in range(1, packing.BUCKETS + 1):
+        best[k][0] = 0.0
+        for j in range(1, len(x) + 1):
+            best[k][j] = min(best[k - 1][i] + sum(x[j - 1] - v for v in x[i:j]) for i in range(j))
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in rows) == best[packing.BUCKETS][len(x)]
+    for b in {r["bucket"] for r in rows}:
+        own = [r for r in rows if r["bucket"] == b]
+        held = max(1, packing.BUDGET // max(1, own[0]["bucket_len"]))
+        assert sorted(r["batch"] * held + r["place"] for r in own) == list(range(len(own)))
+
+
 def test_bucket_boundaries_are_optimal():
     from itertools import combinations
 
@@ -477,12 +526,12 @@ def test_toxic_documents_are_found_in_the_held_out_fold(spark):
             w[rng.randrange(30)] = t if rng.random() < 0.8 else t[:3] + "z" + t[3:]
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic)))
-    docs = spark.createDataFrame(rows + [(None, None), (5000, "")], "doc_id long, text string").withColumn("score", F.lit(1))
+    docs = spark.createDataFrame(rows + [(None, None), (5000, ""), (5001, "plain " * 300_000 + bad[0])], "doc_id long, text string").withColumn("score", F.lit(1))
     lab = spark.createDataFrame(labels + [(None, None, None)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lab).collect()}
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum((got[i] >= 0.7) == (i % 4 == 0) for i in held) / len(held) > 0.97
-    assert got[5000] < 0.5 and len(got) == 902
+    assert got[5000] < 0.5 < 0.7 <= got[5001] and len(got) == 903
     assert {r["score"] for r in toxicity.score(docs, lab.limit(0)).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), lab).count() == 0
 
