@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,8 +28,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, tidy: bool = False) -> DataFrame:
     """The rows, read from the shared checkpoint folder, so that neither a lost
-    executor nor a second use computes them again."""
+    executor nor a second use computes them again.
+
+    ``tidy`` frees what they were made of at once: Spark removes shuffle files
+    that nothing refers to any more only when the driver happens to collect its
+    garbage, which a long chain of large steps cannot wait for."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    if tidy:
+        gc.collect()
+        out.sparkSession._jvm.System.gc()
+    return out
