@@ -153,7 +153,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     shares: the bucket's smallest class, and its smallest set."""
     rows = classes.select("c", "n", F.explode("bands").alias("key"))
     shared = checkpointed(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("first"), F.min("n").alias("least")).where("rows > 1").drop("rows"))
-    return checkpointed(rows.join(shared.hint("merge"), "key"))
+    return checkpointed(rows.join(shared.hint("merge"), "key"), tidy=True)
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _hubs(rows: DataFrame) -> DataFrame:
 
 def _families(inside: DataFrame) -> DataFrame:
     """(c, family) of classes that buckets connect."""
-    found = parents(inside.select(F.col("first").alias("src"), F.col("c").alias("dst")))
+    found = parents(inside.where("first <> c").select(F.col("first").alias("src"), F.col("c").alias("dst")).distinct())
     return inside.select("c").distinct().join(found.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("family"))
 
 
@@ -224,24 +224,23 @@ def _late_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, width: i
 def _components(classes: DataFrame, texts_of, width: int, percent: int) -> DataFrame:
     """(c, comp) of the classes that are linked with others, but the least of each component."""
     inside = _buckets(classes)
-    texts = checkpointed(texts_of(inside.select("c").distinct()))
+    texts = checkpointed(texts_of(inside.select("c").distinct()), tidy=True)
     family = checkpointed(_families(inside))
     shared = _shared_shingles(inside, family, texts, width)
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    rows = inside.join(shared.hint("merge"), "c").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "c", "family", "n", "s")
-    rows = checkpointed(rows)
+    rows = checkpointed(inside.join(shared.hint("merge"), "c").where(F.col("s") * (100 + percent) >= (F.col("n") + partner) * percent).select("key", "c", "family", "n", "s"), tidy=True)
     rows = checkpointed(rows.join(checkpointed(_hubs(rows)).hint("merge"), "key"))
     ends = F.least("hub", "c").alias("x"), F.greatest("hub", "c").alias("y")
     pairs = rows.where((F.col("c") != F.col("hub")) & _possible("n", "s", "nh", "sh", percent)).groupBy(*ends).agg(F.min("hub").alias("hub"))
     pairs = pairs.select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("c"))
-    links = checkpointed(_links(pairs, texts, width, percent))
+    links = checkpointed(_links(pairs, texts, width, percent), tidy=True)
     comp = parents(links, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("comp"))
     named = rows.where("rows > 2").select("key", "c", "family", "n", "s").join(comp.hint("merge"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     mixed = checkpointed(named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key"))
     open_ = checkpointed(named.join(mixed.hint("merge"), "key", "left_semi").groupBy("c", "family", "n", "s", "comp").agg(F.lit(1).alias("_")).drop("_"))
     if open_.isEmpty():
         return comp
-    late = checkpointed(_late_links(open_, classes, texts, width, percent))
+    late = checkpointed(_late_links(open_, classes, texts, width, percent), tidy=True)
     if late.isEmpty():
         return comp
     # Components so far are stars: with the links between them they are the whole graph.
@@ -271,7 +270,7 @@ def _classified(docs: DataFrame, id: str, width: int, percent: int) -> tuple[Dat
     kinds = "id long, t1 long, t2 int, n long, h1 long, h2 long, bands array<long>"
     signed = checkpointed(texts.mapInArrow(_sign(width), kinds))
     made = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(_first(*KEY)).alias("own"), F.first("bands").alias("bands"))
-    classes = checkpointed(made.withColumn("c", F.monotonically_increasing_id()))  # fixed as soon as it is written
+    classes = checkpointed(made.withColumn("c", F.monotonically_increasing_id()), tidy=True)  # fixed as soon as it is written
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(c, text) of some classes: of the class's first row, however often it is repeated."""
