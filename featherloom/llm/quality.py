@@ -26,9 +26,15 @@ PUNCT = "\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
+def spaced(text: Column) -> Column:
+    """A text whose spaces are all alike."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
-    plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_lines", lines)
     d = d.select(
         *docs.columns, F.col("_n").cast("long").alias("n_words"),
-        F.char_length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.char_length(F.replace(spaced(F.col("_t")), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
