@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import alignment, chat, language_model, minhash, mixing, negatives, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -17,8 +17,18 @@ def queries():
         "op8_lexicon_automata": toxicity.op8,
         "op9_ngram_ratio": quality.op9,
         "op10_anisotropic_search": neighbours.op10,
+        "op11_recurrent_lm": language_model.op11,
+        "op12_hard_negatives": negatives.op12,
+        "op13_token_alignment": alignment.op13,
     }
 
 
 def oracle_sql():
-    return {"op1_url_reputation": url_filter.op1_sql(), "op2_minhash_dedup": minhash.op2_sql(), "op4_chat_prefixes": chat.op4_sql(), "op5_suffix_dedup": suffix_dedup.op5_sql(), "op10_anisotropic_search": neighbours.op10_sql()}
+    return {
+        "op1_url_reputation": url_filter.op1_sql(),
+        "op2_minhash_dedup": minhash.op2_sql(),
+        "op4_chat_prefixes": chat.op4_sql(),
+        "op5_suffix_dedup": suffix_dedup.op5_sql(),
+        "op10_anisotropic_search": neighbours.op10_sql(),
+        "op12_hard_negatives": negatives.op12_sql(),
+    }
