@@ -26,9 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from .common import table
 from .texthash import text_bytes
-from .units import block_of, block_rows, dictionary_blocks, packed, per_document, stored, unit_rows, unpacked
+from .units import block_of, block_rows, dictionary_blocks, packed, per_document, unit_rows, unpacked
 
 #: Where the vocabulary files are, unless a caller says otherwise. Only the driver reads them.
 TOKENIZERS = "/opt/tokenizers"
@@ -146,25 +147,55 @@ def _both(byte_bpe: str, piece_bpe: bytes) -> Tokenizers:
     return Tokenizers(byte_bpe, piece_bpe)
 
 
-ALIGNED = "block long, code int, ok boolean, n_a int, n_b int, n_groups int, pairs binary, groups string"
+#: Alignments of a task's segments leave it in packets, one a block, of so many rows together.
+PACKET_ROWS = 1 << 17
+ALIGNED = "block long, codes binary, sizes binary, pairs binary, lengths binary, groups binary"
+
+
+def _aligned(units: list[str], both: Tokenizers) -> pa.Table:
+    """(n_a, n_b, n_groups, links, groups) of segments; all empty where a tokenizer does not give one back."""
+    a, b = both.encode(units)
+    good = [b"".join(map(both.a_bytes.__getitem__, x)) == u.encode() == b"".join(map(both.b_bytes.__getitem__, y)) for x, y, u in zip(a, b, units, strict=True)]
+    a, b = ([x if g else [] for x, g in zip(y, good, strict=True)] for y in (a, b))
+    texts, groups, left, right, ends = align_tokens(a, b, both.a_length, both.b_length)
+    links = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer((np.r_[0, ends] * 8).astype(np.int32)), pa.py_buffer((left << 32 | right).astype(np.int64).tobytes())])
+    sizes = lambda y: pa.array([len(x) for x in y], pa.int32())
+    return pa.table({"n_a": sizes(a), "n_b": sizes(b), "n_groups": pa.array(groups.astype(np.int32)), "pairs": links, "groups": pa.array(texts, pa.string())})
+
+
+def _packets(held: list[pa.Table]) -> pa.RecordBatch:
+    rows = pa.concat_tables(held).sort_by([("block", "ascending"), ("code", "ascending")]).combine_chunks()
+    block, code = rows.column("block").to_numpy(), rows.column("code").to_numpy()
+    sizes = np.stack([rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups")])
+    (pairs, p), (groups, g) = (text_bytes(rows.column(c).combine_chunks()) for c in ("pairs", "groups"))
+    edge = np.flatnonzero(np.r_[True, np.diff(block) != 0])
+    out = {c.split(" ")[0]: [] for c in ALIGNED.split(", ")}
+    for i, j in zip(edge, [*edge[1:], len(block)], strict=True):
+        out["block"].append(block[i])
+        out["codes"].append(packed(np.diff(code[i:j], prepend=np.int32(0)).astype(np.int32)))
+        out["sizes"].append(packed(np.concatenate([sizes[:, i:j], np.diff(p[i : j + 1] // 8)[None].astype(np.int32)]).ravel()))
+        out["pairs"].append(packed(pairs[p[i] : p[j]].view(np.int64)))
+        out["lengths"].append(packed(np.diff(g[i : j + 1]).astype(np.int32)))
+        out["groups"].append(packed(groups[g[i] : g[j]]))
+    return pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *[pa.array(out[c], pa.binary()) for c in list(out)[1:]]], list(out))
+
+
+def _unpacked(packets: pa.Table):
+    """(codes, sizes, pairs, groups as bytes and ends) of a block's packets, in order of codes."""
+    get = lambda c: [unpacked(x.as_py()) for x in packets.column(c)]
+    code = np.concatenate([np.empty(0, np.int64), *[np.cumsum(x) for x in get("codes")]])
+    sizes = np.concatenate([np.empty((4, 0), np.int64), *[x.reshape(4, -1) for x in get("sizes")]], 1)
+    pairs, groups, lengths = (np.concatenate([np.empty(0, k), *get(c)]) for c, k in (("pairs", np.int64), ("groups", np.uint8), ("lengths", np.int64)))
+    order = np.argsort(code, kind="stable")
+    moved = lambda x, n: x[np.repeat(np.cumsum(n)[order] - n[order] - np.r_[0, np.cumsum(n[order])[:-1]], n[order]) + np.arange(n.sum())] if len(x) else x
+    return sizes[:, order], moved(pairs, sizes[3]), moved(groups, lengths), np.r_[0, np.cumsum(lengths[order])]
 
 
 def _aligner(files: tuple[str, bytes]):
     """Rows sorted by segment: equal ones are neighbours and are worked out once."""
 
-    def work(units: list[str], both: Tokenizers) -> pa.Table:
-        a, b = both.encode(units)
-        want = [u.encode() for u in units]
-        ok = np.array([b"".join(map(both.a_bytes.__getitem__, x)) == w == b"".join(map(both.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, want, strict=True)], bool)
-        a, b = ([x if good else [] for x, good in zip(y, ok, strict=True)] for y in (a, b))
-        texts, groups, left, right, ends = align_tokens(a, b, both.a_length, both.b_length)
-        raw, ends = (left << 32 | right).astype(np.int64).tobytes(), np.r_[0, ends] * 8
-        pairs = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
-        sizes = lambda y: pa.array([len(x) for x in y], pa.int32())
-        return pa.table({"ok": pa.array(ok), "n_a": sizes(a), "n_b": sizes(b), "n_groups": pa.array(groups.astype(np.int32)), "pairs": pairs, "groups": pa.array(texts, pa.string())})
-
     def run(batches):
-        both, last, known = _both(*files), None, None
+        both, last, known, held, n = _both(*files), None, None, [], 0
         for whole in batches:
             size = np.r_[0, np.cumsum(pc.binary_length(whole.column("unit")).to_numpy(zero_copy_only=False))]
             at = 0
@@ -176,10 +207,15 @@ def _aligner(files: tuple[str, bytes]):
                 units = coded.dictionary.to_pylist()
                 goes_on = units[0] == last
                 new = units[goes_on:]
-                found = pa.concat_tables([known] * goes_on + ([work(new, both)] if new else []))
+                found = pa.concat_tables([known] * goes_on + ([_aligned(new, both)] if new else []))
                 last, known = units[-1], found.slice(len(units) - 1, 1)
-                out = found.take(coded.indices)
-                yield from pa.table({"block": rows.column("block"), "code": rows.column("code"), **{c: out.column(c) for c in out.column_names}}).combine_chunks().to_batches()
+                held.append(found.take(coded.indices).append_column("block", rows.column("block")).append_column("code", rows.column("code")))
+                n += len(rows)
+                if n >= PACKET_ROWS:
+                    yield _packets(held)
+                    held, n = [], 0
+        if held:
+            yield _packets(held)
 
     return run
 
@@ -193,34 +229,32 @@ def _compose(digest: bool):
     def run(docs: pa.Table, aligned: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
         _, _, starts, codes = block_of(docs)
-        order = pc.sort_indices(aligned.column("code"))
-        t = aligned.take(order).combine_chunks()
-        ok, na, nb, ng = (t.column(c).to_numpy() for c in ("ok", "n_a", "n_b", "n_groups"))
-        raw, at = text_bytes(t.column("pairs").combine_chunks())
-        links, pairs = np.diff(at) // 8, np.frombuffer(raw[at[0] : at[-1]].tobytes(), np.int64)
+        (na, nb, ng, links), pairs, texts, at = _unpacked(aligned)
+        ok, segments_ = na > 0, len(na)
         good = np.diff(starts) > 0
         if len(codes):
             good &= per_document((~ok[codes]).astype(np.int64), starts) == 0
         sums = {k: np.where(good, per_document(x[codes].astype(np.int64), starts), 0) for k, x in (("n_a", na), ("n_b", nb), ("n_groups", ng), ("n_links", links))}
         # Each document's text of groups is a run of one buffer.
-        texts = pc.binary_join_element_wise(t.column("groups").combine_chunks().cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b";", pa.large_binary()))
+        each = pa.Array.from_buffers(pa.large_binary(), segments_, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts))])
+        each = pc.binary_join_element_wise(each, pa.scalar(b"", pa.large_binary()), pa.scalar(b";", pa.large_binary()))
         groups, step = [], 1 << 20
         for i, j in _document_runs(starts, step):
-            data, at = text_bytes(texts.take(pa.array(codes[starts[i] : starts[j]])))
+            data, at = text_bytes(each.take(pa.array(codes[starts[i] : starts[j]])))
             for k in range(i, j):
                 own = data[at[starts[k] - starts[i]] : at[starts[k + 1] - starts[i]] - 1] if good[k] else b""  # without the last ;
                 groups.append("" if not good[k] else hashlib.sha256(own).hexdigest() if digest else bytes(own).decode())
         # Pairs that the block's good documents hold, once each.
         of = np.repeat(np.arange(len(good)), np.diff(starts))
-        held = np.unique((of * max(1, len(t)) + codes)[good[of]]) if len(codes) else np.empty(0, np.int64)
-        doc, code = np.divmod(held, max(1, len(t)))
+        held = np.unique((of * max(1, segments_) + codes)[good[of]]) if len(codes) else np.empty(0, np.int64)
+        doc, code = np.divmod(held, max(1, segments_))
         distinct, place = np.unique(pairs, return_inverse=True)
         ends = np.cumsum(links)
         many = links[code]
         flat = np.repeat(ends[code] - links[code] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(code) else np.empty(0, np.int64)
         once = np.unique(np.repeat(doc, many) * max(1, len(distinct)) + place[flat]) % max(1, len(distinct))
         n = np.bincount(once, minlength=len(distinct))
-        one = {"block": [block], "ids": [docs.column("ids")[0].as_py()], **{k: [packed(v)] for k, v in sums.items()}, "groups": [groups], "ends": [packed(starts[1:])], "codes": [packed(np.where(good[of], codes, -1).astype(np.int32) if len(codes) else codes)], "link_ends": [packed(ends)], "link_pairs": [packed(place.astype(np.int32))]}
+        one = {"block": [block], "ids": [docs.column("ids")[0].as_py()], **{k: [packed(v)] for k, v in sums.items()}, "groups": [groups], "ends": [packed(starts[1:])], "codes": [packed(np.where(good[of], codes.astype(np.int32), -1))], "link_ends": [packed(ends)], "link_pairs": [packed(place.astype(np.int32))]}
         some = {"block": np.full(len(distinct), block), "pair": distinct, "place": np.arange(len(distinct), dtype=np.int32), "n": n}
         schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}[k]) for c, k in (x.split(" ") for x in COMPOSED.split(", "))])
         made = [pa.table({f.name: pa.array(x[f.name], f.type) if f.name in x else pa.nulls(len(x["block"]), f.type) for f in schema}, schema) for x in (one, some)]
@@ -276,7 +310,7 @@ def align(docs: DataFrame, id: str = "doc_id", tokenizers: str = TOKENIZERS, byt
     encoded = dictionary_blocks(rows, functools.partial(segments, cuts=cuts), "segments")
     dealt = unit_rows(encoded).select("unit", "block", "code").repartition("unit").sortWithinPartitions("unit")
     aligned = dealt.mapInArrow(_aligner(files), ALIGNED)
-    composed = stored(block_rows(encoded).groupBy("block").cogroup(aligned.groupBy("block")).applyInArrow(_compose(digest), COMPOSED), "composed")
+    composed = written(block_rows(encoded).groupBy("block").cogroup(aligned.groupBy("block")).applyInArrow(_compose(digest), COMPOSED), "composed")
     pairs = composed.where("pair is not null").select("block", "pair", "place", "n")
     counted = pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.shiftright("pair", 32))
     # An A token has as many pairs as B has tokens, at most.

@@ -17,30 +17,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_folder
+from ..plans.lineage import written
 from .texthash import text_bytes
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
 #: Rows of dictionary that leave a task at once.
 OUT_ROWS = 1 << 16
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=3)
 KIND = "block long, ids binary, marks binary, ends binary, codes binary, unit string, code int, n long"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet into the session's shared folder and read from there."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + x.dtype.str.encode().ljust(8) + (_CODEC.compress(np.ascontiguousarray(x).data, asbytes=True) if len(x) else b"")
+    """An array's bytes, compressed place by place: the first of all numbers, then the second, and so on."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return len(x).to_bytes(8, "little") + x.dtype.str.encode().ljust(8) + (_CODEC.compress(np.ascontiguousarray(planes).data, asbytes=True) if len(x) else b"")
 
 
 def unpacked(b: bytes) -> np.ndarray:
     n, kind = int.from_bytes(b[:8], "little"), np.dtype(b[8:16].decode().strip())
-    return np.frombuffer(_CODEC.decompress(b[16:], n * kind.itemsize), kind) if n else np.empty(0, kind)
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(_CODEC.decompress(b[16:], n * kind.itemsize), np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _ranges(ends: np.ndarray):
@@ -75,6 +73,10 @@ def dictionary_blocks(docs: DataFrame, cut: Callable, name: str) -> DataFrame:
                 units = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
                 coded = units.dictionary_encode()
                 codes, words = coded.indices.to_numpy().astype(np.int32), coded.dictionary
+                order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # small codes for frequent units
+                place = np.empty(len(words), np.int32)
+                place[order] = np.arange(len(words), dtype=np.int32)
+                codes, words = place[codes], words.take(pa.array(order))
                 n = np.bincount(codes[np.repeat(marks[i:j], count)], minlength=len(words))
                 one = [block, packed(np.stack([numbers[i:j], none[i:j].astype(np.int64)]).ravel()), packed(marks[i:j].astype(np.uint8)), packed(np.cumsum(count)), packed(codes.astype(np.uint16) if len(words) < 1 << 16 else codes), None, None, None]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, _TYPES, strict=True)], _NAMES)
@@ -83,7 +85,7 @@ def dictionary_blocks(docs: DataFrame, cut: Callable, name: str) -> DataFrame:
                     m, nothing = len(w), [pa.nulls(len(w), pa.binary())] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), *nothing, w.cast(pa.string()), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(n[a : a + m].astype(np.int64))], _NAMES)
 
-    return stored(docs.select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark")).mapInArrow(run, KIND), name)
+    return written(docs.select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark")).mapInArrow(run, KIND), name)
 
 
 _NAMES = ["block", "ids", "marks", "ends", "codes", "unit", "code", "n"]
