@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from . import recurrent
 from .common import table
 from .texthash import _ASCII_LOWER, _SPACE
-from .units import block_of, block_rows, dictionary_blocks, stored, unit_rows
+from .units import block_of, block_rows, dictionary_blocks, unit_rows
 
 SYMBOLS, ROUNDS, RATE = 768, 4, 0.012
 #: Tokens of a task in a round, about, and of the texts that are scored side by side.
@@ -191,14 +192,14 @@ def score_documents(docs: DataFrame, id: str = "doc_id", held_out: str = "held_o
     rows = docs.select(F.col(id).cast("long").alias("id"), "text", (~F.coalesce(F.col(held_out), F.lit(False))).alias("mark"))
     encoded = dictionary_blocks(rows, words, "words")
     units = unit_rows(encoded)
-    counts = stored(units.groupBy("unit").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
+    counts = written(units.groupBy("unit").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     top = [(r["unit"], r["c"]) for r in counts.orderBy(F.desc("c"), "unit").limit(symbols - 2).collect()]  # SYMBOLS rows at most
     v = Vocabulary(whole["tokens"], whole["distinct"], rows.where("mark").count(), top)
     named = F.broadcast(docs.sparkSession.createDataFrame(v.words, "unit string, symbol int"))  # as many rows as symbols
     rated = counts.join(named, "unit", "left")
     known = units.select(F.col("block").alias("of"), "unit", "code").join(rated.hint("merge"), "unit", "left").select("of", "code", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.lit(v.rare)).alias("symbol"))
-    sequences = stored(block_rows(encoded).groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_sequences(v), SEQUENCES), "sequences")
+    sequences = written(block_rows(encoded).groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_sequences(v), SEQUENCES), "sequences")
     w = train(sequences, v)
     out = sequences.mapInArrow(_scorer(w), SCORED)
     return out.select(F.col("id").alias(id), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")

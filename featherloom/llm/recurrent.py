@@ -19,6 +19,8 @@ import numpy as np
 HIDDEN, CLASSES = 12, 24
 #: Lanes at most, and steps of a window: gradients reach back so far.
 LANES, WINDOW = 512, 24
+#: A pass over a few texts takes fewer lanes, so that it has about so many windows all the same.
+STEPS = 64
 #: Fixed constants of Adam.
 BETA1, BETA2, TINY = 0.9, 0.999, 1e-8
 #: Weights of the output are held to HELD, so that no exponential of a sum over HIDDEN of them overflows.
@@ -107,15 +109,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def states(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States after each step, and with ``keep`` what the way back needs."""
+    """States after each step, and with ``keep`` what the way back needs: gates, and states before each step."""
     k, n, m = len(x), x.shape[1], w["back"].shape[0]
-    out = np.empty((k + 1, n, m), np.float32)
-    out[0] = h
-    gates = np.empty((k, n, 4 * m), np.float32) if keep else None
+    kind = w["back"].dtype
+    out = np.empty((k, n, m), kind)
+    gates, before = (np.empty((k, n, 4 * m), kind), np.empty((k, n, m), kind)) if keep else (None, None)
     for t in range(k):
-        h = out[t]
         if first[t].any():
-            h[first[t]] = 0  # out[t] then is the state that the step starts from
+            h = np.where(first[t][:, None], kind.type(0), h)
+        if keep:
+            before[t] = h
         a = w["table"].take(x[t], 0)
         a += w["bias"]
         g = h @ w["back"]
@@ -128,10 +131,10 @@ def states(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, h: np.nda
         s = h - c
         s *= z
         s += c
-        out[t + 1] = s
+        out[t] = h = s
         if keep:
             gates[t, :, :m], gates[t, :, m : 2 * m], gates[t, :, 2 * m : 3 * m], gates[t, :, 3 * m :] = z, r, c, g[:, 2 * m :]
-    return out, gates
+    return out, gates, before
 
 
 def _runs_of_classes(starts: np.ndarray, y: np.ndarray):
@@ -188,25 +191,25 @@ def score(w: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     h = None
     for x, y, first, of, there in windows(texts):
         h = np.zeros((x.shape[1], w["back"].shape[0]), np.float32) if h is None else h[: x.shape[1]]
-        s, _ = states(w, x, first, h)
+        s, *_ = states(w, x, first, h)
         h = s[-1]
-        got, _ = log_probabilities(w, s[1:][there], y[there])
+        got, _ = log_probabilities(w, s[there], y[there])
         total += np.bincount(of[there], weights=got, minlength=len(texts))
     return total
 
 
-def _way_back(w, x, first, s, gates, dh_out, grad) -> None:
+def _way_back(w, x, first, before, gates, dh_out, grad) -> None:
     """Adds the gradients of a window's recurrent weights, from those by state."""
     k, n, m = len(x), x.shape[1], w["back"].shape[0]
-    da, dg = np.empty((k, n, 3 * m), np.float32), np.empty((k, n, 3 * m), np.float32)
-    dh = np.zeros((n, m), np.float32)
+    da, dg = np.empty((k, n, 3 * m), before.dtype), np.empty((k, n, 3 * m), before.dtype)
+    dh = np.zeros((n, m), before.dtype)
     for t in range(k - 1, -1, -1):
         dh += dh_out[t]
         z, r, c, g = (gates[t, :, i * m : (i + 1) * m] for i in range(4))
         one = 1 - z
         dc = dh * one
         dc *= 1 - c * c
-        dz = dh * (s[t] - c)
+        dz = dh * (before[t] - c)
         dz *= z * one
         da[t, :, :m] = dz
         np.multiply(dc * g, r * (1 - r), out=da[t, :, m : 2 * m])
@@ -216,7 +219,7 @@ def _way_back(w, x, first, s, gates, dh_out, grad) -> None:
         dh = dh * z + dg[t] @ w["back"].T
         dh[first[t]] = 0
     flat_a, flat_x = da.reshape(-1, 3 * m), x.ravel()
-    grad["back"] += s[:-1].reshape(-1, m).T @ dg.reshape(-1, 3 * m)
+    grad["back"] += before.reshape(-1, m).T @ dg.reshape(-1, 3 * m)
     grad["bias"] += flat_a.sum(0)
     order = np.argsort(flat_x.astype(np.int16) if len(w["table"]) < 1 << 15 else flat_x, kind="stable")
     where = np.flatnonzero(np.r_[True, np.diff(flat_x[order]) != 0])
@@ -236,15 +239,16 @@ def train(w: dict[str, np.ndarray], texts: list[np.ndarray], rate: float, adam:
         grad[k] = grads[at : at + w[k].size].reshape(w[k].shape)
         at += w[k].size
     h, full = None, None
-    for x, y, first, _, there in windows(texts):
+    most = int(np.clip(sum(map(len, texts)) // (WINDOW * STEPS), 16, LANES))
+    for x, y, first, _, there in windows(texts, most=most):
         h = np.zeros((x.shape[1], w["back"].shape[0]), np.float32) if h is None else h[: x.shape[1]]
-        s, gates = states(w, x, first, h, keep=True)
-        h = s[-1].copy()
+        s, gates, before = states(w, x, first, h, keep=True)
+        h = s[-1]
         grads[:] = 0
-        _, by_state = log_probabilities(w, s[1:][there], y[there], grad)
-        dh = np.zeros(s[1:].shape, np.float32)
+        _, by_state = log_probabilities(w, s[there], y[there], grad)
+        dh = np.zeros(s.shape, np.float32)
         dh[there] = by_state
-        _way_back(w, x, first, s, gates, dh, grad)
+        _way_back(w, x, first, before, gates, dh, grad)
         n = int(there.sum())
         full = max(full or 1, n)
         grads /= n
