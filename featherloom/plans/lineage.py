@@ -44,9 +44,15 @@ def checkpointed(df: DataFrame, tidy: bool = False) -> DataFrame:
     return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet into the shared folder and read from there: as
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows, written as Parquet into the shared folder (or to ``path``) and read from there: as
     safe as a checkpoint, and a later use reads only the columns it needs."""
-    path = shared_folder(df.sparkSession, name)
+    path = path or shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
