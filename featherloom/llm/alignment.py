@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import written
+from ..plans.lineage import drop, shared_folder, written
 from .common import table
 from .texthash import text_bytes
 from .units import block_of, block_rows, dictionary_blocks, packed, per_document, unit_rows, unpacked
@@ -111,35 +111,46 @@ def segments(data: np.ndarray, ends: np.ndarray, cuts: bool = True) -> tuple[np.
     return d, offsets, count
 
 
-def align_tokens(a: list[list[int]], b: list[list[int]], a_length: np.ndarray, b_length: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts whose A and B tokens cover the same bytes: the groups of each as
-    text, their numbers, and the links of all as A ids, B ids and ends by text.
+#: What ends with a link, the next piece of a text: a token of A, one of B, or one of each.
+ONLY_A, ONLY_B, BOTH = 0, 1, 2
+
+
+def linked(a: list[list[int]], b: list[list[int]], a_length: np.ndarray, b_length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(A ids, B ids, what ends with each link, links up to the end of each text) of
+    texts whose A and B tokens cover the same bytes.
 
     The ends of A and B tokens cut a text into pieces; each is inside one A and
     one B token, so pieces and links are the same.
     """
-    na, nb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
     ia, ib = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
     ea, eb = np.cumsum(a_length[ia]), np.cumsum(b_length[ib])
     every = np.union1d(ea, eb)
-    pa_, pb = np.searchsorted(ea, every), np.searchsorted(eb, every)
-    left, right = ia[pa_], ib[pb]
-    joint = (ea[pa_] == every) & (eb[pb] == every)
-    text_of = np.searchsorted(np.cumsum(na), pa_, "right")
-    link_ends = np.searchsorted(text_of, np.arange(len(a)), "right")
-    groups = np.bincount(text_of[joint], minlength=len(a))
-    # Groups as text: of each the A tokens and the B tokens up to its end.
-    to_a, to_b = pa_[joint] + 1, pb[joint] + 1
-    sa, sb = list(map(str, ia.tolist())), list(map(str, ib.tolist()))
-    texts, i, j, g = [], 0, 0, 0
-    ta, tb = to_a.tolist(), to_b.tolist()
-    for k in groups.tolist():
-        parts = []
-        for _ in range(k):
-            parts.append(",".join(sa[i : ta[g]]) + "|" + ",".join(sb[j : tb[g]]))
-            i, j, g = ta[g], tb[g], g + 1
-        texts.append(";".join(parts))
-    return texts, groups, left, right, link_ends
+    left, right = np.searchsorted(ea, every), np.searchsorted(eb, every)
+    step = np.where(ea[left] == every, np.where(eb[right] == every, BOTH, ONLY_A), ONLY_B).astype(np.uint8)
+    text_of = np.searchsorted(np.cumsum([len(x) for x in a]), left, "right")
+    return ia, ib, step, np.searchsorted(text_of, np.arange(len(a)), "right")
+
+
+def links_of(ia: np.ndarray, ib: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Pairs a << 32 | b of the links."""
+    before = lambda ends: np.r_[0, np.cumsum(ends)[:-1]] if len(ends) else np.empty(0, np.int64)
+    return ia.astype(np.int64)[before(step != ONLY_B)] << 32 | ib.astype(np.int64)[before(step != ONLY_A)]
+
+
+def group_texts(ia: np.ndarray, ib: np.ndarray, step: np.ndarray, tokens_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all groups as text, each followed by a semicolon, and where the
+    token numbered so (A and B counted together, at a text's start) begins."""
+    # The group of each token: groups end where both do.
+    ended = np.cumsum(step == BOTH) - (step == BOTH)
+    group_a, group_b = ended[step != ONLY_B], ended[step != ONLY_A]
+    last = lambda g: np.r_[np.diff(g) != 0, np.ones(min(1, len(g)), bool)].astype(np.int64)
+    # In the text a group's A tokens go before its B tokens.
+    order = np.lexsort((np.r_[np.zeros(len(ia), int), np.ones(len(ib), int)], np.r_[group_a, group_b]))
+    ids, mark = np.r_[ia, ib].astype(np.int64)[order], np.r_[last(group_a), 2 * last(group_b)][order]
+    key, place = np.unique(ids * 3 + mark, return_inverse=True)
+    words = pa.array([f"{k // 3}{',|;'[k % 3]}" for k in key.tolist()], pa.large_binary())
+    data, ends = text_bytes(words.take(pa.array(place)))
+    return data[ends[0] : ends[-1]], (ends - ends[0])[tokens_before]
 
 
 @functools.lru_cache(2)
@@ -149,46 +160,48 @@ def _both(byte_bpe: str, piece_bpe: bytes) -> Tokenizers:
 
 #: Alignments of a task's segments leave it in packets, one a block, of so many rows together.
 PACKET_ROWS = 1 << 17
-ALIGNED = "block long, codes binary, sizes binary, pairs binary, lengths binary, groups binary"
+ALIGNED = "block long, codes binary, sizes binary, a binary, b binary, steps binary"
 
 
 def _aligned(units: list[str], both: Tokenizers) -> pa.Table:
-    """(n_a, n_b, n_groups, links, groups) of segments; all empty where a tokenizer does not give one back."""
+    """(n_a, n_b, n_links, a, b, steps) of segments; all empty where a tokenizer does not give one back."""
     a, b = both.encode(units)
     good = [b"".join(map(both.a_bytes.__getitem__, x)) == u.encode() == b"".join(map(both.b_bytes.__getitem__, y)) for x, y, u in zip(a, b, units, strict=True)]
     a, b = ([x if g else [] for x, g in zip(y, good, strict=True)] for y in (a, b))
-    texts, groups, left, right, ends = align_tokens(a, b, both.a_length, both.b_length)
-    links = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer((np.r_[0, ends] * 8).astype(np.int32)), pa.py_buffer((left << 32 | right).astype(np.int64).tobytes())])
-    sizes = lambda y: pa.array([len(x) for x in y], pa.int32())
-    return pa.table({"n_a": sizes(a), "n_b": sizes(b), "n_groups": pa.array(groups.astype(np.int32)), "pairs": links, "groups": pa.array(texts, pa.string())})
+    ia, ib, step, ends = linked(a, b, both.a_length, both.b_length)
+    held = lambda x, n: pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(np.r_[0, n * x.itemsize].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    na, nb = (np.array([len(x) for x in y], np.int32) for y in (a, b))
+    return pa.table({"n_a": na, "n_b": nb, "n_links": np.diff(ends, prepend=0).astype(np.int32), "a": held(ia.astype(np.int32), np.cumsum(na)), "b": held(ib.astype(np.int32), np.cumsum(nb)), "steps": held(step, ends)})
 
 
 def _packets(held: list[pa.Table]) -> pa.RecordBatch:
     rows = pa.concat_tables(held).sort_by([("block", "ascending"), ("code", "ascending")]).combine_chunks()
     block, code = rows.column("block").to_numpy(), rows.column("code").to_numpy()
-    sizes = np.stack([rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups")])
-    (pairs, p), (groups, g) = (text_bytes(rows.column(c).combine_chunks()) for c in ("pairs", "groups"))
+    sizes = np.stack([rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_links")])
+    raw = {c: (*text_bytes(rows.column(c).combine_chunks()), k) for c, k in (("a", np.int32), ("b", np.int32), ("steps", np.uint8))}
     edge = np.flatnonzero(np.r_[True, np.diff(block) != 0])
     out = {c.split(" ")[0]: [] for c in ALIGNED.split(", ")}
     for i, j in zip(edge, [*edge[1:], len(block)], strict=True):
         out["block"].append(block[i])
         out["codes"].append(packed(np.diff(code[i:j], prepend=np.int32(0)).astype(np.int32)))
-        out["sizes"].append(packed(np.concatenate([sizes[:, i:j], np.diff(p[i : j + 1] // 8)[None].astype(np.int32)]).ravel()))
-        out["pairs"].append(packed(pairs[p[i] : p[j]].view(np.int64)))
-        out["lengths"].append(packed(np.diff(g[i : j + 1]).astype(np.int32)))
-        out["groups"].append(packed(groups[g[i] : g[j]]))
+        out["sizes"].append(packed(np.ascontiguousarray(sizes[:, i:j]).ravel()))
+        for c, (data, at, kind) in raw.items():
+            out[c].append(packed(np.frombuffer(data[at[i] : at[j]].tobytes(), kind)))
     return pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *[pa.array(out[c], pa.binary()) for c in list(out)[1:]]], list(out))
 
 
 def _unpacked(packets: pa.Table):
-    """(codes, sizes, pairs, groups as bytes and ends) of a block's packets, in order of codes."""
+    """(sizes, A ids, B ids, steps) of a block's segments, in order of their codes."""
     get = lambda c: [unpacked(x.as_py()) for x in packets.column(c)]
     code = np.concatenate([np.empty(0, np.int64), *[np.cumsum(x) for x in get("codes")]])
-    sizes = np.concatenate([np.empty((4, 0), np.int64), *[x.reshape(4, -1) for x in get("sizes")]], 1)
-    pairs, groups, lengths = (np.concatenate([np.empty(0, k), *get(c)]) for c, k in (("pairs", np.int64), ("groups", np.uint8), ("lengths", np.int64)))
+    sizes = np.concatenate([np.empty((3, 0), np.int64), *[x.reshape(3, -1) for x in get("sizes")]], 1)
     order = np.argsort(code, kind="stable")
-    moved = lambda x, n: x[np.repeat(np.cumsum(n)[order] - n[order] - np.r_[0, np.cumsum(n[order])[:-1]], n[order]) + np.arange(n.sum())] if len(x) else x
-    return sizes[:, order], moved(pairs, sizes[3]), moved(groups, lengths), np.r_[0, np.cumsum(lengths[order])]
+
+    def moved(c: str, n: np.ndarray, kind) -> np.ndarray:
+        x, m = np.concatenate([np.empty(0, kind), *get(c)]), n[order]
+        return x[np.repeat(np.cumsum(n)[order] - m - np.cumsum(m) + m, m) + np.arange(m.sum())]
+
+    return sizes[:, order], moved("a", sizes[0], np.int32), moved("b", sizes[1], np.int32), moved("steps", sizes[2], np.uint8)
 
 
 def _aligner(files: tuple[str, bytes]):
@@ -229,31 +242,29 @@ def _compose(digest: bool):
     def run(docs: pa.Table, aligned: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
         _, _, starts, codes = block_of(docs)
-        (na, nb, ng, links), pairs, texts, at = _unpacked(aligned)
-        ok, segments_ = na > 0, len(na)
-        good = np.diff(starts) > 0
-        if len(codes):
-            good &= per_document((~ok[codes]).astype(np.int64), starts) == 0
+        (na, nb, links), ia, ib, step = _unpacked(aligned)
+        ok, n_segments, ends = na > 0, len(na), np.cumsum(links)
+        ng = per_document((step == BOTH).astype(np.int64), np.r_[0, ends])
+        good = (np.diff(starts) > 0) & (per_document((~ok[codes]).astype(np.int64), starts) == 0)
         sums = {k: np.where(good, per_document(x[codes].astype(np.int64), starts), 0) for k, x in (("n_a", na), ("n_b", nb), ("n_groups", ng), ("n_links", links))}
-        # Each document's text of groups is a run of one buffer.
-        each = pa.Array.from_buffers(pa.large_binary(), segments_, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts))])
-        each = pc.binary_join_element_wise(each, pa.scalar(b"", pa.large_binary()), pa.scalar(b";", pa.large_binary()))
-        groups, step = [], 1 << 20
-        for i, j in _document_runs(starts, step):
-            data, at = text_bytes(each.take(pa.array(codes[starts[i] : starts[j]])))
+        texts, at = group_texts(ia, ib, step, np.r_[0, np.cumsum(na + nb)])
+        texts = pa.Array.from_buffers(pa.large_binary(), n_segments, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts))])
+        distinct, place = np.unique(links_of(ia, ib, step), return_inverse=True)
+        groups, n = [], np.zeros(len(distinct), np.int64)
+        for i, j in _document_runs(starts, RUN_UNITS):
+            own = codes[starts[i] : starts[j]]
+            # Each document's text of groups is a run of one buffer.
+            data, at = text_bytes(texts.take(pa.array(own)))
             for k in range(i, j):
-                own = data[at[starts[k] - starts[i]] : at[starts[k + 1] - starts[i]] - 1] if good[k] else b""  # without the last ;
-                groups.append("" if not good[k] else hashlib.sha256(own).hexdigest() if digest else bytes(own).decode())
-        # Pairs that the block's good documents hold, once each.
+                run = data[at[starts[k] - starts[i]] : at[starts[k + 1] - starts[i]] - 1] if good[k] else b""  # without the last semicolon
+                groups.append("" if not good[k] else hashlib.sha256(run).hexdigest() if digest else bytes(run).decode())
+            # Pairs that good documents hold, once each.
+            of = np.repeat(np.arange(j - i), np.diff(starts[i : j + 1]))
+            doc, code = np.divmod(np.unique((of * max(1, n_segments) + own)[good[i:j][of]]), max(1, n_segments))
+            many = links[code]
+            flat = np.repeat(ends[code] - many - np.cumsum(many) + many, many) + np.arange(many.sum())
+            n += np.bincount(np.unique(np.repeat(doc, many) * max(1, len(distinct)) + place[flat]) % max(1, len(distinct)), minlength=len(distinct))
         of = np.repeat(np.arange(len(good)), np.diff(starts))
-        held = np.unique((of * max(1, segments_) + codes)[good[of]]) if len(codes) else np.empty(0, np.int64)
-        doc, code = np.divmod(held, max(1, segments_))
-        distinct, place = np.unique(pairs, return_inverse=True)
-        ends = np.cumsum(links)
-        many = links[code]
-        flat = np.repeat(ends[code] - links[code] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(code) else np.empty(0, np.int64)
-        once = np.unique(np.repeat(doc, many) * max(1, len(distinct)) + place[flat]) % max(1, len(distinct))
-        n = np.bincount(once, minlength=len(distinct))
         one = {"block": [block], "ids": [docs.column("ids")[0].as_py()], **{k: [packed(v)] for k, v in sums.items()}, "groups": [groups], "ends": [packed(starts[1:])], "codes": [packed(np.where(good[of], codes.astype(np.int32), -1))], "link_ends": [packed(ends)], "link_pairs": [packed(place.astype(np.int32))]}
         some = {"block": np.full(len(distinct), block), "pair": distinct, "place": np.arange(len(distinct), dtype=np.int32), "n": n}
         schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}[k]) for c, k in (x.split(" ") for x in COMPOSED.split(", "))])
@@ -263,6 +274,10 @@ def _compose(digest: bool):
     return run
 
 
+#: Units of documents whose pairs are counted side by side.
+RUN_UNITS = 1 << 18
+
+
 def _document_runs(starts: np.ndarray, step: int):
     """Ranges of documents of about ``step`` units together."""
     i, n = 0, len(starts) - 1
@@ -307,10 +322,11 @@ def align(docs: DataFrame, id: str = "doc_id", tokenizers: str = TOKENIZERS, byt
         files = f.read(), g.read()  # a few megabytes, whatever the input: they go along with the tasks
     cuts = _both(*files).cuts
     rows = docs.select(F.col(id).cast("long").alias("id"), "text", F.lit(True).alias("mark"))
-    encoded = dictionary_blocks(rows, functools.partial(segments, cuts=cuts), "segments")
+    encoded = dictionary_blocks(rows, functools.partial(segments, cuts=cuts), path := shared_folder(docs.sparkSession, "segments"))
     dealt = unit_rows(encoded).select("unit", "block", "code").repartition("unit").sortWithinPartitions("unit")
     aligned = dealt.mapInArrow(_aligner(files), ALIGNED)
     composed = written(block_rows(encoded).groupBy("block").cogroup(aligned.groupBy("block")).applyInArrow(_compose(digest), COMPOSED), "composed")
+    drop(docs.sparkSession, path)
     pairs = composed.where("pair is not null").select("block", "pair", "place", "n")
     counted = pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.shiftright("pair", 32))
     # An A token has as many pairs as B has tokens, at most.

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import written
+from ..plans.lineage import drop, shared_folder, written
 from . import recurrent
 from .common import table
 from .texthash import _ASCII_LOWER, _SPACE
 from .units import block_of, block_rows, dictionary_blocks, unit_rows
 
-SYMBOLS, ROUNDS, RATE = 768, 4, 0.012
+SYMBOLS, ROUNDS, RATE = 1_024, 4, 0.012
 #: Tokens of a task in a round, about, and of the texts that are scored side by side.
 TASK_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 22
 #: Tasks of a round at most; a round over fewer tokens than SEEN goes over them up to PASSES times.
@@ -190,7 +190,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", held_out: str = "held_o
     id, are scored each; other columns are ignored; no rows give none.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), "text", (~F.coalesce(F.col(held_out), F.lit(False))).alias("mark"))
-    encoded = dictionary_blocks(rows, words, "words")
+    encoded = dictionary_blocks(rows, words, path := shared_folder(docs.sparkSession, "words"))
     units = unit_rows(encoded)
     counts = written(units.groupBy("unit").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
@@ -200,6 +200,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", held_out: str = "held_o
     rated = counts.join(named, "unit", "left")
     known = units.select(F.col("block").alias("of"), "unit", "code").join(rated.hint("merge"), "unit", "left").select("of", "code", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.lit(v.rare)).alias("symbol"))
     sequences = written(block_rows(encoded).groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_sequences(v), SEQUENCES), "sequences")
+    drop(docs.sparkSession, path)
     w = train(sequences, v)
     out = sequences.mapInArrow(_scorer(w), SCORED)
     return out.select(F.col("id").alias(id), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")

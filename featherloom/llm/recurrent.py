@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN, CLASSES = 12, 24
+HIDDEN, CLASSES = 16, 32
 #: Lanes at most, and steps of a window: gradients reach back so far.
 LANES, WINDOW = 512, 24
 #: A pass over a few texts takes fewer lanes, so that it has about so many windows all the same.

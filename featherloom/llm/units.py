@@ -50,8 +50,8 @@ def _ranges(ends: np.ndarray):
         i = j
 
 
-def dictionary_blocks(docs: DataFrame, cut: Callable, name: str) -> DataFrame:
-    """Encodes ``docs`` (id long, text string, mark boolean), stored.
+def dictionary_blocks(docs: DataFrame, cut: Callable, path: str) -> DataFrame:
+    """Encodes ``docs`` (id long, text string, mark boolean) into a table at ``path``.
 
     ``cut(data, ends)`` gives (bytes, unit offsets, number of units of each text)
     of some UTF-8 texts. Block rows hold ids (with a null bit), marks, and each
@@ -85,7 +85,7 @@ def dictionary_blocks(docs: DataFrame, cut: Callable, name: str) -> DataFrame:
                     m, nothing = len(w), [pa.nulls(len(w), pa.binary())] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), *nothing, w.cast(pa.string()), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(n[a : a + m].astype(np.int64))], _NAMES)
 
-    return written(docs.select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark")).mapInArrow(run, KIND), name)
+    return written(docs.select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark")).mapInArrow(run, KIND), "", path)
 
 
 _NAMES = ["block", "ids", "marks", "ends", "codes", "unit", "code", "n"]
