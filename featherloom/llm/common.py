@@ -28,33 +28,36 @@ def word_count(c: Column) -> Column:
 SLOT_ROWS = 16_384
 
 
+def repeated(df: DataFrame, times: str, place: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``place``; a row that is
+    repeated more than SLOT_ROWS times is dealt out in pieces."""
+    n, start = F.col(times), f"{place}_from"
+    spread = lambda d: d.withColumn(place, F.explode(F.sequence(F.col(start), F.least(n, F.col(start) + SLOT_ROWS) - 1)))
+    few = df.where((n > 0) & (n <= SLOT_ROWS)).withColumn(start, F.lit(0).cast("long"))
+    many = df.where(n > SLOT_ROWS).withColumn(start, F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(SLOT_ROWS).cast("long"))))
+    return spread(few).unionByName(spread(many.repartition(start))).drop(start)
+
+
 def number_rows(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
     """Adds ``out``: a gapless number from 0 within each group.
 
     A group may hold any share of the rows: its rows are dealt over slots by a
     hash of ``order``, numbered in each slot, and shifted by the rows of the
     slots before it. There are as many slots as the table's rows ask for, so any
-    session numbers alike. Rows equal in ``order`` share a slot, in any order.
-    The rows are counted first, so ``df`` should be cheap to read.
+    session numbers alike. Equal rows are counted before they are dealt, so that
+    any number of them is one row of a slot; rows equal in ``order`` alone share
+    a slot, in any order. Other columns ride along, whatever their names. The
+    rows are counted first, so ``df`` should be cheap to read.
     """
     n = max(1, -(-df.count() // SLOT_ROWS))
-    df = df.withColumn("_slot", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    by = [*groups, "_slot"]
-    before = Window.partitionBy(*groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        df.groupBy(*by)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(by)], "_before")
-    )
-    same = [F.col(c) == F.col(f"_s{i}") for i, c in enumerate(by)]
-    within = Window.partitionBy(*by).orderBy(*order)
-    numbered = df.withColumn("_row", F.row_number().over(within))
-    return (
-        numbered.join(shift, same)
-        .withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long"))
-        .drop("_slot", "_row", "_before", *[f"_s{i}" for i in range(len(by))])
-    )
+    own = df.select(F.struct(*df.columns).alias("row"), F.struct(*groups).alias("group"), F.struct(*order).alias("at"))
+    each = own.groupBy("row", "group", "at").agg(F.count("*").alias("n")).withColumn("slot", F.pmod(F.xxhash64("at"), F.lit(n)).cast("int"))
+    before = Window.partitionBy("group").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    shift = each.groupBy("group", "slot").agg(F.sum("n").alias("n")).select(F.col("group").alias("of"), F.col("slot").alias("in"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    within = Window.partitionBy("group", "slot").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = each.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    met = numbered.join(shift, F.col("group").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("in"))).select("row", "n", (F.col("first") + F.col("shift")).alias("first"))
+    return repeated(met, "n", "k").select("row.*", (F.col("first") + F.col("k")).cast("long").alias(out))
 
 
 def join_by_key(rows: DataFrame, stats: DataFrame, key: list[str], n: str, share: float = 0.001) -> DataFrame:

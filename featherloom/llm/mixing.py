@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
-from .common import mix64, table, word_count
+from .common import mix64, repeated, table, word_count
 
 WEIGHTS, SHARE, MOST, FAN = (3.0, 1.0, 2.0), 1.5, 2.0, 64
 #: Rows of all sources together for each slot: slots follow the rows alone, so any session draws the same mix.
@@ -120,20 +120,27 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     A document of size 0 is taken as often as its source's whole part says and
     adds no words. A source without words has target 0 and its documents no
-    copies. Rows are rounded each on its own; their draws follow from all their
-    columns, so a hash of the text tells rows without an id apart. Null sources
-    are one source, the last. Columns of ``rows`` with the name of a result give way.
+    copies. Equal rows are rounded as one, with their copies together, and share
+    these out evenly; draws follow from all columns, so a hash of the text tells
+    rows without an id apart. Null sources are one source, the last. Columns of
+    ``rows`` with the name of a result give way, all others come back.
     """
-    # Read for the targets, for their join and for the count, but counted out of the texts once.
-    rows = checkpointed(rows.drop("source_no", "source_size", "target", "copies", "taken"))
-    slots = max(1, -(-rows.count() // SLOT_ROWS))
-    t = targets(rows, weights, share, most)
+    rows = rows.drop("source_size", "target", "copies", "taken")
+    # Equal rows are counted before they are dealt out; numbered, they are fixed as soon as they are written.
+    each = rows.groupBy(F.struct(*rows.columns).alias("row")).agg(F.count("*").alias("n"))
+    each = checkpointed(each.select("row", "n", F.col("row.source").alias("source"), F.coalesce(F.col("row.size"), F.lit(0)).cast("long").alias("one"), F.xxhash64("row", F.lit(SEED)).alias("key"), F.monotonically_increasing_id().alias("id")))
+    slots = max(1, -(-each.count() // SLOT_ROWS))
+    t = targets(each.select("source", (F.col("one") * F.col("n")).alias("size")), weights, share, most)
     # As many rows as sources: joined by the session's own choice, never forced to broadcast.
-    r = rows.join(t.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    r = r.withColumn("whole", F.floor(per).cast("long")).withColumn("p", F.when(F.col("size") > 0, per - F.floor(per)).otherwise(0.0)).withColumn("key", F.xxhash64(*rows.columns, F.lit(SEED)))
-    r = copies(r, slots).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
-    return r.withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "p", "key", "source_no")
+    r = each.join(t.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("n")
+    r = r.withColumn("whole", F.floor(per).cast("long")).withColumn("p", F.when(F.col("one") > 0, per - F.floor(per)).otherwise(0.0))
+    drawn = copies(r.select("id", "source_no", "p", F.col("one").alias("size"), "key"), slots).select(F.col("id").alias("drawn"), "p")
+    kept = r.select("id", "row", "n", "one", "whole", "source_size", "target")
+    all_ = kept.join(drawn.hint("merge"), F.col("id") == F.col("drawn")).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
+    own = F.floor(F.col("copies") / F.col("n")).cast("long") + (F.col("k") < F.col("copies") % F.col("n")).cast("long")
+    out = repeated(all_.select("row", "n", "one", "source_size", "target", "copies"), "n", "k").withColumn("copies", own)
+    return out.select("row.*", "source_size", "target", "copies", (F.col("copies") * F.col("one")).alias("taken"))
 
 
 def op7(spark, sf_dir):

@@ -80,8 +80,9 @@ def pack(rows: DataFrame, length: str, order: list[str], buckets: int = BUCKETS,
         bucket, bucket_len = F.when(fits, F.lit(k)).otherwise(bucket), F.when(fits, F.lit(ends[k]).cast("long")).otherwise(bucket_len)
     placed = rows.withColumn("bucket", bucket.cast("int")).withColumn("bucket_len", bucket_len.cast("long"))
     held = F.greatest(F.lit(1), F.floor(budget / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
-    placed = number_rows(placed, ["bucket"], order, "_at")
-    return placed.withColumn("batch", F.floor(F.col("_at") / held).cast("long")).withColumn("place", (F.col("_at") % held).cast("long")).drop("_at")
+    at = "batch"  # a result's name: no column of the caller has it
+    placed = number_rows(placed, ["bucket"], order, at)
+    return placed.select(*[c for c in placed.columns if c != at], F.floor(F.col(at) / held).cast("long").alias("batch"), (F.col(at) % held).cast("long").alias("place"))
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     all different, they are sorted with their places, and equal neighbours are
     repeats.
     """
-    d = docs.withColumn("_t", F.coalesce("text", F.lit("")))
+    d = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("text", F.lit("")).alias("_t"))
     d = d.withColumn("_w", words(F.col("_t"))).withColumn("_n", F.size("_w"))
     d = d.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     d = d.withColumn("_h", F.expr("CASE WHEN _n >= 4 THEN slice(transform(_h, (x, i) -> xxhash64(x, get(_h, i + 1), get(_h, i + 2))), 1, _n - 2) END"))
@@ -55,7 +55,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
     d = d.withColumn("_lines", lines)
     d = d.select(
-        *docs.columns, F.col("_n").cast("long").alias("n_words"),
+        "_row.*", F.col("_n").cast("long").alias("n_words"),
         F.char_length(F.replace(spaced(F.col("_t")), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -108,16 +108,17 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     ratios = log_ratios(docs, trusted)
     # One array of BUCKETS whole numbers, whatever the input.
     array = ratios.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("x")).select(F.transform("x", lambda x: x["ratio"])).scalar()
-    d = with_ngrams(base_rules(docs)).withColumn("_llr", array)
+    # The caller's columns stay apart from those of the work.
+    d = with_ngrams(base_rules(docs.select(F.struct(*docs.columns).alias("row"), "text"))).withColumn("_llr", array)
     looked_up = lambda grams: F.expr(f"aggregate({grams}, 0L, (a, x) -> a + get(_llr, cast(x & {BUCKETS - 1} AS INT)))")
     d = d.withColumn("_sum", looked_up("_uni") + looked_up("_bi"))
     grams = F.greatest(F.lit(1), 2 * F.size("_uni") - 1)
-    found = [c for c in d.columns if c not in docs.columns and c[0] != "_"]
+    found = [c for c in d.columns if c not in ("row", "text") and c[0] != "_"]
     d = d.withColumn("score", F.col("_sum") / grams / SCALE).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # A filter on the verdict must not move below what it is made of: pushed into the
     # expressions over word arrays, it would be worked out again for each word. No
     # filter passes a generator, so the verdict comes out of one, as its only row.
-    return d.select(*docs.columns, F.inline(F.array(F.struct(*found, "score", "kept"))))
+    return d.select("row.*", F.inline(F.array(F.struct(*found, "score", "kept"))))
 
 
 def op9(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -68,26 +69,44 @@ def runs(ends: np.ndarray):
         i = min(j, n)
 
 
-def _long_words(b: np.ndarray, lower: bool) -> np.ndarray:
-    """Hashes of the words of one long text, read in pieces; a word may span several."""
-    out, raw, length = [], np.uint64(0), 0
+#: Longer words are hashed by a digest: sums modulo 2**64 confuse some patterned
+#: strings (Thue-Morse words) the sooner the longer they are.
+WORD_BYTES = 32
+
+
+def _digest(b: np.ndarray, lower: bool) -> int:
+    d = hashlib.blake2b(digest_size=8)
     for i in range(0, len(b), PIECE):
-        x = _ASCII_LOWER[b[i : i + PIECE]] if lower else b[i : i + PIECE]
-        word = ~_SPACE[x]
-        start, stop = np.flatnonzero(word & np.r_[True, ~word[:-1]]), np.flatnonzero(word & np.r_[~word[1:], True]) + 1
-        p, n = Prefix(x), stop - start
-        r = (p.sums[stop] - p.sums[start]) * p.down[start]
-        if length and len(start) and start[0] == 0:  # the word goes on
-            r[:1] = raw + r[:1] * np.uint64(pow(_P, length, 2**64))
-            n[0] += length
-        elif length:
-            out.append(mix64(np.full(1, raw) + np.uint64(length) * np.full(1, _K)))
-        length = 0
-        if len(stop) and stop[-1] == len(x):
-            raw, length, r, n = r[-1], int(n[-1]), r[:-1], n[:-1]
-        out.append(mix64(r + n.astype(np.uint64) * _K) if len(r) else r)
-    if length:
-        out.append(mix64(np.full(1, raw) + np.uint64(length) * np.full(1, _K)))
+        d.update(_ASCII_LOWER[b[i : i + PIECE]] if lower else b[i : i + PIECE])
+    return int.from_bytes(d.digest(), "little")
+
+
+def _word_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    h = Prefix(b).of(start, stop)
+    for i in np.flatnonzero(stop - start > WORD_BYTES):
+        h[i] = _digest(b[start[i] : stop[i]], False)
+    return h
+
+
+def _long_words(b: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the words of one long text, read in pieces that end between words."""
+    out, i = [np.empty(0, np.uint64)], 0
+    while i < len(b):
+        j = min(len(b), i + PIECE)
+        space = np.flatnonzero(_SPACE[b[i:j]])
+        if j < len(b) and not len(space):  # a word longer than a piece
+            while j < len(b) and not _SPACE[b[j : j + PIECE]].any():
+                j += PIECE
+            j = min(len(b), j)
+            j += int(_SPACE[b[j : j + PIECE]].argmax()) if j < len(b) else 0
+            out.append(np.array([_digest(b[i:j], lower)], np.uint64))
+        else:
+            j = j if j == len(b) else i + int(space[-1]) + 1
+            x = _ASCII_LOWER[b[i:j]] if lower else b[i:j]
+            word = ~_SPACE[x]
+            start, stop = np.flatnonzero(word & np.r_[True, ~word[:-1]]), np.flatnonzero(word & np.r_[~word[1:], True]) + 1
+            out.append(_word_hashes(x, start, stop))
+        i = j
     return np.concatenate(out)
 
 
@@ -110,7 +129,7 @@ def shingle_sets(column: pa.Array, width: int, lower: bool = True) -> list[np.nd
             edge[off] = True
             start = np.flatnonzero(word & np.r_[True, ~word[:-1]][: len(b)] | word & edge[:-1])
             stop = np.flatnonzero(word & (np.r_[~word[1:], True][: len(b)] | edge[1:])) + 1
-            h = Prefix(b).of(start, stop)
+            h = _word_hashes(b, start, stop)
             first = np.searchsorted(start, off[:-1])
             n = np.searchsorted(start, off[1:]) - first
         s = h.copy()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import written
 from .texthash import text_bytes
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 12 << 20
 #: Rows of dictionary that leave a task at once.
 OUT_ROWS = 1 << 16
 _CODEC = pa.Codec("zstd", compression_level=3)

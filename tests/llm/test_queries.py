@@ -113,7 +113,7 @@ def test_pipeline_stages_on_odd_tables(spark):
     want = {(r[0], r[1]) for r in rows}
     assert Counter((r["doc_id"], r["text"]) for r in once.collect()) <= Counter(want) and once.count() == len(want) - 2  # two near copies
     cut = stages["suffix_array_dedup"](spark, docs, SF)
-    assert cut.count() == docs.count() and cut.where("doc_id = 50").first()["text"].startswith("x" * 100)
+    assert cut.count() == docs.count() and cut.where("doc_id = 50").first()["text"].startswith("x ")  # every x but the first is in 100 that start earlier
     mixed = stages["source_mixing"](spark, docs, SF)
     size = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("n")).collect()}
     whole, taken = size(docs), size(mixed)
