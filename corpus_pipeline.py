@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featherloom.llm import minhash, mixing, packing, quality, suffix_dedup
-from featherloom.llm.common import table, word_count
-from featherloom.plans.lineage import shared_folder
+from featherloom.llm.common import repeated, table, word_count
+from featherloom.plans.lineage import drop, shared_folder
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither a base rule nor the n-gram ratio rejects."""
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality.judge(docs, trusted).where("kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return quality.judge(rows, trusted).where("kept").select("row.*")
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +36,18 @@ def suffix_array_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents without words add nothing and go."""
-    none = -(2**63)  # stands for a null id
-    keys = {"_id": F.coalesce("doc_id", F.lit(none)), "_t1": F.xxhash64("text"), "_t2": F.hash("text")}
+    key = ["id", "t1", "t2", "of"]
     size = word_count(F.col("text"))
-    rows = docs.select(*[c.alias(k) for k, c in keys.items()], "source", size.alias("size")).where("size > 0")
-    copies = mixing.mix(rows).groupBy("_id", "_t1", "_t2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    keyed = docs.where(size > 0).withColumns({k: keys[k] for k in ("_id", "_t1", "_t2")})
-    taken = keyed.join(copies.hint("merge"), ["_id", "_t1", "_t2"])
-    # Rows equal in id and text share their copies out in order.
-    at = F.row_number().over(Window.partitionBy("_id", "_t1", "_t2").orderBy("source", "lang"))
-    n = F.floor(F.col("_copies") / F.col("_rows")) + (at <= F.col("_copies") % F.col("_rows")).cast("long")
-    return taken.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    own = docs.where(size > 0).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.col("source").alias("of"), F.struct(*docs.columns).alias("row"), size.alias("size"))
+    mixed = mixing.mix(own.select("id", "t1", "t2", F.col("of").alias("source"), "size"))
+    taken = mixed.groupBy("id", "t1", "t2", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    taken = taken.select(*[F.col(c).alias(f"{c}_") for c in ("id", "t1", "t2", "source")], "copies", "rows")
+    # Rows alike in id, text and source share their copies out in order; equal ones are counted first.
+    each = own.groupBy(*key, "row").agg(F.count("*").alias("n"))
+    met = each.join(taken.hint("merge"), (F.col("id") == F.col("id_")) & (F.col("t1") == F.col("t1_")) & (F.col("t2") == F.col("t2_")) & F.col("of").eqNullSafe(F.col("source_")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("rows") - before))
+    return repeated(met.select("row", (F.col("n") * F.floor(F.col("copies") / F.col("rows")) + more).cast("long").alias("times")), "times", "k").select("row.*")
 
 
 def length_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +67,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _drop(spark, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet into the shared folder and read again.
     A stage's table goes when the next one stands; the last one stays for the caller."""
@@ -79,6 +76,6 @@ def run(spark, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
-            _drop(spark, f"{folder}/{before}")
+            drop(spark, f"{folder}/{before}")
         before = name
     return docs
