@@ -130,7 +130,7 @@ def _split(spark, d):
 
 
 def _mi(spark, d):
-    return dep.mutual_information(dep.joint_counts(dep.discretize(_features(spark, d), NAMES), NAMES))
+    return dep.mutual_information(dep.binned_counts(_features(spark, d), NAMES))
 
 
 def _rho(spark, d):
@@ -270,7 +270,7 @@ def queries():
         "feature_rules": lambda s, d: pp.feature_rules(s, NUMERIC, ["l_extendedprice"], ARTIFACTS),
         "hash_sample": lambda s, d: pp.hash_sample(_read(s, d, "events", ["event_id", "event_type"]), ["event_id"], 100),
         "spearman_pairs": lambda s, d: _rounded(_rho(s, d)),
-        "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.joint_counts(dep.discretize(_features(s, d), NAMES), NAMES, only_own=True))),
+        "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.binned_counts(_features(s, d), NAMES, only_own=True))),
         "mutual_information": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "mi")),
         "normalized_mi": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "nmi")),
         "unified_dependency": lambda s, d: _rounded(dep.blend(_mi(s, d), _rho(s, d), 0.5, "abs")),

@@ -7,93 +7,47 @@ list; matrices are made of it only at the sink.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, coded
-from ..plans.lineage import checkpointed
-from .order import average_ranks, cumulated, quantiles_of, value_counts
+from . import sums
+from .order import average_ranks, order_statistics, ranked
+from .sums import correlations
 
 #: Bins of a feature, and what keeps the logarithm of an empty cell finite in entropies.
 BINS, EPSILON = 32, 1e-12
-#: Ranks of a feature with so many distinct values at most are joined by broadcast.
-FEW = 10_000
-
-
-def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their average ranks.
-
-    Features of few values meet their ranks by broadcast. The values of all
-    others are dealt out with the number of their row, meet their ranks in one
-    join, and are put together again by row."""
-    rows = checkpointed(df.select(*columns).withColumn("_row", F.monotonically_increasing_id()))  # numbered once
-    ranks = checkpointed(average_ranks(rows, columns))
-    distinct = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # a row per feature
-    few = [c for c in columns if distinct.get(c, 0) <= FEW]
-    many = [c for c in columns if c not in few]
-    out = rows
-    for c in few:
-        own = ranks.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(F.broadcast(own), c, "left").drop(c)
-    if many:
-        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("value")) for k, c in enumerate(many)])
-        long = out.select("_row", *[f"_r_{c}" for c in few], F.inline(cells))
-        code = F.array_position(F.array(*[F.lit(c) for c in many]), F.col("feature")) - 1
-        own = ranks.where(F.col("feature").isin(many)).select(code.cast("int").alias("k"), "value", "rank")
-        met = long.join(own.hint("merge"), ["k", "value"], "left")
-        out = met.groupBy("_row").agg(*[F.max(f"_r_{c}").alias(f"_r_{c}") for c in few], *[F.max(F.when(F.col("k") == k, F.col("rank"))).alias(f"_r_{c}") for k, c in enumerate(many)])
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
-
-
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(f1, f2, score): Pearson of all pairs over the rows that have both; null
-    for a constant. Plain sums around the means, which are read first."""
-    mean = df.agg(*[F.avg(c).alias(c) for c in columns], F.coalesce(F.bool_or(F.expr(" or ".join(f"`{c}` is null" for c in columns))), F.lit(False)).alias("_nulls")).first()  # one row
-    pairs = list(combinations(columns, 2))
-    x = {c: F.col(c) - F.lit(0.0 if mean[c] is None else float(mean[c])) for c in columns}
-    whole = mean["_nulls"]
-    both = lambda a, b, v: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), v) if whole else v
-    sums = {}
-    for i, (a, b) in enumerate(pairs):
-        sums[f"xy{i}"] = F.sum(x[a] * x[b])
-        if whole:
-            sums |= {f"n{i}": F.count(both(a, b, F.lit(1))), f"x{i}": F.sum(both(a, b, x[a])), f"y{i}": F.sum(both(a, b, x[b])), f"xx{i}": F.sum(both(a, b, x[a] * x[a])), f"yy{i}": F.sum(both(a, b, x[b] * x[b]))}
-    if not whole:
-        sums |= {"n": F.count(F.lit(1))} | {f"s_{c}": F.sum(x[c]) for c in columns} | {f"q_{c}": F.sum(x[c] * x[c]) for c in columns}
-    one = df.agg(*[v.alias(k) for k, v in sums.items()])
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        n, sx, sy, xx, yy = (F.col(c) for c in ((f"n{i}", f"x{i}", f"y{i}", f"xx{i}", f"yy{i}") if whole else ("n", f"s_{a}", f"s_{b}", f"q_{a}", f"q_{b}")))
-        vx, vy = xx - sx * F.try_divide(sx, n), yy - sy * F.try_divide(sy, n)
-        # What rounding leaves of a constant's spread counts as none.
-        spread = F.when((vx > xx * 1e-14) & (vy > yy * 1e-14), F.sqrt(vx * vy))
-        rows.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.when(spread.isNotNull(), clamp((F.col(f"xy{i}") - sx * F.try_divide(sy, n)) / spread, -1.0, 1.0)).alias("score")))
-    return one.select(F.inline(F.array(*rows)))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return correlations(ranked(df.dropna(subset=list(columns)), columns), columns)
 
 
+def _found_edges(df: DataFrame, columns: Sequence[str], bins: int, accuracy: int | None) -> dict[str, list[float]]:
+    at = [i / bins for i in range(bins + 1)]
+    found = order_statistics(df, columns, at, bins)
+    if accuracy is not None:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(x) for x in at]), accuracy).alias(c) for c in columns]).first()
+    out = {}
+    for c, s in found.items():
+        if s.few is not None:
+            out[c] = [float("-inf"), *s.few, float("inf")]  # codes count interior edges: a value list gets an end on each side
+        elif s.n:
+            q = s.q if accuracy is None else row[c]
+            merged = list(dict.fromkeys(q))
+            # Quantiles that are all alike would leave one bin for many values: these get equal widths.
+            out[c] = merged if len(merged) > 1 else [s.q[0] + (s.q[-1] - s.q[0]) * i / bins for i in range(bins + 1)]
+    return out
+
+
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS, accuracy: int | None = None) -> DataFrame:
     """(feature, edges): for at most ``bins`` distinct values the values
     themselves, as interior edges; else quantile edges, equal ones merged.
 
     Quantiles are exact; with ``accuracy`` they are approximate.
     """
-    sums = checkpointed(cumulated(value_counts(df, columns)))
-    at = [i / bins for i in range(bins + 1)]
-    q = quantiles_of(sums, at) if accuracy is None else sums.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(x) for x in at]), accuracy, F.col("n")).alias("q"))
-    g = sums.groupBy("feature").agg(F.count("*").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high")).join(q, "feature")
-    few = sums.join(g.where(F.col("distinct") <= bins).select("feature"), "feature").groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values"))
-    # Codes count interior edges: a value list gets an end on each side.
-    padded = F.concat(F.array(F.lit(float("-inf"))), "values", F.array(F.lit(float("inf"))))
-    merged = F.array_distinct("q")
-    # Quantiles that are all alike would leave one bin for many values: these get equal widths.
-    edges = F.when(F.size(merged) > 1, merged).otherwise(equal_width(F.col("low"), F.col("high"), bins))
-    return g.join(few, "feature", "left").select("feature", F.coalesce(padded, edges).alias("edges"))
+    return df.sparkSession.createDataFrame(list(_found_edges(df, columns, bins, accuracy).items()), "feature string, edges array<double>")
 
 
 def equal_width(low, high, bins: int = BINS):
@@ -101,29 +55,28 @@ def equal_width(low, high, bins: int = BINS):
     return F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: low + (high - low) * i / F.lit(float(bins)))
 
 
+def _equal_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    ends = df.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in columns])
+    found = ends.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), equal_width(F.col(f"{c}.low"), F.col(f"{c}.high"), bins).alias("edges")) for c in columns])))
+    return {r["feature"]: r["edges"] or [] for r in found.collect()}
+
+
 def discretize(df: DataFrame, columns: Sequence[str], bins: int = BINS, equal: bool = False) -> DataFrame:
     """The columns replaced by codes from 0: of bin_edges, or of bins of ``equal`` width."""
-    if equal:
-        ends = df.select(*columns).agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in columns])
-        found = ends.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), equal_width(F.col(f"{c}.low"), F.col(f"{c}.high"), bins).alias("edges")) for c in columns])))
-    else:
-        found = bin_edges(df, columns, bins)
+    edges = _equal_edges(df, columns, bins) if equal else _found_edges(df, columns, bins, None)
     # At most bins + 2 numbers a feature: they become comparisons in the generated code.
-    edges = {r["feature"]: r["edges"] or [] for r in found.collect()}
     return df.select(*[coded(F.col(c), edges.get(c, [])).alias(c) for c in columns])
 
 
 def joint_counts(codes: DataFrame, columns: Sequence[str], bins: int = BINS, only_own: bool = False) -> DataFrame:
-    """(f1, f2, c1, c2, n) of all pairs, and of each feature with itself, or of
-    these alone: one scan, in which a cell is one number, and whose partial
-    counts are bounded by pairs and codes."""
-    pairs = [*(() if only_own else combinations(columns, 2)), *((c, c) for c in columns)]
-    cell = lambda i, a, b: ((F.col(a) + i * bins).cast("long") * bins + F.col(b))
-    cells = codes.select(F.explode(F.array(*[cell(i, a, b) for i, (a, b) in enumerate(pairs)])).alias("cell")).where("cell is not null")
-    n = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    pair = F.floor(F.col("cell") / (bins * bins)).cast("int")
-    name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), pair + 1)
-    return n.select(name(0).alias("f1"), name(1).alias("f2"), F.floor(F.col("cell") / bins % bins).cast("int").alias("c1"), (F.col("cell") % bins).cast("int").alias("c2"), "n")
+    """(f1, f2, c1, c2, n) of all pairs of coded columns, and of each with itself, or of these alone."""
+    return sums.joint_counts(codes, columns, bins + 1, only_own)
+
+
+def binned_counts(df: DataFrame, columns: Sequence[str], bins: int = BINS, only_own: bool = False) -> DataFrame:
+    """joint_counts of columns of values: their bins are those of bin_edges, found and counted in one scan each."""
+    edges = _found_edges(df, columns, bins, None)
+    return sums.joint_counts(df, columns, bins + 1, only_own, [edges.get(c, []) for c in columns])
 
 
 def _totals(joint: DataFrame) -> DataFrame:

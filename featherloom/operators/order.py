@@ -1,18 +1,38 @@
-"""Order statistics of many columns at once, without one task that holds a column.
+"""Order statistics of many columns at once, without moving every value.
 
-Distinct values with their counts are dealt by range; each range is counted up
-on its own and shifted by the ranges before it. Ranks and quantiles are read off
-these sums.
+Quantiles are selected between brackets: a mergeable sketch says between which
+two values a wanted place lies, a scan counts what is below each bracket and
+keeps the values inside, and only these are sorted. Ranks are worked out range
+by range: values travel packed, one row for each block of rows, feature and
+range, and ranks come back the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpointed
+from ..plans.lineage import written
+
+#: Of all rows, one in ACCURACY at most lies between a sketched value's place and its own.
+ACCURACY = 10_000
+#: Values of a bracket that are sorted in one task; a bracket of more is narrowed first.
+INSIDE = 4_000_000
+#: Values of a range, about, and ranges of a feature.
+RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 65_536, 16, 65_536
+#: Rows of a block.
+BLOCK_ROWS = 1 << 17
+
+
+def _doubles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> tuple[DataFrame, list[str]]:
+    named = columns if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
+    return df.select(*[x.cast("double").alias(f"_{i}") for i, x in enumerate(named.values())]), list(named)
 
 
 def value_counts(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:
@@ -23,37 +43,293 @@ def value_counts(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -
     return long.groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
-def cumulated(counts: DataFrame) -> DataFrame:
-    """Adds ``before``, how many values of the feature are smaller."""
-    dealt = checkpointed(counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()))  # the ranges must be the same for both uses
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, rank) of the distinct values: ranks from 1, ties averaged.
+    They are dealt by range, counted up in each range, and shifted by the ranges before."""
+    dealt = written(value_counts(df, columns).repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "values")
     up = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = dealt.groupBy("feature", "part").agg(F.sum("n").alias("m")).withColumn("shift", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")
     local = dealt.withColumn("low", F.coalesce(F.sum("n").over(up), F.lit(0)))
-    return local.join(shift, ["feature", "part"]).select("feature", "value", "n", (F.col("shift") + F.col("low")).alias("before"))
+    return local.join(shift, ["feature", "part"]).select("feature", "value", (F.col("shift") + F.col("low") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, rank): ranks from 1, ties averaged."""
-    return cumulated(value_counts(df, columns)).select("feature", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+@dataclass
+class Statistics:
+    """Of one feature: the number of values, wanted quantiles, and the distinct values where these are few."""
+
+    n: int
+    q: list[float] | None
+    few: list[float] | None
+
+
+@dataclass
+class _Search:
+    """Brackets of a feature's wanted places, as far as they are narrowed."""
+
+    n: int
+    low: np.ndarray  # brackets, apart from each other, ends included
+    high: np.ndarray
+    wanted: dict[int, float | None] = field(default_factory=dict)  # value by place
+
+
+def _apart(low: Sequence[float], high: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The union of brackets, as brackets that do not meet. NaN is above all."""
+    out: list[list[float]] = []
+    key = lambda x: (x != x, 0.0 if x != x else x)
+    for a, b in sorted(zip(low, high, strict=True), key=lambda p: (key(p[0]), key(p[1]))):
+        if out and key(a) <= key(out[-1][1]):
+            out[-1][1] = max(out[-1][1], b, key=key)
+        else:
+            out.append([a, b])
+    return np.array([x for x, _ in out]), np.array([x for _, x in out])
+
+
+SLOTS = "feature int, slot int, value double, n long"
+
+
+def _counted(brackets: list[tuple[np.ndarray, np.ndarray]], few: int):
+    """A row for each gap between brackets with its count, for each value inside
+    one, and in slot -1 for distinct values of a feature, few + 1 of them at most."""
+
+    def run(batches):
+        gaps = [np.zeros(2 * len(low) + 1, np.int64) for low, _ in brackets]
+        seen = [np.empty(0) for _ in brackets]
+        for b in batches:
+            out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+            for i, (low, high) in enumerate(brackets):
+                x, n = np.unique(b.column(i).drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+                below = np.searchsorted(high, x, "left")
+                inside = np.searchsorted(low, x, "right") > below
+                np.add.at(gaps[i], 2 * below[~inside], n[~inside])
+                out.append((i, (2 * below + 1)[inside].astype(np.int32), x[inside], n[inside]))
+                if len(seen[i]) <= few:
+                    seen[i] = np.unique(np.r_[seen[i], x])[: few + 1]
+            yield _slots(out)
+        yield _slots([(i, np.flatnonzero(g).astype(np.int32), np.full(int((g > 0).sum()), np.inf), g[g > 0]) for i, g in enumerate(gaps)], gap=True)
+        if few:
+            yield _slots([(i, np.full(len(s), -1, np.int32), s, np.ones(len(s), np.int64)) for i, s in enumerate(seen)])
+
+    return run
+
+
+def _slots(parts, gap: bool = False) -> pa.RecordBatch:
+    n = [len(p[1]) for p in parts]
+    value = np.concatenate([p[2] for p in parts])
+    columns = [pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), n)), pa.array(np.concatenate([p[1] for p in parts])), pa.nulls(len(value), pa.float64()) if gap else pa.array(value, pa.float64()), pa.array(np.concatenate([p[3] for p in parts]).astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["feature", "slot", "value", "n"])
+
+
+def _places(n: int, at: Sequence[float]) -> list[tuple[int, int, float]]:
+    """Of each quantile the two places it lies between, and how far from the first."""
+    exact = [(n - 1) * p for p in at]
+    return [(int(np.floor(x)), int(np.ceil(x)), float(x - np.floor(x))) for x in exact]
+
+
+def order_statistics(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], at: Sequence[float], few: int = 0) -> dict[str, Statistics]:
+    """Exact quantiles of each column's non-null values, between two values in
+    proportion, and its distinct values where there are ``few`` at most. NaN is
+    above all numbers. What reaches the driver are brackets and wanted values."""
+    d, names = _doubles(df, columns)
+    cols = d.columns
+    # Every quantile's places for any number of rows: they lie within one place of p * (n - 1).
+    probes = F.array(*[F.lit(x) for p in at for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))])
+    first = d.agg(*[F.count(c).alias(f"n{c}") for c in cols], *[F.percentile_approx(_number(c), probes, ACCURACY).alias(f"q{c}") for c in cols]).first()
+    searches: list[_Search] = []
+    for c in cols:
+        n, q = first[f"n{c}"], first[f"q{c}"]
+        if not n or q is None:  # nothing, or NaN alone
+            searches.append(_Search(n, np.empty(0), np.empty(0), {p: float("nan") for x in _places(n, at) for p in x[:2]} if n else {}))
+            continue
+        low, high = _apart(q[0::2], q[1::2])
+        searches.append(_Search(n, low, high, {p: None for x in _places(n, at) for p in x[:2]}))
+    distinct: dict[int, list[float]] = {}
+    while True:
+        brackets = [(s.low, s.high) for s in searches]
+        kept = written(d.mapInArrow(_counted(brackets, 0 if distinct else few), SLOTS), "brackets")
+        counts = {(r["feature"], r["slot"]): (r["n"], r["rows"]) for r in kept.where("slot >= 0").groupBy("feature", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+        if few and not distinct:
+            held = kept.where("slot < 0").groupBy("feature").agg(F.collect_set("value").alias("v")).collect()  # few + 1 values a task and feature
+            distinct = {r["feature"]: sorted(r["v"], key=lambda x: (x != x, x)) for r in held}
+        found, wide = [], {}
+        for i, s in enumerate(searches):
+            before = np.cumsum([0, *[counts.get((i, k), (0, 0))[0] for k in range(2 * len(s.low) + 1)]])
+            low, high = [], []
+            for p in [p for p, v in s.wanted.items() if v is None]:
+                slot = int(np.searchsorted(before, p, "right")) - 1
+                if slot % 2:  # inside a bracket
+                    a, b = s.low[slot // 2], s.high[slot // 2]
+                    if a == b or a != a:
+                        s.wanted[p] = float(a)
+                    elif counts[i, slot][1] > INSIDE:
+                        wide.setdefault(i, set()).add((a, b))
+                    else:
+                        found.append((i, slot, p, int(p - before[slot])))
+                else:  # the sketch was off: the gap is the next bracket
+                    low.append(s.high[slot // 2 - 1] if slot else -np.inf)
+                    high.append(s.low[slot // 2] if slot // 2 < len(s.low) else np.nan)
+            s.low, s.high = _apart(low, high)
+        if found:
+            _selected(kept, found, searches)
+        if wide:
+            _narrow(d, searches, wide)
+        if not any(len(s.low) for s in searches):
+            break
+    out = {}
+    for i, (name, s) in enumerate(zip(names, searches, strict=True)):
+        q = [s.wanted[a] if s.wanted[a] == s.wanted[b] else (1 - t) * s.wanted[a] + t * s.wanted[b] for a, b, t in _places(s.n, at)] if s.n else None
+        own = distinct.get(i, [])
+        out[name] = Statistics(s.n, q, own if few and len(own) <= few else None)
+    return out
 
 
-def quantiles_of(sums: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """(feature, q) from cumulated counts: exact quantiles, between two values in proportion."""
-    total = sums.groupBy("feature").agg(F.sum("n").alias("total"))
-    each = total.select("feature", "total", F.posexplode(F.array(*[F.lit(float(x)) for x in quantiles])).alias("i", "p"))
-    at = (F.col("total") - 1) * F.col("p")
-    each = each.withColumn("part", at - F.floor(at)).select("feature", "i", "part", F.explode(F.array(F.floor(at), F.ceil(at))).alias("at"))
-    # As many rows as features and quantiles: the arguments bound this broadcast.
-    wanted = F.broadcast(each.withColumnRenamed("feature", "of").distinct())
-    met = sums.join(wanted, (F.col("feature") == F.col("of")) & (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n")))
-    one = met.groupBy("feature", "i").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.first("part").alias("part"))
-    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
-    return one.select("feature", "i", value.alias("value")).groupBy("feature").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("q"))
+def _selected(kept: DataFrame, found: list[tuple[int, int, int, int]], searches: list[_Search]) -> None:
+    """Sorts what is inside brackets and reads the wanted places off."""
+    spark = kept.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(found, "of int, bracket int, place long, offset long"))  # as many rows as wanted places
+    each = kept.where("slot >= 0 and value is not null").groupBy("feature", "slot", "value").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("feature", "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    met = placed.join(wanted, (F.col("feature") == F.col("of")) & (F.col("slot") == F.col("bracket")) & (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("n")))
+    for r in met.select("feature", "place", "value").collect():
+        searches[r["feature"]].wanted[r["place"]] = r["value"]
+
+
+def _number(c: str) -> Column:
+    """Sketches know no NaN: it is above what they give, and found in the gap there."""
+    return F.when(~F.isnan(c), F.col(c))
+
+
+def _narrow(d: DataFrame, searches: list[_Search], wide: dict[int, set[tuple[float, float]]]) -> None:
+    """Replaces brackets that hold too much by parts of them, from a sketch of what is inside each."""
+    of = [(i, a, b) for i, ends in wide.items() for a, b in ends]
+    inside = [F.percentile_approx(F.when((F.col(f"_{i}") >= F.lit(a)) & (F.col(f"_{i}") <= F.lit(b)), _number(f"_{i}")), F.array(*[F.lit(k / 64) for k in range(65)]), max(ACCURACY, 256)) for i, a, b in of]
+    row = d.agg(*[x.alias(f"b{k}") for k, x in enumerate(inside)]).first()
+    for i in wide:
+        s, points = searches[i], set()
+        for k, (j, a, b) in enumerate(of):
+            if j == i:
+                points |= {a, b, *(row[f"b{k}"] or [])}
+        low, high = _split(points)
+        s.low, s.high = (np.concatenate(x) for x in ((s.low, low), (s.high, high)))
+        order = np.argsort(s.low, kind="stable")
+        s.low, s.high = s.low[order], s.high[order]
+
+
+def _split(ends: set[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Brackets from one end to the last: a value each, and what lies between two."""
+    points = sorted(x for x in ends if x == x) + [np.nan] * any(x != x for x in ends)
+    low, high = [], []
+    for a, b in zip(points, [*points[1:], None], strict=True):
+        low, high = [*low, a], [*high, a]
+        after, before = np.nextafter(a, np.inf), np.inf if b is None or b != b else np.nextafter(b, -np.inf)
+        if b is not None and after <= before and a < np.inf:
+            low, high = [*low, after], [*high, before]
+    return np.array(low), np.array(high)
 
 
 def quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], at: Sequence[float]) -> DataFrame:
     """(feature, q) of every column: exact quantiles of its non-null values, a null array if it has none."""
-    found = quantiles_of(cumulated(value_counts(df, columns)), at)
-    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature"))
-    return names.join(found, "feature", "left")
+    return df.sparkSession.createDataFrame([(c, s.q) for c, s in order_statistics(df, columns, at).items()], "feature string, q array<double>")
+
+
+PACKETS = "block long, feature int, code int, n long, places binary, x binary"
+
+
+def _packets(cuts: list[np.ndarray], heavy: list[np.ndarray]):
+    """A block's values, dealt by feature and range: code 2 * k for what lies
+    below cut k and not below the one before, 2 * k + 1 for the cut itself if it is heavy.
+    A row of feature -1 says how many rows the block has."""
+
+    def packet(block, feature, code, places, x):
+        return block, feature, code, len(places), places.astype(np.int32).tobytes(), x
+
+    def dealt(block: int, held: list[pa.RecordBatch]):
+        rows = [(block, -1, 0, sum(map(len, held)), None, None)]
+        for i in range(len(cuts)):
+            column = pa.chunked_array([b.column(i) for b in held])
+            places = np.flatnonzero(~column.is_null().to_numpy())
+            x = column.drop_null().to_numpy()
+            k = np.searchsorted(cuts[i], x, "left")
+            code = 2 * k
+            if len(heavy[i]):
+                at = np.minimum(k, len(cuts[i]) - 1)
+                code += (x == cuts[i][at]) & np.isin(cuts[i][at], heavy[i])
+            order = np.argsort(code, kind="stable")
+            if not len(order):
+                continue
+            edge = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
+                own = order[a:b]
+                c = int(code[own[0]])
+                rows.append(packet(block, i, c, places[own], None if c % 2 else x[own].tobytes()))
+        return pa.RecordBatch.from_pylist([dict(zip(("block", "feature", "code", "n", "places", "x"), r, strict=True)) for r in rows], _PACKETS)
+
+    def run(batches):
+        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= BLOCK_ROWS:
+                yield dealt(part << 32 | k, held)
+                k, held, size = k + 1, [], 0
+        if held:
+            yield dealt(part << 32 | k, held)
+
+    return run
+
+
+_PACKETS = pa.schema([("block", pa.int64()), ("feature", pa.int32()), ("code", pa.int32()), ("n", pa.int64()), ("places", pa.binary()), ("x", pa.binary())])
+RANKED = "block long, feature int, places binary, ranks binary"
+
+
+def _rank_range(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Ranks of one range's values, packed as they came."""
+    n = rows.column("n").to_numpy()
+    x = np.concatenate([np.frombuffer(v.as_buffer(), np.float64) for v in rows.column("x")])
+    _, code, count = np.unique(x, return_inverse=True, return_counts=True)
+    before = rows.column("before")[0].as_py()
+    rank = (before + np.cumsum(count) - count + (count + 1) / 2)[code]
+    ends = np.cumsum(n)
+    return pa.table({"block": rows.column("block"), "feature": rows.column("feature"), "places": rows.column("places"), "ranks": pa.array([rank[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)], pa.binary())})
+
+
+def _assembled(features: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        f, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy(zero_copy_only=False)
+        out = np.full((features, int(n[f < 0][0])), np.nan)
+        for i, places, ranks in zip(f.tolist(), rows.column("places"), rows.column("ranks"), strict=True):
+            if i >= 0:
+                out[i, np.frombuffer(places.as_buffer(), np.int32)] = np.frombuffer(ranks.as_buffer(), np.float64)  # one rank, or one for each place
+        return pa.table({f"_{i}": pa.array(x, mask=np.isnan(x)) for i, x in enumerate(out)})
+
+    return run
+
+
+def ranked(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:
+    """The columns replaced by their average ranks, from 1; null stays null. Other columns go.
+
+    Values shared by many rows never travel: a value that a sketch shows at two
+    places has a range of its own, whose one rank follows from counts."""
+    d, names = _doubles(df, columns)
+    cols = d.columns
+    n = d.count()
+    ranges = int(min(MOST_RANGES, max(FEWEST_RANGES, -(-n // RANGE_ROWS))))
+    probes = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    row = d.agg(*[F.percentile_approx(c, probes, max(ACCURACY, 4 * ranges)).alias(c) for c in cols]).first()
+    cuts, heavy = [], []
+    for c in cols:
+        value, count = np.unique(np.array(row[c] or [], float), return_counts=True)
+        cuts.append(value)
+        heavy.append(value[(count > 1) & ~np.isnan(value)])
+    packets = written(d.mapInArrow(_packets(cuts, heavy), PACKETS), "packets")
+    up = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = packets.where("feature >= 0").groupBy(F.col("feature").alias("of"), F.col("code").alias("range")).agg(F.sum("n").alias("all"))
+    placed = packets.join(sums.withColumn("before", F.coalesce(F.sum("all").over(up), F.lit(0))), (F.col("feature") == F.col("of")) & (F.col("code") == F.col("range")))
+    light = placed.where("x is not null").select("block", "feature", "code", "n", "places", "x", "before").groupBy("feature", "code").applyInArrow(_rank_range, RANKED)
+    one = F.udf(lambda x: np.float64(x).tobytes(), "binary")
+    whole = placed.where("x is null").select("block", "feature", "places", one(F.col("before") + (F.col("all") + 1) / 2).alias("ranks"))
+    sizes = packets.where("feature < 0").select("block", "feature", "n")
+    met = light.unionByName(whole).unionByName(sizes, allowMissingColumns=True)
+    out = met.groupBy("block").applyInArrow(_assembled(len(cols)), ", ".join(f"{c} double" for c in cols))
+    return out.select(*[F.col(c).alias(x) for c, x in zip(cols, names, strict=True)])

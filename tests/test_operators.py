@@ -2,6 +2,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,12 +184,69 @@ def test_quantiles_ranks_and_correlations_against_numpy(spark):
     assert [(r["feature"], r["q"]) for r in empty] == [("a", None)]
 
 
-def test_many_values_meet_their_ranks_by_a_join(spark, monkeypatch):
-    df = spark.createDataFrame([(float(i % 50), float(-i), 1.0) for i in range(200)], "a double, b double, c double")
-    want = {(r["f1"], r["f2"]): r["score"] for r in dep.spearman(df, ["a", "b", "c"]).collect()}
-    monkeypatch.setattr(dep, "FEW", 10)
-    got = {(r["f1"], r["f2"]): r["score"] for r in dep.spearman(df, ["a", "b", "c"]).collect()}
-    assert got[("a", "b")] == pytest.approx(want[("a", "b")]) and got[("a", "c")] is want[("a", "c")] is None
+@pytest.mark.parametrize("ranges", [16, 300])
+def test_ranks_of_ties_nulls_and_many_ranges(spark, monkeypatch, ranges):
+    """A value on half of the rows, nulls, an empty column, and more ranges than values."""
+    monkeypatch.setattr(order, "FEWEST_RANGES", ranges)
+    rng = np.random.default_rng(9)
+    n = 4000
+    x = pd.DataFrame({"half": np.where(rng.random(n) < 0.5, 0.25, rng.normal(size=n)), "few": rng.integers(0, 3, n).astype(float), "all": rng.permutation(n) - 100.0, "none": np.nan, "holes": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 900, n))})
+    df = spark.createDataFrame([[None if v != v else float(v) for v in r] for r in x.values], ", ".join(f"{c} double" for c in x)).repartition(7)
+    got = order.ranked(df.withColumns({c: F.col(c) for c in x}), list(x)).toPandas()
+    want = x.rank()
+    key = ["all"]  # without ties, so it tells the rows apart
+    got, want = (d.sort_values(key).reset_index(drop=True).astype(float) for d in (got, want))
+    pd.testing.assert_frame_equal(got, want)
+    assert order.ranked(df.limit(0), list(x)).count() == 0
+    assert order.ranked(df.limit(1), ["half"]).collect()[0][0] == 1.0
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20, 2])
+def test_brackets_are_narrowed_until_a_task_can_sort_them(spark, monkeypatch, accuracy):
+    """Coarse sketches and small brackets lead to the same quantiles, in more scans."""
+    monkeypatch.setattr(order, "ACCURACY", accuracy)
+    monkeypatch.setattr(order, "INSIDE", 40)
+    rng = np.random.default_rng(2)
+    n = 5000
+    x = {"a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.5, 3.0, rng.normal(size=n)), "c": rng.integers(0, 6, n).astype(float), "d": np.exp(rng.normal(size=n) * 9)}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in x.values()], strict=True)), ", ".join(f"{c} double" for c in x)).repartition(3)
+    at = [0.0, 0.001, 0.31, 0.5, 0.77, 0.999, 1.0]
+    got = order.order_statistics(df, list(x), at, 6)
+    for c, v in x.items():
+        assert got[c].q == pytest.approx(np.quantile(v, at).tolist(), rel=1e-12) and got[c].n == n
+    assert got["c"].few == [0, 1, 2, 3, 4, 5] and got["a"].few is None
+
+
+def test_nan_and_infinity_in_order(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(x,) for x in (1.0, nan, inf, None, -inf, 2.0)], "x double")
+    got = order.order_statistics(df, ["x"], [0.0, 0.5, 0.75, 1.0], 9)["x"]
+    assert got.n == 5 and got.q[:3] == [-inf, 2.0, inf] and got.q[3] != got.q[3] and len(got.few) == 5
+
+
+def test_sums_of_many_features_in_parts(spark):
+    """39 features with holes and far apart in size: pair by pair as numpy over the rows that have both."""
+    rng = np.random.default_rng(6)
+    n, m = 1500, 39
+    x = rng.normal(size=(n, m)) * 10.0 ** rng.integers(-6, 9, m) + 10.0 ** rng.integers(-3, 6, m)
+    x[:, 5], x[:, 6] = 0.1, x[:, 7] * -3
+    x[rng.random((n, m)) < 0.05] = np.nan
+    names = [f"f{i}" for i in range(m)]
+    df = spark.createDataFrame([[None if v != v else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = {(r["f1"], r["f2"]): r["score"] for r in dep.correlations(df, names).collect()}
+    assert len(got) == m * (m - 1) // 2 and got["f6", "f7"] == pytest.approx(-1)
+    for i, j in combinations(range(m), 2):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        want = None if 5 in (i, j) else np.corrcoef(x[both, i], x[both, j])[0, 1]
+        assert got[names[i], names[j]] == (want if want is None else pytest.approx(want, abs=1e-7))
+    empty = dep.correlations(df.limit(0), names[:3]).collect()
+    assert len(empty) == 3 and all(r["score"] is None for r in empty)
+    # Histograms of the same features, in one scan, against those of codes.
+    codes = dep.discretize(df, names[:6], 8)
+    cells = lambda d: sorted(map(tuple, d.collect()))
+    assert cells(dep.binned_counts(df, names[:6], 8)) == cells(dep.joint_counts(codes, names[:6], 8))
+    own = codes.groupBy("f0", "f1").count().where("f0 is not null and f1 is not null").collect()
+    assert {(r["c1"], r["c2"]): r["n"] for r in dep.binned_counts(df, names[:2], 8).where("f1 = 'f0' and f2 = 'f1'").collect()} == {(r[0], r[1]): r[2] for r in own}
 
 
 def test_a_star_of_many_leaves(spark):
