@@ -94,6 +94,18 @@ def validation(blocks: DataFrame, expected: Sequence[str]) -> DataFrame:
     return missing.unionByName(extra).unionByName(have.where("n > 1").select(F.lit("repeated").alias("problem"), "feature"))
 
 
+def checked(blocks: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """The blocks; reading them raises if a feature is missing, unexpected or placed
+    twice, or if there are none. The check is part of the same plan."""
+    found = validation(blocks, expected).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "problem", "feature"))), ", ").alias("said"))
+    size = blocks.agg(F.count("*").alias("n"))
+    report = found.join(F.broadcast(size)).select(F.when(F.col("n") == 0, F.lit("no blocks")).when(F.col("said") != "", F.col("said")).alias("said"))  # one row
+    # One row of the report meets all blocks, or stands alone where there are none.
+    met = report.join(blocks, F.lit(True), "left")
+    fine = F.when(F.col("said").isNotNull(), F.raise_error(F.concat(F.lit("blocks: "), "said")).cast("boolean")).otherwise(F.lit(True))
+    return met.where(fine).select(*blocks.columns)
+
+
 def by_size(blocks: DataFrame) -> DataFrame:
     """Blocks renumbered from 1, larger first, ties by their first feature."""
     g = blocks.groupBy("block_id").agg(F.count("*").alias("size"), F.min("feature").alias("first"))

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_unit
@@ -41,30 +40,41 @@ def choose_blocks(order: Sequence[int], sizes: dict[int, int], target: int) -> l
     return list(ways[min(ways, key=lambda s: (abs(s - target), s))])
 
 
+def _drawn(trial: str, items: Sequence, kind: str):
+    """The items in the order of a hash of trial and item."""
+    each = [F.struct(hash_unit(F.col(trial), F.lit(x)).alias("u"), F.lit(x).cast(kind).alias("x")) for x in items]
+    return F.transform(F.sort_array(F.array(*each)), lambda y: y["x"])
+
+
+def chosen_blocks(order, sizes: dict[int, int], target: int):
+    """``choose_blocks`` as a column: a fold over the order of blocks, whose state
+    holds for each sum of features the blocks of the first way to it, null without one."""
+    if len(sizes) < 2:
+        raise ValueError("no choice of blocks leaves a feature visible and masks another")
+    kind, size = "array<array<bigint>>", F.create_map(*[x for b, n in sizes.items() for x in (F.lit(b).cast("long"), F.lit(n))])
+    start = F.array(F.array().cast("array<bigint>"), *[F.lit(None).cast("array<bigint>")] * (sum(sizes.values()) - 1)).cast(kind)
+    step = lambda ways, b: F.transform(ways, lambda way, total: F.coalesce(way, F.concat(F.get(ways, total - F.element_at(size, b)), F.array(b)))).cast(kind)
+    ways = F.aggregate(order, start, step)
+    rated = F.transform(ways, lambda way, total: F.when(way.isNotNull(), F.struct(F.abs(total - target).alias("off"), total.alias("total"), way.alias("way"))))
+    return F.array_min(F.filter(rated, lambda x: x.isNotNull()))["way"]
+
+
 def block_masks(trials: DataFrame, blocks: Sequence[tuple[int, str]], ratio: float = 0.25) -> DataFrame:
-    """(trial, block_id, feature, masked) of whole blocks chosen per trial."""
+    """(trial, block_id, feature, masked) of whole blocks chosen per trial, each trial by itself."""
     sizes: dict[int, int] = {}
     for b, _ in blocks:
         sizes[b] = sizes.get(b, 0) + 1
-    target = mask_size(len(blocks), ratio)
-    each = trials.select("trial", F.explode(F.array(*[F.lit(b).cast("long") for b in sizes])).alias("block_id"))
-    shuffled = each.groupBy("trial").agg(F.transform(F.sort_array(F.collect_list(F.struct(hash_unit(F.col("trial"), F.col("block_id")).alias("u"), "block_id"))), lambda x: x["block_id"]).alias("order"))
-
-    @F.pandas_udf("array<long>")
-    def chosen(order: pd.Series) -> pd.Series:
-        return order.map(lambda o: choose_blocks([int(b) for b in o], sizes, target))
-
+    chosen = chosen_blocks(_drawn("trial", list(sizes), "long"), sizes, mask_size(len(blocks), ratio))
     placed = F.array(*[F.struct(F.lit(b).cast("long").alias("block_id"), F.lit(f).alias("feature")) for b, f in blocks])
-    rows = shuffled.select("trial", chosen("order").alias("chosen")).select("trial", "chosen", F.inline(placed))
+    rows = trials.select("trial", chosen.alias("chosen")).select("trial", "chosen", F.inline(placed))
     return rows.select("trial", "block_id", "feature", F.array_contains("chosen", F.col("block_id")).alias("masked"))
 
 
 def random_masks(trials: DataFrame, features: Sequence[str], ratio: float = 0.25) -> DataFrame:
     """(trial, feature, masked): the features of least hash, as many as the ratio says."""
-    size = mask_size(len(features), ratio)
-    rows = trials.select("trial", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-    order = Window.partitionBy("trial").orderBy(hash_unit(F.col("trial"), F.col("feature")), "feature")
-    return rows.select("trial", "feature", (F.row_number().over(order) <= size).alias("masked"))
+    chosen = F.slice(_drawn("trial", list(features), "string"), 1, mask_size(len(features), ratio))
+    rows = trials.select("trial", chosen.alias("chosen")).select("trial", "chosen", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    return rows.select("trial", "feature", F.array_contains("chosen", F.col("feature")).alias("masked"))
 
 
 def integrity(masks: DataFrame) -> DataFrame:

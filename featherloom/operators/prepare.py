@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_number, finite, hash_bits, hash_unit, log1p, robust_scaled, rule_threshold, without_artifacts
@@ -26,6 +27,17 @@ def drop_incomplete(df: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in numeric}).dropna("any")
 
 
+def observed_hygiene(df: DataFrame, numeric: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """drop_incomplete, and what it saw: rows ``before``, ``removed``, and nulls of
+    each column (``null_`` and its name). They are known when the first action over
+    the rows has ended, from that same scan."""
+    d = df.withColumns({c: finite(F.col(c)) for c in numeric})
+    seen = Observation(f"hygiene-{uuid.uuid4().hex}")
+    absent = F.greatest(*[F.col(f"`{c}`").isNull() for c in d.columns], F.lit(False))
+    counted = d.observe(seen, F.count(F.lit(1)).alias("before"), F.count_if(absent).alias("removed"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in d.columns])
+    return counted.dropna("any"), seen
+
+
 def key_hash_split(df: DataFrame, key: Sequence[str], splits=SPLITS) -> DataFrame:
     """Adds ``split``: an independent draw per row by a hash of its key."""
     u = hash_unit(*[F.col(k) for k in key])
@@ -106,6 +118,13 @@ def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(hash_unit(*[F.col(k) for k in key]), *key).limit(n)
 
 
+def chunk_samples(df: DataFrame, chunk: str, key: Sequence[str], n: int) -> DataFrame:
+    """n rows of each chunk, those whose key hashes lowest, in one pass: what tasks
+    keep of a chunk is merged by keeping the lowest again."""
+    order = Window.partitionBy(chunk).orderBy(hash_unit(*[F.col(k) for k in key]), *key)
+    return df.withColumn("\x00r", F.row_number().over(order)).where(F.col("`\x00r`") <= n).drop("\x00r")
+
+
 def feature_columns(df: DataFrame, metadata: Sequence[str]) -> list[str]:
     """The columns that are no metadata, in their order; metadata that is absent raises."""
     require_columns(df, metadata)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, as_number, finite, is_nonfinite, percent
+from ..plans.lineage import checkpointed
 from .order import quantiles as exact_quantiles
 
 #: Quantiles of a profile.
@@ -43,6 +44,26 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.count("*").alias("distinct_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """duplicate_rows over all columns. Rows are counted by 128 bits of hash, and
+    only those that share them are compared in full."""
+    sign = [F.xxhash64(*df.columns).alias("\x00h1"), F.xxhash64(F.lit(1), *df.columns).alias("\x00h2")]
+    h1, h2 = F.col("`\x00h1`"), F.col("`\x00h2`")
+    counts = checkpointed(df.select(*sign).groupBy(h1, h2).agg(F.count("*").alias("n")))
+    again = df.select("*", *sign).join(counts.where("n > 1").drop("n").hint("merge"), ["\x00h1", "\x00h2"], "left_semi")
+    exact = again.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("n")).agg(F.count("*").alias("exact"))
+    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.count_if(F.col("n") == 1).alias("lone"))
+    out = one.join(F.broadcast(exact))  # a row each
+    distinct = F.col("lone") + F.col("exact")
+    return out.select("total_rows", distinct.alias("distinct_rows"), (F.col("total_rows") - distinct).alias("duplicate_rows"))
+
+
+def chunk_duplicates(df: DataFrame, chunk: str, keys: Sequence[str]) -> DataFrame:
+    """duplicate_rows of each chunk by itself."""
+    g = df.groupBy(chunk, *keys).agg(F.count("*").alias("n"))
+    return g.groupBy(chunk).agg(F.sum("n").alias("total_rows"), F.count("*").alias("distinct_rows"), F.sum(F.col("n") - 1).alias("duplicate_rows"))
+
+
 def null_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     missing = lambda c, k: c.isNull() | F.isnan(c) if k in ("double", "float") else c.isNull()

@@ -33,6 +33,14 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df if columns is None else require_columns(df, columns).select(*columns)
 
 
+def read_chunks(spark: SparkSession, path: str, rows: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """A Parquet table with ``file`` and ``chunk``, the number from 0 of each run of
+    ``rows`` rows of a file, whatever splits tasks read."""
+    df = spark.read.parquet(path)
+    names = df.columns if columns is None else require_columns(df, columns) and list(columns)
+    return df.select(*names, F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / rows).cast("long").alias("chunk"))
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file, without reading rows."""
     return spark.read.option("header", True).csv(path).columns
