@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
 from ..plans.lineage import checkpointed
+from . import graph as gr
 from .blocks import separation
 
 MAX_SIZE, KS = 7, tuple(range(6, 21))
@@ -18,7 +18,8 @@ MAX_SIZE, KS = 7, tuple(range(6, 21))
 
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     """Merges (a, b, height) of the closest clusters, by the mean distance of
-    their members; a merge's cluster takes the number n + its place."""
+    their members; a merge's cluster takes the number n + its place. For a matrix
+    at hand: ``linkage`` does the same over tables."""
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
@@ -55,22 +56,62 @@ def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
     return np.array([seen.setdefault(find(i), len(seen)) for i in range(n)])
 
 
+#: Decimals to which heights are compared: sums of the same distances in another order are the same height.
+HEIGHT_DIGITS = 12
+
+
+def linkage(distances: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, a, b, height) of average linkage on (f1, f2, distance), which holds
+    both directions: the cluster that ``b`` is the first member of joins that of ``a``.
+
+    Rounds of joins: a pair of clusters that are each other's nearest merges, all
+    such pairs in one round. Average linkage never makes a merged cluster nearer
+    to a third than its parts were, so this is the tree that merging one closest
+    pair after another gives, in about log(n) rounds. Ties go by a hash of the pair.
+    """
+    g = [by] if by else []
+    pairs = checkpointed(distances.where(F.col("f1") != F.col("f2")).select(*g, F.col("f1").alias("c"), F.col("f2").alias("d"), F.col("distance").cast("double").alias("s"), F.lit(1).cast("long").alias("n")))
+    done = []
+    while True:
+        low, high = F.least("c", "d"), F.greatest("c", "d")
+        near = pairs.groupBy(*g, "c").agg(F.min(F.struct(F.round(F.col("s") / F.col("n"), HEIGHT_DIGITS).alias("h"), F.xxhash64(low, high).alias("tie"), low.alias("low"), high.alias("high"))).alias("x"))
+        # Mutual pairs are named by both of their clusters.
+        met = checkpointed(near.groupBy(*g, "x.low", "x.high").agg(F.min("x.h").alias("height"), F.count("*").alias("both")).where("both = 2").select(*g, F.col("low").alias("a"), F.col("high").alias("b"), "height"))
+        if met.isEmpty():
+            break
+        done.append(met)
+        for side in ("c", "d"):
+            gone = met.select(*g, F.col("b").alias(side), F.col("a").alias("into"))
+            pairs = pairs.join(gone, [*g, side], "left").withColumn(side, F.coalesce("into", side)).drop("into")
+        pairs = checkpointed(pairs.where("c <> d").groupBy(*g, "c", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    out = distances.sparkSession.createDataFrame([], met.schema)
+    for m in done:
+        out = out.unionByName(m)
+    return out
+
+
 def hierarchical_labels(distances: DataFrame, features: Sequence[str], ks: Sequence[int] = KS, by: str | None = None) -> DataFrame:
     """(by, k, feature, label) of average linkage on (f1, f2, distance), for each
-    k and each value of ``by``. One task holds one matrix of the features."""
-    place = {f: i for i, f in enumerate(features)}
-    group = by or "_one"
-    d = distances if by else distances.withColumn("_one", F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((len(place), len(place)))
-        m[pdf["f1"].map(place), pdf["f2"].map(place)] = pdf["distance"]
-        merges = average_linkage(m)
-        return pd.concat([pd.DataFrame({group: pdf[group].iloc[0], "k": k, "feature": list(features), "label": cut(merges, len(place), k)}) for k in ks])
-
-    kind = dict(d.dtypes)[group]
-    out = d.where(F.col("f1").isin(*features) & F.col("f2").isin(*features)).select(group, "f1", "f2", "distance").groupBy(group).applyInPandas(run, f"{group} {kind}, k long, feature string, label long")
-    return out if by else out.drop("_one")
+    k and each value of ``by``: at most k clusters, labelled from 0 in the order
+    of their first features. Merges of one height are made together, so there may be fewer."""
+    g, n = [by] if by else [], len(features)
+    d = checkpointed(distances.where(F.col("f1").isin(*features) & F.col("f2").isin(*features)).select(*g, "f1", "f2", "distance"))
+    merges = checkpointed(linkage(d, by))
+    # Clusters that are left after the merges up to each height: a row for each height.
+    up = Window.partitionBy(*g).orderBy("height").rowsBetween(Window.unboundedPreceding, 0)
+    left = merges.groupBy(*g, "height").agg(F.count("*").alias("m")).withColumn("left", n - F.sum("m").over(up))
+    each = F.explode(F.array(*[F.lit(k).cast("long") for k in ks])).alias("k")
+    cuts = left.select(*g, "height", "left", each).where("left <= k and k < " + str(n)).groupBy(*g, "k").agg(F.min("height").alias("cut"))
+    node = lambda f: F.concat_ws("|", F.col("k").cast("string"), *[F.col(x).cast("string") for x in g], f)
+    kept = merges.join(cuts, g) if g else merges.join(F.broadcast(cuts))  # a row for each k
+    edges = kept.where("height <= cut").select(node("a").alias("src"), node("b").alias("dst"))
+    groups = d.select(*g).distinct() if g else d.sparkSession.range(1).select()
+    place = F.posexplode(F.array(*[F.lit(f) for f in features])).alias("at", "feature")
+    every = groups.select(*g, each).select(*g, "k", place)
+    found = every.withColumn("node", node("feature")).join(gr.connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = F.min("at").over(Window.partitionBy(*g, "k", "component"))
+    label = F.dense_rank().over(Window.partitionBy(*g, "k").orderBy("first"))
+    return found.withColumn("first", first).select(*g, "k", "feature", (label - 1).cast("long").alias("label"))
 
 
 def labels_to_blocks(labels: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

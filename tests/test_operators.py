@@ -290,6 +290,77 @@ def test_linkage_against_mean_distances(spark):
     assert sorted(tuple(r["features"]) for r in blocks.collect()) == [("a", "b"), ("c", "d")]
 
 
+def test_linkage_in_rounds_equals_one_merge_after_another(spark):
+    """Two matrices at once, one of them with ties and fewer values; any cut is that of the serial kernel."""
+    rng = np.random.default_rng(3)
+    n = 18
+    names = [f"f{i:02d}" for i in range(n)]
+    mats = {0.25: rng.random((n, n)), 0.5: rng.random((n, n)) ** 3}
+    rows = []
+    for k, d in mats.items():
+        mats[k] = d = np.round((d + d.T) / 2, 9)
+        rows += [(k, names[i], names[j], float(d[i, j])) for i in range(n) for j in range(n) if i != j]
+    df = spark.createDataFrame(rows, "alpha double, f1 string, f2 string, distance double").repartition(5)
+    got = cl.linkage(df, "alpha").collect()
+    for k, d in mats.items():
+        assert sorted(r["height"] for r in got if r["alpha"] == k) == pytest.approx(sorted(m[2] for m in cl.average_linkage(d)), abs=1e-9)
+    ks = (1, 2, 7, 17, 18, 30)
+    labels = {(r["alpha"], r["k"], r["feature"]): r["label"] for r in cl.hierarchical_labels(df, names, ks, "alpha").collect()}
+    for a, d in mats.items():
+        for k in ks:
+            assert [labels[a, k, f] for f in names] == cl.cut(cl.average_linkage(d), n, k).tolist(), (a, k)
+    same = spark.createDataFrame([(x, y, 1.0) for x in names[:9] for y in names[:9] if x != y], "f1 string, f2 string, distance double")
+    even = cl.hierarchical_labels(same, names[:9], (3, 9)).collect()
+    assert {r["label"] for r in even if r["k"] == 3} == {0} and sorted(r["label"] for r in even if r["k"] == 9) == list(range(9))
+
+
+def test_choice_of_blocks_is_that_of_the_rule(spark):
+    """The fold in the engine against the rule, for blocks of many sizes, and without a Python worker."""
+    rng = np.random.default_rng(4)
+    for n in (2, 5, 9):
+        blocks = [(int(b) * 3, f"f{b}_{i}") for b in range(n) for i in range(rng.integers(1, 7))]
+        sizes = {b: sum(x == b for x, _ in blocks) for b, _ in blocks}
+        masks = mk.block_masks(tables.trials(spark, 40), blocks, 0.4)
+        assert "Python" not in masks._jdf.queryExecution().executedPlan().toString()
+        order = spark.range(40).select("id", mk._drawn("id", list(sizes), "long").alias("o")).collect()
+        got = {}
+        for r in masks.where("masked").collect():
+            got.setdefault(r["trial"], set()).add(r["block_id"])
+        for r in order:
+            assert got.get(r["id"], set()) == set(mk.choose_blocks(r["o"], sizes, mk.mask_size(len(blocks), 0.4)))
+    with pytest.raises(ValueError):
+        mk.block_masks(tables.trials(spark, 3), [(1, "a"), (1, "b")], 0.5)
+
+
+def test_checks_that_ride_along(spark, tmp_path):
+    blocks = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "block_id long, feature string")
+    assert bl.checked(blocks, ["a", "b", "c"]).count() == 3
+    for bad, expected in ((blocks, ["a", "b"]), (blocks, ["a", "b", "c", "d"]), (blocks.unionByName(blocks.limit(1)), ["a", "b", "c"]), (blocks.limit(0), [])):
+        with pytest.raises(Exception, match="blocks: "):
+            bl.checked(bad, expected).collect()
+    rows = spark.createDataFrame([(1, 1.0, None), (2, None, "x"), (3, float("inf"), "y"), (4, 2.0, "z"), (4, 2.0, "z"), (4, 2.0, "z")], "i int, v double, t string")
+    kept, seen = pp.observed_hygiene(rows, ["v"])
+    kept.write.parquet(str(tmp_path / "kept"))
+    assert seen.get == {"before": 6, "removed": 3, "null_i": 0, "null_v": 2, "null_t": 1} and spark.read.parquet(str(tmp_path / "kept")).count() == 3
+    # Equal hashes are not taken for equal rows: a null shifts what is hashed.
+    odd = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), ("b", "c"), ("b", "c"), ("b", "c")], "x string, y string")
+    assert tuple(pr.repeated_rows(odd).first()) == (6, 3, 3) and tuple(pr.repeated_rows(odd.limit(0)).first()) == (0, 0, 0)
+    assert tuple(pr.repeated_rows(rows).first()) == (6, 4, 2)
+
+
+def test_chunks_of_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select("id", (F.col("id") % 50).alias("v")).repartitionByRange(2, "id").write.option("parquet.block.size", 1024).parquet(path)
+    d = tables.read_chunks(spark, path, 150, ["id", "v"])
+    sizes = sorted(r["count"] for r in d.groupBy("file", "chunk").count().collect())
+    assert sum(sizes) == 1000 and sizes[-1] == 150 and len(sizes) == d.select("file").distinct().count() * 4
+    got = pp.chunk_samples(d.where("file is not null"), "chunk", ["id"], 10)
+    assert got.groupBy("chunk").count().where("count <> 10").count() == 0 and got.columns == d.columns
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in pp.chunk_samples(d.repartition(9), "chunk", ["id"], 10).collect()}
+    dup = pr.chunk_duplicates(d, "chunk", ["v"]).agg(F.sum("total_rows"), F.min("distinct_rows")).first()
+    assert tuple(dup) == (1000, 50)
+
+
 def test_mask_errors(spark):
     blocks = [(1, "a"), (1, "b"), (2, "c")]
     assert mk.mask_of(["c", "b", "a"], blocks, [1]) == [False, True, True]
