@@ -110,6 +110,12 @@ def _refined(spark, d):
     return bl.rewrite(_found_blocks(spark, d), parts)
 
 
+def _placed_twice(spark, d):
+    """The found blocks, and one feature in another block too."""
+    b = _found_blocks(spark, d)
+    return b.unionByName(b.where("feature = 'quantity'").select((F.col("block_id") + 100).alias("block_id"), "feature"))
+
+
 def _candidates(spark, d):
     """(alpha, k, silhouette, ratio) of the clustering at each level."""
     labels, pairs = _labelings(spark, d), _pairs(spark, d)
@@ -159,20 +165,19 @@ def _masker_batch(spark, d):
     return pr.moments(masked, NAMES).select("feature", F.round("minimum", 6).alias("minimum"), F.round("maximum", 6).alias("maximum"))
 
 
-def _exact_means(df, names):
-    """Means from exact decimal sums, so that no order of summation shows."""
-    return pr.per_column(df, names, {"mean": lambda c: F.round(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c), 9)})
+def _exact_mean(c):
+    """A mean from an exact decimal sum, so that no order of summation shows."""
+    return F.round(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c), 9)
 
 
 def _moments(spark, d):
-    t = _lineitem(spark, d)
-    m = pr.moments(t, NUMERIC).select("feature", "n", F.round("total", 2).alias("total"), *[F.round(c, 6).alias(c) for c in ("std", "minimum", "maximum")])
-    return m.join(_exact_means(t, NUMERIC), "feature")
+    six = {k: (lambda c, m=m: F.round(m(c), 6)) for k, m in pr.MOMENTS.items() if k in ("std", "minimum", "maximum")}
+    return pr.per_column(_lineitem(spark, d), NUMERIC, {"n": pr.MOMENTS["n"], "total": lambda c: F.round(F.sum(c), 2), **six, "mean": _exact_mean})
 
 
 def _masked_batch(spark, d):
     m = mk.apply_mask(_features(spark, d), ["price", "tax"])
-    return pr.moments(m, NAMES).select("feature", F.round("maximum", 6).alias("maximum")).join(_exact_means(m, NAMES), "feature")
+    return pr.per_column(m, NAMES, {"maximum": lambda c: F.round(F.max(c), 6), "mean": _exact_mean})
 
 
 def _profile(spark, d):
@@ -307,6 +312,7 @@ def queries():
         "repeated_rows": lambda s, d: pr.repeated_rows(_read(s, d, "lineitem")),
         "chunk_duplicates": lambda s, d: pr.chunk_duplicates(_chunks(s, d), "chunk", ["l_partkey", "l_quantity"]),
         "chunk_samples": lambda s, d: pp.chunk_samples(_chunks(s, d), "chunk", ["l_orderkey", "l_linenumber"], CHUNK_KEEP).select("chunk", "l_orderkey", "l_linenumber", "l_quantity"),
+        "capped_sample": lambda s, d: pp.hash_sample(pp.chunk_samples(_chunks(s, d), "chunk", ["l_orderkey", "l_linenumber"], CHUNK_KEEP).select("l_orderkey", "l_linenumber", "l_quantity"), ["l_linenumber", "l_orderkey"], 100),
         "observed_hygiene": _observed,
         "numeric_moments": _moments,
         "csv_round_trip": _csv_round_trip,
@@ -363,8 +369,10 @@ def queries():
         "blocks_by_size": lambda s, d: bl.by_size(_found_blocks(s, d)),
         "refined_blocks": _refined,
         "block_whatif": _what_if,
-        "block_validation": lambda s, d: bl.validation(_found_blocks(s, d), [*NAMES[:-1], "absent"]),
+        "block_validation": lambda s, d: bl.validation(_placed_twice(s, d), [*NAMES[:-1], "absent"]),
         "block_lists": lambda s, d: tables.blocks(_listed(s, d)),
+        "block_lists_unnumbered": lambda s, d: tables.blocks(_listed(s, d).select("Features")),
+        "selected_block": lambda s, d: bl.within_pairs(_found_blocks(s, d), _pairs(s, d)).where("block_id = 1").select("f1", "f2", "score"),
         "checked_blocks": lambda s, d: bl.checked(_found_blocks(s, d), NAMES),
         "silhouette_precomputed": _silhouette,
         "cluster_sizes": lambda s, d: _rounded(cl.cluster_sizes(_labelings(s, d), ["labeling"])),
@@ -524,8 +532,10 @@ def oracle_sql():
         "blocks_by_size": f"WITH RECURSIVE {FOUND}, g AS (SELECT block_id AS original, count(*) AS size, min(feature) AS first FROM b GROUP BY block_id), i AS (SELECT original, size, row_number() OVER (ORDER BY size DESC, first) AS block_id FROM g) SELECT i.block_id, original, size, feature FROM i JOIN b ON b.block_id = original",
         "refined_blocks": f"WITH RECURSIVE {FOUND}, e AS (SELECT block_id AS original, CASE WHEN feature IN ('price', 'neg_price') THEN 1 WHEN block_id IN (SELECT block_id FROM b WHERE feature IN ('price', 'neg_price')) THEN 2 ELSE 1 END AS part, feature FROM b) SELECT dense_rank() OVER (ORDER BY original, part) AS block_id, original, feature FROM e",
         "block_whatif": f"WITH {P}, {B}, c AS (SELECT 'as_is' AS config, block_id, feature FROM b UNION ALL SELECT 'moved', CASE WHEN feature = 'tax_amt' THEN 3 ELSE block_id END, feature FROM b), pl AS (SELECT c1.config, c1.block_id AS block_1, c2.block_id AS block_2, score FROM p JOIN c c1 ON c1.feature = f1 JOIN c c2 ON c2.feature = f2 AND c2.config = c1.config), s AS (SELECT config, {SEP} FROM pl GROUP BY config) {SEP_R.format(by='config, ')} FROM s",
-        "block_validation": f"WITH RECURSIVE {FOUND}, w(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in [*NAMES[:-1], "absent"]) + ") SELECT 'missing' AS problem, feature FROM w WHERE feature NOT IN (SELECT feature FROM b) UNION ALL SELECT 'unexpected', feature FROM b WHERE feature NOT IN (SELECT feature FROM w) GROUP BY feature UNION ALL SELECT 'repeated', feature FROM b GROUP BY feature HAVING count(*) > 1",
+        "block_validation": f"WITH RECURSIVE {FOUND}, b2 AS (SELECT * FROM b UNION ALL SELECT block_id + 100, feature FROM b WHERE feature = 'quantity'), w(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in [*NAMES[:-1], "absent"]) + ") SELECT 'missing' AS problem, feature FROM w WHERE feature NOT IN (SELECT feature FROM b2) UNION ALL SELECT 'unexpected', feature FROM b2 WHERE feature NOT IN (SELECT feature FROM w) GROUP BY feature UNION ALL SELECT 'repeated', feature FROM b2 GROUP BY feature HAVING count(*) > 1",
         "block_lists": f"WITH RECURSIVE {FOUND} SELECT block_id, feature, (row_number() OVER (PARTITION BY block_id ORDER BY feature) - 1)::INTEGER AS position FROM b",
+        "block_lists_unnumbered": f"WITH RECURSIVE {FOUND}, ls AS (SELECT string_agg(feature, ' | ' ORDER BY feature) AS f FROM b GROUP BY block_id), nu AS (SELECT row_number() OVER (ORDER BY f) AS block_id, string_split(f, ' | ') AS fs FROM ls) SELECT block_id, unnest(fs) AS feature, (unnest(range(len(fs))))::INTEGER AS position FROM nu",
+        "selected_block": f"WITH RECURSIVE {FOUND} SELECT f1, f2, score FROM p JOIN b x ON x.feature = f1 JOIN b y ON y.feature = f2 WHERE x.block_id = 1 AND y.block_id = 1",
         "checked_blocks": f"WITH RECURSIVE {FOUND} SELECT block_id, feature FROM b",
         "silhouette_precomputed": f"WITH RECURSIVE {D}, {L}, s AS (SELECT a.labeling, f1, a.label AS own, b.label, avg(distance) AS d FROM dist JOIN l a ON a.feature = f1 JOIN l b ON b.feature = f2 AND b.labeling = a.labeling WHERE f1 <> f2 GROUP BY ALL), ab AS (SELECT labeling, f1, max(d) FILTER (own = label) AS a, min(d) FILTER (own <> label) AS b FROM s GROUP BY labeling, f1) SELECT labeling, round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM ab GROUP BY labeling",
         "cluster_sizes": f"WITH RECURSIVE {P}, {N}, {L}, s AS (SELECT labeling, label, count(*) AS size FROM l GROUP BY ALL) SELECT labeling, count(*) AS n_clusters, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size FROM s GROUP BY labeling",
@@ -534,6 +544,7 @@ def oracle_sql():
         "repeated_rows": "SELECT total_rows, distinct_rows, total_rows - distinct_rows AS duplicate_rows FROM (SELECT count(*) AS total_rows FROM lineitem), (SELECT count(*) AS distinct_rows FROM (SELECT DISTINCT * FROM lineitem))",
         "chunk_duplicates": f"WITH {CHUNKS}, g AS (SELECT chunk, count(*) AS n FROM ch GROUP BY chunk, l_partkey, l_quantity) SELECT chunk, sum(n)::BIGINT AS total_rows, count(*) AS distinct_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM g GROUP BY chunk",
         "chunk_samples": f"WITH {CHUNKS} SELECT chunk, l_orderkey, l_linenumber, l_quantity FROM ch QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY ('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT, l_orderkey, l_linenumber) <= {CHUNK_KEEP}",
+        "capped_sample": f"WITH {CHUNKS}, sm AS (SELECT l_orderkey, l_linenumber, l_quantity FROM ch QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY ('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT, l_orderkey, l_linenumber) <= {CHUNK_KEEP}) SELECT * FROM sm ORDER BY ('0x' || substr(md5(l_linenumber || '|' || l_orderkey), 1, 8))::BIGINT, l_linenumber, l_orderkey LIMIT 100",
         "observed_hygiene": "WITH j AS (SELECT doc_id, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) SELECT count(*) FILTER (doc_id IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL) AS after, count(*) AS before, before - after AS removed, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS null_{c}" for c in ("doc_id", "source", "n_chars", "quality", "toxic")) + " FROM j",
         "adjusted_rand": f"WITH RECURSIVE {ari} SELECT a, b, round(ari, 6) AS ari FROM ari",
         "ari_stability": f"WITH RECURSIVE {ari}, u AS (SELECT a AS labeling, ari FROM ari UNION ALL SELECT b, ari FROM ari) SELECT labeling, round(avg(ari), 6) AS mean_ari, round(min(ari), 6) AS min_ari, round(max(ari), 6) AS max_ari, count(*) AS n FROM u GROUP BY labeling",
