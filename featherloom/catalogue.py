@@ -37,6 +37,9 @@ FEATURES = {
     "tax_amt": "l_extendedprice * l_tax",
 }
 NAMES = list(FEATURES)
+#: As many features as a wide table has: columns of lineitem, their products, and squares.
+BASE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+WIDE = {c: c for c in BASE} | {f"{a}_by_{b[2:]}": f"cast({a} as double) * {b}" for a, b in combinations(BASE, 2)} | {f"{c}_squared": f"cast({c} as double) * {c}" for c in BASE[:3]}
 BLOCKS = [(1, "price"), (1, "disc_price"), (1, "charge"), (1, "neg_price"), (2, "quantity"), (3, "discount"), (3, "tax"), (4, "tax_amt")]
 #: Clusterings of the features, by the correlation that joins them; blocks of one level are those that masks hide.
 LEVELS, BLOCKS_AT = {"w": 0.04, "x": 0.65, "y": 0.9, "z": 0.9985}, "y"
@@ -63,6 +66,10 @@ def _features(spark, d):
     return _lineitem(spark, d).select(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
 
 
+def _wide(spark, d):
+    return _read(spark, d, "lineitem", BASE).select(*[F.expr(e).cast("double").alias(n) for n, e in WIDE.items()])
+
+
 def _pairs(spark, d):
     """Absolute correlations, rounded so that thresholds cut alike everywhere: a row per pair, worked out once."""
     return checkpointed(dep.correlations(_features(spark, d), NAMES).select("f1", "f2", F.round(F.abs("score"), 6).alias("score")))
@@ -345,6 +352,9 @@ def queries():
         "feature_rules": _rules,
         "hash_sample": lambda s, d: pp.hash_sample(_read(s, d, "events", ["event_id", "event_type"]), ["event_id"], 100),
         "spearman_pairs": lambda s, d: _rounded(_rho(s, d)),
+        "wide_correlations": lambda s, d: _rounded(dep.correlations(_wide(s, d), list(WIDE))),
+        "wide_spearman": lambda s, d: _rounded(dep.spearman(_wide(s, d), list(WIDE))),
+        "wide_normalized_mi": lambda s, d: _rounded(dep.mutual_information(dep.binned_counts(_wide(s, d), list(WIDE))).select("f1", "f2", "nmi")),
         "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.binned_counts(_features(s, d), NAMES, only_own=True))),
         "mutual_information": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "mi")),
         "normalized_mi": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "nmi")),
@@ -479,6 +489,28 @@ AUDIT = _each("SELECT '@' AS feature, round(min(@)::DOUBLE, 6) AS minimum, round
 QS = [f"q{100 * q:g}".replace(".", "_") for q in pr.QUANTILES]
 
 
+W = list(WIDE)
+WX = "x AS (SELECT " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in WIDE.items()) + " FROM lineitem)"
+
+
+def _wide_pairs(table: str) -> str:
+    """Correlations of all pairs of wide features, as lists that are unnested side by side."""
+    pairs = list(combinations(W, 2))
+    names = lambda k: "[" + ", ".join(f"'{p[k]}'" for p in pairs) + "]"
+    return f"SELECT unnest({names(0)}) AS f1, unnest({names(1)}) AS f2, round(unnest([" + ", ".join(f"corr({a}, {b})" for a, b in pairs) + f"]), 6) AS score FROM {table}"
+
+
+WIDE_RANKS = WX + ", r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0::DOUBLE AS {n}" for n in W) + " FROM x)"
+WIDE_MI = (
+    WX + ", lo AS (SELECT i, f, v, r FROM (SELECT row_number() OVER () AS r, * FROM x) UNPIVOT (v FOR f IN (" + ", ".join(W) + ")) JOIN (SELECT unnest([" + ", ".join(f"'{n}'" for n in W) + f"]) AS f, unnest(range({len(W)})) AS i) USING (f)), "
+    f"e AS (SELECT f, CASE WHEN count(DISTINCT v) <= 32 THEN list_sort(list(DISTINCT v)) ELSE list_sort(list_distinct(quantile_cont(v, [{', '.join(f'{i}/32.0' for i in range(33))}])))[2:-2] END AS inner_ FROM lo GROUP BY f), "
+    "c AS (SELECT i, f, r, len(list_filter(inner_, lambda y: y < v)) AS code FROM lo JOIN e USING (f)), "
+    "h AS (SELECT f, -sum(n / t * ln(n / t + 1e-12)) AS entropy FROM (SELECT f, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY f)::DOUBLE AS t FROM c GROUP BY f, code) GROUP BY f), "
+    "j AS (SELECT a.f AS f1, b.f AS f2, a.code AS c1, b.code AS c2, count(*)::DOUBLE AS n FROM c a JOIN c b ON a.r = b.r AND a.i < b.i GROUP BY ALL), "
+    "mi AS (SELECT f1, f2, sum(n / t * ln(n * t / (na * nb))) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY f1, f2) AS t, sum(n) OVER (PARTITION BY f1, f2, c1) AS na, sum(n) OVER (PARTITION BY f1, f2, c2) AS nb FROM j) GROUP BY f1, f2)"
+)
+
+
 def oracle_sql():
     pct = lambda c, t: f"SELECT {c}::VARCHAR AS value, count(*) AS cnt, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {t} GROUP BY {c}"
     comps = f"{P}, {N}, e AS (SELECT f1 AS a, f2 AS b FROM p WHERE score >= {COMPONENTS_AT} UNION ALL SELECT f2, f1 FROM p WHERE score >= {COMPONENTS_AT}), g(feature, c) AS (SELECT feature, feature FROM names UNION SELECT e.b, g.c FROM g JOIN e ON e.a = g.feature WHERE g.c < e.b), comp AS (SELECT feature, min(c) AS component FROM g GROUP BY feature)"
@@ -511,6 +543,9 @@ def oracle_sql():
         "feature_rules": " UNION ALL ".join(f"SELECT '{n}' AS feature, {n == 'l_extendedprice'} AS is_log1p, {'(SELECT round(quantile_cont(l_extendedprice, 0.99), 6) FROM lineitem)' if n in ARTIFACTS else 'NULL'}::DOUBLE AS artifact_threshold" for n in NUMERIC),
         "hash_sample": "SELECT event_id, event_type FROM events ORDER BY ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT, event_id LIMIT 100",
         "spearman_pairs": f"WITH {RHO} SELECT f1, f2, round(score, 6) AS score FROM rho",
+        "wide_correlations": f"WITH {WX} {_wide_pairs('x')}",
+        "wide_spearman": f"WITH {WIDE_RANKS} {_wide_pairs('r')}",
+        "wide_normalized_mi": f"WITH {WIDE_MI} SELECT f1, f2, round(CASE WHEN x.entropy * y.entropy > 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, mi / sqrt(x.entropy * y.entropy))) ELSE 0 END, 6) AS nmi FROM mi JOIN h x ON x.f = f1 JOIN h y ON y.f = f2",
         "feature_entropy": f"WITH {ENT} SELECT feature, round(entropy, 6) AS entropy FROM h",
         "mutual_information": f"WITH {MI} SELECT f1, f2, round(mi, 6) AS mi FROM mi",
         "normalized_mi": f"WITH {MI} SELECT f1, f2, round(nmi, 6) AS nmi FROM nmi",
