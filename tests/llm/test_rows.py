@@ -126,3 +126,36 @@ def test_words_of_long_texts_are_those_of_short_ones():
     assert shingle_sets(pa.array([long]), 2)[0].tolist() == short.tolist()
     a, b = shingle_sets(pa.array([f"{giant} x", f"{long} {giant}\n x"]), 2)
     assert set(a) <= set(b) and len(shingle_sets(pa.array([giant.lower(), giant]), 1)[0]) == 1
+
+
+def test_the_tree_of_pivots_by_hand(spark, monkeypatch):
+    """Slots, levels and the last residuals of each source, pair after pair in Python."""
+    from tests.llm.test_operators import pivot_by_hand
+
+    monkeypatch.setattr(mixing, "FAN", 3)
+    rng = np.random.default_rng(12)
+    n, slots = 400, 20
+    data = [(int(rng.integers(1, 4)), float(rng.random()), float(rng.integers(1, 90)), int(rng.integers(-(2**63), 2**63 - 1))) for _ in range(n)]
+    rows = spark.createDataFrame(data, "source_no int, p double, size double, key long")
+    hashed = {r["key"]: (r["slot"], r["last"]) for r in rows.select("key", F.pmod(F.xxhash64("key", F.lit(mixing.SEED)), F.lit(slots)).alias("slot"), F.shiftrightunsigned(F.xxhash64("key", F.lit(mixing.SEED + 1)), 11).alias("last")).collect()}
+    level = [(no, hashed[k][0], p, size, k) for no, p, size, k in data]
+    want, left = {}, slots
+    while True:
+        groups = {}
+        for row in level:
+            groups.setdefault(row[:2], []).append(row)
+        level = []
+        for (no, slot), own in groups.items():
+            own.sort(key=lambda r: (-r[3], r[4]))
+            for r, p in zip(own, pivot_by_hand([r[2] for r in own], [r[3] for r in own], [r[4] % 2**64 for r in own]), strict=True):
+                if 0 < p < 1:
+                    level.append((no, slot // 3, p, r[3], r[4]))
+                else:
+                    want[r[4]] = p
+        if left == 1:
+            break
+        left = -(-left // 3)
+    want |= {k: float(hashed[k][1] * 2.0**-53 < p) for _, _, p, _, k in level}
+    assert len(level) <= 3  # one residual a source
+    got = {r["key"]: r["p"] for r in mixing.copies(rows.repartition(4), slots).collect()}
+    assert got == want
