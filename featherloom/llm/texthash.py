@@ -99,7 +99,8 @@ def _long_words(b: np.ndarray, lower: bool) -> np.ndarray:
                 j += PIECE
             j = min(len(b), j)
             j += int(_SPACE[b[j : j + PIECE]].argmax()) if j < len(b) else 0
-            out.append(np.array([_digest(b[i:j], lower)], np.uint64))
+            x = b[i:j]
+            out.append(np.array([_digest(x, lower)], np.uint64) if len(x) > WORD_BYTES else _word_hashes(_ASCII_LOWER[x] if lower else x, np.array([0]), np.array([len(x)])))
         else:
             j = j if j == len(b) else i + int(space[-1]) + 1
             x = _ASCII_LOWER[b[i:j]] if lower else b[i:j]
