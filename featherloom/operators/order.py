@@ -298,9 +298,9 @@ def _assembled(features: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         f, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy(zero_copy_only=False)
         out = np.full((features, int(n[f < 0][0])), np.nan)
-        for i, places, ranks in zip(f.tolist(), rows.column("places"), rows.column("ranks"), strict=True):
+        for i, places, ranks, rank in zip(f.tolist(), rows.column("places"), rows.column("ranks"), rows.column("rank").to_pylist(), strict=True):
             if i >= 0:
-                out[i, np.frombuffer(places.as_buffer(), np.int32)] = np.frombuffer(ranks.as_buffer(), np.float64)  # one rank, or one for each place
+                out[i, np.frombuffer(places.as_buffer(), np.int32)] = np.frombuffer(ranks.as_buffer(), np.float64) if rank is None else rank
         return pa.table({f"_{i}": pa.array(x, mask=np.isnan(x)) for i, x in enumerate(out)})
 
     return run
@@ -327,9 +327,8 @@ def ranked(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> Data
     sums = packets.where("feature >= 0").groupBy(F.col("feature").alias("of"), F.col("code").alias("range")).agg(F.sum("n").alias("all"))
     placed = packets.join(sums.withColumn("before", F.coalesce(F.sum("all").over(up), F.lit(0))), (F.col("feature") == F.col("of")) & (F.col("code") == F.col("range")))
     light = placed.where("x is not null").select("block", "feature", "code", "n", "places", "x", "before").groupBy("feature", "code").applyInArrow(_rank_range, RANKED)
-    one = F.udf(lambda x: np.float64(x).tobytes(), "binary")
-    whole = placed.where("x is null").select("block", "feature", "places", one(F.col("before") + (F.col("all") + 1) / 2).alias("ranks"))
+    whole = placed.where("x is null").select("block", "feature", "places", (F.col("before") + (F.col("all") + 1) / 2).alias("rank"))
     sizes = packets.where("feature < 0").select("block", "feature", "n")
-    met = light.unionByName(whole).unionByName(sizes, allowMissingColumns=True)
+    met = light.unionByName(whole, allowMissingColumns=True).unionByName(sizes, allowMissingColumns=True)
     out = met.groupBy("block").applyInArrow(_assembled(len(cols)), ", ".join(f"{c} double" for c in cols))
     return out.select(*[F.col(c).alias(x) for c, x in zip(cols, names, strict=True)])
