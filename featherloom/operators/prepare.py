@@ -113,15 +113,24 @@ def feature_rules(spark, features: Sequence[str], logged: Sequence[str], artifac
     return rows.select("feature", F.col("feature").isin(*logged).alias("is_log1p"), rule_threshold(F.col("feature"), artifacts).alias("artifact_threshold"))
 
 
+def _by_hash(df: DataFrame, key: Sequence[str]):
+    """By a key's hash, the key, and then all other columns that have an order, so that rows which share a key have one too."""
+    own = [f.name for f in df.schema if f.name not in key and not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))]
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in own]
+    return [hash_unit(*[F.col(k) for k in key]), *[F.col(k) for k in key], *rest]
+
+
 def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
-    """n rows in the order of a key's hash: the same rows at any partitioning."""
-    return df.orderBy(hash_unit(*[F.col(k) for k in key]), *key).limit(n)
+    """n rows in the order of a key's hash: the same rows at any partitioning.
+    Rows that share a key come in the order of their other columns."""
+    return df.orderBy(*_by_hash(df, key)).limit(n)
 
 
 def chunk_samples(df: DataFrame, chunk: str, key: Sequence[str], n: int) -> DataFrame:
     """n rows of each chunk, those whose key hashes lowest, in one pass: what tasks
-    keep of a chunk is merged by keeping the lowest again."""
-    order = Window.partitionBy(chunk).orderBy(hash_unit(*[F.col(k) for k in key]), *key)
+    keep of a chunk is merged by keeping the lowest again. Rows that share a key
+    come in the order of their other columns, the least first."""
+    order = Window.partitionBy(chunk).orderBy(*_by_hash(df, key))
     return df.withColumn("\x00r", F.row_number().over(order)).where(F.col("`\x00r`") <= n).drop("\x00r")
 
 

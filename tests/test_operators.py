@@ -361,6 +361,14 @@ def test_chunks_of_files(spark, tmp_path):
     assert tuple(dup) == (1000, 50)
 
 
+def test_samples_of_rows_that_share_a_key(spark):
+    """Of rows equal in chunk and key the least are kept, in any order of reading."""
+    rows = spark.createDataFrame([(0, 7, float(v), {v: v}) for v in range(40)], "chunk int, id int, `v.x` double, m map<int,int>")
+    for d in (rows.coalesce(1), rows.coalesce(1).orderBy(F.desc("`v.x`")), rows.repartition(5)):
+        for got in (pp.chunk_samples(d, "chunk", ["id"], 3), pp.hash_sample(d, ["id"], 3)):
+            assert sorted(r["v.x"] for r in got.collect()) == [0.0, 1.0, 2.0] and got.columns == d.columns
+
+
 def test_mask_errors(spark):
     blocks = [(1, "a"), (1, "b"), (2, "c")]
     assert mk.mask_of(["c", "b", "a"], blocks, [1]) == [False, True, True]
