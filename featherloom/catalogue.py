@@ -272,6 +272,14 @@ def _random_masks(spark, d):
     return mk.random_masks(_trials(spark, d), NAMES, RATIO)
 
 
+def _block_sides(spark, d):
+    return mk.block_sides(_trials(spark, d), _block_list(spark, d), RATIO)
+
+
+def _random_sides(spark, d):
+    return mk.random_sides(_trials(spark, d), NAMES, RATIO)
+
+
 def _shortcuts(spark, d, masks):
     return mk.shortcuts(masks(spark, d), _pairs(spark, d))
 
@@ -410,8 +418,8 @@ def queries():
         "mask_trials": lambda s, d: _rounded(mk.trial_stats(_block_masks(s, d))),
         "random_masks": _random_masks,
         "mask_lists": lambda s, d: mk.mask_lists(_block_masks(s, d)).withColumn("masked", F.array_join("masked", " | ")),
-        "shortcut_analysis": lambda s, d: _rounded(_shortcuts(s, d, _random_masks)),
-        "shortcut_comparison": lambda s, d: _rounded(mk.shortcut_comparison(_shortcuts(s, d, _block_masks), _shortcuts(s, d, _random_masks))),
+        "shortcut_analysis": lambda s, d: _rounded(_shortcuts(s, d, _random_sides)),
+        "shortcut_comparison": lambda s, d: _rounded(mk.shortcut_comparison(_shortcuts(s, d, _block_sides), _shortcuts(s, d, _random_sides))),
         "masked_batch": _masked_batch,
         "masker_batch": _masker_batch,
     }

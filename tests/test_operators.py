@@ -369,6 +369,26 @@ def test_samples_of_rows_that_share_a_key(spark):
             assert sorted(r["v.x"] for r in got.collect()) == [0.0, 1.0, 2.0] and got.columns == d.columns
 
 
+def test_shortcuts_of_a_row_a_trial(spark):
+    """Both forms of masks give the same, and a row a trial needs no shuffle of trials."""
+    blocks = [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (3, "e")]
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("c", "e", 0.7), ("d", "e", 0.1)], "f1 string, f2 string, score double")
+    trials = spark.range(200).withColumnRenamed("id", "trial")
+    names = [f for _, f in blocks]
+    for rows, lists in ((mk.block_masks(trials, blocks, 0.4), mk.block_sides(trials, blocks, 0.4)), (mk.random_masks(trials, names, 0.4), mk.random_sides(trials, names, 0.4))):
+        got = mk.shortcuts(lists, pairs)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mk.shortcuts(rows, pairs).collect())) and got.count() == 200
+        masked = {(r["trial"], r["feature"]): r["masked"] for r in rows.collect()}
+        edges = [(a, b) for x in pairs.collect() if x["score"] >= 0.7 for a, b in ((x["f1"], x["f2"]), (x["f2"], x["f1"]))]
+        for r in got.collect():
+            hit = [a for a, b in edges if masked[r["trial"], a] and not masked[r["trial"], b]]
+            own = sum(masked[r["trial"], f] for f in names)
+            assert (r["n_masked"], r["with_partner"], r["visible_pairs"], r["rate"]) == (own, len(set(hit)), len(hit), len(set(hit)) / own)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(trial" not in plan
+    assert mk.shortcuts(mk.block_sides(trials, blocks, 0.4), pairs.limit(0)).where("with_partner > 0 or rate <> 0").count() == 0
+
+
 def test_mask_errors(spark):
     blocks = [(1, "a"), (1, "b"), (2, "c")]
     assert mk.mask_of(["c", "b", "a"], blocks, [1]) == [False, True, True]
