@@ -222,7 +222,7 @@ def _mi(spark, d):
 
 
 def _rho(spark, d):
-    return dep.spearman(_features(spark, d), NAMES)
+    return dep.spearman(_features(spark, d), NAMES, stable=True)  # columns of a file
 
 
 def _what_if(spark, d):
@@ -366,7 +366,7 @@ def queries():
         "hash_sample": lambda s, d: pp.hash_sample(_read(s, d, "events", ["event_id", "event_type"]), ["event_id"], 100),
         "spearman_pairs": lambda s, d: _rounded(_rho(s, d)),
         "wide_correlations": lambda s, d: _rounded(dep.correlations(_wide(s, d), list(WIDE))),
-        "wide_spearman": lambda s, d: _rounded(dep.spearman(_wide(s, d), list(WIDE))),
+        "wide_spearman": lambda s, d: _rounded(dep.spearman(_wide(s, d), list(WIDE), stable=True)),
         "wide_normalized_mi": lambda s, d: _rounded(dep.mutual_information(dep.binned_counts(_wide(s, d), list(WIDE))).select("f1", "f2", "nmi")),
         "feature_entropy": lambda s, d: _rounded(dep.entropies(dep.binned_counts(_features(s, d), NAMES, only_own=True))),
         "mutual_information": lambda s, d: _rounded(_mi(s, d).select("f1", "f2", "mi")),

@@ -20,8 +20,9 @@ from .sums import correlations
 BINS, EPSILON = 32, 1e-12
 
 
-def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return correlations(ranked(df.dropna(subset=list(columns)), columns), columns)
+def spearman(df: DataFrame, columns: Sequence[str], stable: bool = False) -> DataFrame:
+    """Of the rows without a null; for ``stable`` see ``ranked``."""
+    return correlations(ranked(df.dropna(subset=list(columns)), columns, stable), columns)
 
 
 def _found_edges(df: DataFrame, columns: Sequence[str], bins: int, accuracy: int | None) -> dict[str, list[float]]:

@@ -3,8 +3,9 @@
 Quantiles are selected between brackets: a mergeable sketch says between which
 two values a wanted place lies, a scan counts what is below each bracket and
 keeps the values inside, and only these are sorted. Ranks are worked out range
-by range: values travel packed, one row for each block of rows, feature and
-range, and ranks come back the same way.
+by range: a block's distinct values travel packed, one row for each block of rows,
+feature and range, and their ranks come back the same way. Which row holds which
+of them is packed apart and goes straight to where the block is put together.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ ACCURACY = 10_000
 #: Values of a bracket that are sorted in one task; a bracket of more is narrowed first.
 INSIDE = 4_000_000
 #: Values of a range, about, and ranges of a feature.
-RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 65_536, 16, 65_536
-#: Rows of a block.
-BLOCK_ROWS = 1 << 17
+RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 1 << 20, 16, 8_192
+#: Rows of a block: the place of a value among its distinct ones fits 16 bits.
+BLOCK_ROWS = 1 << 16
+#: Packed values that a task is dealt, about.
+DEALT = 8_000_000
 
 
 def _doubles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -233,86 +236,171 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], at:
     return df.sparkSession.createDataFrame([(c, s.q) for c, s in order_statistics(df, columns, at).items()], "feature string, q array<double>")
 
 
-PACKETS = "block long, feature int, code int, n long, places binary, x binary"
-
-
-def _packets(cuts: list[np.ndarray], heavy: list[np.ndarray]):
-    """A block's values, dealt by feature and range: code 2 * k for what lies
-    below cut k and not below the one before, 2 * k + 1 for the cut itself if it is heavy.
-    A row of feature -1 says how many rows the block has."""
-
-    def packet(block, feature, code, places, x):
-        return block, feature, code, len(places), places.astype(np.int32).tobytes(), x
-
-    def dealt(block: int, held: list[pa.RecordBatch]):
-        rows = [(block, -1, 0, sum(map(len, held)), None, None)]
-        for i in range(len(cuts)):
-            column = pa.chunked_array([b.column(i) for b in held])
-            places = np.flatnonzero(~column.is_null().to_numpy())
-            x = column.drop_null().to_numpy()
-            k = np.searchsorted(cuts[i], x, "left")
-            code = 2 * k
-            if len(heavy[i]):
-                at = np.minimum(k, len(cuts[i]) - 1)
-                code += (x == cuts[i][at]) & np.isin(cuts[i][at], heavy[i])
-            order = np.argsort(code, kind="stable")
-            if not len(order):
-                continue
-            edge = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-            for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
-                own = order[a:b]
-                c = int(code[own[0]])
-                rows.append(packet(block, i, c, places[own], None if c % 2 else x[own].tobytes()))
-        return pa.RecordBatch.from_pylist([dict(zip(("block", "feature", "code", "n", "places", "x"), r, strict=True)) for r in rows], _PACKETS)
+def _zipped(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
-    def run(batches):
-        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for b in batches:
-            held.append(b)
-            size += len(b)
-            if size >= BLOCK_ROWS:
-                yield dealt(part << 32 | k, held)
-                k, held, size = k + 1, [], 0
-        if held:
-            yield dealt(part << 32 | k, held)
 
-    return run
+def _unzipped(raw: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
-_PACKETS = pa.schema([("block", pa.int64()), ("feature", pa.int32()), ("code", pa.int32()), ("n", pa.int64()), ("places", pa.binary()), ("x", pa.binary())])
-RANKED = "block long, feature int, places binary, ranks binary"
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit values as their differences, like bytes side by side: those of sorted values are mostly zero."""
+    d = np.diff(x.view(np.uint64), prepend=np.uint64(0))
+    return _zipped(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T))
 
 
-def _rank_range(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Ranks of one range's values, packed as they came."""
-    n = rows.column("n").to_numpy()
-    x = np.concatenate([np.frombuffer(v.as_buffer(), np.float64) for v in rows.column("x")])
-    _, code, count = np.unique(x, return_inverse=True, return_counts=True)
-    before = rows.column("before")[0].as_py()
-    rank = (before + np.cumsum(count) - count + (count + 1) / 2)[code]
-    ends = np.cumsum(n)
-    return pa.table({"block": rows.column("block"), "feature": rows.column("feature"), "places": rows.column("places"), "ranks": pa.array([rank[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)], pa.binary())})
+def _unpacked(raw: bytes, kind, n: int) -> np.ndarray:
+    d = np.ascontiguousarray(_unzipped(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(d, dtype=np.uint64).view(kind)
 
 
-def _assembled(features: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        f, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy(zero_copy_only=False)
-        out = np.full((features, int(n[f < 0][0])), np.nan)
-        for i, places, ranks, rank in zip(f.tolist(), rows.column("places"), rows.column("ranks"), rows.column("rank").to_pylist(), strict=True):
-            if i >= 0:
-                out[i, np.frombuffer(places.as_buffer(), np.int32)] = np.frombuffer(ranks.as_buffer(), np.float64) if rank is None else rank
-        return pa.table({f"_{i}": pa.array(x, mask=np.isnan(x)) for i, x in enumerate(out)})
+def _checksum(x: np.ndarray, n: np.ndarray) -> int:
+    v = x.view(np.uint64)
+    v = (v ^ (v >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return int(((v ^ (v >> np.uint64(32))) * n.astype(np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
-    return run
+
+def _blocks(batches):
+    """Runs of BLOCK_ROWS rows of a partition, numbered."""
+    block, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for b in batches:
+        while len(b):
+            held.append(b.slice(0, BLOCK_ROWS - size))
+            b, size = b.slice(BLOCK_ROWS - size), size + len(held[-1])
+            if size == BLOCK_ROWS:
+                yield block, held
+                block, held, size = block + 1, [], 0
+    if held:
+        yield block, held
 
 
-def ranked(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:
+class _Ranges:
+    """Cuts of each feature: code 2 * k is for what lies below cut k and not below
+    the one before, 2 * k + 1 for the cut itself if it is heavy, and so has a rank at once."""
+
+    def __init__(self, cuts: list[np.ndarray], heavy: list[np.ndarray]):
+        self.cuts, self.heavy = cuts, heavy
+        self.before: list[np.ndarray] = []
+
+    def codes(self, i: int, x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.cuts[i], x, "left")
+        if not len(self.heavy[i]):
+            return 2 * k
+        at = self.cuts[i][np.minimum(k, len(self.cuts[i]) - 1)]
+        return 2 * k + ((x == at) & np.isin(at, self.heavy[i]))
+
+    def distinct(self, column: pa.ChunkedArray):
+        """Which rows have a value, the distinct values, which of them each row has, and how many rows they have."""
+        there = ~column.is_null().to_numpy()
+        x = column.drop_null().to_numpy() + 0.0  # one zero
+        return there, *np.unique(x, return_inverse=True, return_counts=True)
+
+    def count(self, batches):
+        """(feature, code, n) of a partition."""
+        sums = [np.zeros(2 * len(c) + 2, np.int64) for c in self.cuts]
+        for b in batches:
+            for i, s in enumerate(sums):
+                s += np.bincount(self.codes(i, b.column(i).drop_null().to_numpy(zero_copy_only=False)), minlength=len(s))
+        for i, s in enumerate(sums):
+            code = np.flatnonzero(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), i, np.int32)), pa.array(code.astype(np.int32)), pa.array(s[code])], ["feature", "code", "n"])
+
+    def counted(self, rows) -> None:
+        """Takes the counts of all partitions in."""
+        sums = [np.zeros(2 * len(c) + 2, np.int64) for c in self.cuts]
+        for r in rows:
+            sums[r["feature"]][r["code"]] = r["n"]
+        self.before = [np.r_[0, np.cumsum(s)] for s in sums]
+
+    def values(self, batches):
+        """Rows of VALUES: the distinct values of a block in a range, but heavy ones."""
+        for block, held in _blocks(batches):
+            for i in range(len(self.cuts)):
+                _, x, _, n = self.distinct(pa.chunked_array([b.column(i) for b in held]))
+                code = self.codes(i, x)
+                light = code % 2 == 0
+                x, n, code = x[light], n[light], code[light]
+                if not len(x):
+                    continue
+                edge = np.flatnonzero(np.r_[True, np.diff(code) != 0])
+                each = [(x[a:b], n[a:b]) for a, b in zip(edge, [*edge[1:], len(x)], strict=True)]
+                columns = [pa.array(np.full(len(edge), block, np.int64)), pa.array(np.full(len(edge), i, np.int32)), pa.array(code[edge].astype(np.int32)), pa.array([len(v) for v, _ in each], pa.int32())]
+                packed = [pa.array([_packed(v) for v, _ in each], pa.binary()), pa.array([_packed(m) if (m > 1).any() else None for _, m in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *packed, pa.array([_checksum(v, m) for v, m in each], pa.int64())], ["block", "feature", "code", "n", "x", "counts", "check"])
+
+    def rows(self, batches):
+        """Rows of ROWS: which of its distinct values each row of a block has, and the ranks of heavy ones."""
+        for block, held in _blocks(batches):
+            size = sum(map(len, held))
+            for i in range(len(self.cuts)):
+                there, x, own, n = self.distinct(pa.chunked_array([b.column(i) for b in held]))
+                code = self.codes(i, x)
+                light = code % 2 == 0
+                known = np.full(len(x), np.nan)
+                up = self.before[i][code[~light]]
+                known[~light] = up + (self.before[i][code[~light] + 1] - up + 1) / 2
+                at = own.astype(np.uint8 if len(x) <= 256 else np.uint16)
+                values = [block, i, size, None if there.all() else _zipped(np.packbits(there)), len(x), _zipped(at), _zipped(known), _checksum(x[light], n[light])]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "feature", "size", "there", "n", "own", "known", "check"])
+
+    def rank(self, key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """Twice the ranks of one range's values, packed as they came."""
+        sizes = rows.column("n").to_pylist()
+        x = np.concatenate([_unpacked(v.as_py(), np.float64, n) for v, n in zip(rows.column("x"), sizes, strict=True)])
+        m = np.concatenate([np.ones(n, np.int64) if c is None else _unpacked(c, np.int64, n) for c, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)])
+        order = np.argsort(x, kind="stable")
+        y = x[order]
+        new = np.r_[True, (y[1:] != y[:-1]) & ~(np.isnan(y[1:]) & np.isnan(y[:-1]))]
+        count = np.add.reduceat(m[order], np.flatnonzero(new))
+        twice = 2 * (int(self.before[key[0].as_py()][key[1].as_py()]) + np.cumsum(count) - count) + count + 1
+        rank = np.empty(len(x), np.int64)
+        rank[order] = twice[np.cumsum(new) - 1]
+        ends = np.cumsum(sizes)
+        return pa.table({"block": rows.column("block"), "feature": rows.column("feature"), "n": rows.column("n"), "ranks": pa.array([_packed(rank[b - n : b]) for n, b in zip(sizes, ends, strict=True)], pa.binary()), "check": rows.column("check")})
+
+    def assembled(self, rows: pa.Table) -> pa.Table:
+        """A block: values and ranks have one order, so sorted ranks belong to its values in turn."""
+        features = len(self.cuts)
+        ranks: list[list[np.ndarray]] = [[] for _ in range(features)]
+        seen, whole, out = [0] * features, {}, []
+        for i, n, r, check, at in zip(*[rows.column(c).to_pylist() for c in ("feature", "n", "ranks", "check")], range(len(rows)), strict=True):
+            if r is None:
+                whole[i] = at
+            else:
+                ranks[i].append(_unpacked(r, np.int64, n) / 2)
+                seen[i] += check
+        for i in range(features):
+            size, there, n, own, known, check = (rows.column(c)[whole[i]].as_py() for c in ("size", "there", "n", "own", "known", "check"))
+            rank = _unzipped(known, np.float64, n).copy() if n else np.empty(0)
+            light = np.sort(np.concatenate([np.empty(0), *ranks[i]]))
+            if len(light) != np.isnan(rank).sum() or (seen[i] - check) % 2**64:
+                raise ValueError("the rows came in another order when they were read again: write the table first")
+            rank[np.isnan(rank)] = light
+            has = np.ones(size, bool) if there is None else np.unpackbits(_unzipped(there, np.uint8, -(-size // 8)))[:size].astype(bool)
+            column = np.full(size, np.nan)
+            if n:
+                column[has] = rank[_unzipped(own, np.uint8 if n <= 256 else np.uint16, int(has.sum()))]
+            out.append(pa.array(column, mask=~has))
+        return pa.table({f"_{i}": x for i, x in enumerate(out)})
+
+
+VALUES = "block long, feature int, code int, n int, x binary, counts binary, check long"
+ROWS = "block long, feature int, size int, there binary, n int, own binary, known binary, check long"
+RANKED = "block long, feature int, n int, ranks binary, check long"
+
+
+def ranked(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], stable: bool = False) -> DataFrame:
     """The columns replaced by their average ranks, from 1; null stays null. Other columns go.
 
     Values shared by many rows never travel: a value that a sketch shows at two
-    places has a range of its own, whose one rank follows from counts."""
+    places has a range of its own, whose one rank follows from counts. The rows
+    are read several times: ``stable`` says that they come in the same order each
+    time, as from files; else they are written first. Rows that do not are an error."""
     d, names = _doubles(df, columns)
     cols = d.columns
+    if not stable:
+        d = written(d, "values")
     n = d.count()
     ranges = int(min(MOST_RANGES, max(FEWEST_RANGES, -(-n // RANGE_ROWS))))
     probes = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
@@ -322,13 +410,10 @@ def ranked(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> Data
         value, count = np.unique(np.array(row[c] or [], float), return_counts=True)
         cuts.append(value)
         heavy.append(value[(count > 1) & ~np.isnan(value)])
-    packets = written(d.mapInArrow(_packets(cuts, heavy), PACKETS), "packets")
-    up = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = packets.where("feature >= 0").groupBy(F.col("feature").alias("of"), F.col("code").alias("range")).agg(F.sum("n").alias("all"))
-    placed = packets.join(sums.withColumn("before", F.coalesce(F.sum("all").over(up), F.lit(0))), (F.col("feature") == F.col("of")) & (F.col("code") == F.col("range")))
-    light = placed.where("x is not null").select("block", "feature", "code", "n", "places", "x", "before").groupBy("feature", "code").applyInArrow(_rank_range, RANKED)
-    whole = placed.where("x is null").select("block", "feature", "places", (F.col("before") + (F.col("all") + 1) / 2).alias("rank"))
-    sizes = packets.where("feature < 0").select("block", "feature", "n")
-    met = light.unionByName(whole, allowMissingColumns=True).unionByName(sizes, allowMissingColumns=True)
-    out = met.groupBy("block").applyInArrow(_assembled(len(cols)), ", ".join(f"{c} double" for c in cols))
+    r = _Ranges(cuts, heavy)
+    r.counted(d.mapInArrow(r.count, "feature int, code int, n long").groupBy("feature", "code").agg(F.sum("n").alias("n")).collect())  # two rows a range
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n * len(cols) // DEALT))
+    light = d.mapInArrow(r.values, VALUES).repartition(tasks, "feature", "code").groupBy("feature", "code").applyInArrow(lambda key, rows: r.rank(key, rows), RANKED)
+    met = d.mapInArrow(r.rows, ROWS).unionByName(light, allowMissingColumns=True)
+    out = met.repartition(tasks, "block").groupBy("block").applyInArrow(lambda key, rows: r.assembled(rows), ", ".join(f"{c} double" for c in cols))
     return out.select(*[F.col(c).alias(x) for c, x in zip(cols, names, strict=True)])

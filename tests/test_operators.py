@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,6 +390,38 @@ def test_shortcuts_of_a_row_a_trial(spark):
     assert mk.shortcuts(mk.block_sides(trials, blocks, 0.4), pairs.limit(0)).where("with_partner > 0 or rate <> 0").count() == 0
 
 
+def _ranges_of(d, m):
+    r = order._Ranges([np.linspace(0, 2e5, 9)] * m, [np.empty(0)] * m)
+    r.counted(d.mapInArrow(r.count, "feature int, code int, n long").groupBy("feature", "code").agg(F.sum("n").alias("n")).collect())
+    return r
+
+
+def test_ranks_travel_packed(spark):
+    """Of values that all differ less than 6 bytes a value go out, with the rows they belong to, and 2 come back."""
+    d = spark.range(0, 150_000, 1, 1).select((F.col("id") * 7919 % 150_001).cast("double").alias("_0"))
+    r = _ranges_of(d, 1)
+    values = d.mapInArrow(r.values, order.VALUES)
+    out = values.agg(F.sum(F.length("x")), F.sum("n")).first()
+    own = d.mapInArrow(r.rows, order.ROWS).agg(F.sum(F.length("own") + F.length("known"))).first()[0]
+    back = values.groupBy("feature", "code").applyInArrow(lambda key, rows: r.rank(key, rows), order.RANKED).agg(F.sum(F.length("ranks"))).first()[0]
+    assert out[1] == 150_000 and out[0] + own < 6 * 150_000 and back < 2 * 150_000
+    got = order.ranked(d, {"a": F.col("_0"), "b": -F.col("_0"), "c": F.col("_0") % 3}, stable=True)
+    x = pd.Series([i * 7919 % 150_001 for i in range(150_000)], dtype=float)
+    want = sorted(zip(x.rank(), (-x).rank(), (x % 3).rank(), strict=True))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_rows_that_change_between_readings_are_an_error(spark):
+    def drawn(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.random.default_rng().random(len(b)))], ["x"])
+
+    d = spark.range(500).mapInArrow(drawn, "x double")
+    with pytest.raises(Exception, match="another order"):
+        order.ranked(d, ["x"], stable=True).collect()
+    assert order.ranked(d, ["x"]).agg(F.sum("x")).first()[0] == 500 * 501 / 2  # written first
+
+
 def test_mask_errors(spark):
     blocks = [(1, "a"), (1, "b"), (2, "c")]
     assert mk.mask_of(["c", "b", "a"], blocks, [1]) == [False, True, True]
