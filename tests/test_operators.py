@@ -411,6 +411,13 @@ def test_ranks_travel_packed(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_blocks_are_bounded(spark):
+    """What a task holds of its rows at once does not depend on the table or on the size of batches."""
+    d = spark.range(0, 200_000, 1, 1).select((F.col("id") % 3).cast("double").alias("_0"))
+    sizes = [x["size"] for x in d.mapInArrow(_ranges_of(d, 1).rows, order.ROWS).select("size").collect()]
+    assert sorted(sizes) == [200_000 - 3 * order.BLOCK_ROWS, *[order.BLOCK_ROWS] * 3] and order.BLOCK_ROWS <= 1 << 16
+
+
 def test_rows_that_change_between_readings_are_an_error(spark):
     def drawn(batches):
         for b in batches:
