@@ -11,6 +11,8 @@ from ..plans.lineage import checkpointed
 
 #: Edges that a task gathers before it reduces them to stars.
 GATHER = 1 << 20
+#: Edges that a task is dealt, about; of fewer edges each of the session's cores gets some.
+DEALT = 1 << 17
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +70,17 @@ def parents(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     reduced again, so that a node is met by one row of each task at most,
     whatever its degree. Then each outer node follows its centre's own centre, in
     a join whose large keys Spark can split. Rounds end when nothing moves, after
-    about log(n) of them.
+    about log(n) of them. There are as many tasks of Python as the edges ask for,
+    whatever the number of shuffle partitions.
     """
     kind, arrow = ("string", pa.string()) if dict(edges.dtypes)[a] == "string" else ("bigint", pa.int64())
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v"))
+    pairs = checkpointed(pairs.mapInArrow(_stars_of_task, f"u {kind}, v {kind}"))
+    # Rounds make no edges: the first count bounds all of them.
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // DEALT))
     while True:
-        reduced = pairs.mapInArrow(_stars_of_task, f"u {kind}, v {kind}").repartition("u").mapInArrow(_stars_of_dealt(arrow), f"u {kind}, v {kind}, own boolean")
+        # The join reads it twice.
+        reduced = checkpointed(pairs.coalesce(tasks).mapInArrow(_stars_of_task, f"u {kind}, v {kind}").repartition("u").coalesce(tasks).mapInArrow(_stars_of_dealt(arrow), f"u {kind}, v {kind}, own boolean"))
         up = reduced.where("own").select(F.col("u").alias("centre"), F.col("v").alias("next"))
         moved = reduced.join(up.hint("merge"), F.col("v") == F.col("centre"), "left").select("u", F.coalesce("next", "v").alias("v"), (F.col("next").isNotNull() | ~F.col("own")).alias("moved"))
         moved = checkpointed(moved)

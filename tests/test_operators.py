@@ -459,3 +459,22 @@ def test_sources_without_ids_or_rows(spark, tmp_path):
 def test_rounds_of_the_alpha_sweep_prefer_the_larger_ratio(spark):
     rows = spark.createDataFrame([(4, 0.5, True, 2.0), (5, 0.5, True, 3.0), (6, 0.9, False, 9.0)], "k long, silhouette double, valid boolean, ratio double")
     assert cl.choose_k(rows).first()["k"] == 5 and cl.choose_k(rows.drop("ratio")).first()["k"] == 4
+
+
+def test_rounds_of_components_take_few_python_tasks(spark):
+    """Many shuffle partitions are no Python tasks when there are few edges; the answer is that of one partition."""
+    edges = spark.range(400).select((F.col("id") * 37 % 401).alias("src"), ((F.col("id") + 1) * 37 % 401).alias("dst")).where("src % 50 <> 0")
+    want = sorted(map(tuple, gr.parents(edges).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    real = gr.checkpointed
+    try:
+        gr.checkpointed = lambda df, tidy=False: (seen.append(df.rdd.getNumPartitions()) if "own" in df.columns else None, real(df, tidy))[1]
+        assert sorted(map(tuple, gr.parents(edges).collect())) == want
+    finally:
+        gr.checkpointed = real
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
